@@ -64,7 +64,8 @@ def blank_to_null(c: Column) -> Column:
 
 def number_or_null(c: Column) -> Column:
     """Text to double; percent signs and thousands commas are dropped, junk is NULL."""
-    return F.trim(F.regexp_replace(c, "[%,]", "")).try_cast("double")
+    plain = F.trim(F.regexp_replace(c, "[%,]", ""))
+    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
 
 
 def tile_name(lat: Column, lon: Column, step: int = 1) -> Column:

@@ -53,12 +53,12 @@ def exact_quantiles(
     groups: Sequence[str],
     value: str,
     quantiles: dict[str, float],
-    width: float,
+    buckets: int = 256,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation; NULL values are skipped.
 
-    Works on value counts, so repeated values cost one row, and sorts only inside value
-    ranges of the given width.
+    Works on value counts, so repeated values cost one row, and sorts only inside one of
+    `buckets` equal value ranges of a group.
     """
     keep = list(groups)
     if not keep:
@@ -68,10 +68,14 @@ def exact_quantiles(
         .groupBy(*groups, F.col(value).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cum = running_totals(counts, groups, F.floor(F.col("_x") / width), [F.col("_x")], {"_end": F.col("_n")})
-    sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
-    sizes = sizes.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_size")
-    cum = cum.join(sizes, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups])
+    span = counts.groupBy(*groups).agg(
+        F.sum("_n").alias("_size"), F.min("_x").alias("_min"), F.max("_x").alias("_max")
+    )
+    span = span.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_size", "_min", "_max")
+    counts = counts.join(span, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups])
+    width = (F.col("_max") - F.col("_min")) / float(buckets)
+    bucket = F.when(width > 0, F.floor((F.col("_x") - F.col("_min")) / width)).otherwise(F.lit(0).cast("bigint"))
+    cum = running_totals(counts, groups, bucket, [F.col("_x")], {"_end": F.col("_n")})
     start = F.col("_end") - F.col("_n")
     aggs = []
     for name, q in quantiles.items():

@@ -156,8 +156,9 @@ FEATURE_ROWS = [
     "l_orderkey AS doc_id",
     "l_linenumber AS line_no",
     "CASE WHEN l_linenumber = 7 AND l_partkey % 50 = 0 THEN NULL ELSE l_quantity * 60 - 30 END AS rainfall_24h",
-    "l_quantity * 65 AS rainfall_3d",
-    f"CASE WHEN l_suppkey % 19 = 0 THEN {dbl('1e308')} * 10 ELSE l_quantity * 80 END AS rainfall_7d",
+    "CASE WHEN l_partkey % 37 = 0 THEN l_quantity * 50 ELSE l_quantity * 65 END AS rainfall_3d",
+    f"CASE WHEN l_suppkey % 19 = 0 THEN {dbl('1e308')} * 10 WHEN l_partkey % 41 = 0 THEN l_quantity * 55 "
+    "ELSE l_quantity * 80 END AS rainfall_7d",
     f"l_quantity * 2 - {dbl('4')} AS slope",
     f"l_extendedprice / 10 - {dbl('600')} AS elevation",
     "CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 0 ELSE 2 END AS historical_landslide",
