@@ -19,6 +19,11 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.floor(c * scale + 0.5) / F.lit(scale)
 
 
+def settled(c: Column, digits: int = 4) -> Column:
+    """Round a sum: the noise of the summing order goes first, so that ties fall one way."""
+    return rounded(rounded(c, 8), digits)
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     """Limit a non-null value to [low, high]."""
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
