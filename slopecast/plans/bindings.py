@@ -13,8 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.functions.columns import DAY_US
-from slopecast.session import load_table
+from slopecast.session import load_table, prepare
 
 
 def dbl(text: str) -> str:
@@ -176,6 +175,22 @@ SCORED = [
 ]
 
 
+def telemetry_of(events: DataFrame) -> DataFrame:
+    """Telemetry rows of an events table or stream: each row, plus its repeats."""
+    base = events.selectExpr(*TELE)
+    copies = F.concat(
+        F.array(F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("d"))),
+        F.when(F.col("reading_id") % 50 == 0, F.array(F.struct(F.lit(1).alias("n"), F.lit(0.0).alias("d")))).otherwise(F.array()),
+        F.when(F.col("reading_id") % 70 == 0, F.array(F.struct(F.lit(2).alias("n"), F.lit(1.0).alias("d")))).otherwise(F.array()),
+    )
+    return (
+        base.withColumn("_c", F.explode(copies))
+        .withColumn("copy_no", F.col("_c.n"))
+        .withColumn("rainfall_1h", F.col("rainfall_1h") + F.col("_c.d"))
+        .drop("_c")
+    )
+
+
 class Tables:
     """The bound tables of one data folder, as lazy DataFrames."""
 
@@ -189,20 +204,13 @@ class Tables:
     @cached_property
     def tele(self) -> DataFrame:
         """Hourly telemetry with exact repeats and conflicting repeats."""
-        base = self.raw("events").selectExpr(*TELE)
-        copies = F.concat(
-            F.array(F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("d"))),
-            F.when(F.col("reading_id") % 50 == 0, F.array(F.struct(F.lit(1).alias("n"), F.lit(0.0).alias("d"))))
-            .otherwise(F.array()),
-            F.when(F.col("reading_id") % 70 == 0, F.array(F.struct(F.lit(2).alias("n"), F.lit(1.0).alias("d"))))
-            .otherwise(F.array()),
-        )
-        return (
-            base.withColumn("_c", F.explode(copies))
-            .withColumn("copy_no", F.col("_c.n"))
-            .withColumn("rainfall_1h", F.col("rainfall_1h") + F.col("_c.d"))
-            .drop("_c")
-        )
+        return telemetry_of(self.raw("events"))
+
+    def tele_stream(self) -> DataFrame:
+        """The same telemetry as a stream over the events file."""
+        schema = self.spark.read.parquet(f"{self.folder}/events.parquet").schema
+        raw = prepare(self.spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
+        return telemetry_of(raw)
 
     @cached_property
     def stations(self) -> DataFrame:

@@ -1 +1,153 @@
-"""Placeholder."""
+"""Streaming queries: each runs its stream to the end of the input and reads back what it wrote."""
+
+from __future__ import annotations
+
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from slopecast.functions import hazard
+from slopecast.functions.columns import rounded
+from slopecast.plans.bindings import Tables, rnd, telemetry_of
+from slopecast.plans.hazard import sql_fuse, sql_trigger
+from slopecast.plans.registry import query
+from slopecast.session import scratch_path
+from slopecast.streaming import jobs
+
+
+@contextmanager
+def state_store(spark):
+    """Stateful Python processors need the RocksDB store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, jobs.ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def finished(t: Tables, out: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(t.spark, label)
+    with state_store(t.spark):
+        jobs.run_to_end(out, f"{path}/rows", f"{path}/checkpoint")
+    return t.spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+MARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM tele_ok)"
+
+
+@query("stream_telemetry_ingest", "SELECT reading_id, copy_no, station_key, epoch_us(ts) AS t_us, rainfall_1h FROM tele_ok")
+def stream_telemetry_ingest(t: Tables):
+    out = jobs.ingest(t.tele_stream())
+    return finished(t, out, "ingest").select("reading_id", "copy_no", "station_key", F.unix_micros("ts").alias("t_us"), "rainfall_1h")
+
+
+@query("stream_dedup", "SELECT DISTINCT station_key, epoch_us(ts) AS t_us, rainfall_1h FROM tele_ok")
+def stream_dedup(t: Tables):
+    out = jobs.dedup(jobs.ingest(t.tele_stream())).select("station_key", "ts", "rainfall_1h")
+    return finished(t, out, "dedup").select("station_key", F.unix_micros("ts").alias("t_us"), "rainfall_1h")
+
+
+@query(
+    "stream_station_day",
+    f"""SELECT station_key, epoch_us(date_trunc('day', ts)) AS day_us, {rnd('sum(rainfall_1h)')} AS rainfall_mm, count(rainfall_1h) AS valid_readings
+    FROM tele_ok GROUP BY station_key, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {MARK}""",
+)
+def stream_station_day(t: Tables):
+    out = finished(t, jobs.station_day(jobs.ingest(t.tele_stream())), "days")
+    return out.select("station_key", F.unix_micros("day_start").alias("day_us"), rounded(F.col("rainfall_mm")).alias("rainfall_mm"), "valid_readings")
+
+
+SLIDING = ((24, 6), (72, 20), (168, 46))
+
+
+@query(
+    "stream_sliding_rain",
+    " UNION ALL ".join(
+        f"""SELECT station_key, {h} AS hours, end_us, {rnd('sum(rainfall_1h)')} AS rainfall_sum, count(rainfall_1h) AS rainfall_obs,
+        {rnd(f'least(count(rainfall_1h) / {x}.0, 1.0)')} AS coverage FROM (SELECT *, unnest(range(hour_us + 3600000000, hour_us + {h + 1} * 3600000000, 3600000000)) AS end_us
+        FROM (SELECT station_key, rainfall_1h, epoch_us(date_trunc('hour', ts)) AS hour_us FROM tele_ok)) WHERE end_us <= epoch_us({MARK}) GROUP BY station_key, end_us"""
+        for h, x in SLIDING
+    ),
+)
+def stream_sliding_rain(t: Tables):
+    """Hour-aligned sliding totals of 24, 72 and 168 hours, closed windows only."""
+    parts = []
+    for hours, expected in SLIDING:
+        out = jobs.sliding_rain(jobs.ingest(t.tele_stream()), hours, expected)
+        parts.append(finished(t, out, f"sliding{hours}").withColumn("hours", F.lit(hours)))
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.select(
+        "station_key", "hours", F.unix_micros("window_end").alias("end_us"), rounded(F.col("rainfall_sum")).alias("rainfall_sum"),
+        "rainfall_obs", rounded(F.col("coverage")).alias("coverage"),
+    )
+
+
+@query(
+    "stream_latest_freshness",
+    f"""SELECT station_key, 'STALE' AS kind, t + 21600000 AS t_ms FROM (SELECT station_key, t, lead(t) OVER (PARTITION BY station_key ORDER BY t) AS nxt
+    FROM (SELECT DISTINCT station_key, epoch_us(ts) // 1000 AS t FROM tele_ok)) WHERE nxt > t + 21600000 OR (nxt IS NULL AND t + 21600000 <= epoch_ms({MARK}))""",
+)
+def stream_latest_freshness(t: Tables):
+    """A STALE event whenever a station has been silent for six hours."""
+    return finished(t, jobs.freshness(jobs.ingest(t.tele_stream())), "freshness")
+
+
+def places(t: Tables) -> DataFrame:
+    score = F.split("station_key", "::")[1].cast("double") / 10.0 + 0.05
+    p = t.stations.select("station_key", F.col("site_no").alias("place_id")).withColumn("static_score", score)
+    return p.withColumn("tier", hazard.susceptibility_tier(F.col("static_score")))
+
+
+_SCORED = sql_fuse(sql_trigger("""SELECT r.*, s.place_id, s.static_score, CASE WHEN s.static_score >= 0.75 THEN 'VERY_HIGH' WHEN s.static_score >= 0.5 THEN 'HIGH' WHEN s.static_score >= 0.25 THEN 'MODERATE' ELSE 'LOW' END AS tier,
+    CAST(NULL AS DOUBLE) AS rainfall_24h, CAST(NULL AS DOUBLE) AS rainfall_3d, CAST(NULL AS DOUBLE) AS rainfall_7d,
+    CASE WHEN rainfall_1h IS NULL THEN 'MISSING' ELSE 'GOOD' END AS quality, CASE WHEN rainfall_1h IS NULL THEN 'MISSING' ELSE 'OK' END AS status
+    FROM tele_ok r JOIN (SELECT station_key, site_no AS place_id, CAST(split_part(station_key, '::', 2) AS DOUBLE) / 10.0 + 0.05 AS static_score FROM stations) s USING (station_key)"""))
+
+
+@query(
+    "stream_static_join",
+    f"SELECT reading_id, copy_no, place_id, trigger_level, trigger_score, risk_level, fusion_score FROM ({_SCORED})",
+)
+def stream_static_join(t: Tables):
+    out = jobs.score_stream(jobs.ingest(t.tele_stream()), places(t)).select(
+        "reading_id", "copy_no", "place_id", "trigger_level", "trigger_score", "risk_level", "fusion_score"
+    )
+    return finished(t, out, "scored")
+
+
+_ONE_PLACE = f"SELECT * FROM ({_SCORED}) WHERE place_id IN (SELECT min(site_no) FROM stations GROUP BY station_key)"
+
+
+@query(
+    "stream_alerts",
+    f"""SELECT station_key, epoch_us(ts) AS t_us, reading_id, risk_level FROM (SELECT *, lag(risk_level) OVER (PARTITION BY station_key ORDER BY ts, reading_id, copy_no) AS before
+    FROM ({_ONE_PLACE})) WHERE risk_level IN ('HIGH', 'CRITICAL') AND risk_level IS DISTINCT FROM before""",
+)
+def stream_alerts(t: Tables):
+    """One row whenever a station enters HIGH or CRITICAL."""
+    one = places(t).groupBy("station_key").agg(F.min("place_id").alias("place_id"), F.min("static_score").alias("static_score"), F.min("tier").alias("tier"))
+    return finished(t, jobs.alerts(jobs.score_stream(jobs.ingest(t.tele_stream()), one)), "alerts")
+
+
+@query(
+    "stream_late_data",
+    """WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM tele_ok WHERE reading_id % 10 <> 7)
+    SELECT CASE WHEN reading_id % 10 = 7 AND ts < (SELECT mark FROM m) THEN 'late' ELSE 'on_time' END AS side, count(*) AS n, max(epoch_us(ts)) AS newest_us FROM tele_ok GROUP BY 1""",
+)
+def stream_late_data(t: Tables):
+    """Deliver the events in two parts; what the second part brings too late is kept aside and counted."""
+    path = scratch_path(t.spark, "late")
+    events = t.spark.read.parquet(f"{t.folder}/events.parquet")
+    held_back = F.col("event_id") % 10 == 7
+    for part, rows in (("a", events.filter(~held_back)), ("b", events.filter(held_back))):
+        rows.write.parquet(f"{path}/in/part={part}")
+        stream = t.spark.readStream.schema(events.schema).parquet(f"{path}/in/part=*")
+        jobs.split_late(jobs.ingest(telemetry_of(stream)), f"{path}/out", f"{path}/checkpoint")
+    rows = t.spark.read.parquet(f"{path}/out/rows")
+    return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("ts")).alias("newest_us"))
