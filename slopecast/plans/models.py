@@ -1 +1,132 @@
-"""Placeholder."""
+"""Model queries; fitted models are compared by invariants, not by value."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from slopecast import fixed
+from slopecast.functions.columns import rounded, segment_metres
+from slopecast.operators import models as op
+from slopecast.operators.labels import stratified_split
+from slopecast.operators.spatial import code_labels, nearest_other, nearest_segment
+from slopecast.plans.bindings import Tables
+from slopecast.plans.registry import query
+
+# A label the environment explains in part, so that a model has something to learn.
+LABEL = (
+    "CASE WHEN coalesce(slope_deg, 25) + coalesce(clay_percent, 25) / 2 + coalesce(relief_std_5x5_m, 20) / 3 "
+    "+ (point_id * 13 % 29) > 58 THEN 1 ELSE 0 END AS label"
+)
+COLUMNS = ["point_id", "latitude", "longitude", *op.NUMERIC, *op.CATEGORIES]
+
+
+def samples(t: Tables) -> DataFrame:
+    return code_labels(t.points).selectExpr(*COLUMNS, LABEL)
+
+
+def samples_with_distances(t: Tables) -> DataFrame:
+    """Samples with road, river and nearest-other-positive distances."""
+    roads = t.segments.filter(F.col("road_class").isin(*fixed.ROAD_CLASSES))
+    rivers = t.segments.filter(~F.col("road_class").isin(*fixed.ROAD_CLASSES))
+    df = nearest_segment(samples(t), roads, ["feature_id"], segment_metres, "_road")
+    df = nearest_segment(df, rivers, ["feature_id"], segment_metres, "_river")
+    df = nearest_other(df, F.col("label") == 1)
+    return df.withColumns({
+        "distance_to_road_m": F.col("_road.distance"), "distance_to_river_m": F.col("_river.distance"),
+        "distance_to_other_m": F.col("nearest_other_km") * 1000.0,
+    }).drop("_road", "_river", "nearest_other_km")
+
+
+# Jobs that fit many forests use smaller ones than the default of 150 trees and depth 16.
+SMALL = {"trees": 40, "depth": 10}
+
+
+@query("spatial_folds")
+def spatial_folds(t: Tables):
+    """Five spatial folds: samples, labels and blocks of each."""
+    return op.fold_report(op.spatial_folds(samples(t)))
+
+
+@query("impute_encode")
+def impute_encode(t: Tables):
+    """Every sample as an encoded vector; medians, modes and codes come from the training part only."""
+    parts = op.settle(stratified_split(samples(t), "label", "point_id"))
+    prepared = op.Prepared(parts.filter("part = 'train'"), op.NUMERIC, op.CATEGORIES)
+    out = prepared.transform(parts)
+    return out.select("point_id", "part", vector_to_array("features").alias("features"))
+
+
+@query("susceptibility_model")
+def susceptibility_model(t: Tables):
+    """Balanced forest fitted on the training part, scoring every sample."""
+    parts = op.settle(stratified_split(samples(t), "label", "point_id"))
+    model = op.Susceptibility(parts.filter("part = 'train'"), op.NUMERIC)
+    return model.score(parts).select("point_id", "part", "label", "score")
+
+
+@query("spatial_cv")
+def spatial_cv(t: Tables):
+    """Cross-validated metrics over five spatial folds, for three feature sets."""
+    df = op.settle(op.spatial_folds(samples_with_distances(t)))
+    return op.cv_summary(op.fold_metrics(op.cross_validated(df, op.FEATURE_SETS, **SMALL)))
+
+
+@query("sigmoid_calibration")
+def sigmoid_calibration(t: Tables):
+    """Brier score of raw and calibrated scores on held-out samples."""
+    parts = op.settle(stratified_split(samples(t), "label", "point_id"))
+    out = op.calibrate(parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part"), op.NUMERIC, **SMALL)
+    return out.agg(
+        F.count(F.lit(1)).alias("samples"),
+        rounded(F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2.0)))).alias("brier_raw"),
+        rounded(F.avg(F.pow(F.col("calibrated") - F.col("label"), F.lit(2.0)))).alias("brier_calibrated"),
+    )
+
+
+@query("permutation_importance")
+def permutation_importance(t: Tables):
+    """Drop of held-out AUC per shuffled feature."""
+    parts = op.settle(stratified_split(samples(t), "label", "point_id"))
+    model = op.Susceptibility(parts.filter("part = 'train'"), op.NUMERIC)
+    test = parts.filter("part = 'test'").drop("part")
+    return op.permutation_importance(model, test, [*op.NUMERIC, *op.CATEGORIES], "point_id")
+
+
+CLASSES = fixed.SEVERITY_ORDER
+
+
+def vectors(t: Tables) -> DataFrame:
+    """Embedding rows as features with a four-class target."""
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    df = t.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 4).alias("y"))
+    return df.select("vec_id", array_to_vector("e").alias("features"), F.col("y").cast("double").alias("y"), F.element_at(names, F.col("y") + 1).alias("class_name"))
+
+
+@query("risk_class_models")
+def risk_class_models(t: Tables):
+    """Forest, logistic and boosting compared by three-fold cross-validation."""
+    return op.compare_models(vectors(t), "vec_id", CLASSES, trees=100, rounds=10)
+
+
+def _forest():
+    return RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=100, maxDepth=10, seed=op.SEED)
+
+
+@query("model_importance")
+def model_importance(t: Tables):
+    """Impurity and coefficient importance of every embedding dimension."""
+    df = op.settle(op.class_weights(vectors(t), "y"))
+    rf = _forest().fit(df)
+    lr = LogisticRegression(labelCol="y", featuresCol="features", maxIter=200).fit(df)
+    return op.importance_table(t.spark, [f"e{i}" for i in range(rf.numFeatures)], rf, lr)
+
+
+@query("score_table")
+def score_table(t: Tables):
+    """Class, probabilities and confidence of every row; fitted on 75 % of each class."""
+    df = op.settle(op.class_weights(stratified_split(vectors(t), "class_name", "vec_id"), "y"))
+    model = _forest().fit(df.filter("part = 'train'"))
+    return op.score_table(model, df, CLASSES, ["vec_id", "part", "class_name"])

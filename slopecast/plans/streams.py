@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +31,9 @@ def state_store(spark):
             spark.conf.set(name, before)
 
 
-def finished(t: Tables, out: DataFrame, label: str) -> DataFrame:
+def finished(t: Tables, out: DataFrame, label: str, python_state: bool = False) -> DataFrame:
     path = scratch_path(t.spark, label)
-    with state_store(t.spark):
+    with state_store(t.spark) if python_state else nullcontext():
         jobs.run_to_end(out, f"{path}/rows", f"{path}/checkpoint")
     return t.spark.read.schema(out.schema).parquet(f"{path}/rows")
 
@@ -95,7 +95,7 @@ def stream_sliding_rain(t: Tables):
 )
 def stream_latest_freshness(t: Tables):
     """A STALE event whenever a station has been silent for six hours."""
-    return finished(t, jobs.freshness(jobs.ingest(t.tele_stream())), "freshness")
+    return finished(t, jobs.freshness(jobs.ingest(t.tele_stream())), "freshness", python_state=True)
 
 
 def places(t: Tables) -> DataFrame:
@@ -132,7 +132,7 @@ _ONE_PLACE = f"SELECT * FROM ({_SCORED}) WHERE place_id IN (SELECT min(site_no)
 def stream_alerts(t: Tables):
     """One row whenever a station enters HIGH or CRITICAL."""
     one = places(t).groupBy("station_key").agg(F.min("place_id").alias("place_id"), F.min("static_score").alias("static_score"), F.min("tier").alias("tier"))
-    return finished(t, jobs.alerts(jobs.score_stream(jobs.ingest(t.tele_stream()), one)), "alerts")
+    return finished(t, jobs.alerts(jobs.score_stream(jobs.ingest(t.tele_stream()), one)), "alerts", python_state=True)
 
 
 @query(
