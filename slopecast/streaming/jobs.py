@@ -89,9 +89,8 @@ class FreshnessProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last + self.limit)
         self.last.update((last,))
-        yield pd.DataFrame({"station_key": [key[0]] * len(stale), "kind": ["STALE"] * len(stale), "t_ms": stale}).astype(
-            {"t_ms": "int64"}
-        )
+        if stale:
+            yield pd.DataFrame({"station_key": key[0], "kind": "STALE", "t_ms": stale})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"station_key": [key[0]], "kind": ["STALE"], "t_ms": [int(expiredTimerInfo.getExpiryTimeInMs())]})
@@ -120,13 +119,13 @@ class AlertProcessor(StatefulProcessor):
         pdf = pd.concat(list(rows)).sort_values(["t_us", "reading_id", "copy_no"])
         before = self.level.get()[0] if self.level.exists() else None
         previous = pdf["risk_level"].shift(1)
-        if len(pdf):
-            previous.iloc[0] = before
+        previous.iloc[0] = before
         changed = pdf["risk_level"].isin(["HIGH", "CRITICAL"]) & ~(pdf["risk_level"] == previous)
         self.level.update((str(pdf["risk_level"].iloc[-1]),))
-        out = pdf.loc[changed, ["t_us", "reading_id", "risk_level"]].copy()
-        out.insert(0, "station_key", key[0])
-        yield out.astype({"t_us": "int64", "reading_id": "int64"})
+        if changed.any():
+            out = pdf.loc[changed, ["t_us", "reading_id", "risk_level"]].copy()
+            out.insert(0, "station_key", key[0])
+            yield out
 
     def close(self) -> None:
         pass
