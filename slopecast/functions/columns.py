@@ -14,14 +14,10 @@ DAY_US = 24 * HOUR_US
 
 
 def rounded(c: Column, digits: int = 4) -> Column:
-    """Round half up by floor, so the result does not depend on the engine's round()."""
+    """Round half up. Noise below 1e-8, as left by the order of a sum, is shed first, so that a
+    tie falls the same way whatever the plan or engine."""
     scale = float(10**digits)
-    return F.floor(c * scale + 0.5) / F.lit(scale)
-
-
-def settled(c: Column, digits: int = 4) -> Column:
-    """Round a sum: the noise of the summing order goes first, so that ties fall one way."""
-    return rounded(rounded(c, 8), digits)
+    return F.floor(F.rint(c * 1e8) / 1e8 * scale + 0.5) / F.lit(scale)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopecast import fixed
-from slopecast.functions.columns import degrees_for_km, haversine_km, rounded, settled
+from slopecast.functions.columns import degrees_for_km, haversine_km, rounded
 from slopecast.operators.quality import unpivot
 from slopecast.operators.ranks import exact_quantiles, numbered
 from slopecast.operators.spatial import _around, nearest_site
@@ -116,7 +116,7 @@ def antecedent_index(profile: DataFrame, need: int) -> DataFrame:
     terms = {t: F.coalesce(v, F.lit(0.0)) * (fixed.API_DECAY**t) for t, v in daily.items()}
 
     def total(n: int) -> Column:
-        return settled(sum((terms[t] for t in range(2, n + 1)), terms[1]))
+        return rounded(sum((terms[t] for t in range(2, n + 1)), terms[1]))
 
     gone = sum((daily[t].isNull().cast("int") for t in range(2, 8)), daily[1].isNull().cast("int"))
     return profile.withColumns({"api_3d": total(3), "api_7d": total(7), "api_missing_days": gone})
@@ -138,10 +138,10 @@ def link_rainfall(
     df = near.join(profile.withColumnRenamed("day", "rain_day"), ["station_key", "rain_day"], "left")
     gauge = F.coalesce((F.col("_km") <= fixed.MAX_STATION_KM) & (F.col("n_valid") >= need_day), F.lit(False))
     lat1, lon1 = rounded(F.col("latitude"), 1), rounded(F.col("longitude"), 1)
-    values = {c: F.when(gauge, settled(F.col(c), 2)) for c in WINDOW_COLUMNS if c != "rain_24h"}
+    values = {c: F.when(gauge, rounded(F.col(c), 2)) for c in WINDOW_COLUMNS if c != "rain_24h"}
     return df.withColumns({
         **values,
-        "rain_24h": F.when(gauge, settled(F.col("rain_24h"), 2)).otherwise(rounded(F.col("grid_rainfall_mm"), 2)),
+        "rain_24h": F.when(gauge, rounded(F.col("rain_24h"), 2)).otherwise(rounded(F.col("grid_rainfall_mm"), 2)),
         "api_3d": F.when(gauge, F.col("api_3d")), "api_7d": F.when(gauge, F.col("api_7d")),
         "rainfall_source": F.when(gauge, "CWC").otherwise("GPM/IMERG"),
         "station_or_grid_id": F.when(

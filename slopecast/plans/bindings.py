@@ -335,7 +335,7 @@ def _select(columns: list[str], table: str) -> str:
 
 def rnd(text: str) -> str:
     """SQL twin of functions.columns.rounded with four digits."""
-    return f"floor(({text}) * 1e4 + 0.5) / 1e4"
+    return f"floor(floor(({text}) * 1e8 + 0.5) / 1e8 * 1e4 + 0.5) / 1e4"
 
 
 def sql_haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

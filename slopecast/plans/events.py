@@ -116,8 +116,8 @@ def calendar_windows(t: Tables):
 
 
 SQL_TABLES["api"] = f"""SELECT p.station_key, p.day,
-    {rnd(rd('coalesce(sum(q.total * pow(0.85, p.day - q.day)) FILTER (p.day - q.day <= 3), 0.0)', 8))} AS api_3d,
-    {rnd(rd('coalesce(sum(q.total * pow(0.85, p.day - q.day)), 0.0)', 8))} AS api_7d, 7 - count(q.day) AS api_missing_days
+    {rnd('coalesce(sum(q.total * pow(0.85, p.day - q.day)) FILTER (p.day - q.day <= 3), 0.0)')} AS api_3d,
+    {rnd('coalesce(sum(q.total * pow(0.85, p.day - q.day)), 0.0)')} AS api_7d, 7 - count(q.day) AS api_missing_days
     FROM profile p LEFT JOIN profile q ON q.station_key = p.station_key AND p.day - q.day BETWEEN 1 AND 7 AND q.n_valid >= 4 GROUP BY p.station_key, p.day"""
 
 
@@ -133,8 +133,8 @@ SQL_TABLES["event_near"] = f"""SELECT p.site_no, s.station_key, s.station, {_ES}
     QUALIFY row_number() OVER (PARTITION BY p.site_no ORDER BY {_ES}, s.site_no) = 1"""
 _G = "CASE WHEN gauge THEN {x} END"
 SQL_TABLES["linked"] = f"""SELECT * EXCLUDE ({', '.join(op.WINDOW_COLUMNS)}, api_3d, api_7d),
-    {', '.join(f"{_G.format(x=rd(rd(c, 8), 2))} AS {c}" for c in op.WINDOW_COLUMNS if c != 'rain_24h')},
-    CASE WHEN gauge THEN {rd(rd('rain_24h', 8), 2)} ELSE {rd('grid_rainfall_mm', 2)} END AS rain_24h,
+    {', '.join(f"{_G.format(x=rd(c, 2))} AS {c}" for c in op.WINDOW_COLUMNS if c != 'rain_24h')},
+    CASE WHEN gauge THEN {rd('rain_24h', 2)} ELSE {rd('grid_rainfall_mm', 2)} END AS rain_24h,
     CASE WHEN gauge THEN api_3d END AS api_3d, CASE WHEN gauge THEN api_7d END AS api_7d,
     CASE WHEN gauge THEN 'CWC' ELSE 'GPM/IMERG' END AS rainfall_source,
     CASE WHEN gauge THEN 'CWC_STN_' || upper(replace(station, ' ', '_')) ELSE 'GPM_GRID_' || printf('%.1f', floor(latitude * 10 + 0.5) / 10) || '_' || printf('%.1f', floor(longitude * 10 + 0.5) / 10) END AS station_or_grid_id,

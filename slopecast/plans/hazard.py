@@ -40,7 +40,7 @@ def weather(t: Tables):
 
 
 def rd(x: str, digits: int) -> str:
-    return f"(floor(({x}) * 1e{digits} + 0.5) / 1e{digits})"
+    return f"(floor(floor(({x}) * 1e8 + 0.5) / 1e8 * 1e{digits} + 0.5) / 1e{digits})"
 
 
 def sql_soil(src: str) -> str:

@@ -15,7 +15,9 @@ from slopecast.sources import readers, sinks
 # The bound stations report about 6.7 times a day instead of hourly.
 EXPECTED = {"24h": 6, "3d": 20, "7d": 46}
 
-US = F.unix_micros("ts").alias("t_us")
+def us():
+    """Instant in microseconds."""
+    return F.unix_micros("ts").alias("t_us")
 
 
 def features(t: Tables):
@@ -200,7 +202,7 @@ def bbox_filter(t: Tables):
 
 @query("usable_rows", "SELECT reading_id, copy_no, epoch_us(ts) AS t_us, rainfall_1h FROM tele_ok")
 def usable_rows(t: Tables):
-    return op.usable_rows(t.tele).select("reading_id", "copy_no", US, "rainfall_1h")
+    return op.usable_rows(t.tele).select("reading_id", "copy_no", us(), "rainfall_1h")
 
 
 @query(
@@ -226,7 +228,7 @@ def quality_flags(t: Tables):
 def temporal_slice(t: Tables):
     """Half-open interval of days."""
     return t.tele.filter("ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-13'").select(
-        "reading_id", "copy_no", US
+        "reading_id", "copy_no", us()
     )
 
 
@@ -235,7 +237,7 @@ def temporal_slice(t: Tables):
     "SELECT station_key, epoch_us(ts) AS t_us, count(*) AS row_count FROM tele_ok GROUP BY ALL HAVING count(*) > 1",
 )
 def collision_audit(t: Tables):
-    return op.collision_audit(op.usable_rows(t.tele)).select("station_key", US, "row_count")
+    return op.collision_audit(op.usable_rows(t.tele)).select("station_key", us(), "row_count")
 
 
 @query(
@@ -247,7 +249,7 @@ def collision_audit(t: Tables):
 )
 def collision_value_variation(t: Tables):
     return op.collision_variation(op.usable_rows(t.tele)).select(
-        "station_key", US, "value_count", "row_count", "timestamp_collision"
+        "station_key", us(), "value_count", "row_count", "timestamp_collision"
     )
 
 
@@ -257,7 +259,7 @@ def collision_value_variation(t: Tables):
 )
 def measurement_dedup(t: Tables):
     return op.dedup_measurements(op.usable_rows(t.tele)).select(
-        "reading_id", "copy_no", "station_key", US, "rainfall_1h", "source_file"
+        "reading_id", "copy_no", "station_key", us(), "rainfall_1h", "source_file"
     )
 
 
@@ -292,7 +294,7 @@ def coverage_gate(t: Tables):
     QUALIFY row_number() OVER (PARTITION BY station_key ORDER BY ts DESC, reading_id DESC, copy_no DESC) = 1""",
 )
 def latest_per_station(t: Tables):
-    return op.latest_per_station(features(t)).select("station_key", US, "rainfall_1h", "rainfall_24h", "quality_flag")
+    return op.latest_per_station(features(t)).select("station_key", us(), "rainfall_1h", "rainfall_24h", "quality_flag")
 
 
 STATION_DAY_SQL = f"""SELECT state, station, strftime(ts, '%Y-%m-%d') AS date, CAST(ts AS DATE) - DATE '1970-01-01' AS day,

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slopecast import fixed
-from slopecast.functions.columns import rounded, settled
+from slopecast.functions.columns import rounded
 from slopecast.operators import terrain as op
 from slopecast.plans.bindings import SQL_TABLES, Tables, rnd
 from slopecast.plans.hazard import rd
 from slopecast.plans.registry import query
 
 STEP = 1.0 / 3600.0
-DY = F.lit(STEP * fixed.METRES_PER_DEGREE)
+DY = STEP * fixed.METRES_PER_DEGREE
 
 
 def dx():
@@ -21,7 +21,7 @@ def dx():
 
 
 def stencil(t: Tables):
-    return op.stencil(t.grid, dx(), DY)
+    return op.stencil(t.grid, dx(), F.lit(DY))
 
 
 _NINE = ", ".join(
@@ -85,11 +85,11 @@ def curvature(t: Tables):
 
 @query(
     "ruggedness_position",
-    f"SELECT grid_row, grid_col, {rnd('tri')} AS tri_m, {rnd(rd('tpi', 8))} AS tpi_m, slope_position FROM placed",
+    f"SELECT grid_row, grid_col, {rnd('tri')} AS tri_m, {rnd('tpi')} AS tpi_m, slope_position FROM placed",
 )
 def ruggedness_position(t: Tables):
     return op.ruggedness_position(op.slope_aspect(stencil(t))).select(
-        "grid_row", "grid_col", rounded(F.col("tri_m")).alias("tri_m"), settled(F.col("tpi_m")).alias("tpi_m"), "slope_position"
+        "grid_row", "grid_col", rounded(F.col("tri_m")).alias("tri_m"), rounded(F.col("tpi_m")).alias("tpi_m"), "slope_position"
     )
 
 
@@ -99,7 +99,7 @@ def ruggedness_position(t: Tables):
     CASE WHEN elev IS NOT NULL THEN {rd("least(1.5, greatest(0.8, 1.0 + CASE WHEN slope >= 25 THEN 0.15 ELSE 0.0 END + CASE WHEN plan < -0.05 THEN 0.15 ELSE 0.0 END + CASE WHEN prof < -0.05 THEN 0.1 ELSE 0.0 END + CASE WHEN slope_position IN ('Foot-Slope / Toe Cut', 'Valley Bottom / Deep Hollow') THEN 0.1 ELSE 0.0 END))", 2)} END AS terrain_multiplier FROM placed""",
 )
 def wetness_multiplier(t: Tables):
-    return op.terrain(t.grid, dx(), DY).select(
+    return op.terrain(t.grid, dx(), F.lit(DY)).select(
         "grid_row", "grid_col", rounded(F.col("topographic_wetness_index")).alias("topographic_wetness_index"), "terrain_multiplier"
     )
 
