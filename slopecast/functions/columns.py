@@ -69,6 +69,15 @@ def number_or_null(c: Column) -> Column:
     return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
 
 
+def literal_map(values: dict) -> Column:
+    """A constant map."""
+
+    def text(v) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+
+    return F.expr("map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in values.items()) + ")")
+
+
 def tile_name(lat: Column, lon: Column, step: int = 1) -> Column:
     """Name of the south-west corner of the step-degree tile, e.g. N25E091."""
     south = F.floor(lat / step) * step

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopecast import fixed
-from slopecast.functions.columns import clamp, rounded
+from slopecast.functions.columns import clamp, literal_map, rounded
 
 WIND_DEG = 200.0
 WINDOWS = ("1h", "24h", "3d", "7d")
@@ -124,8 +124,7 @@ def susceptibility_tier(score: Column) -> Column:
 
 def risk_level(tier: Column, level: Column) -> Column:
     """Matrix lookup; pairs the matrix does not know give WATCH."""
-    pairs = [(F.lit(f"{a}|{b}"), F.lit(r)) for a, row in fixed.RISK_MATRIX.items() for b, r in row.items()]
-    matrix = F.create_map(*[x for p in pairs for x in p])
+    matrix = literal_map({f"{a}|{b}": r for a, row in fixed.RISK_MATRIX.items() for b, r in row.items()})
     return F.coalesce(F.try_element_at(matrix, F.concat_ws("|", tier, level)), F.lit("WATCH"))
 
 
@@ -145,7 +144,7 @@ def fuse(df: DataFrame) -> DataFrame:
         F.when(level != "NO_DATA", reason(F.concat(F.lit("RAINFALL_"), level, F.lit("_TRIGGER")), F.concat(level, F.lit(" rainfall trigger")))),
         unseen,
     ))
-    actions = F.create_map(*[x for k, v in fixed.RISK_ACTIONS.items() for x in (F.lit(k), F.lit(v))])
+    actions = literal_map(fixed.RISK_ACTIONS)
     return df.withColumns({
         "risk_level": risk_level(tier, level),
         "fusion_score": F.when(trig.isNotNull(), both).otherwise(rounded(F.col("static_score"))),

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopecast import fixed
-from slopecast.functions.columns import degrees_for_km, haversine_km, rounded
+from slopecast.functions.columns import degrees_for_km, haversine_km, literal_map, rounded
 from slopecast.operators.quality import unpivot
 from slopecast.operators.ranks import exact_quantiles, numbered
 from slopecast.operators.spatial import _around, nearest_site
+from slopecast.session import settle
 
 WINDOW_COLUMNS = ["rain_1h", "rain_3h", "rain_6h", "rain_12h", "rain_24h", "rain_48h", "rain_72h", "rain_7d"]
 
@@ -23,7 +24,7 @@ def standardize(inv: DataFrame) -> DataFrame:
     for name in ("Arunachal Pradesh", "Assam", "Manipur", "Meghalaya", "Mizoram", "Nagaland", "Tripura"):
         state = state.when(low.contains(name.split()[0].lower()), name)
     state = state.otherwise(F.trim("raw_state"))
-    codes = F.create_map(*[x for k, v in fixed.STATE_CODES.items() for x in (F.lit(k), F.lit(v))])
+    codes = literal_map(fixed.STATE_CODES)
     district = F.trim("raw_district")
     low_district = F.lower(district)
     hh = F.regexp_extract("raw_time", r"^(\d{1,2}):(\d{2})$", 1)
@@ -228,21 +229,24 @@ def pair_review(events: DataFrame, key: str, day: str, km: float = 50.0, days: i
 
 def rain_distribution(linked: DataFrame) -> DataFrame:
     """Distribution of the 24 h rain of all events."""
-    stats = linked.agg(
+    rain = settle(linked.select("rain_24h"), "rain")
+    stats = rain.agg(
         F.count("rain_24h").alias("n"), rounded(F.avg("rain_24h")).alias("mean"), rounded(F.stddev_samp("rain_24h")).alias("std"),
         F.min("rain_24h").alias("min"), F.max("rain_24h").alias("max"),
-    ).withColumn("_one", F.lit(1))
+    )
     names = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
-    q = exact_quantiles(linked, [], "rain_24h", names).select(F.lit(1).alias("_one"), *[rounded(F.col(c)).alias(c) for c in names])
-    return stats.join(q, "_one").drop("_one")
+    q = exact_quantiles(rain, [], "rain_24h", names).select(*[rounded(F.col(c)).alias(c) for c in names])
+    both = stats.unionByName(q, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def rain_by_state(linked: DataFrame) -> DataFrame:
-    stats = linked.groupBy("state").agg(
+    rain = settle(linked.select("state", "rain_24h"), "rain")
+    stats = rain.groupBy("state").agg(
         F.count(F.lit(1)).alias("n"), rounded(F.avg("rain_24h")).alias("mean"),
         F.min("rain_24h").alias("min"), F.max("rain_24h").alias("max"),
     )
-    q = exact_quantiles(linked, ["state"], "rain_24h", {"median": 0.5}).withColumn("median", rounded(F.col("median")))
+    q = exact_quantiles(rain, ["state"], "rain_24h", {"median": 0.5}).withColumn("median", rounded(F.col("median")))
     return stats.join(q, "state", "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slopecast.functions.columns import rounded
 from slopecast.operators.ranks import numbered
 from slopecast.operators.spatial import polygon_edges, state_of_point, within_radius
+from slopecast.session import settle
 
 CHUNK = 10_000
 
@@ -48,7 +49,7 @@ def negative_candidates(positives: DataFrame, vertices: DataFrame, seed: int = 4
     )
     inside = state_of_point(cand, vertices).filter(F.col("inside_state") == F.col("state")).drop("inside_state")
     near = within_radius(inside, positives, exclusion_km).select("latitude", "longitude")
-    kept = inside.join(near, ["latitude", "longitude"], "left_anti")
+    kept = settle(inside.join(near, ["latitude", "longitude"], "left_anti"), "candidates")
     ranked = numbered(kept, ["state"], F.floor(F.col("draw") / CHUNK), [F.col("draw")])
     return ranked.filter(F.col("rn") <= F.col("quota")).select("state", "draw", "latitude", "longitude", F.col("rn").alias("candidate_no"))
 
@@ -75,8 +76,7 @@ def stratified_bootstrap(df: DataFrame, label: str, key: str, seed: int = 42, sl
     """
     rows = numbered(df.select(label, key), [label], F.floor(F.col(key) / slice_rows), [F.col(key)])
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    half = df.agg(F.floor(F.count(F.lit(1)) / 2).alias("_half"))
-    sizes = sizes.withColumn("_one", F.lit(1)).join(half.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    sizes = sizes.withColumn("_half", F.floor(F.sum("_n").over(Window.partitionBy(F.lit(0))) / 2))  # one row per label
     source = rows.join(sizes, F.col(label) == F.col("_l"))
     first = F.col("rn") - 1
     draws = source.filter(first < F.col("_half")).select(

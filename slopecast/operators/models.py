@@ -20,7 +20,7 @@ from slopecast.functions.columns import rounded
 from slopecast.operators.labels import block_table, fold_of, spatial_block
 from slopecast.operators.metrics import average_precision, class_metrics, roc_auc
 from slopecast.operators.ranks import numbered
-from slopecast.session import shared_dir
+from slopecast.session import settle
 
 SEED = 42
 FOLDS = 5
@@ -38,12 +38,6 @@ FEATURE_SETS = {
 }
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder, for tables many fits read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spatial_folds(df: DataFrame, label: str = "label", folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Add block and fold: 1-degree blocks grouped by k-means on their centroids, weighted by size.
 
@@ -222,11 +216,9 @@ def permutation_importance(model: Susceptibility, test: DataFrame, columns: Sequ
         c: F.when(F.col("feature") == c, F.col("_value").cast(types[c])).otherwise(F.col(c)) for c in columns
     })
     shuffled = roc_auc(model.score(mixed).select(*groups, "label", "score"), "label", "score", groups)
-    base = roc_auc(model.score(test), "label", "score").select(F.col("roc_auc").alias("base"), F.lit(1).alias("_one"))
-    return (
-        shuffled.withColumn("_one", F.lit(1)).join(base, "_one").groupBy("feature")
-        .agg(F.avg(F.col("base") - F.col("roc_auc")).alias("mean_drop"), F.stddev_pop(F.col("base") - F.col("roc_auc")).alias("std_drop"))
-    )
+    base = roc_auc(model.score(test), "label", "score").first()["roc_auc"]  # one number
+    drop = F.lit(base) - F.col("roc_auc")
+    return shuffled.groupBy("feature").agg(F.avg(drop).alias("mean_drop"), F.stddev_pop(drop).alias("std_drop"))
 
 
 def candidates(trees: int, rounds: int) -> dict[str, Pipeline]:

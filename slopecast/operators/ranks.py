@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopecast.session import settle
+
 
 def running_totals(
     df: DataFrame,
@@ -63,10 +65,11 @@ def exact_quantiles(
     keep = list(groups)
     if not keep:
         df, groups = df.withColumn("_all", F.lit(0)), ["_all"]
-    counts = (
+    counts = settle(
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "counts",
     )
     span = counts.groupBy(*groups).agg(
         F.sum("_n").alias("_size"), F.min("_x").alias("_min"), F.max("_x").alias("_max")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopecast import fixed
-from slopecast.functions.columns import degrees_for_km, haversine_km
+from slopecast.functions.columns import degrees_for_km, haversine_km, literal_map
+from slopecast.session import settle
 
 ROOT_DEG = 64.0  # search window of the root level; nothing farther than this is looked at
 COARSE_DEG = 4.0
@@ -57,34 +58,41 @@ def candidate_cells(point_cells: DataFrame, item_cells: DataFrame, size: float,
     """(pi, pj) -> (ii, ij): item cells to search for each point cell.
 
     point_cells has (pi, pj); item_cells has (ii, ij, n_sure), n_sure counting items that
-    surely lie inside. Pruned on a coarse grid first, then on the fine one.
+    surely lie inside. Pruned from a coarse grid down to the fine one, four times finer each step.
     """
     need = F.when((F.col("pi") == F.col("ii")) & (F.col("pj") == F.col("ij")), 2).otherwise(1) if exclude_self else F.lit(1)
-    step = max(1, round(COARSE_DEG / size))
-    coarse = step * size
 
-    def up(c: str, by: float) -> Column:
+    def up(c: str, by: int) -> Column:
         return F.floor(F.col(c) / by)
 
-    root = max(1, round(ROOT_DEG / coarse))
-    pc = point_cells.select(up("pi", step).alias("pi"), up("pj", step).alias("pj")).distinct()
-    ic = item_cells.groupBy(up("ii", step).alias("ii"), up("ij", step).alias("ij")).agg(F.sum("n_sure").alias("n_sure"))
-    spread = ic.select("*", F.explode(_around(up("ii", root), up("ij", root))).alias("_r"))
-    top = pc.join(spread, (up("pi", root) == F.col("_r.i")) & (up("pj", root) == F.col("_r.j")))
-    top = _prune(top.withColumn("sure", F.col("n_sure") >= need), coarse)
-    if step == 1:
-        return top
-    top = top.select(*[F.col(c).alias(f"c_{c}") for c in ("pi", "pj", "ii", "ij")])
-    fine = point_cells.join(top, (up("pi", step) == F.col("c_pi")) & (up("pj", step) == F.col("c_pj")))
-    fine = fine.join(item_cells, (up("ii", step) == F.col("c_ii")) & (up("ij", step) == F.col("c_ij")))
-    return _prune(fine.withColumn("sure", F.col("n_sure") >= need), size)
+    steps = [1]
+    while steps[-1] * size < COARSE_DEG:
+        steps.append(steps[-1] * 4)
+    pairs = None
+    for step in reversed(steps):
+        pc, ic = point_cells, item_cells
+        if step > 1:
+            pc = pc.select(up("pi", step).alias("pi"), up("pj", step).alias("pj")).distinct()
+            ic = ic.groupBy(up("ii", step).alias("ii"), up("ij", step).alias("ij")).agg(F.sum("n_sure").alias("n_sure"))
+        if pairs is None:
+            root = max(1, round(ROOT_DEG / (step * size)))
+            spread = ic.select("*", F.explode(_around(up("ii", root), up("ij", root))).alias("_r"))
+            met = pc.join(spread, (up("pi", root) == F.col("_r.i")) & (up("pj", root) == F.col("_r.j")))
+        else:
+            kept = pairs.select(*[F.col(c).alias(f"c_{c}") for c in ("pi", "pj", "ii", "ij")])
+            met = pc.join(kept, (up("pi", 4) == F.col("c_pi")) & (up("pj", 4) == F.col("c_pj"))).join(
+                ic, (up("ii", 4) == F.col("c_ii")) & (up("ij", 4) == F.col("c_ij"))
+            )
+        pairs = _prune(met.withColumn("sure", F.col("n_sure") >= need), step * size)
+    return pairs
 
 
 def _distinct_sites(points: DataFrame, size: float) -> DataFrame:
+    """Distinct coordinates with their cell and number of rows."""
     return (
-        points.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-        .filter("_lat is not null and _lon is not null")
-        .distinct()
+        points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        .groupBy(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("pi", _cell(F.col("_lat"), size))
         .withColumn("pj", _cell(F.col("_lon"), size))
     )
@@ -101,17 +109,18 @@ def _nearest(
     exclude_self: bool = False,
     condition: Column | None = None,
 ) -> DataFrame:
-    sites = _distinct_sites(points, size)
-    cand = candidate_cells(sites.select("pi", "pj").distinct(), item_cells, size, exclude_self)
+    # both uses of the distinct sites keep _rows, so that Spark shuffles the points for them once
+    sites = _distinct_sites(points, size).filter("_rows > 0")
+    used = sites.groupBy("pi", "pj").agg(F.sum("_rows").alias("_rows")).filter("_rows > 0").select("pi", "pj")
+    cand = candidate_cells(used, item_cells, size, exclude_self)
     cand = cand.select("pi", "pj", F.col("ii").alias("_ci"), F.col("ij").alias("_cj"))
     near = sites.join(cand, ["pi", "pj"]).join(
         placed_items, (F.col("_ci") == F.col("ii")) & (F.col("_cj") == F.col("ij"))
     )
     if condition is not None:
         near = near.filter(condition)
-    best = near.groupBy("_lat", "_lon").agg(
-        F.min(F.struct(distance.alias("distance"), *pick)).alias(name)
-    )
+    # one row per distinct place; written once, since callers use the joined points more than once
+    best = settle(near.groupBy("_lat", "_lon").agg(F.min(F.struct(distance.alias("distance"), *pick)).alias(name)), "nearest")
     return points.join(
         best, (F.col("latitude") == F.col("_lat")) & (F.col("longitude") == F.col("_lon")), "left"
     ).drop("_lat", "_lon")
@@ -336,8 +345,7 @@ def sample_grid(points: DataFrame, grid: DataFrame, north: float, west: float, s
 
 def code_labels(df: DataFrame) -> DataFrame:
     """Add soil and land-cover names; unknown codes give NULL and a quality flag."""
-    soil = F.create_map(*[x for i, n in enumerate(fixed.SOIL_CLASSES) for x in (F.lit(i), F.lit(n))])
-    cover = F.create_map(*[x for k, n in fixed.LAND_COVER.items() for x in (F.lit(k), F.lit(n))])
+    soil, cover = literal_map(dict(enumerate(fixed.SOIL_CLASSES))), literal_map(fixed.LAND_COVER)
     out = df.withColumns({
         "soil_class": F.try_element_at(soil, F.col("soil_code").cast("int")),
         "landcover_class": F.try_element_at(cover, F.col("cover_code").cast("int")),

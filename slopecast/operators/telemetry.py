@@ -60,32 +60,57 @@ def trailing_rain(
 ) -> DataFrame:
     """Trailing 24 h, 3 d and 7 d totals per reading, with coverage and the 75 % gate.
 
-    Windows are (t - w, t]. A station is cut into time slices so that one busy station is not
-    one task: each reading also goes, as history only, to the next slice, which holds
-    everything the longest window can reach. All frames share one exchange and one sort.
-    Totals are rounded to 1e-4 mm, which makes them independent of the summing order.
+    Windows are (t - w, t]. A reading adds its amount at t and takes it back at t + w, so all three
+    totals are running sums over one sort: the work stays linear however densely a station
+    reports. A station is cut into time slices, so that one busy station is not one task; amounts
+    still standing at the end of a slice are carried into the next one. Amounts are summed as
+    whole millionths of a millimetre, which makes totals independent of the summing order.
     """
     expected = expected or fixed.EXPECTED_HOURS
-    longest = max(fixed.WINDOW_HOURS.values()) * HOUR_US
+    spans = {label: hours * HOUR_US for label, hours in fixed.WINDOW_HOURS.items()}
     slice_us = slice_days * DAY_US
-    if slice_us < longest:
+    if slice_us < max(spans.values()):
         raise ValueError("a slice must be at least as long as the longest window")
-    t = F.unix_micros("ts")
+    df = tele.select(
+        "station_key", F.unix_micros("ts").alias("_t"), F.round(F.col("rainfall_1h") * 1e6).cast("bigint").alias("_v"),
+        F.struct(*tele.columns).alias("_row"),
+    )
+    t, v = F.col("_t"), F.col("_v")
     own = F.floor(t / slice_us)
-    reach = F.floor((t + (longest - 1)) / slice_us)
-    sliced = tele.select(
-        "*", t.alias("_t"), own.alias("_own"), F.explode(F.sequence(own, reach)).alias("_slice")
+    zero = F.lit(0).cast("bigint")
+
+    def change(at, slice_, amounts, counts, is_row=False):
+        return F.struct(
+            slice_.alias("slice"), at.alias("at"), F.lit(is_row).alias("is_row"),
+            *[a.alias(f"mm_{w}") for w, a in zip(spans, amounts)], *[c.alias(f"n_{w}") for w, c in zip(spans, counts)],
+        )
+
+    one = F.lit(1).cast("bigint")
+    changes = [change(t, own, [F.coalesce(v, zero)] * 3, [F.when(v.isNotNull(), one).otherwise(zero)] * 3, True)]
+    for w, span in spans.items():
+        changes.append(change(
+            t + span, F.floor((t + span) / slice_us),
+            [-v if x == w else zero for x in spans], [-one if x == w else zero for x in spans],
+        ))
+    standing = [F.floor((t + span) / slice_us) > own for span in spans.values()]
+    carried = F.when(standing[-1], change(
+        (own + 1) * slice_us - 1, own + 1,
+        [F.when(k, v).otherwise(zero) for k in standing], [F.when(k, one).otherwise(zero) for k in standing],
+    ))
+    # a missing amount changes no total, so it only stands for its own row
+    events = F.when(v.isNull(), F.array(changes[0])).otherwise(F.array_compact(F.array(*changes, carried)))
+    flow = df.select("station_key", "_row", F.explode(events).alias("_e")).select(
+        "station_key", "_e.*", F.when(F.col("_e.is_row"), F.col("_row")).alias("_row")
     )
-    by_slice = Window.partitionBy("station_key", "_slice").orderBy("_t")
-    wide = sliced
-    cols = {"timestamp_collision": F.count(F.lit(1)).over(by_slice.rangeBetween(0, 0)) > 1}
-    for label, hours in fixed.WINDOW_HOURS.items():
-        frame = by_slice.rangeBetween(-(hours * HOUR_US) + 1, 0)
-        obs = F.count("rainfall_1h").over(frame)
-        cols[f"rainfall_{label}_sum"] = rounded(F.sum("rainfall_1h").over(frame))
-        cols[f"rainfall_obs_{label}"] = obs
-        cols[f"coverage_{label}"] = F.least(obs / F.lit(float(expected[label])), F.lit(1.0))
-    wide = wide.withColumns(cols).filter("_slice = _own").drop("_t", "_own", "_slice")
+    line = Window.partitionBy("station_key", "slice").orderBy("at")
+    so_far = line.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {"timestamp_collision": F.count("_row").over(line.rangeBetween(Window.currentRow, Window.currentRow)) > 1}
+    for w in spans:
+        obs = F.sum(f"n_{w}").over(so_far)
+        cols[f"rainfall_{w}_sum"] = F.when(obs > 0, rounded(F.sum(f"mm_{w}").over(so_far) / 1e6))
+        cols[f"rainfall_obs_{w}"] = obs
+        cols[f"coverage_{w}"] = F.least(obs / F.lit(float(expected[w])), F.lit(1.0))
+    wide = flow.withColumns(cols).filter("is_row").select("_row.*", *cols)
     gates = {}
     for label in fixed.WINDOW_HOURS:
         cover = F.col(f"coverage_{label}")

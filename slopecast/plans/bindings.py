@@ -209,7 +209,8 @@ class Tables:
     def tele_stream(self) -> DataFrame:
         """The same telemetry as a stream over the events file."""
         schema = self.spark.read.parquet(f"{self.folder}/events.parquet").schema
-        raw = prepare(self.spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
+        source = prepare(self.spark).readStream.schema(schema).options(pathGlobFilter="events.parquet", maxFilesPerTrigger=64)
+        raw = source.parquet(self.folder)
         return telemetry_of(raw)
 
     @cached_property

@@ -75,8 +75,7 @@ def average_precision(t: Tables):
     UNION ALL SELECT 'bin', CAST(bin AS VARCHAR), count(*), {rnd('avg(p)')}, {rnd('avg(y)')} FROM (SELECT *, least(CAST(floor(p * 10) AS BIGINT), 9) AS bin FROM scored) GROUP BY bin""",
 )
 def brier_reliability(t: Tables):
-    n = t.scored.agg(F.count(F.lit(1)).alias("n"))
-    b = op.brier(t.scored, "y", ["p", "p2"]).withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").select(
+    b = op.brier(t.scored, "y", ["p", "p2"]).select(
         F.lit("brier").alias("kind"), F.col("score").alias("name"), "n", rounded(F.col("brier")).alias("a"), F.lit(None).cast("double").alias("b")
     )
     r = op.reliability(t.scored, "y", "p").select(

@@ -14,6 +14,7 @@ from slopecast.operators.labels import stratified_split
 from slopecast.operators.spatial import code_labels, nearest_other, nearest_segment
 from slopecast.plans.bindings import Tables
 from slopecast.plans.registry import query
+from slopecast.session import settle
 
 # A label the environment explains in part, so that a model has something to learn.
 LABEL = (
@@ -53,7 +54,7 @@ def spatial_folds(t: Tables):
 @query("impute_encode")
 def impute_encode(t: Tables):
     """Every sample as an encoded vector; medians, modes and codes come from the training part only."""
-    parts = op.settle(stratified_split(samples(t), "label", "point_id"))
+    parts = settle(stratified_split(samples(t), "label", "point_id"))
     prepared = op.Prepared(parts.filter("part = 'train'"), op.NUMERIC, op.CATEGORIES)
     out = prepared.transform(parts)
     return out.select("point_id", "part", vector_to_array("features").alias("features"))
@@ -62,7 +63,7 @@ def impute_encode(t: Tables):
 @query("susceptibility_model")
 def susceptibility_model(t: Tables):
     """Balanced forest fitted on the training part, scoring every sample."""
-    parts = op.settle(stratified_split(samples(t), "label", "point_id"))
+    parts = settle(stratified_split(samples(t), "label", "point_id"))
     model = op.Susceptibility(parts.filter("part = 'train'"), op.NUMERIC)
     return model.score(parts).select("point_id", "part", "label", "score")
 
@@ -70,14 +71,14 @@ def susceptibility_model(t: Tables):
 @query("spatial_cv")
 def spatial_cv(t: Tables):
     """Cross-validated metrics over five spatial folds, for three feature sets."""
-    df = op.settle(op.spatial_folds(samples_with_distances(t)))
+    df = settle(op.spatial_folds(samples_with_distances(t)))
     return op.cv_summary(op.fold_metrics(op.cross_validated(df, op.FEATURE_SETS, **SMALL)))
 
 
 @query("sigmoid_calibration")
 def sigmoid_calibration(t: Tables):
     """Brier score of raw and calibrated scores on held-out samples."""
-    parts = op.settle(stratified_split(samples(t), "label", "point_id"))
+    parts = settle(stratified_split(samples(t), "label", "point_id"))
     out = op.calibrate(parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part"), op.NUMERIC, **SMALL)
     return out.agg(
         F.count(F.lit(1)).alias("samples"),
@@ -89,7 +90,7 @@ def sigmoid_calibration(t: Tables):
 @query("permutation_importance")
 def permutation_importance(t: Tables):
     """Drop of held-out AUC per shuffled feature."""
-    parts = op.settle(stratified_split(samples(t), "label", "point_id"))
+    parts = settle(stratified_split(samples(t), "label", "point_id"))
     model = op.Susceptibility(parts.filter("part = 'train'"), op.NUMERIC)
     test = parts.filter("part = 'test'").drop("part")
     return op.permutation_importance(model, test, [*op.NUMERIC, *op.CATEGORIES], "point_id")
@@ -118,7 +119,7 @@ def _forest():
 @query("model_importance")
 def model_importance(t: Tables):
     """Impurity and coefficient importance of every embedding dimension."""
-    df = op.settle(op.class_weights(vectors(t), "y"))
+    df = settle(op.class_weights(vectors(t), "y"))
     rf = _forest().fit(df)
     lr = LogisticRegression(labelCol="y", featuresCol="features", maxIter=200).fit(df)
     return op.importance_table(t.spark, [f"e{i}" for i in range(rf.numFeatures)], rf, lr)
@@ -127,6 +128,6 @@ def model_importance(t: Tables):
 @query("score_table")
 def score_table(t: Tables):
     """Class, probabilities and confidence of every row; fitted on 75 % of each class."""
-    df = op.settle(op.class_weights(stratified_split(vectors(t), "class_name", "vec_id"), "y"))
+    df = settle(op.class_weights(stratified_split(vectors(t), "class_name", "vec_id"), "y"))
     model = _forest().fit(df.filter("part = 'train'"))
     return op.score_table(model, df, CLASSES, ["vec_id", "part", "class_name"])

@@ -24,18 +24,36 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
+_local_folder: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; the cluster names it in spark.checkpoint.dir."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    configured = configured or spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="slopecast-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    """Folder every executor can reach; the cluster names it in spark.checkpoint.dir.
+
+    Only a local session without the setting, as in tests, gets a temporary folder.
+    """
+    global _local_folder
+    name = "spark.checkpoint.dir"
+    folder = spark.sparkContext.getConf().get(name) or spark.conf.get(name, None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {name} to a folder that all executors share")
+        _local_folder = folder = _local_folder or tempfile.mkdtemp(prefix="slopecast-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a table that several later steps read to the shared folder, and read it from there.
+
+    Cuts the lineage, survives lost executors, and tells the planner the real size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

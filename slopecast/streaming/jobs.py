@@ -66,7 +66,9 @@ def sliding_rain(stream: DataFrame, hours: int, expected: float, delay: str = "1
 class FreshnessProcessor(StatefulProcessor):
     """Keeps the latest reading time of a station and reports silences longer than the limit.
 
-    One micro-batch of a station's times is sorted here; its size is set by the trigger.
+    A batch of a station is reduced to the first and last time of each slot of the limit's length,
+    chunk by chunk, so memory follows the time span and not the number of readings. No silence
+    can hide inside a slot.
     """
 
     def __init__(self, limit_ms: int):
@@ -77,7 +79,12 @@ class FreshnessProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(int(t) for pdf in rows for t in pdf["t_ms"])
+        slots: dict[int, tuple[int, int]] = {}
+        for pdf in rows:
+            for slot, lo, hi in pdf["t_ms"].groupby(pdf["t_ms"] // self.limit).agg(["min", "max"]).itertuples():
+                a, b = slots.get(slot, (lo, hi))
+                slots[slot] = (min(a, int(lo)), max(b, int(hi)))
+        times = [int(t) for slot in sorted(slots) for t in slots[slot]]
         last = self.last.get()[0] if self.last.exists() else None
         stale = []
         for t in times:
@@ -110,7 +117,11 @@ def freshness(stream: DataFrame, max_age_hours: float = 6.0, delay: str = "1 hou
 
 
 class AlertProcessor(StatefulProcessor):
-    """Emits a row when a place enters a HIGH or CRITICAL level it was not in before."""
+    """Emits a row when a place enters a HIGH or CRITICAL level it was not in before.
+
+    The levels of one place are put in time order per micro-batch; the source's
+    maxFilesPerTrigger bounds a batch, also when a backlog is worked off.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.level = handle.getValueState("level", "level string")

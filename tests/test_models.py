@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from slopecast.operators import labels, metrics, models
 from slopecast.plans.bindings import Tables
 from slopecast.plans.models import samples
+from slopecast.session import settle
 from tests.conftest import DATA
 
 FOLDER = DATA.replace("sf0.001", "sf0.01")
@@ -16,7 +17,7 @@ FOLDER = DATA.replace("sf0.001", "sf0.01")
 
 @pytest.fixture(scope="module")
 def folded(spark):
-    return models.settle(models.spatial_folds(samples(Tables(spark, FOLDER))))
+    return settle(models.spatial_folds(samples(Tables(spark, FOLDER))))
 
 
 def test_folds_are_disjoint_by_block(folded):
