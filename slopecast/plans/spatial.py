@@ -162,13 +162,13 @@ def tile_keys(t: Tables):
 
 @query(
     "tile_coverage",
-    f"""SELECT p.tile, count(*) AS n_points, p.tile IN (SELECT {TILE_SQL} FROM stations WHERE site_no > 10) AS covered
+    f"""SELECT p.tile, count(*) AS n_points, p.tile IN (SELECT {TILE_SQL} FROM stations WHERE state <> 'ASIA') AS covered
     FROM (SELECT {TILE_SQL} AS tile FROM points) p GROUP BY p.tile""",
 )
 def tile_coverage(t: Tables):
     """Required tiles, the points on each, and whether the tile is available."""
     name = tile_name(F.col("latitude"), F.col("longitude")).alias("tile")
-    have = t.stations.filter("site_no > 10").select(name).distinct().withColumn("_have", F.lit(True))
+    have = t.stations.filter("state <> 'ASIA'").select(name).distinct().withColumn("_have", F.lit(True))
     need = t.points.groupBy(name).agg(F.count(F.lit(1)).alias("n_points"))
     return need.join(have, "tile", "left").select("tile", "n_points", F.coalesce("_have", F.lit(False)).alias("covered"))
 
@@ -176,11 +176,11 @@ def tile_coverage(t: Tables):
 @query(
     "tile_coverage_by_state",
     f"""SELECT nation_no, count(*) AS total, count(*) FILTER (c) AS covered, count(*) FILTER (NOT c) AS outside FROM
-    (SELECT nation_no, {TILE_SQL} IN (SELECT {TILE_SQL} FROM stations WHERE site_no > 10) AS c FROM points) GROUP BY nation_no""",
+    (SELECT nation_no, {TILE_SQL} IN (SELECT {TILE_SQL} FROM stations WHERE state <> 'ASIA') AS c FROM points) GROUP BY nation_no""",
 )
 def tile_coverage_by_state(t: Tables):
     name = tile_name(F.col("latitude"), F.col("longitude")).alias("tile")
-    have = t.stations.filter("site_no > 10").select(name).distinct().withColumn("_have", F.lit(True))
+    have = t.stations.filter("state <> 'ASIA'").select(name).distinct().withColumn("_have", F.lit(True))
     hit = t.points.select("nation_no", name).join(have, "tile", "left")
     return hit.groupBy("nation_no").agg(
         F.count(F.lit(1)).alias("total"), F.count("_have").alias("covered"),
