@@ -34,10 +34,12 @@ def first_mentions(mentions: DataFrame) -> DataFrame:
         x for feat, (kind, labels) in ALIASES.items() for i, lab in enumerate(labels)
         for x in (F.lit(lab), F.struct(F.lit(feat).alias("feature"), F.lit(kind).alias("kind"), F.lit(i).alias("rank")))
     ])
-    df = mentions.withColumn("label", F.lower(F.trim("label"))).withColumn("_a", F.try_element_at(table, F.col("label")))
-    df = df.filter("_a is not null").groupBy("doc_id", "label").agg(
-        F.first("_a").alias("_a"), F.min(F.struct("line_no", "text")).alias("_m")
-    ).select("doc_id", "label", "_a.*", F.col("_m.text").alias("text"))
+    known = [lab for _, labels in ALIASES.values() for lab in labels]
+    df = mentions.withColumn("label", F.lower(F.trim("label"))).filter(F.col("label").isin(known))
+    df = df.groupBy("doc_id", "label").agg(F.min(F.struct("line_no", "text")).alias("_m"))
+    df = df.withColumn("_a", F.try_element_at(table, F.col("label"))).select(
+        "doc_id", "label", "_a.*", F.col("_m.text").alias("text")
+    )
     number, unit = tx.quantity_value(F.col("text")), tx.quantity_unit(F.col("text"))
     normal = tx.normal_quantity(F.col("kind"), number, unit)
     flag = tx.landslide_flag(F.col("text")).cast("double")
