@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import simhash
+from slopecast.llm import simhash, tokens
 from slopecast.llm.common import load_table
 
 QUERIES: dict = {}
@@ -22,3 +22,16 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(load_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def word_vocabulary() -> str:
+    """Place of the vocabulary of the token-id query; the file stays where its package is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document in the binary id files."""
+    return tokens.token_table(load_table(spark, sf_dir, "documents"), word_vocabulary())
