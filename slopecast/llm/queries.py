@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import simhash, tokens
+from slopecast.llm import simhash, templates, tokens
 from slopecast.llm.common import load_table
 
 QUERIES: dict = {}
@@ -35,3 +35,12 @@ def word_vocabulary() -> str:
 def op1_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, length and checksum of every document in the binary id files."""
     return tokens.token_table(load_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+@query
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item, and the passage's kind."""
+    found = templates.contaminated(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+    return found.groupBy(F.col("id").alias("doc_id"), "item_id").agg(
+        F.max("matched").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("kind").alias("kind"), F.count(F.lit(1)).alias("passages")
+    )
