@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import simhash, templates, tokens
-from slopecast.llm.common import load_table
+from slopecast.llm import language, pfair, simhash, templates, tokens
+from slopecast.llm.common import crc_of_id, load_table, text_or_empty
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,27 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("id").alias("doc_id"), "item_id").agg(
         F.max("matched").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("kind").alias("kind"), F.count(F.lit(1)).alias("passages")
     )
+
+
+@query
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and position of every document in the mix of the sources."""
+    docs = load_table(spark, sf_dir, "documents")
+    narrow = docs.select("doc_id", "source", F.xxhash64(text_or_empty("text")).alias("digest"))  # the texts only break ties
+    plan = pfair.schedule(narrow, text_col="digest")
+    names = {"__epoch": "epoch", "__block": "block", "__release": "release", "__deadline": "deadline", "__slot": "slot", "__position": "position"}
+    return plan.select("doc_id", "source", *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def language_rows(id_col: str = "doc_id") -> Column:
+    """Rows that the language model may learn from; null ids are left out."""
+    return F.coalesce(crc_of_id(id_col) % 3 != 1, F.lit(False))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = load_table(spark, sf_dir, "documents")
+    model = language.learn(docs, language_rows())
+    found = docs.select("doc_id", F.coalesce(crc_of_id("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), language.identified(docs, model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
