@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import language, pfair, simhash, templates, tokens
+from slopecast.llm import chunks, language, pfair, simhash, templates, tokens
 from slopecast.llm.common import crc_of_id, load_table, text_or_empty
 
 QUERIES: dict = {}
@@ -68,3 +68,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs, language_rows())
     found = docs.select("doc_id", F.coalesce(crc_of_id("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), language.identified(docs, model).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@query
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents: place and length in bytes, first document, repeated bytes."""
+    found = chunks.repeated_passages(load_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "length", F.col("first_id").alias("first_doc_id"), "repeated_bytes")
