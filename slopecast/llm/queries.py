@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import chunks, language, pfair, simhash, templates, tokens
+from slopecast.llm import chunks, language, pfair, quality, simhash, templates, tokens
 from slopecast.llm.common import crc_of_id, load_table, text_or_empty
 
 QUERIES: dict = {}
@@ -75,3 +75,13 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents: place and length in bytes, first document, repeated bytes."""
     found = chunks.repeated_passages(load_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "start", "length", F.col("first_id").alias("first_doc_id"), "repeated_bytes")
+
+
+@query
+def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = load_table(spark, sf_dir, "documents")
+    held = crc_of_id("doc_id") % 5 == 0
+    model = quality.learn(docs, load_table(spark, sf_dir, "labels"), F.coalesce(~held, F.lit(False)))
+    found = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), quality.scored(docs, model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
