@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import chunks, language, pfair, quality, simhash, templates, tokens
+from slopecast.llm import chunks, language, pfair, pseudonyms, quality, simhash, templates, tokens
 from slopecast.llm.common import crc_of_id, load_table, text_or_empty
 
 QUERIES: dict = {}
@@ -85,3 +85,14 @@ def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.learn(docs, load_table(spark, sf_dir, "labels"), F.coalesce(~held, F.lit(False)))
     found = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), quality.scored(docs, model).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+#: Key of the pseudonym query; a deployment passes its own secret.
+PSEUDONYM_KEY = "slopecast-pseudonyms"
+
+
+@query
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with pseudonyms, and the values found, for every document."""
+    found = load_table(spark, sf_dir, "documents").select("doc_id", pseudonyms.pseudonymised("text", PSEUDONYM_KEY).alias("found"))
+    return found.select("doc_id", "found.text", F.size("found.kinds").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.kinds")), ",").alias("kinds"))
