@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import chunks, language, pfair, pseudonyms, quality, simhash, templates, tokens
+from slopecast.llm import audio, chat, chunks, language, pfair, pseudonyms, quality, simhash, templates, tokens
 from slopecast.llm.common import crc_of_id, load_table, text_or_empty
 
 QUERIES: dict = {}
@@ -96,3 +96,25 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text with pseudonyms, and the values found, for every document."""
     found = load_table(spark, sf_dir, "documents").select("doc_id", pseudonyms.pseudonymised("text", PSEUDONYM_KEY).alias("found"))
     return found.select("doc_id", "found.text", F.size("found.kinds").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.kinds")), ",").alias("kinds"))
+
+
+@query
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through its audio carrier and back."""
+    return audio.documents_as_audio(load_table(spark, sf_dir, "documents"))
+
+
+def chat_vocabulary() -> str:
+    """Place of the byte-level vocabulary of the chat query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op5_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that says control strings, read from their token rows."""
+    turns = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = f"{chat.END}{chat.START}assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(turns.union(more), chat_vocabulary())
