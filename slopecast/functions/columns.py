@@ -15,9 +15,10 @@ DAY_US = 24 * HOUR_US
 
 def rounded(c: Column, digits: int = 4) -> Column:
     """Round half up. Noise below 1e-8, as left by the order of a sum, is shed first, so that a
-    tie falls the same way whatever the plan or engine."""
+    tie falls the same way whatever the plan or engine. Values from 1e14 on, where a double has
+    hardly a digit to shed, and infinities and NaN stay as they are."""
     scale = float(10**digits)
-    return F.floor(F.rint(c * 1e8) / 1e8 * scale + 0.5) / F.lit(scale)
+    return F.when(F.abs(c) < 1e14, F.floor(F.rint(c * 1e8) / 1e8 * scale + 0.5) / F.lit(scale)).otherwise(c.cast("double"))
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -88,6 +89,6 @@ def tile_name(lat: Column, lon: Column, step: int = 1) -> Column:
     )
 
 
-def degrees_for_km(km: float, max_abs_lat: float) -> float:
-    """Cell size in degrees whose neighbours are at least km away in both directions."""
-    return 1.001 * math.degrees(km / fixed.EARTH_RADIUS_KM) / math.cos(math.radians(max_abs_lat))
+def degrees_for_km(km: float) -> float:
+    """Degrees of latitude that are a little more than km."""
+    return 1.001 * math.degrees(km / fixed.EARTH_RADIUS_KM)

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopecast import fixed
-from slopecast.functions.columns import degrees_for_km, haversine_km, literal_map, rounded
+from slopecast.functions.columns import haversine_km, literal_map, rounded
 from slopecast.operators.quality import unpivot
 from slopecast.operators.ranks import exact_quantiles, numbered
-from slopecast.operators.spatial import _around, nearest_site
+from slopecast.operators.spatial import nearest_site, radius_cell, radius_reach
 from slopecast.session import settle
 
 WINDOW_COLUMNS = ["rain_1h", "rain_3h", "rain_6h", "rain_12h", "rain_24h", "rain_48h", "rain_72h", "rain_7d"]
@@ -169,14 +169,14 @@ def pair_review(events: DataFrame, key: str, day: str, km: float = 50.0, days: i
     at = events.select(
         key, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col(day).alias("_day")
     ).filter("_lat is not null and _lon is not null and _day is not null")
-    size = degrees_for_km(km, fixed.LAT_MAX)
-    ci, cj = F.floor(F.col("_lat") / size), F.floor(F.col("_lon") / size)
+    own = radius_cell(F.col("_lat"), F.col("_lon"), km)
+    ci, cj = own["i"], own["j"]
     place_day = at.groupBy("_lat", "_lon", "_day").agg(F.count(F.lit(1)).alias("_n"))
 
     def spread(df: DataFrame) -> DataFrame:
         other = df.select(
             *[F.col(c).alias(f"b{c}") for c in df.columns],
-            F.explode(_around(ci, cj)).alias("_a"),
+            F.explode(radius_reach(F.col("_lat"), F.col("_lon"), km)).alias("_a"),
         )
         return other.select("*", F.col("_a.i").alias("_ci"), F.col("_a.j").alias("_cj")).drop("_a")
 

@@ -23,11 +23,17 @@ def pick_index(n: Column, *parts: Column) -> Column:
     return F.floor(uniform(*parts) * n)
 
 
-def negative_candidates(positives: DataFrame, vertices: DataFrame, seed: int = 42, exclusion_km: float = 1.0, oversample: int = 3) -> DataFrame:
+def negative_candidates(
+    positives: DataFrame, vertices: DataFrame, seed: int = 42, exclusion_km: float = 1.0, first_draws: int = 3, max_draws: int = 500
+) -> DataFrame:
     """As many candidates as positives per state: uniform in the box, inside the outline, at least
     exclusion_km from every positive. They are candidates, not confirmed absences.
 
-    Draws are made in chunks that Spark spreads, so one state with most positives is not one task.
+    Draws of a state are numbered, and the first that pass are taken, so the result does not depend
+    on the rounds: the first makes first_draws per place wanted, later ones as many as the measured
+    acceptance asks for. A state that is not filled after max_draws per place raises. Draws are made
+    in chunks that Spark spreads, so one state with most positives is not one task. What returns to
+    the driver is one row per outline and round.
     """
     quota = (
         state_of_point(positives, vertices).filter("inside_state is not null")
@@ -37,19 +43,46 @@ def negative_candidates(positives: DataFrame, vertices: DataFrame, seed: int = 4
     box = e.groupBy("state").agg(
         F.min("x1").alias("x0"), F.max("x1").alias("xm"), F.min("y1").alias("y0"), F.max("y1").alias("ym")
     )
-    plan = quota.join(box, "state").withColumn("_draws", F.col("quota") * oversample)
-    chunks = plan.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("_draws") - 1) / CHUNK).cast("int")))).repartition("state", "_c")
-    first = F.col("_c") * CHUNK + 1
-    draws = chunks.withColumn("draw", F.explode(F.sequence(first, F.least(F.col("_draws"), first + (CHUNK - 1)))))
-    base = [F.lit(str(seed)), F.col("state"), F.col("draw").cast("string")]
-    cand = draws.select(
-        "state", "quota", "draw",
-        (F.col("x0") + (F.col("xm") - F.col("x0")) * uniform(*base, F.lit("lon"))).alias("longitude"),
-        (F.col("y0") + (F.col("ym") - F.col("y0")) * uniform(*base, F.lit("lat"))).alias("latitude"),
-    )
-    inside = state_of_point(cand, vertices).filter(F.col("inside_state") == F.col("state")).drop("inside_state")
-    near = within_radius(inside, positives, exclusion_km).select("latitude", "longitude")
-    kept = settle(inside.join(near, ["latitude", "longitude"], "left_anti"), "candidates")
+    plan = settle(quota.join(box, "state"), "quota")
+    spark = plan.sparkSession
+
+    def accepted(spans: list[tuple[str, int, int]]) -> DataFrame:
+        """Draws first + 1 to last of each state that pass both rules."""
+        asked = spark.createDataFrame(spans, "state string, _from long, _to long")
+        cut = F.sequence(F.floor(F.col("_from") / CHUNK), F.floor((F.col("_to") - 1) / CHUNK))
+        chunks = plan.join(asked, "state").withColumn("_c", F.explode(cut)).repartition("state", "_c")
+        low, high = F.greatest(F.col("_from"), F.col("_c") * CHUNK), F.least(F.col("_to"), (F.col("_c") + 1) * CHUNK)
+        draws = chunks.withColumn("draw", F.explode(F.sequence(low + 1, high)))
+        base = [F.lit(str(seed)), F.col("state"), F.col("draw").cast("string")]
+        cand = draws.select(
+            "state", "quota", "draw",
+            (F.col("x0") + (F.col("xm") - F.col("x0")) * uniform(*base, F.lit("lon"))).alias("longitude"),
+            (F.col("y0") + (F.col("ym") - F.col("y0")) * uniform(*base, F.lit("lat"))).alias("latitude"),
+        )
+        inside = state_of_point(cand, vertices).filter(F.col("inside_state") == F.col("state")).drop("inside_state")
+        near = within_radius(inside, positives, exclusion_km).select("latitude", "longitude")
+        return settle(inside.join(near, ["latitude", "longitude"], "left_anti"), "candidates")
+
+    wanted = {r["state"]: r["quota"] for r in plan.select("state", "quota").collect()}
+    drawn, passed, parts = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0), []
+    while short := [s for s in sorted(wanted) if passed[s] < wanted[s]]:
+        spans = []
+        for s in short:
+            rate = max(passed[s], 1) / max(drawn[s], 1)
+            more = wanted[s] * first_draws if not drawn[s] else int(1.2 * (wanted[s] - passed[s]) / rate) + 16
+            last = min(drawn[s] + more, wanted[s] * max_draws)
+            if last <= drawn[s]:
+                raise ValueError(f"{s}: {passed[s]} of {wanted[s]} candidates after {drawn[s]} draws")
+            spans.append((s, drawn[s], last))
+            drawn[s] = last
+        parts.append(accepted(spans))
+        for r in parts[-1].groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect():
+            passed[r["state"]] += r["n"]
+    if not parts:
+        return spark.createDataFrame([], "state string, draw long, latitude double, longitude double, candidate_no long")
+    kept = parts[0]
+    for part in parts[1:]:
+        kept = kept.unionByName(part)
     ranked = numbered(kept, ["state"], F.floor(F.col("draw") / CHUNK), [F.col("draw")])
     return ranked.filter(F.col("rn") <= F.col("quota")).select("state", "draw", "latitude", "longitude", F.col("rn").alias("candidate_no"))
 
@@ -72,16 +105,14 @@ def quota_allocation(df: DataFrame, group: str, total: int) -> DataFrame:
 def stratified_bootstrap(df: DataFrame, label: str, key: str, seed: int = 42, slice_rows: int = 10_000) -> DataFrame:
     """Half of the table size drawn with replacement from each of the two labels.
 
-    Returns (label, draw, key). Draw j of a label takes the row whose number is a hash of j.
+    Returns (label, draw, key). Draw j of a label takes the row whose number is a hash of j. Draws
+    are made in chunks by their number, so a label with one row is not one task.
     """
     rows = numbered(df.select(label, key), [label], F.floor(F.col(key) / slice_rows), [F.col(key)])
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_half", F.floor(F.sum("_n").over(Window.partitionBy(F.lit(0))) / 2))  # one row per label
-    source = rows.join(sizes, F.col(label) == F.col("_l"))
-    first = F.col("rn") - 1
-    draws = source.filter(first < F.col("_half")).select(
-        "_l", "_n", F.explode(F.sequence(first, F.col("_half") - 1, F.col("_n"))).alias("draw")
-    )
+    chunks = sizes.filter("_half > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_half") - 1) / CHUNK)))).repartition("_l", "_c")
+    draws = chunks.withColumn("draw", F.explode(F.sequence(F.col("_c") * CHUNK, F.least(F.col("_half"), (F.col("_c") + 1) * CHUNK) - 1)))
     chosen = draws.select(
         "_l", "draw", (pick_index(F.col("_n"), F.lit(str(seed)), F.col("_l").cast("string"), F.col("draw").cast("string")) + 1).alias("_pick")
     )

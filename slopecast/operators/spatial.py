@@ -7,6 +7,7 @@ bounded by the area divided by the cell size, whatever the number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,11 @@ from slopecast import fixed
 from slopecast.functions.columns import degrees_for_km, haversine_km, literal_map
 from slopecast.session import settle
 
-ROOT_DEG = 64.0  # search window of the root level; nothing farther than this is looked at
-COARSE_DEG = 4.0
+COARSE_DEG = 64.0
+#: Cells of COARSE_DEG that cover all latitudes and longitudes from -180 to 180 (and 180 itself).
+ROOT_ROWS, ROOT_COLS = range(-2, 2), range(-3, 3)
+#: A cell that holds more distinct item places than this is halved, if the places allow it.
+CELL_ITEMS = 512
 KM_PER_DEG = fixed.METRES_PER_DEGREE / 1000.0
 
 
@@ -31,20 +35,30 @@ def _around(i: Column, j: Column) -> Column:
     return F.array(*[F.struct((i + a).alias("i"), (j + b).alias("j")) for a, b in steps])
 
 
-def _prune(pairs: DataFrame, size: float) -> DataFrame:
+def _prune(pairs: DataFrame, size: float, planar: bool) -> DataFrame:
     """Keep the item cells that can hold the nearest item of some point of the point cell.
 
     A lower and an upper distance bound follow from the cell indexes; the upper bound counts
-    only for cells that surely hold an item. Rows per point cell are bounded by the area.
+    only for cells that surely hold an item. Longitudes are a circle, unless the distance is
+    planar. Rows per point cell are bounded by the area.
     """
     di, dj = F.abs(F.col("pi") - F.col("ii")), F.abs(F.col("pj") - F.col("ij"))
-    far_lat = F.greatest(F.abs("pi"), F.abs(F.col("pi") + 1)) * size
-    near_lat = F.least(F.abs("pi"), F.abs(F.col("pi") + 1)) * size
-    gap_i, gap_j = F.greatest(di - 1, F.lit(0)) * size, F.greatest(dj - 1, F.lit(0)) * size
-    low = fixed.EARTH_RADIUS_KM * F.greatest(
-        F.radians(gap_i), F.asin(F.sin(F.radians(F.least(gap_j, F.lit(90.0)))) * F.cos(F.radians(F.least(far_lat, F.lit(89.0)))))
-    )
-    high = KM_PER_DEG * ((di + 1) * size + (dj + 1) * size * F.cos(F.radians(near_lat)))
+    far_lat = F.least(F.greatest(F.abs("pi"), F.abs(F.col("pi") + 1)) * size, F.lit(90.0))
+    near_lat = F.least(F.least(F.abs("pi"), F.abs(F.col("pi") + 1)) * size, F.lit(90.0))
+    zero = F.lit(0.0)
+    gap_i, gap_j = F.greatest((di - 1) * size, zero), F.greatest((dj - 1) * size, zero)
+    span_i, span_j = (di + 1) * size, (dj + 1) * size
+    if planar:
+        low = KM_PER_DEG * F.sqrt(gap_i * gap_i + F.pow(gap_j * F.cos(F.radians(far_lat)), F.lit(2.0)))
+        high = KM_PER_DEG * F.sqrt(span_i * span_i + F.pow(span_j * F.cos(F.radians(near_lat)), F.lit(2.0)))
+    else:
+        gap_j = F.least(gap_j, F.greatest(360.0 - span_j, zero))
+        span_j = F.least(span_j, F.lit(180.0))
+        span_j = F.least(span_j, F.greatest(360.0 - (dj - 1) * size, zero))
+        low = fixed.EARTH_RADIUS_KM * F.greatest(
+            F.radians(F.least(gap_i, F.lit(180.0))), F.asin(F.sin(F.radians(F.least(gap_j, F.lit(90.0)))) * F.cos(F.radians(far_lat)))
+        )
+        high = KM_PER_DEG * (span_i + span_j * F.cos(F.radians(near_lat)))
     bounded = pairs.withColumn("_low", low).withColumn("_high", F.when(F.col("sure"), high))
     per_cell = Window.partitionBy("pi", "pj")
     return (
@@ -54,11 +68,12 @@ def _prune(pairs: DataFrame, size: float) -> DataFrame:
     )
 
 
-def candidate_cells(point_cells: DataFrame, item_cells: DataFrame, size: float, exclude_self: bool) -> DataFrame:
+def candidate_cells(point_cells: DataFrame, item_cells: DataFrame, size: float, exclude_self: bool, planar: bool = False) -> DataFrame:
     """(pi, pj) -> (ii, ij): item cells to search for each point cell.
 
     point_cells has (pi, pj); item_cells has (ii, ij, n_sure), n_sure counting items that
-    surely lie inside. Pruned from a coarse grid down to the fine one, four times finer each step.
+    surely lie inside. Pruned from a grid of a few cells that covers the globe down to the fine
+    one, four times finer each step, so nothing is too far away to be found.
     """
     need = F.when((F.col("pi") == F.col("ii")) & (F.col("pj") == F.col("ij")), 2).otherwise(1) if exclude_self else F.lit(1)
 
@@ -75,22 +90,38 @@ def candidate_cells(point_cells: DataFrame, item_cells: DataFrame, size: float,
             pc = pc.select(up("pi", step).alias("pi"), up("pj", step).alias("pj")).distinct()
             ic = ic.groupBy(up("ii", step).alias("ii"), up("ij", step).alias("ij")).agg(F.sum("n_sure").alias("n_sure"))
         if pairs is None:
-            root = max(1, round(ROOT_DEG / (step * size)))
-            spread = ic.select("*", F.explode(_around(up("ii", root), up("ij", root))).alias("_r"))
-            met = pc.join(spread, (up("pi", root) == F.col("_r.i")) & (up("pj", root) == F.col("_r.j")))
+            every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in ROOT_ROWS for j in ROOT_COLS])
+            met = pc.select("*", F.explode(every).alias("_r")).join(ic, (F.col("_r.i") == F.col("ii")) & (F.col("_r.j") == F.col("ij")))
         else:
             kept = pairs.select(*[F.col(c).alias(f"c_{c}") for c in ("pi", "pj", "ii", "ij")])
             met = pc.join(kept, (up("pi", 4) == F.col("c_pi")) & (up("pj", 4) == F.col("c_pj"))).join(
                 ic, (up("ii", 4) == F.col("c_ii")) & (up("ij", 4) == F.col("c_ij"))
             )
-        pairs = _prune(met.withColumn("sure", F.col("n_sure") >= need), step * size)
+        pairs = _prune(met.withColumn("sure", F.col("n_sure") >= need), step * size, planar)
     return pairs
 
 
+def _on_globe(lat: str, lon: str) -> Column:
+    return F.col(lat).between(-90.0, 90.0) & F.col(lon).between(-180.0, 180.0)
+
+
+def cell_size(items: DataFrame, lat: str, lon: str, size: float = 0.25, steps: int = 3) -> float:
+    """Cell size for places: size, or a quarter of it and so on while a cell holds more than CELL_ITEMS.
+
+    items has distinct places. One pass counts the cells of all sizes.
+    """
+    sizes = [size / 4**k for k in range(steps + 1)]
+    per_size = items.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), _cell(F.col(lat), x).alias("i"), _cell(F.col(lon), x).alias("j")) for k, x in enumerate(sizes)
+    ])).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).groupBy("c.k").agg(F.max("n").alias("n"))
+    crowd = {r["k"]: r["n"] for r in per_size.collect()}  # one row a size
+    return next((x for k, x in enumerate(sizes) if crowd.get(k, 0) <= CELL_ITEMS), sizes[-1])
+
+
 def _distinct_sites(points: DataFrame, size: float) -> DataFrame:
     """Distinct coordinates with their cell and number of rows."""
     return (
-        points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        points.filter(_on_globe("latitude", "longitude"))
         .groupBy(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("pi", _cell(F.col("_lat"), size))
@@ -108,11 +139,12 @@ def _nearest(
     name: str,
     exclude_self: bool = False,
     condition: Column | None = None,
+    planar: bool = False,
 ) -> DataFrame:
     # both uses of the distinct sites keep _rows, so that Spark shuffles the points for them once
     sites = _distinct_sites(points, size).filter("_rows > 0")
     used = sites.groupBy("pi", "pj").agg(F.sum("_rows").alias("_rows")).filter("_rows > 0").select("pi", "pj")
-    cand = candidate_cells(used, item_cells, size, exclude_self)
+    cand = candidate_cells(used, item_cells, size, exclude_self, planar)
     cand = cand.select("pi", "pj", F.col("ii").alias("_ci"), F.col("ij").alias("_cj"))
     near = sites.join(cand, ["pi", "pj"]).join(
         placed_items, (F.col("_ci") == F.col("ii")) & (F.col("_cj") == F.col("ij"))
@@ -127,15 +159,17 @@ def _nearest(
 
 
 def nearest_site(
-    points: DataFrame, sites: DataFrame, pick: Sequence[str], name: str = "nearest", size: float = 0.25
+    points: DataFrame, sites: DataFrame, pick: Sequence[str], name: str = "nearest", size: float | None = None
 ) -> DataFrame:
-    """Add the exact great-circle nearest site as a struct (distance, *pick).
+    """Add the exact great-circle nearest site as a struct (distance, *pick), however far it is.
 
-    Both sides have latitude and longitude. Equal distances are settled by the order of pick.
+    Both sides have latitude and longitude; rows off the globe take no part. Equal distances are
+    settled by the order of pick. Without a size, the cells follow the density of the sites.
     """
     items = sites.select(
         *pick, F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon")
-    ).filter("_ilat is not null and _ilon is not null")
+    ).filter(_on_globe("_ilat", "_ilon"))
+    size = size or cell_size(items.select("_ilat", "_ilon").distinct(), "_ilat", "_ilon")
     items = items.withColumn("ii", _cell(F.col("_ilat"), size)).withColumn("ij", _cell(F.col("_ilon"), size))
     # sites at one place: only the first can win
     items = items.groupBy("ii", "ij", "_ilat", "_ilon").agg(F.min(F.struct(*pick)).alias("_p")).select(
@@ -146,19 +180,19 @@ def nearest_site(
     return _nearest(points, items, cells, d, pick, size, name)
 
 
-def nearest_other(points: DataFrame, positive: Column, size: float = 0.25) -> DataFrame:
+def nearest_other(points: DataFrame, positive: Column, size: float | None = None) -> DataFrame:
     """Distance in km to the nearest other positive point.
 
     A positive ignores itself but not a second positive at its place (distance 0); a negative
     takes the plain nearest positive.
     """
     pos = (
-        points.filter(positive & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        points.filter(positive & _on_globe("latitude", "longitude"))
         .groupBy(F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon"))
         .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("ii", _cell(F.col("_ilat"), size))
-        .withColumn("ij", _cell(F.col("_ilon"), size))
     )
+    size = size or cell_size(pos, "_ilat", "_ilon")
+    pos = pos.withColumn("ii", _cell(F.col("_ilat"), size)).withColumn("ij", _cell(F.col("_ilon"), size))
     cells = pos.groupBy("ii", "ij").agg(F.count(F.lit(1)).alias("n_sure"))
     d = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_ilat"), F.col("_ilon"))
     other = (F.col("_lat") != F.col("_ilat")) | (F.col("_lon") != F.col("_ilon"))
@@ -192,25 +226,52 @@ def nearest_segment(
     holds_end = (F.col("ii") == _cell(y1, size)) & (F.col("ij") == _cell(x1, size))
     cells = placed.groupBy("ii", "ij").agg(F.count_if(holds_end).alias("n_sure"))
     d = measure(F.col("_lat"), F.col("_lon"), y1, x1, y2, x2)
-    return _nearest(points, placed, cells, d, pick, size, name)
+    return _nearest(points, placed, cells, d, pick, size, name, planar=True)
+
 
+def radius_cell(lat: Column, lon: Column, km: float) -> Column:
+    """Cell (i, j) of a place for radius joins; longitudes are a circle of whole cells."""
+    size = degrees_for_km(km)
+    count = max(1, int(360.0 / size))
+    return F.struct(_cell(lat, size).alias("i"), F.pmod(F.floor((lon + 180.0) * (count / 360.0)), F.lit(count)).alias("j"))
 
-def within_radius(points: DataFrame, sites: DataFrame, km: float, max_abs_lat: float = fixed.LAT_MAX) -> DataFrame:
+
+def radius_reach(lat: Column, lon: Column, km: float) -> Column:
+    """Array of all radius_cell cells that can hold a place within km.
+
+    The circle around a place spans asin(sin(km) / cos(latitude)) of longitude, all of it where the
+    circle holds a pole.
+    """
+    size = degrees_for_km(km)
+    count = max(1, int(360.0 / size))
+    arc = km / fixed.EARTH_RADIUS_KM
+    pole = F.abs(lat) + size >= 90.0
+    reach = F.when(pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(arc, math.pi / 2))) / F.cos(F.radians(lat))))) * 1.001)
+    first = F.floor((lon - reach + 180.0) * (count / 360.0))
+    last = F.least(F.floor((lon + reach + 180.0) * (count / 360.0)), first + (count - 1))
+    rows = F.sequence(_cell(lat - size, size), _cell(lat + size, size))
+    return F.flatten(F.transform(rows, lambda i: F.transform(
+        F.sequence(first, last), lambda j: F.struct(i.alias("i"), F.pmod(j, F.lit(count)).alias("j"))
+    )))
+
+
+def within_radius(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
     """Per distinct point place: how many sites lie within km, and the nearest of them.
 
-    Pairs are counted, not listed. Returns (latitude, longitude, n_within, nearest_km).
+    Pairs are counted, not listed. Returns (latitude, longitude, n_within, nearest_km). Holds at
+    every latitude and across 180 degrees.
     """
-    size = degrees_for_km(km, max_abs_lat)
     there = (
-        sites.groupBy(F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon"))
+        sites.filter(_on_globe("latitude", "longitude")).groupBy(F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_a", F.explode(_around(_cell(F.col("_ilat"), size), _cell(F.col("_ilon"), size))))
+        .withColumn("_a", F.explode(radius_reach(F.col("_ilat"), F.col("_ilon"), km)))
         .select("_ilat", "_ilon", "_n", F.col("_a.i").alias("pi"), F.col("_a.j").alias("pj"))
     )
+    own = radius_cell(F.col("_lat"), F.col("_lon"), km)
+    here = _distinct_sites(points, 1.0).withColumns({"pi": own["i"], "pj": own["j"]})
     d = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_ilat"), F.col("_ilon"))
     return (
-        _distinct_sites(points, size)
-        .join(there, ["pi", "pj"])
+        here.join(there, ["pi", "pj"])
         .withColumn("_d", d)
         .filter(F.col("_d") <= km)
         .groupBy(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopecast.functions.columns import segment_metres
-from slopecast.operators import events, metrics, ranks, spatial
+from slopecast.operators import events, labels, metrics, ranks, spatial
 from slopecast.operators.asof import asof
 
 
@@ -197,3 +197,64 @@ def test_pair_review_against_all_pairs(spark):
                 else:
                     want["independent"] += 1
         assert {k: got[i][k] for k in want} == want
+
+
+def table_of(spark, rows, names="point_id int, latitude double, longitude double"):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], names)
+
+
+def test_nearest_at_any_distance_and_across_180(spark):
+    far = spatial.nearest_site(table_of(spark, [(0.1, 0.1)]), table_of(spark, [(0.1, 150.0)], "site int, latitude double, longitude double"), ["site"])
+    assert far.first().nearest.distance == pytest.approx(16667.9, abs=1.0)
+    near = spatial.nearest_site(table_of(spark, [(25.0, 179.9)]), table_of(spark, [(25.0, -179.9), (25.0, 170.0)], "site int, latitude double, longitude double"), ["site"])
+    assert near.first().nearest.site == 0 and near.first().nearest.distance == pytest.approx(20.16, abs=0.1)
+
+
+def test_nearest_over_the_globe_against_all_pairs(spark):
+    rng = random.Random(11)
+    spot = lambda: (math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180))
+    points, sites = [spot() for _ in range(120)] + [(90.0, 10.0), (-90.0, 0.0), (0.0, 180.0)], [spot() for _ in range(40)] + [(0.0, -180.0)]
+
+    got = spatial.nearest_site(table_of(spark, points), table_of(spark, sites, "site int, latitude double, longitude double"), ["site"]).collect()
+    for r in got:
+        assert r.nearest.distance == pytest.approx(min(km(points[r.point_id], s) for s in sites), abs=1e-3)
+
+
+def test_radius_at_high_latitudes(spark):
+    rng = random.Random(12)
+    for lat, lon in ((70.0, 20.0), (70.0, 180.0), (89.9, 0.0), (-60.0, -179.95)):
+        spots = [(min(90.0, lat + rng.uniform(-0.6, 0.6)), (lon + rng.uniform(-3, 3) + 180) % 360 - 180) for _ in range(80)]
+        got = spatial.within_radius(table_of(spark, [(lat, lon)]), table_of(spark, spots, "site int, latitude double, longitude double"), 50.0).first()
+
+        assert got.n_within == sum(km((lat, lon), s) <= 50.0 for s in spots)
+
+
+def test_crowded_cells_are_halved(spark):
+    rng = random.Random(13)
+    spots = [(25.0 + rng.uniform(0, 0.2), 91.0 + rng.uniform(0, 0.2)) for _ in range(3000)]
+    sites = table_of(spark, spots, "site int, latitude double, longitude double")
+    size = spatial.cell_size(sites, "latitude", "longitude")
+    assert size < 0.25
+    per_cell = sites.groupBy(F.floor(F.col("latitude") / size), F.floor(F.col("longitude") / size)).count().agg(F.max("count")).first()[0]
+    assert per_cell <= spatial.CELL_ITEMS
+    points = [(25.0 + rng.uniform(-0.3, 0.5), 91.0 + rng.uniform(-0.3, 0.5)) for _ in range(60)]
+    for r in spatial.nearest_site(table_of(spark, points), sites, ["site"]).collect():
+        a = points[r.point_id]
+        want = min(math.hypot(b[0] - a[0], (b[1] - a[1]) * math.cos(math.radians(a[0]))) for b in spots)
+        assert r.nearest.distance == pytest.approx(want * 111.195, rel=0.01, abs=0.01)
+
+
+def narrow_outline(spark):
+    """A thin diagonal: little of its box is inside."""
+    ring = [(0.0, 0.0), (1.0, 1.0), (1.0, 1.02), (0.0, 0.02)]
+    return spark.createDataFrame([("S", i, x, y) for i, (x, y) in enumerate(ring)], "state string, seq int, lon double, lat double")
+
+
+def test_negatives_are_drawn_until_the_quota_is_full(spark):
+    positives = table_of(spark, [(0.01 + 0.004 * i, 0.004 * i) for i in range(200)])
+    got = labels.negative_candidates(positives, narrow_outline(spark), exclusion_km=0.05).collect()
+    assert len(got) == 200 and len({r.draw for r in got}) == 200 and {r.candidate_no for r in got} == set(range(1, 201))
+    again = labels.negative_candidates(positives, narrow_outline(spark), exclusion_km=0.05, first_draws=40).collect()
+    assert sorted(got) == sorted(again)
+    with pytest.raises(ValueError, match="of 200 candidates"):
+        labels.negative_candidates(positives, narrow_outline(spark), exclusion_km=0.05, max_draws=5)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slopecast import fixed
 from slopecast.functions import ground, hazard
 from slopecast.functions import text as tx
-from slopecast.functions.columns import normal_name, number_or_null
+from slopecast.functions.columns import normal_name, number_or_null, rounded
 from slopecast.functions.rainfall import rainfall_class
 from slopecast.operators import quality, terrain
 from slopecast.operators.text import entity_features
@@ -212,3 +212,9 @@ def test_names_and_numbers(spark):
     df = spark.createDataFrame([("  arunachal \r\n pradesh ", "-12%"), (None, "1,234"), ("x", "12d")], "s string, n string")
     got = [tuple(r) for r in df.select(normal_name(F.col("s")), number_or_null(F.col("n"))).collect()]
     assert got == [("ARUNACHAL PRADESH", -12.0), (None, 1234.0), ("X", None)]
+
+
+def test_rounding_keeps_large_and_special_values(spark):
+    values = [3e15, float("inf"), float("-inf"), 1.00005, -2.5, None, 123456789012.34567, 9.3e14]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v")).alias("x")).collect()]
+    assert got == [3e15, float("inf"), float("-inf"), 1.0001, -2.5, None, 123456789012.3457, 9.3e14]
