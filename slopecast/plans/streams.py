@@ -104,35 +104,40 @@ def places(t: Tables) -> DataFrame:
     return p.withColumn("tier", hazard.susceptibility_tier(F.col("static_score")))
 
 
-_SCORED = sql_fuse(sql_trigger("""SELECT r.*, s.place_id, s.static_score, CASE WHEN s.static_score >= 0.75 THEN 'VERY_HIGH' WHEN s.static_score >= 0.5 THEN 'HIGH' WHEN s.static_score >= 0.25 THEN 'MODERATE' ELSE 'LOW' END AS tier,
-    CAST(NULL AS DOUBLE) AS rainfall_24h, CAST(NULL AS DOUBLE) AS rainfall_3d, CAST(NULL AS DOUBLE) AS rainfall_7d,
-    CASE WHEN rainfall_1h IS NULL THEN 'MISSING' ELSE 'GOOD' END AS quality, CASE WHEN rainfall_1h IS NULL THEN 'MISSING' ELSE 'OK' END AS status
-    FROM tele_ok r JOIN (SELECT station_key, site_no AS place_id, CAST(split_part(station_key, '::', 2) AS DOUBLE) / 10.0 + 0.05 AS static_score FROM stations) s USING (station_key)"""))
+#: Readings that the synthetic stations should deliver in a window.
+EXPECTED = {"24h": 6.0, "3d": 20.0, "7d": 46.0}
+_HOURS = {"24h": 24, "3d": 72, "7d": 168}
+_OVER = {w: f"OVER (PARTITION BY station_key ORDER BY hour_us RANGE BETWEEN {h - 1} * 3600000000 PRECEDING AND CURRENT ROW)" for w, h in _HOURS.items()}
+_WINDOWS = f"""SELECT station_key, hour_us + 3600000000 AS at_us, {rnd('mm')} AS rainfall_1h,
+    {", ".join(f"CASE WHEN obs_{w} >= {x * 0.75} THEN {rnd(f'mm_{w}')} END AS rainfall_{w}" for w, x in EXPECTED.items())},
+    CASE WHEN mm IS NULL THEN 'MISSING' WHEN {" OR ".join(f"obs_{w} < {x * 0.75}" for w, x in EXPECTED.items())} THEN 'PARTIAL' ELSE 'GOOD' END AS quality,
+    CASE WHEN mm IS NULL THEN 'MISSING' ELSE 'OK' END AS status
+    FROM (SELECT *, {", ".join(f"sum(mm) {o} AS mm_{w}, sum(obs) {o} AS obs_{w}" for w, o in _OVER.items())}
+      FROM (SELECT station_key, epoch_us(date_trunc('hour', ts)) AS hour_us, sum(rainfall_1h) AS mm, count(rainfall_1h) AS obs FROM tele_ok GROUP BY 1, 2))
+    WHERE hour_us + 3600000000 <= epoch_us({MARK})"""
+_SCORED = sql_fuse(sql_trigger(f"""SELECT r.*, s.place_id, s.static_score, CASE WHEN s.static_score >= 0.75 THEN 'VERY_HIGH' WHEN s.static_score >= 0.5 THEN 'HIGH' WHEN s.static_score >= 0.25 THEN 'MODERATE' ELSE 'LOW' END AS tier
+    FROM ({_WINDOWS}) r JOIN (SELECT station_key, site_no AS place_id, CAST(split_part(station_key, '::', 2) AS DOUBLE) / 10.0 + 0.05 AS static_score FROM stations) s USING (station_key)"""))
 
 
 @query(
     "stream_static_join",
-    f"SELECT reading_id, copy_no, place_id, trigger_level, trigger_score, risk_level, fusion_score FROM ({_SCORED})",
+    f"SELECT station_key, at_us, place_id, rainfall_24h, rainfall_7d, trigger_level, trigger_score, risk_level, fusion_score FROM ({_SCORED})",
 )
 def stream_static_join(t: Tables):
-    out = jobs.score_stream(jobs.ingest(t.tele_stream()), places(t)).select(
-        "reading_id", "copy_no", "place_id", "trigger_level", "trigger_score", "risk_level", "fusion_score"
-    )
-    return finished(t, out, "scored")
-
-
-_ONE_PLACE = f"SELECT * FROM ({_SCORED}) WHERE place_id IN (SELECT min(site_no) FROM stations GROUP BY station_key)"
+    """Every closed hour with a reading, triggered on four windows, for every place of its station."""
+    out = jobs.score_stream(jobs.ingest(t.tele_stream()), places(t), EXPECTED)
+    scored = finished(t, out.select("station_key", "at", "place_id", "rainfall_24h", "rainfall_7d", "trigger_level", "trigger_score", "risk_level", "fusion_score"), "scored")
+    return scored.withColumn("at_us", F.unix_micros("at")).drop("at")
 
 
 @query(
     "stream_alerts",
-    f"""SELECT station_key, epoch_us(ts) AS t_us, reading_id, risk_level FROM (SELECT *, lag(risk_level) OVER (PARTITION BY station_key ORDER BY ts, reading_id, copy_no) AS before
-    FROM ({_ONE_PLACE})) WHERE risk_level IN ('HIGH', 'CRITICAL') AND risk_level IS DISTINCT FROM before""",
+    f"""SELECT station_key, place_id, at_us AS t_us, risk_level FROM (SELECT *, lag(risk_level) OVER (PARTITION BY station_key, place_id ORDER BY at_us) AS before
+    FROM ({_SCORED})) WHERE risk_level IN ('HIGH', 'CRITICAL') AND risk_level IS DISTINCT FROM before""",
 )
 def stream_alerts(t: Tables):
-    """One row whenever a station enters HIGH or CRITICAL."""
-    one = places(t).groupBy("station_key").agg(F.min("place_id").alias("place_id"), F.min("static_score").alias("static_score"), F.min("tier").alias("tier"))
-    return finished(t, jobs.alerts(jobs.score_stream(jobs.ingest(t.tele_stream()), one)), "alerts", python_state=True)
+    """One row whenever a place enters HIGH or CRITICAL."""
+    return finished(t, jobs.alerts(jobs.score_stream(jobs.ingest(t.tele_stream()), places(t), EXPECTED)), "alerts", python_state=True)
 
 
 @query(

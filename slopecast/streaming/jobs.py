@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from slopecast import fixed
 from slopecast.functions import hazard
-from slopecast.functions.columns import HOUR_US
+from slopecast.functions.columns import HOUR_US, rounded
 from slopecast.functions.rainfall import usable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -116,52 +118,86 @@ def freshness(stream: DataFrame, max_age_hours: float = 6.0, delay: str = "1 hou
     )
 
 
+def window_rain(stream: DataFrame, expected: dict[str, float], delay: str = "1 hour") -> DataFrame:
+    """Rain of the last hour, 24 h, 3 d and 7 d at the end of every closed hour with a reading.
+
+    Returns (station_key, at, rainfall_1h, rainfall_24h, rainfall_3d, rainfall_7d, quality, status).
+    Hourly partial sums are spread over the longest window, and the shorter ones are sums of its
+    last hours, so one sliding state serves all. A window with less than the required share of its
+    expected readings has no amount, and makes the quality PARTIAL.
+    """
+    hourly = (
+        stream.withWatermark("ts", delay)
+        .groupBy("station_key", F.window("ts", "1 hour").alias("h"))
+        .agg(F.sum("rainfall_1h").alias("mm"), F.count("rainfall_1h").alias("obs"), F.count(F.lit(1)).alias("readings"))
+    )
+    hours = {w: fixed.WINDOW_HOURS[w] for w in expected}
+    at = F.window_time("h")
+    spread = hourly.select("station_key", "mm", "obs", "readings", at.alias("at"), F.window(at, f"{max(hours.values())} hours", "1 hour").alias("w"))
+
+    def last(n: int) -> Column:
+        return F.col("at") >= F.col("w.end") - F.make_interval(hours=F.lit(n))
+
+    aggs = [F.sum(F.when(last(1), F.col("mm"))).alias("mm_1h"), F.sum(F.when(last(1), F.col("readings"))).alias("news")]
+    for w, n in hours.items():
+        aggs += [F.sum(F.when(last(n), F.col("mm"))).alias(f"mm_{w}"), F.sum(F.when(last(n), F.col("obs"))).alias(f"obs_{w}")]
+    closed = spread.groupBy("station_key", "w").agg(*aggs).filter("news > 0")
+    full = {w: F.col(f"obs_{w}") >= x * fixed.MIN_COVERAGE for w, x in expected.items()}
+    lacking = ~functools.reduce(Column.__and__, full.values())
+    return closed.select(
+        "station_key", F.col("w.end").alias("at"), rounded(F.col("mm_1h")).alias("rainfall_1h"),
+        *[F.when(full[w], rounded(F.col(f"mm_{w}"))).alias(f"rainfall_{w}") for w in expected],
+        F.when(F.col("mm_1h").isNull(), "MISSING").when(lacking, "PARTIAL").otherwise("GOOD").alias("quality"),
+        F.when(F.col("mm_1h").isNull(), "MISSING").otherwise("OK").alias("status"),
+    )
+
+
 class AlertProcessor(StatefulProcessor):
     """Emits a row when a place enters a HIGH or CRITICAL level it was not in before.
 
-    The levels of one place are put in time order per micro-batch; the source's
-    maxFilesPerTrigger bounds a batch, also when a backlog is worked off.
+    The state is the newest time seen and its level; rows that are not newer are too late to change
+    it and are ignored. A place has one row an hour, so a micro-batch holds its hours, not readings.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", "level string")
+        self.newest = handle.getValueState("newest", "t_us bigint, level string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t_us", "reading_id", "copy_no"])
-        before = self.level.get()[0] if self.level.exists() else None
-        previous = pdf["risk_level"].shift(1)
-        previous.iloc[0] = before
-        changed = pdf["risk_level"].isin(["HIGH", "CRITICAL"]) & ~(pdf["risk_level"] == previous)
-        self.level.update((str(pdf["risk_level"].iloc[-1]),))
-        if changed.any():
-            out = pdf.loc[changed, ["t_us", "reading_id", "risk_level"]].copy()
-            out.insert(0, "station_key", key[0])
-            yield out
+        at, level = self.newest.get() if self.newest.exists() else (None, None)
+        levels: dict[int, str] = {}
+        for pdf in rows:
+            for t, risk in zip(pdf["t_us"].tolist(), pdf["risk_level"].tolist()):
+                if at is None or t > at:
+                    levels[t] = risk
+        found = []
+        for t in sorted(levels):
+            if levels[t] in ("HIGH", "CRITICAL") and levels[t] != level:
+                found.append((t, levels[t]))
+            at, level = t, levels[t]
+        if levels:
+            self.newest.update((at, level))
+        if found:
+            times, risks = zip(*found)
+            yield pd.DataFrame({"station_key": key[0], "place_id": key[1], "t_us": times, "risk_level": risks})
 
     def close(self) -> None:
         pass
 
 
 def alerts(scored: DataFrame) -> DataFrame:
-    """Transitions into HIGH or CRITICAL per station; scored has risk_level."""
-    narrow = scored.select("station_key", F.unix_micros("ts").alias("t_us"), "reading_id", "copy_no", "risk_level")
-    return narrow.groupBy("station_key").transformWithStateInPandas(
+    """Transitions into HIGH or CRITICAL per station and place; scored has at and risk_level, one row an hour."""
+    narrow = scored.select("station_key", "place_id", F.unix_micros("at").alias("t_us"), "risk_level")
+    return narrow.groupBy("station_key", "place_id").transformWithStateInPandas(
         statefulProcessor=AlertProcessor(),
-        outputStructType="station_key string, t_us bigint, reading_id bigint, risk_level string",
+        outputStructType="station_key string, place_id bigint, t_us bigint, risk_level string",
         outputMode="append", timeMode="None",
     )
 
 
-def score_stream(stream: DataFrame, places: DataFrame) -> DataFrame:
-    """Readings joined to their static places (station_key, place_id, static_score, tier), then
-    triggered on the last hour and fused."""
-    df = stream.join(places, "station_key").withColumns({
-        "rainfall_24h": F.lit(None).cast("double"), "rainfall_3d": F.lit(None).cast("double"),
-        "rainfall_7d": F.lit(None).cast("double"),
-        "quality": F.when(F.col("rainfall_1h").isNull(), "MISSING").otherwise("GOOD"),
-        "status": F.when(F.col("rainfall_1h").isNull(), "MISSING").otherwise("OK"),
-    })
-    return hazard.fuse(hazard.rain_trigger(df))
+def score_stream(stream: DataFrame, places: DataFrame, expected: dict[str, float], delay: str = "1 hour") -> DataFrame:
+    """Closed hours joined to their static places (station_key, place_id, static_score, tier), then
+    triggered on all four windows and fused."""
+    return hazard.fuse(hazard.rain_trigger(window_rain(stream, expected, delay).join(places, "station_key")))
 
 
 class LateSplitter:

@@ -35,15 +35,29 @@ def test_stale_events_over_batches(spark, rocks, tmp_path):
 
 
 def test_alert_only_on_transition(spark, rocks, tmp_path):
-    schema = "station_key string, ts timestamp, reading_id bigint, copy_no int, risk_level string"
+    schema = "station_key string, place_id bigint, at timestamp, risk_level string"
 
-    def rows(start, levels):
-        return [("a", BASE + timedelta(hours=start + i), start + i, 0, x) for i, x in enumerate(levels)]
+    def rows(start, levels, place=1):
+        return [("a", place, BASE + timedelta(hours=start + i), x) for i, x in enumerate(levels)]
 
-    for name, r in (("1", rows(0, ["LOW", "HIGH", "HIGH"])), ("2", rows(3, ["HIGH", "CRITICAL", "WATCH", "HIGH"]))):
+    first = rows(0, ["LOW", "HIGH", "HIGH"]) + rows(0, ["HIGH"], place=2)
+    # an hour that arrives after newer ones must change nothing
+    second = rows(3, ["HIGH", "CRITICAL", "WATCH", "HIGH"]) + rows(1, ["LOW"]) + rows(1, ["HIGH", "LOW", "HIGH"], place=2)
+    for name, r in (("1", first), ("2", second), ("3", rows(7, ["HIGH"]) + rows(2, ["LOW"]))):
         jobs.run_to_end(jobs.alerts(feed(spark, str(tmp_path), name, r, schema)), f"{tmp_path}/rows", f"{tmp_path}/cp")
-    got = sorted((r.reading_id, r.risk_level) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
-    assert got == [(1, "HIGH"), (4, "CRITICAL"), (6, "HIGH")]
+    us = lambda h: int((BASE + timedelta(hours=h)).replace(tzinfo=timezone.utc).timestamp() * 1_000_000)
+    got = sorted((r.place_id, r.t_us, r.risk_level) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
+    assert got == [(1, us(1), "HIGH"), (1, us(4), "CRITICAL"), (1, us(6), "HIGH"), (2, us(0), "HIGH"), (2, us(3), "HIGH")]
+
+
+def test_four_windows_at_closed_hours(spark, tmp_path):
+    schema = "station_key string, ts timestamp, rainfall_1h double"
+    rows = [("a", BASE + timedelta(hours=h, minutes=10), 1.0) for h in range(0, 200)]
+    jobs.run_to_end(jobs.window_rain(feed(spark, str(tmp_path), "1", rows, schema), {"24h": 24.0, "3d": 72.0, "7d": 168.0}), f"{tmp_path}/rows", f"{tmp_path}/cp")
+    got = {(r["at"] - BASE).total_seconds() / 3600: r for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    assert got[10].rainfall_1h == 1.0 and got[10].rainfall_24h is None and got[10].quality == "PARTIAL"
+    assert (got[180].rainfall_24h, got[180].rainfall_3d, got[180].rainfall_7d, got[180].quality) == (24.0, 72.0, 168.0, "GOOD")
+    assert max(got) <= 199
 
 
 def test_late_rows_are_kept_aside(spark, tmp_path):
