@@ -397,11 +397,26 @@ def corridor_match(points: DataFrame, corridors: DataFrame, reach: float = 0.10)
     return points.join(first, "point_id", "left").withColumn("corridor", F.col("_f.corridor")).drop("_f")
 
 
-def sample_grid(points: DataFrame, grid: DataFrame, north: float, west: float, step: float, scale: float = 1.0) -> DataFrame:
-    """Add the grid value under each point; no cell or no data is NULL."""
+def sample_grid(
+    points: DataFrame, grid: DataFrame, north: float, west: float, step: float, scale: float = 1.0,
+    nodata: float | None = None, tile_rows: int | None = None, value: str = "elev",
+) -> DataFrame:
+    """Add the grid value under each point as sampled; no cell, or the NODATA code, is NULL.
+
+    grid has grid_row and grid_col counted from the north-west corner. With tile_rows the grid comes
+    in square tiles of that many rows, told by (tile_row, tile_col), with grid_row and grid_col
+    counted inside the tile.
+    """
     row, col = F.floor((north - F.col("latitude")) / step), F.floor((F.col("longitude") - west) / step)
-    g = grid.select(F.col("grid_row").alias("_row"), F.col("grid_col").alias("_col"), (F.col("elev") / scale).alias("sampled"))
-    return points.join(g, (row == F.col("_row")) & (col == F.col("_col")), "left").drop("_row", "_col")
+    known = F.lit(True) if nodata is None else F.col(value) != nodata
+    keys = {"_row": (F.col("grid_row"), row), "_col": (F.col("grid_col"), col)}
+    if tile_rows:
+        keys = {
+            "_tile_row": (F.col("tile_row"), F.floor(row / tile_rows)), "_tile_col": (F.col("tile_col"), F.floor(col / tile_rows)),
+            "_row": (F.col("grid_row"), F.pmod(row, F.lit(tile_rows))), "_col": (F.col("grid_col"), F.pmod(col, F.lit(tile_rows))),
+        }
+    g = grid.select(*[own.alias(k) for k, (own, _) in keys.items()], F.when(known, F.col(value) / scale).alias("sampled"))
+    return points.join(g, [at == F.col(k) for k, (_, at) in keys.items()], "left").drop(*keys)
 
 
 def code_labels(df: DataFrame) -> DataFrame:

@@ -320,7 +320,7 @@ ENTITIES = [
     "CASE WHEN l_linenumber = 6 THEN (CASE l_orderkey % 4 WHEN 0 THEN 'No prior landslide recorded' "
     "WHEN 1 THEN 'occurred near site' WHEN 2 THEN 'Site visited' ELSE 'documented in 2014' END) "
     "WHEN l_linenumber = 7 AND l_orderkey % 2 = 1 THEN (CASE l_orderkey % 5 WHEN 0 THEN 'high' "
-    "WHEN 1 THEN concat(cast(l_quantity as string), '%') WHEN 2 THEN concat('index 0', '.', '4') "
+    "WHEN 1 THEN concat(cast(l_quantity as string), '%') WHEN 2 THEN 'index 0.4' "
     "ELSE cast(l_quantity as string) END) "
     "ELSE concat(cast(l_quantity as string), CASE l_linenumber "
     "WHEN 1 THEN (CASE l_orderkey % 4 WHEN 0 THEN ' cm' WHEN 1 THEN ' inches' WHEN 2 THEN 'mm' ELSE ' litres' END) "

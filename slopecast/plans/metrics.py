@@ -12,7 +12,7 @@ from slopecast.plans.registry import query
 
 
 def _tier(c: str) -> str:
-    return f"CASE WHEN {c} >= 75e-2 THEN 'Critical' WHEN {c} >= 5e-1 THEN 'High' WHEN {c} >= 25e-2 THEN 'Watch' ELSE 'Low' END"
+    return f"CASE WHEN {c} >= 0.75 THEN 'Critical' WHEN {c} >= 0.5 THEN 'High' WHEN {c} >= 0.25 THEN 'Watch' ELSE 'Low' END"
 
 
 CLASSES = ["doc_id", f"{_tier('p')} AS y_class", f"{_tier('(p + p2) / 2')} AS h_class"]

@@ -136,11 +136,16 @@ def nearest_radar(t: Tables):
 
 @query(
     "raster_point_sample",
-    f"""SELECT point_id, {rnd('g.elev / 10.0')} AS sampled FROM points LEFT JOIN grid g
+    f"""SELECT point_id, CASE WHEN g.elev <> 0 THEN {rnd('g.elev / 10.0')} END AS sampled FROM points LEFT JOIN grid g
     ON g.grid_row = CAST(floor((30.0 - latitude) / 0.1) AS BIGINT) AND g.grid_col = CAST(floor((longitude - 88.0) / 0.1) AS BIGINT)""",
 )
 def raster_point_sample(t: Tables):
-    return op.sample_grid(t.points, t.grid, fixed.LAT_MAX, fixed.LON_MIN, 0.1, 10.0).select(
+    """The grid, cut into tiles of eight rows and columns with a NODATA code, under each point."""
+    tiles = t.grid.select(
+        F.floor(F.col("grid_row") / 8).alias("tile_row"), F.floor(F.col("grid_col") / 8).alias("tile_col"),
+        (F.col("grid_row") % 8).alias("grid_row"), (F.col("grid_col") % 8).alias("grid_col"), "elev",
+    )
+    return op.sample_grid(t.points, tiles, fixed.LAT_MAX, fixed.LON_MIN, 0.1, 10.0, nodata=0.0, tile_rows=8).select(
         "point_id", rounded(F.col("sampled")).alias("sampled")
     )
 

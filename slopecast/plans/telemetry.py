@@ -85,18 +85,33 @@ def district_daily_scan(t: Tables):
 @query(
     "inventory_scan",
     f"""SELECT event_id AS feature_id, raw_state AS state, {rnd('latitude')} AS latitude, {rnd('longitude')} AS longitude,
-    CASE WHEN event_no % 2 = 0 THEN 'Point' ELSE 'Polygon' END AS geometry_type FROM inventory""",
+    CASE event_no % 6 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' WHEN 2 THEN 'MultiPolygon' WHEN 3 THEN 'LineString' WHEN 4 THEN 'MultiLineString' ELSE 'MultiPoint' END AS geometry_type FROM inventory""",
 )
 def inventory_scan(t: Tables):
-    """Write the inventory as feature collections (one collection per 500 events), then scan them."""
+    """Write the inventory as feature collections (one collection per 500 events) of six geometry
+    types around the events' positions, then scan them."""
     path = scratch_path(t.spark, "inventory")
     lon, lat = F.col("longitude"), F.col("latitude")
-    corner = [F.array(lon + dx, lat + dy) for dx, dy in ((-0.01, -0.01), (0.01, -0.01), (0.01, 0.01), (-0.01, 0.01), (-0.01, -0.01))]
-    is_point = F.col("event_no") % 2 == 0
-    geometry = F.concat(
-        F.lit('{"type":"'), F.when(is_point, "Point").otherwise("Polygon"), F.lit('","coordinates":'),
-        F.when(is_point, F.to_json(F.array(lon, lat))).otherwise(F.to_json(F.array(F.array(*corner)))), F.lit("}"),
-    )
+
+    def line(*steps):
+        return F.array(*[F.array(lon + dx, lat + dy) for dx, dy in steps])
+
+    def square(r):
+        return line((-r, -r), (r, -r), (r, r), (-r, r), (-r, -r))
+
+    def box(dx):
+        return line((dx - 0.01, -0.01), (dx + 0.01, -0.01), (dx + 0.01, 0.01), (dx - 0.01, 0.01), (dx - 0.01, -0.01))
+
+    shapes = [
+        ("Point", F.array(lon, lat)), ("Polygon", F.array(square(0.03), F.reverse(square(0.01)))),
+        ("MultiPolygon", F.array(F.array(box(-0.05)), F.array(box(0.05)))), ("LineString", line((-0.02, 0), (0.02, 0))),
+        ("MultiLineString", F.array(line((-0.02, 0.01), (0.02, 0.01)), line((-0.02, -0.01), (0.02, -0.01)))), ("MultiPoint", line((-0.01, -0.02), (0.01, 0.02))),
+    ]
+    kind, coordinates = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (name, shape) in enumerate(shapes):
+        here = F.col("event_no") % 6 == k
+        kind, coordinates = F.when(here, name).otherwise(kind), F.when(here, F.to_json(shape)).otherwise(coordinates)
+    geometry = F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}"))
     props = F.when(
         F.col("event_no") % 3 == 0,
         F.to_json(F.create_map(F.lit("State"), F.col("raw_state"), F.lit("Latitude"), lat.cast("string"),
@@ -129,17 +144,17 @@ def nested_json_scan(t: Tables):
 
 @query(
     "tile_payload_scan",
-    f"SELECT grid_row AS tile, CAST(0 AS BIGINT) AS cell_row, grid_col AS cell_col, {rnd('elev')} AS elev FROM grid",
+    f"SELECT grid_row // 4 AS tile, grid_row % 4 AS cell_row, grid_col AS cell_col, {rnd('elev')} AS elev FROM grid",
 )
 def tile_payload_scan(t: Tables):
-    """Grid rows as nested JSON payloads with a flat array, read back to one row per cell."""
+    """Tiles of four grid rows as nested JSON payloads with a flat array, read back to one row per cell."""
     cells = F.transform(
-        F.array_sort(F.collect_list(F.struct("grid_col", "elev"))), lambda c: c["elev"]
+        F.array_sort(F.collect_list(F.struct("grid_row", "grid_col", "elev"))), lambda c: c["elev"]
     )
     payload = (
-        t.grid.groupBy("grid_row")
-        .agg(cells.alias("elevations"))
-        .select(F.to_json(F.struct(F.col("grid_row").alias("tile"), F.size("elevations").alias("width"), "elevations")).alias("j"))
+        t.grid.groupBy(F.floor(F.col("grid_row") / 4).alias("tile"))
+        .agg(cells.alias("elevations"), (F.max("grid_col") + 1).alias("width"))
+        .select(F.to_json(F.struct("tile", "width", "elevations")).alias("j"))
     )
     return readers.read_tile_cells(payload, "j").select(
         "tile", "cell_row", F.col("cell_col").cast("bigint").alias("cell_col"), rounded(F.col("elev")).alias("elev")

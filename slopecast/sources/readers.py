@@ -94,32 +94,77 @@ FEATURE = T.StructType([
 COLLECTION = T.StructType([T.StructField("features", T.ArrayType(FEATURE))])
 
 
-def ring_centroid(ring: Column) -> Column:
-    """Area centroid of a closed ring of [x, y] pairs, as struct(x, y)."""
-    pairs = F.zip_with(
-        F.slice(ring, 1, F.size(ring) - 1),
-        F.slice(ring, 2, F.size(ring) - 1),
-        lambda a, b: F.struct(
-            (a[0] * b[1] - b[0] * a[1]).alias("w"), (a[0] + b[0]).alias("x"), (a[1] + b[1]).alias("y")
-        ),
+def _moments(pieces: Column) -> Column:
+    """Centroid struct(x, y) of pieces (w, x, y) with x and y weighted by w; NULL without weight."""
+    total = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + p["w"])
+    x = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + p["x"])
+    y = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + p["y"])
+    return F.when(total > 0, F.struct((x / total).alias("x"), (y / total).alias("y")))
+
+
+def _steps(line: Column, piece) -> Column:
+    """piece(a, b) for every two neighbours of a line."""
+    n = F.greatest(F.size(line) - 1, F.lit(0))
+    return F.zip_with(F.slice(line, 1, n), F.slice(line, 2, n), piece)
+
+
+def _ring(ring: Column, sign: Column) -> Column:
+    """(w, x, y) of a closed ring, its area counted with the given sign whatever its direction."""
+    pairs = _steps(ring, lambda a, b: F.struct(
+        (a[0] * b[1] - b[0] * a[1]).alias("w"), (a[0] + b[0]).alias("x"), (a[1] + b[1]).alias("y")
+    ))
+    area = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"])
+    x = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["x"] * p["w"])
+    y = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["y"] * p["w"])
+    turn = sign * F.signum(area)
+    return F.struct((area * turn).alias("w"), (x * turn / 3.0).alias("x"), (y * turn / 3.0).alias("y"))
+
+
+def polygons_centroid(polygons: Column) -> Column:
+    """Area centroid of polygons; the rings after the first of each are holes."""
+    rings = F.flatten(F.transform(polygons, lambda p: F.transform(p, lambda r, i: _ring(r, F.when(i == 0, 1.0).otherwise(-1.0)))))
+    return _moments(rings)
+
+
+def lines_centroid(lines: Column) -> Column:
+    """Centroid of lines, weighted by length."""
+
+    def piece(a: Column, b: Column) -> Column:
+        length = F.hypot(b[0] - a[0], b[1] - a[1])
+        return F.struct(length.alias("w"), ((a[0] + b[0]) / 2.0 * length).alias("x"), ((a[1] + b[1]) / 2.0 * length).alias("y"))
+
+    return _moments(F.flatten(F.transform(lines, lambda line: _steps(line, piece))))
+
+
+def points_centroid(points: Column) -> Column:
+    return _moments(F.transform(points, lambda p: F.struct(F.lit(1.0).alias("w"), p[0].alias("x"), p[1].alias("y"))))
+
+
+def geometry_centroid(kind: Column, coordinates: Column) -> Column:
+    """Centroid struct(x, y) of a geometry: by area, else by length, else of its points."""
+
+    def parsed(depth: int) -> Column:
+        return F.from_json(coordinates, "array<" * depth + "double" + ">" * depth)
+
+    flat = F.coalesce(
+        F.when(kind == "Point", F.array(parsed(1))), F.when(kind.isin("MultiPoint", "LineString"), parsed(2)),
+        F.when(kind.isin("MultiLineString", "Polygon"), F.flatten(parsed(3))), F.when(kind == "MultiPolygon", F.flatten(F.flatten(parsed(4)))),
     )
-    total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"])
-    cx = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["x"] * p["w"])
-    cy = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["y"] * p["w"])
-    return F.struct((cx / (3.0 * total)).alias("x"), (cy / (3.0 * total)).alias("y"))
+    lines = F.coalesce(
+        F.when(kind == "LineString", F.array(parsed(2))), F.when(kind.isin("MultiLineString", "Polygon"), parsed(3)),
+        F.when(kind == "MultiPolygon", F.flatten(parsed(4))),
+    )
+    areas = F.coalesce(F.when(kind == "Polygon", F.array(parsed(3))), F.when(kind == "MultiPolygon", parsed(4)))
+    return F.coalesce(polygons_centroid(areas), lines_centroid(lines), points_centroid(flat))
 
 
 def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Feature collections to one row per feature; the position is taken from the properties,
-    else from the geometry's centroid. Features without a usable geometry are skipped."""
+    else from the geometry's centroid, whatever its type. Features without coordinates, as geometry
+    collections are, and without a position in the properties are skipped."""
     raw = spark.read.schema(COLLECTION).json(path, multiLine=multi_line)
-    f = raw.select(F.explode("features").alias("f")).select("f.*").filter("geometry.coordinates is not null")
-    point = F.from_json("geometry.coordinates", "array<double>")
-    ring = F.from_json("geometry.coordinates", "array<array<array<double>>>")[0]
-    centre = F.when(F.col("geometry.type") == "Point", F.struct(point[0].alias("x"), point[1].alias("y"))).when(
-        F.col("geometry.type") == "Polygon", ring_centroid(ring)
-    )
-    f = f.withColumn("_c", centre)
+    f = raw.select(F.explode("features").alias("f")).select("f.*").filter("geometry is not null")
+    f = f.withColumn("_c", geometry_centroid(F.col("geometry.type"), F.col("geometry.coordinates")))
     p = F.col("properties")
     return f.select(
         F.col("id").alias("feature_id"),
