@@ -11,15 +11,15 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopecast.functions.columns import rounded
 from slopecast.operators.labels import block_table, fold_of, spatial_block
 from slopecast.operators.metrics import average_precision, class_metrics, roc_auc
-from slopecast.operators.ranks import numbered
+from slopecast.operators.ranks import exact_quantiles, numbered
 from slopecast.session import settle
 
 SEED = 42
@@ -59,27 +59,30 @@ def fold_report(df: DataFrame) -> DataFrame:
 
 
 class Prepared:
-    """Imputation and encoding fitted on training rows only."""
+    """Imputation and encoding fitted on training rows only.
+
+    Missing numbers take the exact median and missing names the most frequent one (ties: the least).
+    Names are coded by frequency, then by name; a name that training did not have has no code.
+    What the driver keeps is one number a column and one row a name of the fixed class lists.
+    """
 
     def __init__(self, train: DataFrame, numeric: Sequence[str], categories: Sequence[str]):
         self.numeric, self.categories = list(numeric), list(categories)
-        modes = train.agg(*[F.mode(c).alias(c) for c in self.categories]).first()
-        self.modes = {c: modes[c] for c in self.categories if modes[c] is not None}
-        filled = [f"{c}_filled" for c in self.numeric]
-        stages = [
-            Imputer(strategy="median", inputCols=self.numeric, outputCols=filled),
-            StringIndexer(inputCols=self.categories, outputCols=[f"{c}_ix" for c in self.categories], handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"{c}_ix" for c in self.categories], outputCols=[f"{c}_hot" for c in self.categories]),
-            VectorAssembler(inputCols=[*filled, *[f"{c}_hot" for c in self.categories]], outputCol="features"),
-        ]
-        self.model = Pipeline(stages=stages).fit(self._clean(train))
-
-    def _clean(self, df: DataFrame) -> DataFrame:
-        df = df.withColumns({c: F.col(c).cast("double") for c in self.numeric})
-        return df.fillna(self.modes) if self.modes else df
+        pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in self.numeric])
+        long = train.select(F.explode(pairs).alias("p")).select("p.name", "p.value")
+        self.medians = {r["name"]: r["median"] for r in exact_quantiles(long, ["name"], "value", {"median": 0.5}).collect()}
+        self.codes = {}
+        for c in self.categories:
+            counts = train.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()
+            self.codes[c] = [r[c] for r in sorted(counts, key=lambda r: (-r["n"], r[c]))]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self._clean(df))
+        filled = [F.coalesce(F.col(c).cast("double"), F.lit(self.medians.get(c, 0.0))) for c in self.numeric]
+        flags = []
+        for c in self.categories:
+            names = self.codes[c]
+            flags += [(F.coalesce(F.col(c), F.lit(names[0])) == n).cast("double") for n in names]
+        return df.withColumn("features", array_to_vector(F.array(*filled, *flags)))
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -162,13 +165,31 @@ def fold_metrics(scores: DataFrame, keys: Sequence[str] = ("set_name", "fold"))
 
 def cv_summary(metrics: DataFrame) -> DataFrame:
     """Mean and deviation over the folds, per feature set."""
-    names = ("roc_auc", "average_precision", "brier", "accuracy", "balanced_accuracy", "f1")
+    names = ("roc_auc", "average_precision", "brier", "accuracy", "balanced_accuracy", "precision", "recall", "f1")
     return metrics.groupBy("set_name").agg(
         F.count(F.lit(1)).alias("folds"),
         *[rounded(F.avg(n)).alias(f"{n}_mean") for n in names], *[rounded(F.stddev_pop(n)).alias(f"{n}_std") for n in names],
     )
 
 
+def with_deltas(summary: DataFrame, base: str) -> DataFrame:
+    """Add to each feature set what its mean AUC and average precision gain over the base set."""
+    own = summary.filter(F.col("set_name") == base).select(*[F.col(f"{n}_mean").alias(f"_{n}") for n in ("roc_auc", "average_precision")], F.lit(1).alias("_k"))
+    joined = summary.withColumn("_k", F.lit(1)).join(F.broadcast(own), "_k")  # one row
+    return joined.withColumns({f"{n}_delta": rounded(F.col(f"{n}_mean") - F.col(f"_{n}")) for n in ("roc_auc", "average_precision")}).drop("_k", "_roc_auc", "_average_precision")
+
+
+def calibrated_folds(df: DataFrame, numeric: Sequence[str], trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Brier score per spatial fold, raw and calibrated; the sigmoid is learned inside the other folds."""
+    parts = []
+    for fold in range(FOLDS):
+        out = calibrate(df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold), numeric, trees, depth)
+        parts.append(out.select("fold", "label", "score", "calibrated"))
+    scored = settle(reduce(DataFrame.unionByName, parts))
+    error = lambda c: rounded(F.avg(F.pow(F.col(c) - F.col("label"), F.lit(2.0))))
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("samples"), error("score").alias("brier_raw"), error("calibrated").alias("brier_calibrated"))
+
+
 def calibrate(df: DataFrame, test: DataFrame, numeric: Sequence[str], trees: int = TREES, depth: int = DEPTH, inner: int = 3) -> DataFrame:
     """Platt scaling learned inside the training rows; adds calibrated beside score on the test rows.
 
@@ -190,6 +211,16 @@ def calibrate(df: DataFrame, test: DataFrame, numeric: Sequence[str], trees: int
     )
 
 
+def fold_importance(df: DataFrame, numeric: Sequence[str], columns: Sequence[str], key: str, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Permutation importance on every spatial fold in turn, each by a model of the other folds; means over folds."""
+    parts = []
+    for fold in range(FOLDS):
+        model = Susceptibility(df.filter(F.col("fold") != fold), numeric, trees=trees, depth=depth)
+        parts.append(permutation_importance(model, df.filter(F.col("fold") == fold), columns, key).withColumn("fold", F.lit(fold)))
+    each = settle(reduce(DataFrame.unionByName, parts))
+    return each.groupBy("feature").agg(F.count(F.lit(1)).alias("folds"), F.avg("mean_drop").alias("mean_drop"), F.stddev_pop("mean_drop").alias("std_drop"))
+
+
 def permutation_importance(model: Susceptibility, test: DataFrame, columns: Sequence[str], key: str, repeats: int = 5, seed: int = SEED) -> DataFrame:
     """Mean drop of AUC when one column is shuffled, over repeats.
 

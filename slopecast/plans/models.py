@@ -12,7 +12,7 @@ from slopecast.functions.columns import rounded, segment_metres
 from slopecast.operators import models as op
 from slopecast.operators.labels import stratified_split
 from slopecast.operators.spatial import code_labels, nearest_other, nearest_segment
-from slopecast.plans.bindings import Tables
+from slopecast.plans.bindings import Tables, rnd
 from slopecast.plans.registry import query
 from slopecast.session import settle
 
@@ -41,23 +41,37 @@ def samples_with_distances(t: Tables) -> DataFrame:
     }).drop("_road", "_river", "nearest_other_km")
 
 
-# Jobs that fit many forests use smaller ones than the default of 150 trees and depth 16.
-SMALL = {"trees": 40, "depth": 10}
-
-
 @query("spatial_folds")
 def spatial_folds(t: Tables):
     """Five spatial folds: samples, labels and blocks of each."""
     return op.fold_report(op.spatial_folds(samples(t)))
 
 
-@query("impute_encode")
+_COVER = "CASE cover_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in fixed.LAND_COVER.items()) + " END"
+_SOIL = "CASE soil_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(fixed.SOIL_CLASSES)) + " END"
+_SAMPLES = f"(SELECT *, {LABEL} FROM (SELECT point_id, {', '.join(op.NUMERIC)}, {_SOIL} AS soil_class, {_COVER} AS landcover_class FROM points))"
+_PARTS = f"""(SELECT s.*, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42-' || point_id), point_id) <= floor(count(*) OVER (PARTITION BY label) * 0.75 + 0.5)
+    THEN 'train' ELSE 'test' END AS part FROM {_SAMPLES} s)"""
+_CODES = ", ".join(
+    f"(SELECT list({c} ORDER BY n DESC, {c}) FROM (SELECT {c}, count(*) AS n FROM parts WHERE part = 'train' AND {c} IS NOT NULL GROUP BY 1)) AS {c}_codes" for c in op.CATEGORIES
+)
+_HOT = [f"list_transform({c}_codes, lambda x: CAST(CASE WHEN x = {c}_value THEN 1 ELSE 0 END AS DOUBLE))" for c in op.CATEGORIES]
+
+
+@query(
+    "impute_encode",
+    f"""WITH parts AS {_PARTS}, med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS {c}' for c in op.NUMERIC)} FROM parts WHERE part = 'train'),
+    codes AS (SELECT {_CODES}),
+    filled AS (SELECT point_id, part, {', '.join(f'CAST(coalesce(p.{c}, med.{c}) AS DOUBLE) AS {c}' for c in op.NUMERIC)}, codes.*,
+      {', '.join(f'coalesce(p.{c}, {c}_codes[1]) AS {c}_value' for c in op.CATEGORIES)} FROM parts p, med, codes)
+    SELECT point_id, part, list_concat([{', '.join(rnd(c) for c in op.NUMERIC)}], list_concat({_HOT[0]}, {_HOT[1]})) AS features FROM filled""",
+)
 def impute_encode(t: Tables):
     """Every sample as an encoded vector; medians, modes and codes come from the training part only."""
     parts = settle(stratified_split(samples(t), "label", "point_id"))
     prepared = op.Prepared(parts.filter("part = 'train'"), op.NUMERIC, op.CATEGORIES)
     out = prepared.transform(parts)
-    return out.select("point_id", "part", vector_to_array("features").alias("features"))
+    return out.select("point_id", "part", F.transform(vector_to_array("features"), lambda x: rounded(x)).alias("features"))
 
 
 @query("susceptibility_model")
@@ -70,30 +84,21 @@ def susceptibility_model(t: Tables):
 
 @query("spatial_cv")
 def spatial_cv(t: Tables):
-    """Cross-validated metrics over five spatial folds, for three feature sets."""
+    """Cross-validated metrics over five spatial folds, for three feature sets, and what each gains over the first."""
     df = settle(op.spatial_folds(samples_with_distances(t)))
-    return op.cv_summary(op.fold_metrics(op.cross_validated(df, op.FEATURE_SETS, **SMALL)))
+    return op.with_deltas(op.cv_summary(op.fold_metrics(op.cross_validated(df, op.FEATURE_SETS))), "environment")
 
 
 @query("sigmoid_calibration")
 def sigmoid_calibration(t: Tables):
-    """Brier score of raw and calibrated scores on held-out samples."""
-    parts = settle(stratified_split(samples(t), "label", "point_id"))
-    out = op.calibrate(parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part"), op.NUMERIC, **SMALL)
-    return out.agg(
-        F.count(F.lit(1)).alias("samples"),
-        rounded(F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2.0)))).alias("brier_raw"),
-        rounded(F.avg(F.pow(F.col("calibrated") - F.col("label"), F.lit(2.0)))).alias("brier_calibrated"),
-    )
+    """Brier score of raw and calibrated scores, per spatial fold."""
+    return op.calibrated_folds(settle(op.spatial_folds(samples(t))), op.NUMERIC)
 
 
 @query("permutation_importance")
 def permutation_importance(t: Tables):
-    """Drop of held-out AUC per shuffled feature."""
-    parts = settle(stratified_split(samples(t), "label", "point_id"))
-    model = op.Susceptibility(parts.filter("part = 'train'"), op.NUMERIC)
-    test = parts.filter("part = 'test'").drop("part")
-    return op.permutation_importance(model, test, [*op.NUMERIC, *op.CATEGORIES], "point_id")
+    """Drop of held-out AUC per shuffled feature, over five spatial folds."""
+    return op.fold_importance(settle(op.spatial_folds(samples(t))), op.NUMERIC, [*op.NUMERIC, *op.CATEGORIES], "point_id")
 
 
 CLASSES = fixed.SEVERITY_ORDER

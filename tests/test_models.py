@@ -41,8 +41,8 @@ def test_preparation_uses_training_rows_only(spark):
     train = spark.createDataFrame([(1.0, "A"), (3.0, "A"), (None, None), (5.0, "B")], schema)
     p = models.Prepared(train, ["elevation_m"], ["soil_class"])
     out = p.transform(spark.createDataFrame([(None, None), (100.0, "Z")], schema)).collect()
-    assert out[0].elevation_m_filled == 3.0 and out[0].soil_class == "A"
-    assert out[1].elevation_m_filled == 100.0 and out[1].soil_class_ix == 2.0
+    assert out[0].features.toArray().tolist() == [3.0, 1.0, 0.0] and out[0].soil_class is None
+    assert out[1].features.toArray().tolist() == [100.0, 0.0, 0.0]
 
 
 def test_parameters_are_those_of_the_model(folded):
