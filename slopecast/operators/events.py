@@ -153,25 +153,27 @@ def link_rainfall(
     }).drop("nearest", "_km", "total")
 
 
-def pair_review(events: DataFrame, key: str, day: str, km: float = 50.0, days: int = 2) -> DataFrame:
+def pair_review(events: DataFrame, key: str, day: str, district: str, km: float = 50.0, days: int = 2) -> DataFrame:
     """Review of each event's partners: those within km, or within days of it.
 
     Partners are counted per class and never listed: in a dense place or on a busy date the list
-    of pairs is quadratic. The counting runs on (place, day) totals, so events that share a place
-    and a day cost one row.
+    of pairs is quadratic. The counting runs on (place, district, day) totals, so events that share
+    them cost one row.
 
     - reactivation: under 50 m, another day
     - ward_cluster: under 1 km, same day
     - corridor_cluster: 1 km to km, same day
     - independent: the other partners
-    - high_similarity: partners under 1 km on any day
+    - high_similarity: partners under 1 km on any day; moderate_similarity: the others of the same
+      district; low_similarity: the rest. A missing district is like no other.
     """
     at = events.select(
-        key, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col(day).alias("_day")
+        key, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col(district).alias("_dist"), F.col(day).alias("_day")
     ).filter("_lat is not null and _lon is not null and _day is not null")
     own = radius_cell(F.col("_lat"), F.col("_lon"), km)
     ci, cj = own["i"], own["j"]
-    place_day = at.groupBy("_lat", "_lon", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    where = ["_lat", "_lon", "_dist"]
+    place_day = at.groupBy(*where, "_day").agg(F.count(F.lit(1)).alias("_n"))
 
     def spread(df: DataFrame) -> DataFrame:
         other = df.select(
@@ -181,17 +183,21 @@ def pair_review(events: DataFrame, key: str, day: str, km: float = 50.0, days: i
         return other.select("*", F.col("_a.i").alias("_ci"), F.col("_a.j").alias("_cj")).drop("_a")
 
     apart = haversine_km(F.col("_lat"), F.col("_lon"), F.col("b_lat"), F.col("b_lon"))
+    same = F.coalesce(F.col("_dist") == F.col("b_dist"), F.lit(False))
 
     def total(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("b_n"))), F.lit(0))
 
     # all days together, per place
-    place = place_day.groupBy("_lat", "_lon").agg(F.sum("_n").alias("_n"))
+    place = place_day.groupBy(*where).agg(F.sum("_n").alias("_n"))
     d = F.col("_d")
     by_place = (
         place.drop("_n").withColumns({"_ci": ci, "_cj": cj}).join(spread(place), ["_ci", "_cj"])
-        .withColumn("_d", apart).filter(d <= km).groupBy("_lat", "_lon")
-        .agg(total(d < 0.05).alias("_p50m"), total(d < 1.0).alias("_p1k"), total(d >= 0.05).alias("_pfar"))
+        .withColumn("_d", apart).filter(d <= km).groupBy(*where)
+        .agg(
+            total(d < 0.05).alias("_p50m"), total(d < 1.0).alias("_p1k"), total(d >= 0.05).alias("_pfar"),
+            total(same & (d >= 1.0)).alias("_psame"),
+        )
     )
     # close in space and time, per place and day
     steps = F.explode(F.array(*[F.lit(s) for s in range(-days, days + 1)]))
@@ -199,31 +205,41 @@ def pair_review(events: DataFrame, key: str, day: str, km: float = 50.0, days: i
         place_day.drop("_n").withColumns({"_ci": ci, "_cj": cj}).select("*", steps.alias("_step"))
         .withColumn("b_day", F.col("_day") + F.col("_step"))
         .join(spread(place_day), ["b_day", "_ci", "_cj"])
-        .withColumn("_d", apart).filter(d <= km).groupBy("_lat", "_lon", "_day")
+        .withColumn("_d", apart).filter(d <= km).groupBy(*where, "_day")
         .agg(
             total((F.col("_step") == 0) & (d < 0.05)).alias("_d50m"),
             total((F.col("_step") == 0) & (d < 1.0)).alias("_d1k"),
             total((F.col("_step") == 0) & (d >= 1.0)).alias("_dfar"),
             total((F.col("_step") == 0) & (d >= 0.05)).alias("_dge50m"),
-            total(F.lit(True)).alias("_dnear"),
+            total(F.lit(True)).alias("_dnear"), total(same).alias("_dsame"),
         )
     )
-    # close in time anywhere, per day
-    around_day = (
-        at.groupBy("_day").agg(F.count(F.lit(1)).alias("b_n"))
-        .select("_day", "b_n", steps.alias("_step")).withColumn("_day", F.col("_day") + F.col("_step"))
-        .groupBy("_day").agg(F.sum("b_n").alias("_anywhere"))
-    )
-    counts = by_day.join(by_place, ["_lat", "_lon"]).join(around_day, "_day").select(
-        "_lat", "_lon", "_day",
+
+    # close in time anywhere, per day, and per day and district
+    def around_day(keys: list[str], name: str) -> DataFrame:
+        return (
+            at.groupBy("_day", *keys).agg(F.count(F.lit(1)).alias("b_n"))
+            .select("_day", *keys, "b_n", steps.alias("_step")).withColumn("_day", F.col("_day") + F.col("_step"))
+            .groupBy("_day", *keys).agg(F.sum("b_n").alias(name))
+        )
+
+    alike = [by_day[c].eqNullSafe(by_place[c]) for c in where]
+    counts = by_day.join(by_place, alike).select(by_day["*"], "_p50m", "_p1k", "_pfar", "_psame")
+    counts = counts.join(around_day([], "_anywhere"), "_day").join(around_day(["_dist"], "_anysame"), ["_day", "_dist"], "left")
+    partners = F.col("_p50m") + F.col("_pfar") - 1 + F.col("_anywhere") - F.col("_dnear")
+    high = F.col("_p1k") - 1
+    moderate = F.col("_psame") + F.coalesce(F.col("_anysame") - F.col("_dsame"), F.lit(0))
+    counts = counts.select(
+        *where, "_day",
         (F.col("_p50m") - F.col("_d50m")).alias("reactivation"),
         (F.col("_d1k") - 1).alias("ward_cluster"),
         F.col("_dfar").alias("corridor_cluster"),
         (F.col("_pfar") - F.col("_dge50m") + F.col("_anywhere") - F.col("_dnear")).alias("independent"),
-        (F.col("_p1k") - 1).alias("high_similarity"),
+        high.alias("high_similarity"), moderate.alias("moderate_similarity"), (partners - high - moderate).alias("low_similarity"),
     )
-    return at.join(counts, ["_lat", "_lon", "_day"]).select(
-        key, "reactivation", "ward_cluster", "corridor_cluster", "independent", "high_similarity"
+    joined = at.join(counts.withColumnsRenamed({c: f"k{c}" for c in (*where, "_day")}), [at[c].eqNullSafe(F.col(f"k{c}")) for c in (*where, "_day")])
+    return joined.select(
+        key, "reactivation", "ward_cluster", "corridor_cluster", "independent", "high_similarity", "moderate_similarity", "low_similarity"
     )
 
 

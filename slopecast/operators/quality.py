@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from slopecast import fixed
 from slopecast.functions.columns import normal_name, rounded
 from slopecast.operators.ranks import exact_quantiles
+from slopecast.session import settle
 
 INF = float("inf")
 
@@ -65,16 +66,19 @@ def profile_gate(df: DataFrame, features: Sequence[tuple], target: str, classes:
             aggs[f"below_min|{name}"] = F.count_if(finite & (v < lo))
             aggs[f"above_max|{name}"] = F.count_if(finite & (v > hi))
     columns = [n for n, _, _ in features] + [target]
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    wide = df.agg(*[c.alias(k) for k, c in aggs.items()])
+    # one pass by class gives every count; the rest of the job reads that table of one row per class
+    by_class = settle(df.groupBy(target).agg(*[c.alias(k) for k, c in aggs.items()]), "profile")
+    wide = by_class.agg(*[F.coalesce(F.sum(f"`{k}`"), F.lit(0)).alias(k) for k in aggs])
     flat = unpivot(wide, {k: F.col(f"`{k}`") for k in aggs}).select(
         F.split("field", r"\|")[0].alias("check"), F.split("field", r"\|")[1].alias("field"), "n"
     )
     small = flat.filter("check = 'rows' and n < 50").select(F.lit("size_warning").alias("check"), "field", "n")
-    dup = groups.agg((F.sum("_n") - F.count(F.lit(1))).alias("n")).select(
+    # equal rows have equal 128-bit digests; a NULL is told from every text
+    row = F.md5(F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}))
+    dup = df.groupBy(row.alias("_row")).agg(F.count(F.lit(1)).alias("_n")).agg((F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).alias("n")).select(
         F.lit("duplicate_rows").alias("check"), F.lit("").alias("field"), "n"
     )
-    per_class = groups.filter(F.col(target).isNotNull()).groupBy(target).agg(F.sum("_n").alias("n"))
+    per_class = by_class.filter(F.col(target).isNotNull()).select(target, F.col("`rows||`").alias("n"))
     dist = per_class.select(
         F.when(F.col(target).isin(*classes), "class").otherwise("invalid_class").alias("check"),
         F.col(target).alias("field"), "n",

@@ -43,6 +43,15 @@ def running_totals(
     )
 
 
+def in_ranges(df: DataFrame, order: Sequence[str], label: str = "ranges") -> DataFrame:
+    """df, written in ranges of its order, with _bucket: the number of the range.
+
+    The ranges follow the data, so that a crowded stretch of values is cut into as many buckets as
+    its rows need; equal keys share a bucket, and buckets do not decrease along the order.
+    """
+    return settle(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id().cast("bigint")), label)
+
+
 def numbered(
     df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "rn"
 ) -> DataFrame:
@@ -55,30 +64,25 @@ def exact_quantiles(
     groups: Sequence[str],
     value: str,
     quantiles: dict[str, float],
-    buckets: int = 256,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation; NULL values are skipped.
 
-    Works on value counts, so repeated values cost one row, and sorts only inside one of
-    `buckets` equal value ranges of a group.
+    Works on value counts, so repeated values cost one row, and sorts only inside ranges of values
+    that follow the data.
     """
     keep = list(groups)
     if not keep:
         df, groups = df.withColumn("_all", F.lit(0)), ["_all"]
-    counts = settle(
+    counts = in_ranges(
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n")),
-        "counts",
-    )
-    span = counts.groupBy(*groups).agg(
-        F.sum("_n").alias("_size"), F.min("_x").alias("_min"), F.max("_x").alias("_max")
+        [*groups, "_x"], "counts",
     )
-    span = span.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_size", "_min", "_max")
+    span = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
+    span = span.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_size")
     counts = counts.join(span, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups])
-    width = (F.col("_max") - F.col("_min")) / float(buckets)
-    bucket = F.when(width > 0, F.floor((F.col("_x") - F.col("_min")) / width)).otherwise(F.lit(0).cast("bigint"))
-    cum = running_totals(counts, groups, bucket, [F.col("_x")], {"_end": F.col("_n")})
+    cum = running_totals(counts, groups, F.col("_bucket"), [F.col("_x")], {"_end": F.col("_n")})
     start = F.col("_end") - F.col("_n")
     aggs = []
     for name, q in quantiles.items():

@@ -170,17 +170,18 @@ def event_window_join(t: Tables):
     "pairwise_event_review",
     f"""WITH sites AS (SELECT DISTINCT site_no, latitude, longitude FROM inventory),
     d AS (SELECT p.site_no AS a, s.site_no AS b, {_ES} AS km FROM sites p, sites s),
-    x AS (SELECT e.event_no, d.km, abs(e.event_day - f.event_day) AS gap FROM inventory e JOIN d ON d.a = e.site_no AND d.km <= 50
+    x AS (SELECT e.event_no, d.km, abs(e.event_day - f.event_day) AS gap, e.raw_district = f.raw_district AS same FROM inventory e JOIN d ON d.a = e.site_no AND d.km <= 50
         JOIN inventory f ON f.site_no = d.b AND f.event_no <> e.event_no
-      UNION ALL SELECT e.event_no, d.km, abs(e.event_day - f.event_day) FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS step FROM inventory) e
+      UNION ALL SELECT e.event_no, d.km, abs(e.event_day - f.event_day), e.raw_district = f.raw_district FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS step FROM inventory) e
         JOIN inventory f ON f.event_day = e.event_day + e.step JOIN d ON d.a = e.site_no AND d.b = f.site_no AND d.km > 50)
     SELECT i.event_no, count(*) FILTER (km < 0.05 AND gap > 0) AS reactivation, count(*) FILTER (km < 1 AND gap = 0) AS ward_cluster,
     count(*) FILTER (km >= 1 AND km <= 50 AND gap = 0) AS corridor_cluster,
-    count(*) FILTER (NOT (km < 0.05 AND gap > 0) AND NOT (km <= 50 AND gap = 0)) AS independent, count(*) FILTER (km < 1) AS high_similarity
+    count(*) FILTER (NOT (km < 0.05 AND gap > 0) AND NOT (km <= 50 AND gap = 0)) AS independent, count(*) FILTER (km < 1) AS high_similarity,
+    count(*) FILTER (km >= 1 AND same) AS moderate_similarity, count(*) FILTER (km >= 1 AND NOT same) AS low_similarity
     FROM inventory i LEFT JOIN x ON x.event_no = i.event_no GROUP BY i.event_no""",
 )
 def pairwise_event_review(t: Tables):
-    return op.pair_review(t.inventory, "event_no", "event_day")
+    return op.pair_review(t.inventory, "event_no", "event_day", "raw_district")
 
 
 @query(

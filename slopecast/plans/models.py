@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,20 +113,16 @@ def vectors(t: Tables) -> DataFrame:
 
 @query("risk_class_models")
 def risk_class_models(t: Tables):
-    """Forest, logistic and boosting compared by three-fold cross-validation."""
-    return op.compare_models(vectors(t), "vec_id", CLASSES, trees=100, rounds=10)
-
-
-def _forest():
-    return RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=100, maxDepth=10, seed=op.SEED)
+    """Forest, logistic and boosting compared by three stratified folds and a hold-out."""
+    return op.compare_models(vectors(t), "vec_id", CLASSES)
 
 
 @query("model_importance")
 def model_importance(t: Tables):
     """Impurity and coefficient importance of every embedding dimension."""
     df = settle(op.class_weights(vectors(t), "y"))
-    rf = _forest().fit(df)
-    lr = LogisticRegression(labelCol="y", featuresCol="features", maxIter=200).fit(df)
+    rf = op.class_forest().fit(df)
+    lr = LogisticRegression(labelCol="y", featuresCol="features", maxIter=2000).fit(df)
     return op.importance_table(t.spark, [f"e{i}" for i in range(rf.numFeatures)], rf, lr)
 
 
@@ -134,5 +130,5 @@ def model_importance(t: Tables):
 def score_table(t: Tables):
     """Class, probabilities and confidence of every row; fitted on 75 % of each class."""
     df = settle(op.class_weights(stratified_split(vectors(t), "class_name", "vec_id"), "y"))
-    model = _forest().fit(df.filter("part = 'train'"))
+    model = op.class_forest().fit(df.filter("part = 'train'"))
     return op.score_table(model, df, CLASSES, ["vec_id", "part", "class_name"])

@@ -72,8 +72,14 @@ def mark_copies(df: DataFrame, key: str, digest: str) -> DataFrame:
 
 
 def read_district_days(spark: SparkSession, path: str) -> DataFrame:
-    """District daily reports; header names may contain line breaks and repeated blanks."""
-    raw = spark.read.options(header=True, multiLine=True, recursiveFileLookup=True).csv(path)
+    """District daily reports; header names may contain line breaks and repeated blanks.
+
+    The first file's header gives the schema, and every file's header is checked against it: a file
+    with other columns, or another order, is an error and not misread.
+    """
+    reader = spark.read.options(header=True, multiLine=True, recursiveFileLookup=True, enforceSchema=False)
+    names = reader.csv(path).columns
+    raw = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path)
     raw = raw.withColumnsRenamed({c: "_".join(c.lower().split()) for c in raw.columns})
     return raw.select(
         blank_to_null(F.col("state")).alias("state"),

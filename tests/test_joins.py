@@ -177,17 +177,18 @@ def test_pair_review_against_all_pairs(spark):
     rows = []
     for i in range(180):
         a, b = spots[rng.randrange(len(spots))]
-        rows.append((i, a, b, 100 + (0 if rng.random() < 0.33 else rng.randint(0, 40))))
-    df = spark.createDataFrame(rows, "event_no int, latitude double, longitude double, day int")
-    got = {r.event_no: r for r in events.pair_review(df, "event_no", "day").collect()}
-    for i, a, b, d in rows:
-        want = dict(reactivation=0, ward_cluster=0, corridor_cluster=0, independent=0, high_similarity=0)
-        for j, c, e, f in rows:
+        rows.append((i, a, b, 100 + (0 if rng.random() < 0.33 else rng.randint(0, 40)), rng.choice(["x", "y", None])))
+    df = spark.createDataFrame(rows, "event_no int, latitude double, longitude double, day int, district string")
+    got = {r.event_no: r for r in events.pair_review(df, "event_no", "day", "district").collect()}
+    for i, a, b, d, own in rows:
+        want = dict(reactivation=0, ward_cluster=0, corridor_cluster=0, independent=0, high_similarity=0, moderate_similarity=0, low_similarity=0)
+        for j, c, e, f, other in rows:
             if i == j:
                 continue
             x, gap = km((a, b), (c, e)), abs(d - f)
             if x <= 50 or gap <= 2:
-                want["high_similarity"] += x < 1
+                alike = own is not None and own == other
+                want["high_similarity" if x < 1 else "moderate_similarity" if alike else "low_similarity"] += 1
                 if x < 0.05 and gap > 0:
                     want["reactivation"] += 1
                 elif x < 1 and gap == 0:
