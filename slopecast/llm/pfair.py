@@ -15,7 +15,7 @@ SLOTS = 4096
 #: Default weights are the shares of the sources to this power.
 EXPONENT = 0.8
 #: Rows of a numbering bucket, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 MISSING = "\x00missing"
 
 
