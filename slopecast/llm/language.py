@@ -144,7 +144,8 @@ def learn(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: st
     unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     drawn = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), unit.alias("unit")).join(F.broadcast(sizes), "lang")
     thin = drawn.where(F.col("unit") * F.col("n") < 3.0 * sample).where(F.col("text").rlike(r"\p{L}"))
-    ranked = thin.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("unit", F.xxhash64("text")))).where(F.col("place") <= sample)
+    thin = thin.groupBy("lang", "unit").agg(F.min("text").alias("text"))  # a repeated id counts once here
+    ranked = thin.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("unit"))).where(F.col("place") <= sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -111,6 +111,17 @@ def chat_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_TURNS = f"""(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '{chat.END}{chat.START}assistant ok' FROM range(2) r(n))"""
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+_ROLE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+ORACLE["op5_chat_tokens"] = f"""SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(escaped_role) + length(escaped) + {len(chat.START) + len(chat.END) + 2}) AS BIGINT) AS formatted_chars
+    FROM (SELECT *, {_ESCAPED.format('text')} AS escaped, {_ESCAPED.format(_ROLE)} AS escaped_role FROM {_TURNS}) GROUP BY conv_id"""
+
+
 @query
 def op5_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of one that says control strings, read from their token rows."""

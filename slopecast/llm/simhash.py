@@ -30,16 +30,17 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
         return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        spans = [joined]
+        starts, ends = [0], [len(joined)]
     else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        spans = [joined[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1:].tolist())]
+        after = np.cumsum([len(w) + 1 for w in words])
+        starts = np.concatenate([[0], after[:-width]]).tolist()
+        ends = (after[width - 1:] - 1).tolist()
     total = np.zeros(64, np.int64)
-    for at in range(0, len(spans), 65536):
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in spans[at:at + 65536]], dtype="<u8")
+    for at in range(0, len(starts), 65536):
+        part = zip(starts[at:at + 65536], ends[at:at + 65536])
+        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in part], dtype="<u8")
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * total > len(spans)).astype(np.uint8)
+    bits = (2 * total > len(starts)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 

@@ -174,6 +174,13 @@ def test_chat_rows(spark):
     assert chat.conversation_digests(turns.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_chat_against_sql(spark, duck):
+    got = queries.QUERIES["op5_chat_tokens"](spark, DATA)
+    res = duck.execute(queries.ORACLE["op5_chat_tokens"])
+    assert got.columns == [d[0] for d in res.description]
+    assert sorted(map(tuple, got.collect())) == sorted(res.fetchall())
+
+
 def test_mix(spark):
     rows = [(i, f"t{i}", "en", s) for i, s in enumerate("a" * 100 + "b" * 37 + "c")] + [(500, None, None, None), (None, "", "en", "a"), (7, "t7", "en", "a")]
     docs = frame(spark, rows)
