@@ -25,6 +25,10 @@ from slopecast.session import settle
 SEED = 42
 FOLDS = 5
 TREES, DEPTH = 150, 16
+#: Rows of a partition that a fit reads, at least.
+FIT_ROWS = 20_000
+#: Fits that run at once, so that the short tail of one does not leave the cluster idle.
+FITS = 4
 
 NUMERIC = (
     "elevation_m", "slope_deg", "aspect_deg", "relief_std_5x5_m",
@@ -108,7 +112,9 @@ class Susceptibility:
     def __init__(self, train: DataFrame, numeric: Sequence[str], categories: Sequence[str] = CATEGORIES,
                  trees: int = TREES, depth: int = DEPTH):
         self.prepared = Prepared(train, numeric, categories)
-        self.model: Model = forest(trees, depth).fit(class_weights(self.prepared.transform(train)))
+        rows = class_weights(self.prepared.transform(train))
+        # a fit runs a job for each tree level, so small tables are read in few partitions
+        self.model: Model = forest(trees, depth).fit(rows.coalesce(max(1, train.count() // FIT_ROWS)))
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         keep = df.columns
@@ -121,7 +127,7 @@ class Susceptibility:
 
 
 def cross_validated(
-    df: DataFrame, feature_sets: dict[str, Sequence[str]], trees: int = TREES, depth: int = DEPTH, parallelism: int = 4
+    df: DataFrame, feature_sets: dict[str, Sequence[str]], trees: int = TREES, depth: int = DEPTH, parallelism: int = FITS
 ) -> DataFrame:
     """Held-out scores (set_name, fold, label, score) of every feature set and fold.
 
@@ -181,11 +187,13 @@ def with_deltas(summary: DataFrame, base: str) -> DataFrame:
 
 def calibrated_folds(df: DataFrame, numeric: Sequence[str], trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Brier score per spatial fold, raw and calibrated; the sigmoid is learned inside the other folds."""
-    parts = []
-    for fold in range(FOLDS):
+
+    def scored_fold(fold: int) -> DataFrame:
         out = calibrate(df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold), numeric, trees, depth)
-        parts.append(out.select("fold", "label", "score", "calibrated"))
-    scored = settle(reduce(DataFrame.unionByName, parts))
+        return out.select("fold", "label", "score", "calibrated")
+
+    with ThreadPool(FITS) as pool:
+        scored = settle(reduce(DataFrame.unionByName, pool.map(scored_fold, range(FOLDS))))
     error = lambda c: rounded(F.avg(F.pow(F.col(c) - F.col("label"), F.lit(2.0))))
     return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("samples"), error("score").alias("brier_raw"), error("calibrated").alias("brier_calibrated"))
 
@@ -196,11 +204,12 @@ def calibrate(df: DataFrame, test: DataFrame, numeric: Sequence[str], trees: int
     The sigmoid is fitted on out-of-fold scores, so it never sees a score of a row the forest learned.
     """
     split = df.withColumn("_inner", fold_of(F.col("point_id"), inner))
-    held = []
-    for f in range(inner):
+
+    def unseen_by(f: int) -> DataFrame:
         m = Susceptibility(split.filter(F.col("_inner") != f), numeric, trees=trees, depth=depth)
-        held.append(m.score(split.filter(F.col("_inner") == f)).select("label", "score"))
-    unseen = settle(reduce(DataFrame.unionByName, held))
+        return m.score(split.filter(F.col("_inner") == f)).select("label", "score")
+
+    unseen = settle(reduce(DataFrame.unionByName, map(unseen_by, range(inner))))
     as_vector = VectorAssembler(inputCols=["score"], outputCol="score_vector")
     platt = LogisticRegression(labelCol="label", featuresCol="score_vector", probabilityCol="platt", rawPredictionCol="platt_raw", predictionCol="platt_class").fit(
         as_vector.transform(unseen)
@@ -213,11 +222,13 @@ def calibrate(df: DataFrame, test: DataFrame, numeric: Sequence[str], trees: int
 
 def fold_importance(df: DataFrame, numeric: Sequence[str], columns: Sequence[str], key: str, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Permutation importance on every spatial fold in turn, each by a model of the other folds; means over folds."""
-    parts = []
-    for fold in range(FOLDS):
+
+    def drops(fold: int) -> DataFrame:
         model = Susceptibility(df.filter(F.col("fold") != fold), numeric, trees=trees, depth=depth)
-        parts.append(permutation_importance(model, df.filter(F.col("fold") == fold), columns, key).withColumn("fold", F.lit(fold)))
-    each = settle(reduce(DataFrame.unionByName, parts))
+        return permutation_importance(model, df.filter(F.col("fold") == fold), columns, key).withColumn("fold", F.lit(fold))
+
+    with ThreadPool(FITS) as pool:
+        each = settle(reduce(DataFrame.unionByName, pool.map(drops, range(FOLDS))))
     return each.groupBy("feature").agg(F.count(F.lit(1)).alias("folds"), F.avg("mean_drop").alias("mean_drop"), F.stddev_pop("mean_drop").alias("std_drop"))
 
 
@@ -283,9 +294,6 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: int
     return ranked.withColumn("fold", (F.col("rn") % folds).cast("int")).drop("_h", "rn")
 
 
-FIT_ROWS = 20_000
-
-
 def compare_models(df: DataFrame, key: str, classes: Sequence[str], folds: int = 3, trees: int = 500, rounds: int = 100) -> DataFrame:
     """Metrics per model on a quarter of the rows that no fit has seen, and their means over
     stratified folds of the rest; best first by the fold means of macro F1, critical recall, high
@@ -309,7 +317,7 @@ def compare_models(df: DataFrame, key: str, classes: Sequence[str], folds: int =
         )
 
     work = [(name, pipe, f) for name, pipe in candidates(trees, rounds).items() for f in (-1, *range(folds))]
-    with ThreadPool(4) as pool:
+    with ThreadPool(FITS) as pool:
         held = settle(reduce(DataFrame.unionByName, pool.map(held_out, work)))
     rows = []
     for name in candidates(trees, rounds):

@@ -434,3 +434,9 @@ def with_tables(sql: str) -> str:
     if sql[:5].upper() == "WITH ":
         return f"WITH {head}, {sql[5:]}"
     return f"WITH {head} {sql}"
+
+
+def registered_sources(t: Tables) -> DataFrame:
+    """The source register: the sources of orders that are open or filled."""
+    known = t.raw("orders").filter(F.col("o_orderstatus").isin("O", "F"))
+    return known.select(F.concat(F.lit("SRC_"), "o_orderstatus").alias("source_id")).distinct()

@@ -8,7 +8,7 @@ from slopecast.functions.columns import rounded
 from slopecast.operators import events as op
 from slopecast.operators import telemetry
 from slopecast.operators.spatial import nearest_site
-from slopecast.plans.bindings import SQL_TABLES, Tables, rnd, sql_haversine
+from slopecast.plans.bindings import SQL_TABLES, Tables, registered_sources, rnd, sql_haversine
 from slopecast.plans.hazard import rd
 from slopecast.plans.registry import query
 
@@ -248,7 +248,7 @@ def event_qc_summary(t: Tables):
     UNION ALL SELECT 'unregistered_source_events', count(*) FILTER (source_id NOT IN ('SRC_O', 'SRC_F')) FROM linked""",
 )
 def enum_and_fk_checks(t: Tables):
-    register = t.spark.createDataFrame([("SRC_O",), ("SRC_F",)], "source_id string")
+    register = registered_sources(t)
     return op.enum_checks(linked(t), register, ("1-URGENT", "2-HIGH", "3-MEDIUM"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slopecast.functions.columns import rounded
 from slopecast.functions.rainfall import in_domain, rainfall_class
 from slopecast.operators import telemetry as op
-from slopecast.plans.bindings import Tables, rnd
+from slopecast.plans.bindings import Tables, registered_sources, rnd
 from slopecast.plans.registry import query
 from slopecast.session import scratch_path
 from slopecast.sources import readers, sinks
@@ -197,7 +197,7 @@ def run_report(t: Tables):
 )
 def provenance_register(t: Tables):
     """Every event source with its event count and whether the register knows it."""
-    register = t.spark.createDataFrame([("SRC_O",), ("SRC_F",)], "source_id string").withColumn("known", F.lit(True))
+    register = registered_sources(t).withColumn("known", F.lit(True))
     used = t.inventory.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_events"))
     return used.join(register, "source_id", "left").select(
         "source_id", "n_events", F.coalesce("known", F.lit(False)).alias("registered")
