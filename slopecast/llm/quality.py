@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from slopecast.llm.common import map_batches, ship, text_or_empty
+from slopecast.llm.common import map_batches, settle, ship, text_or_empty
 from slopecast.llm.svm import fit_hinge, gram_codes, platt, sigmoid, slices
 
 #: Byte n-grams, case kept; each width has its own range of hash codes.
@@ -118,8 +118,9 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, text_col: str = "
     with the least id hashes. A null text is an empty one; null ids and labels other than 0 and 1 do
     not count; a document with several labels counts with each.
     """
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).distinct()
     texts = docs.where(allowed).select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
+    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).distinct()
+    marks = settle(marks.join(texts.select("__id"), "__id", "left_semi"), "marks")  # ids only; texts move once, below
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, DIMS + 1), np.int64)  # the last one counts documents
@@ -130,7 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, text_col: str = "
         label, code = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(code, pa.int32()), pa.array(total[label, code], pa.int64())], names=["label", "code", "n"])
 
-    labelled = texts.join(marks, "__id")
+    # a merge join at every size: where few labels would be broadcast and many not, cost would jump in between
+    labelled = texts.join(marks.hint("merge"), "__id")
     counts = map_batches(labelled.select("label", "text"), add, "label int, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((2, DIMS + 1), np.int64)  # 2 x (DIMS + 1) numbers, whatever the input
     total[counts["label"], counts["code"]] = counts["n"]
@@ -139,18 +141,20 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, text_col: str = "
 
     unit = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     share = unit * F.when(F.col("label") == 1, int(sizes[1])).otherwise(int(sizes[0]))
-    thin = texts.join(marks.withColumn("unit", unit).where(share < 3.0 * sample), "__id")
-    ranked = thin.withColumn("place", F.row_number().over(W.partitionBy("label").orderBy("unit", F.xxhash64("text")))).where(F.col("place") <= sample)
+    thin = marks.withColumn("unit", unit).where(share < 3.0 * sample)
+    picks = thin.withColumn("place", F.row_number().over(W.partitionBy("label").orderBy("unit", "__id"))).where(F.col("place") <= sample)
+    ranked = texts.join(F.broadcast(picks.drop("place")), "__id")  # at most two times `sample` ids
+    ranked = ranked.groupBy("__id", "label", "unit").agg(F.min("text").alias("text"))  # a repeated id counts once here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [indicators(t).astype(np.int32) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "unit", "codes"])
+            found = [indicators(t).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["label", "unit", "codes"])
 
-    rows = map_batches(ranked.select("label", "unit", "text"), run, "label int, unit double, codes array<int>").collect()
+    rows = map_batches(ranked.select("label", "unit", "text"), run, "label int, unit double, codes binary").collect()
     picked = sorted(rows, key=lambda r: (r["unit"], r["label"], r["codes"]))
     prior = float(sizes[1] / sizes.sum()) if sizes.sum() else 0.5
-    return fit([np.array(r["codes"], np.int64) for r in picked], np.array([r["label"] for r in picked], int), log_count_ratios(total[1], total[0]), prior)
+    return fit([np.frombuffer(r["codes"], "<i4") for r in picked], np.array([r["label"] for r in picked], int), log_count_ratios(total[1], total[0]), prior)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
