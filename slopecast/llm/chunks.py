@@ -102,10 +102,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chunks = settle(chunk_table(docs, id_col, text_col).withColumn("rank", F.coalesce("id", F.lit((1 << 63) - 1))), "chunks")
     owners = chunks.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
     owners = settle(owners.select("digest", "first"), "owners")
-    shared = chunks.join(owners, "digest").select("id", "text_hash", "rank", "start", "length", "first").distinct()
+    shared = chunks.join(owners, "digest").select("id", "text_hash", "rank", "start", "length", "first")
     order = W.partitionBy("id", "text_hash").orderBy("start")
-    opened = F.when(F.lag(F.col("start") + F.col("length")).over(order) == F.col("start"), 0).otherwise(1)
-    runs = shared.withColumn("opened", opened).withColumn("run", F.sum("opened").over(order))
+    before = F.lag(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).over(order)
+    # a repeated row has its chunks twice, side by side: the second ones go
+    once = shared.withColumn("before", before).where(F.col("before").isNull() | (F.col("before.start") < F.col("start")))
+    opened = F.when(F.col("before.end") == F.col("start"), 0).otherwise(1)
+    runs = once.withColumn("opened", opened).withColumn("run", F.sum("opened").over(order))
     spans = runs.groupBy("id", "text_hash", "run").agg(
         F.min("start").alias("start"), F.sum("length").cast("int").alias("length"), F.min("first").alias("first_id"),
         F.sum(F.when(F.col("first") < F.col("rank"), F.col("length")).otherwise(0)).cast("int").alias("repeated_bytes"),
