@@ -106,3 +106,15 @@ def test_timestamps(spark):
         F.date_format(readers.day_first_timestamp(F.col("x")), "yyyy-MM-dd HH"), F.date_format(readers.offset_timestamp(F.col("x")), "yyyy-MM-dd HH:mm")
     ).collect()]
     assert got == [("2024-03-05 10", None), (None, None), (None, "2024-03-05 04:30"), (None, None)]
+
+
+def test_settled_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from slopecast import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    assert session.settle(spark.range(5), "five").count() == 5
+    assert list(Path(session.scratch_root(spark)).iterdir())
+    session.remove_scratch(spark)
+    assert not Path(session.scratch_root(spark)).exists()
