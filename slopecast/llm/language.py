@@ -169,7 +169,8 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return predict(F.col(text_col))
+    # else Spark would run it once for a filter on the result and again for the result
+    return predict.asNondeterministic()(F.col(text_col))
 
 
 def rejected(found: str) -> Column:
