@@ -26,7 +26,7 @@ SEED = 42
 FOLDS = 5
 TREES, DEPTH = 150, 16
 #: Rows of a partition that a fit reads, at least.
-FIT_ROWS = 1_000
+FIT_ROWS = 20_000
 #: Fits that run at once, so that the short tail of one does not leave the cluster idle.
 FITS = 4
 
