@@ -134,9 +134,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each cluster the document with the least id stays
+    """The rows of docs without near-duplicates (see one_a_cluster for the one that stays)."""
+    return one_a_cluster(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def one_a_cluster(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each cluster in found (id, text_hash, cluster) the document with the least id stays
     (null ids last, then the least text hash); of repeated equal rows one stays. All columns are kept."""
-    found = near_duplicates(docs, id_col, text_col)
     identity = "concat(coalesce(cast(id as string), '-'), ':', hex(text_hash))"
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))
     winners = (
