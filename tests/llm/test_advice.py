@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from slopecast.llm import similar
+from slopecast.llm import pfair, similar
 from tests.conftest import DATA
 from tests.llm.test_tables import brute_components, frame, odd_rows
 
@@ -49,3 +49,37 @@ def test_near_dedup_rows(spark):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == brute_heads({i: t for i, t, _, _ in rows})
     assert similar.one_of_each(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("documents", [1_000, 100_000, 600_000])
+def test_plan_keeps_to_the_targets(documents):
+    counts = {"big": documents // 3, "one": 1} | {f"s{k:02}": documents * 2 // 3 // 18 for k in range(18)}
+    weights = {s: n**pfair.EXPONENT for s, n in counts.items()}
+    targets = pfair.shares(weights)
+    assert sum(targets.values()) == 1
+    seen = Counter()
+    slots = 0
+    for s, j, release, deadline, slot in pfair.plan(targets, {s: -(-n // pfair.BLOCK) for s, n in counts.items()}):
+        assert release <= slot < deadline and j == seen[s] and slot == slots
+        seen[s] += 1
+        slots += 1
+        if slots % 997 == 0:
+            assert all(abs(seen[x] - w * slots) < 1 for x, w in targets.items())
+    assert all(abs(seen[x] - w * slots) < 1 for x, w in targets.items())
+    assert seen["one"] <= targets["one"] * slots + 1
+
+
+def test_mix_of_a_long_table_keeps_to_the_targets(spark):
+    rows = spark.range(40_000).selectExpr("id as doc_id", "cast(id as string) as text", "if(id = 0, 'one', if(id % 3 = 0, 'big', 's' || id % 19)) as source")
+    got = pfair.schedule(rows, block=1)
+    n = {r.source: r["count"] for r in rows.groupBy("source").count().collect()}
+    total = sum(x**pfair.EXPONENT for x in n.values())
+    mixed = {r["__source"]: r["count"] for r in got.groupBy("__source").count().collect()}
+    slots = sum(mixed.values())
+    assert all(abs(mixed[s] - n[s] ** pfair.EXPONENT / total * slots) < 1 + 1e-6 for s in n)
+    assert got.select("__slot").distinct().count() == slots and got.select("doc_id").distinct().count() == 40_000
+
+
+def test_mix_of_many_sources(spark):
+    rows = spark.range(5_000).selectExpr("id as doc_id", "cast(id as string) as text", "cast(id as string) as source")
+    assert pfair.mixed(rows).count() == 5_000 * pfair.BLOCK
