@@ -10,7 +10,7 @@ from slopecast.llm.common import settle, text_or_empty
 WINDOW = 8
 #: Windows that must match on one alignment (13 words in a row), or all windows of a shorter item.
 MIN_WINDOWS = 6
-#: A window with fewer plain words than this share says nothing.
+#: A window with fewer plain words than this share counts only if its slots have the same values.
 PLAIN_SHARE = 0.5
 # Signs of the placeholders, and units that may follow a number.
 NUMBER, NAME, UNIT = "#", "@", "$"
@@ -42,22 +42,23 @@ def _is_slot(token: Column) -> Column:
 
 
 def template_windows(tokens: Column, width: int) -> Column:
-    """Array of (place, hash, slots) for every window of `width` tokens.
+    """Array of (place, hash, slots, plain) for every window of `width` tokens.
 
-    The hash covers words and slot types; slots are the window's own values in order.
+    The hash covers words and slot types; slots are the window's own values in order. A window that is
+    not plain (see PLAIN_SHARE) has its values in the hash too.
     """
     masked = F.transform(tokens, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
     values = F.transform(tokens, lambda t: F.when(_is_slot(t), t))
 
+    def window(i: Column, h: Column, v: Column) -> Column:
+        own = F.filter(F.slice(v, i, width), lambda x: x.isNotNull())
+        plain = F.size(own) <= width * (1 - PLAIN_SHARE)
+        slots, bare = F.array_join(own, "|"), F.xxhash64(F.slice(h, i, width))
+        return F.struct(i.alias("place"), F.when(plain, bare).otherwise(F.xxhash64(bare, slots)).alias("hash"), slots.alias("slots"), plain.alias("plain"))
+
     def place(both: Column) -> Column:
         # bound to a lambda variable, so that the arrays are made once a document
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(both.h) - (width - 1))),
-            lambda i: F.struct(
-                i.alias("place"), F.xxhash64(F.slice(both.h, i, width)).alias("hash"),
-                F.array_join(F.slice(both.v, i, width), "|").alias("slots"),
-            ),
-        )
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(both.h) - (width - 1))), lambda i: window(i, both.h, both.v))
 
     made = F.transform(F.array(F.struct(masked.alias("h"), values.alias("v"))), place)
     return F.when(F.size(tokens) >= width, F.element_at(made, 1))
@@ -68,18 +69,22 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(item_id, n_windows, width, item_place, hash, item_slots) of all items; an item with fewer
-    tokens than the width is one window of its own width, one without tokens has none."""
+    """(item_id, n_windows, n_plain, width, item_place, hash, item_slots, plain) of all items; an item with
+    fewer tokens than the width is one window of its own width, one without tokens has none."""
     tokens = benchmark.select(F.col(id_col).alias("item_id"), template_tokens(F.col(text_col)).alias("tokens"))
     tokens = settle(tokens.where("item_id is not null and size(tokens) > 0").distinct(), "items")
     out = None
     for n in range(1, width + 1):
         mine = tokens.where(F.size("tokens") >= width) if n == width else tokens.where(F.size("tokens") == n)
-        part = mine.select("item_id", (F.size("tokens") - (n - 1)).alias("n_windows"), F.lit(n).alias("width"), F.explode(template_windows(F.col("tokens"), n)).alias("w"))
+        part = mine.select("item_id", F.lit(n).alias("width"), template_windows(F.col("tokens"), n).alias("windows"))
         out = part if out is None else out.union(part)
-    out = out.select("item_id", "n_windows", "width", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots"))
-    slots = F.when(F.col("item_slots") == "", 0).otherwise(F.size(F.split("item_slots", r"\|")))
-    return out.where(slots <= F.col("width") * (1 - PLAIN_SHARE))
+    counted = out.select(
+        "item_id", F.size("windows").alias("n_windows"), F.size(F.filter("windows", lambda w: w["plain"])).alias("n_plain"), "width", F.explode("windows").alias("w")
+    )
+    return counted.select(
+        "item_id", "n_windows", "n_plain", "width", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash"),
+        F.col("w.slots").alias("item_slots"), F.col("w.plain").alias("plain"),
+    )
 
 
 def contaminated(
@@ -88,10 +93,12 @@ def contaminated(
 ) -> DataFrame:
     """(id, text_hash, item_id, alignment, matched, n_windows, kind): passages of items in documents.
 
-    Windows of template tokens are joined by hash with those of the items. The matches of a document
-    and an item on one alignment (document place minus item place) count together; min_windows of
-    them, or all that a shorter item has, make a passage, if the slots are consistent: equal item
-    values stand for equal document values and different ones for different ones. kind is `exact`
+    Windows of template tokens are joined by hash with those of the items; where slots prevail, their
+    values must be the same. The matches of a document and an item on one alignment (document place
+    minus item place) count together. A passage is min_windows with the same values, or all that a
+    shorter item has; or min_windows plain ones, or all plain ones that the item has, with any
+    values. The slots must be consistent: equal item values stand for equal document values and
+    different ones for different ones. kind is `exact`
     if all slot values are equal, else `reparameterised`. Null ids, texts and empty tables give no
     passage (a null document id is kept as null); repeated rows count once.
     """
@@ -100,7 +107,7 @@ def contaminated(
     source = docs.select(*_identity(id_col, text_col), template_tokens(F.col(text_col)).alias("tokens"))
     hits = None
     for n in widths or [width]:
-        part = source.select("id", "text_hash", F.explode(template_windows(F.col("tokens"), n)).alias("w")).select("id", "text_hash", "w.*")
+        part = source.select("id", "text_hash", F.explode(template_windows(F.col("tokens"), n)).alias("w")).select("id", "text_hash", "w.place", "w.hash", "w.slots")
         hit = part.join(items.where(F.col("width") == n), "hash").drop("hash")
         hits = hit if hits is None else hits.union(hit)
 
@@ -108,12 +115,14 @@ def contaminated(
         F.col("item_slots") != "",
         F.arrays_zip(F.split("item_slots", r"\|").alias("item"), F.split("slots", r"\|").alias("doc")),
     ).otherwise(F.array().cast("array<struct<item:string,doc:string>>"))
-    runs = hits.withColumn("alignment", F.col("place") - F.col("item_place")).groupBy("id", "text_hash", "item_id", "alignment", "n_windows").agg(
-        F.size(F.collect_set("item_place")).alias("matched"), F.flatten(F.collect_set(pair)).alias("pairs")
+    same, bare = F.when(F.col("item_slots") == F.col("slots"), F.col("item_place")), F.when(F.col("plain"), F.col("item_place"))
+    runs = hits.withColumn("alignment", F.col("place") - F.col("item_place")).groupBy("id", "text_hash", "item_id", "alignment", "n_windows", "n_plain").agg(
+        F.size(F.collect_set("item_place")).alias("matched"), F.size(F.collect_set(same)).alias("same"), F.size(F.collect_set(bare)).alias("bare"), F.flatten(F.collect_set(pair)).alias("pairs")
     )
     pairs = F.array_distinct("pairs")
     distinct = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
-    runs = runs.where(F.col("matched") >= F.least(F.lit(min_windows), F.col("n_windows")))
+    enough = lambda matched, of: F.col(matched) >= F.least(F.lit(min_windows), F.col(of))
+    runs = runs.where(enough("same", "n_windows") | (enough("bare", "n_plain") & (F.col("n_plain") > 0)))
     runs = runs.where((F.size(pairs) == distinct("item")) & (F.size(pairs) == distinct("doc")))
     kind = F.when(F.forall(pairs, lambda p: p["item"] == p["doc"]), "exact").otherwise("reparameterised")
     return runs.select("id", "text_hash", "item_id", "alignment", "matched", "n_windows", kind.alias("kind"))

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from slopecast.llm import pfair, similar
+from slopecast.llm import pfair, similar, templates
 from tests.conftest import DATA
 from tests.llm.test_tables import brute_components, frame, odd_rows
 
@@ -83,3 +83,21 @@ def test_mix_of_a_long_table_keeps_to_the_targets(spark):
 def test_mix_of_many_sources(spark):
     rows = spark.range(5_000).selectExpr("id as doc_id", "cast(id as string) as text", "cast(id as string) as source")
     assert pfair.mixed(rows).count() == 5_000 * pfair.BLOCK
+
+
+def found_items(spark, items, texts):
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {(r.id, r.item_id): r.kind for r in templates.contaminated(docs, bench).collect()}
+
+
+def test_items_of_numbers(spark):
+    items = {
+        1: "Compute 12 + 7, 30 - 4, 5 * 6 and 81 / 9", 2: "Please add 1 2 3 4 5 and then tell us what the result is", 3: "1 2 3 4 5 6 7 8 9 10 11 12",
+        4: "Put 3 4 5 6 7 into one row and 8 9 10 11 12 into the next , then add 13 14 15 16 17 to both",
+    }
+    texts = {
+        1: "so we read. " + items[1] + " as a task", 2: items[1].replace("12", "13"), 3: items[2].replace("4", "44"), 4: "0 " + items[3] + " 13",
+        5: "9 8 7 6 5 4 3 2 1 0 1 2 3 4", 6: "text before " + items[4] + " and after", 7: "Please add 9 numbers",
+    }
+    assert found_items(spark, items, texts) == {(1, 1): "exact", (3, 2): "reparameterised", (4, 3): "exact", (6, 4): "exact"}
