@@ -45,10 +45,17 @@ def template_windows(tokens: Column, width: int) -> Column:
     """Array of (place, hash, slots, plain) for every window of `width` tokens.
 
     The hash covers words and slot types; slots are the window's own values in order. A window that is
-    not plain (see PLAIN_SHARE) has its values in the hash too.
+    not plain (see PLAIN_SHARE) has its values in the hash too. A window with a name stands twice: with
+    the name as a slot and as a word, because what is a name hangs on case, white space and position.
     """
-    masked = F.transform(tokens, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
-    values = F.transform(tokens, lambda t: F.when(_is_slot(t), t))
+    words = F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit(NAME)), F.substring(t, 2, 1 << 30)).otherwise(t))
+    named = F.transform(tokens, lambda t: F.startswith(t, F.lit(NAME)))
+
+    def masked(side: Column) -> Column:
+        return F.transform(side, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
+
+    def values(side: Column) -> Column:
+        return F.transform(side, lambda t: F.when(_is_slot(t), t))
 
     def window(i: Column, h: Column, v: Column) -> Column:
         own = F.filter(F.slice(v, i, width), lambda x: x.isNotNull())
@@ -58,10 +65,12 @@ def template_windows(tokens: Column, width: int) -> Column:
 
     def place(both: Column) -> Column:
         # bound to a lambda variable, so that the arrays are made once a document
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(both.h) - (width - 1))), lambda i: window(i, both.h, both.v))
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(both.h) - (width - 1)))
+        with_name = F.filter(places, lambda i: F.array_contains(F.slice(both.n, i, width), True))
+        return F.concat(F.transform(places, lambda i: window(i, both.h, both.v)), F.transform(with_name, lambda i: window(i, both.g, both.w)))
 
-    made = F.transform(F.array(F.struct(masked.alias("h"), values.alias("v"))), place)
-    return F.when(F.size(tokens) >= width, F.element_at(made, 1))
+    arrays = F.struct(masked(tokens).alias("h"), values(tokens).alias("v"), masked(words).alias("g"), values(words).alias("w"), named.alias("n"))
+    return F.when(F.size(tokens) >= width, F.element_at(F.transform(F.array(arrays), place), 1))
 
 
 def _identity(id_col: str, text_col: str) -> list[Column]:
@@ -78,8 +87,9 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -
         mine = tokens.where(F.size("tokens") >= width) if n == width else tokens.where(F.size("tokens") == n)
         part = mine.select("item_id", F.lit(n).alias("width"), template_windows(F.col("tokens"), n).alias("windows"))
         out = part if out is None else out.union(part)
+    places = lambda windows: F.size(F.array_distinct(F.transform(windows, lambda w: w["place"])))
     counted = out.select(
-        "item_id", F.size("windows").alias("n_windows"), F.size(F.filter("windows", lambda w: w["plain"])).alias("n_plain"), "width", F.explode("windows").alias("w")
+        "item_id", places("windows").alias("n_windows"), places(F.filter("windows", lambda w: w["plain"])).alias("n_plain"), "width", F.explode("windows").alias("w")
     )
     return counted.select(
         "item_id", "n_windows", "n_plain", "width", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash"),

@@ -101,3 +101,17 @@ def test_items_of_numbers(spark):
         5: "9 8 7 6 5 4 3 2 1 0 1 2 3 4", 6: "text before " + items[4] + " and after", 7: "Please add 9 numbers",
     }
     assert found_items(spark, items, texts) == {(1, 1): "exact", (3, 2): "reparameterised", (4, 3): "exact", (6, 4): "exact"}
+
+
+def test_names_whatever_their_case_and_place(spark):
+    items = {
+        1: "Anna gives Ben 5 apples , then Carl takes 3 of them to Dora , and Emil asks Frida how many are left with Ben",
+        2: "Compute 12 + 7, 30 - 4, 5 * 6 and 81 / 9",
+    }
+    texts = {
+        1: items[1].lower(), 2: items[1].upper(), 3: items[1].replace(" ", "\n"), 4: "he said Yes , " + items[1], 5: "we read: " + items[2] + " there",
+        6: "Anna gives Carl 6 apples , then Emil takes 4 of them", 7: items[1].lower().replace("5", "7"), 8: items[1].replace("Ben", "Otto").replace("Frida", "Gerd"),
+    }
+    got = found_items(spark, items, texts)
+    assert {k for k in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (7, 1), (8, 1)}
+    assert all(got[k, 1] == "exact" for k in (1, 2, 3, 4)) and got[5, 2] == "exact" and got[7, 1] == got[8, 1] == "reparameterised"
