@@ -14,12 +14,33 @@ ROUNDS = 10
 #: Steps of a cycle walk; a step misses the valid range in at most 27 of 100 cases.
 WALK = 60
 
+# Characters of an IBAN by country (SWIFT registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A country's own number of characters, in blocks of four that blanks may part; else, as for countries
+    that are not listed, 8 to 31 characters after the check digits, as long as they go on."""
+
+    def body(n: int) -> str:
+        rest = f"\\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+        return rf"\d{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
+
+    listed = "|".join(f"(?:{'|'.join(names.split())}){body(n)}" for n, names in IBAN_LENGTHS.items())
+    other = r"[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+    return rf"(?:(?:{listed})(?![\p{{L}}\p{{N}}])|{other})(?![\p{{L}}\p{{N}}])"
+
+
 # Patterns of the kinds, tried in this order at each place.
 EDGE = r"(?<![\p{L}\p{N}_.%+@-])"
 PATTERNS = {
     "secret": r"""(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}["']?[A-Za-z0-9_/+-]{16,}+""",
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
-    "iban": r"[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": _iban_pattern(),
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?<sep>[/.])\d{1,2}\k<sep>\d{4})(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!-?\d)",

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from slopecast.llm import pfair, similar, templates
+from slopecast.llm import pfair, pseudonyms, similar, templates
 from tests.conftest import DATA
 from tests.llm.test_tables import brute_components, frame, odd_rows
 
@@ -115,3 +115,19 @@ def test_names_whatever_their_case_and_place(spark):
     got = found_items(spark, items, texts)
     assert {k for k in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (7, 1), (8, 1)}
     assert all(got[k, 1] == "exact" for k in (1, 2, 3, 4)) and got[5, 2] == "exact" and got[7, 1] == got[8, 1] == "reparameterised"
+
+
+def test_ibans_before_a_word(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "PL61109010140000071219812874", "SE45 5000 0000 0583 9825 7466", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"]
+    texts = [f"pay {i} {after}" for i in ibans for after in ("BIC CAIXESBB", "ODER 1234", "2024 7", "now", "")] + ["no ES91 2100 0418 4502 0005 1333 BIC"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("*", pseudonyms.pseudonymised("text", "k").alias("p"))
+    rows = docs.selectExpr("doc_id", "text", "p.text as new", "p.kinds").orderBy("doc_id")
+    got = rows.select("*", pseudonyms.pseudonymised("new", "k", True)["text"].alias("back")).collect()
+    for r in got[:-1]:
+        iban = ibans[r.doc_id // 5]
+        assert r.kinds == ["iban"] and iban not in r.new and r.back == r.text
+        start, end = r.text.split(iban)
+        assert r.new.startswith(start) and r.new.endswith(end) and len(r.new) == len(r.text)
+        plain = r.new[len(start):len(start) + len(iban)].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert got[-1].new == got[-1].text
