@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import random
 import re
 from collections import Counter
@@ -11,8 +10,9 @@ import pytest
 
 import corpus_pipeline
 from slopecast.llm import pfair, pseudonyms, similar, templates
+from slopecast.llm.common import settle
 from tests.conftest import DATA
-from tests.llm.test_tables import brute_components, frame, odd_rows
+from tests.llm.test_tables import brute_components, brute_leaks, frame, odd_rows
 
 
 def brute_shingles(text):
@@ -131,3 +131,20 @@ def test_ibans_before_a_word(spark):
         plain = r.new[len(start):len(start) + len(iban)].replace(" ", "")
         assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
     assert got[-1].new == got[-1].text
+
+
+def test_pipeline_stages_after_near_dedup(spark, duck):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = settle(stages["near_dedup"](spark, stages["language_id"](spark, docs, DATA), DATA), "test-kept")
+    clean = settle(stages["decontaminate"](spark, kept, DATA), "test-clean")
+    leaks = brute_leaks([(r.doc_id, r.text) for r in kept.collect()], duck.execute("select item_id, text from benchmark").fetchall(), 15)
+    gone = {r.doc_id for r in kept.collect()} - {r.doc_id for r in clean.collect()}
+    assert {d for d, _ in leaks} <= gone
+    mix = settle(stages["mix"](spark, clean, DATA), "test-mix")
+    assert mix.columns == docs.columns and {r.doc_id for r in mix.collect()} == {r.doc_id for r in clean.collect()}
+    target = pfair.shares({s: c**pfair.EXPONENT for s, c in Counter(r.source for r in clean.collect()).items()})
+    mixed = Counter(r.source for r in mix.collect())
+    blocks = sum(mixed.values()) / pfair.BLOCK
+    assert all(abs(mixed[s] / pfair.BLOCK - w * blocks) < 1 for s, w in target.items())
+    assert corpus_pipeline.run(spark, DATA).count() == sum(mixed.values())
