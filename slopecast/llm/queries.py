@@ -1,11 +1,11 @@
-"""The queries of the ten operators; each reads its whole tables."""
+"""The queries of the operators; each reads its whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import audio, chat, chunks, language, pfair, pseudonyms, quality, simhash, templates, tokens
+from slopecast.llm import audio, chat, chunks, language, outliers, pfair, pseudonyms, quality, simhash, templates, tokens
 from slopecast.llm.common import crc_of_id, load_table, text_or_empty
 
 QUERIES: dict = {}
@@ -129,3 +129,11 @@ def op5_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = f"{chat.END}{chat.START}assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     return chat.conversation_digests(turns.union(more), chat_vocabulary())
+
+
+@query
+def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document, and whether its group's robust estimate keeps it."""
+    found = outliers.judged(load_table(spark, sf_dir, "documents"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(F.col("id").alias("doc_id"), *base, "distance")
