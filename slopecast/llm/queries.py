@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import audio, chat, chunks, language, outliers, pfair, pseudonyms, quality, simhash, templates, tokens
+from slopecast.llm import audio, chat, chunks, collocations, language, outliers, pfair, pseudonyms, quality, simhash, templates, tokens
 from slopecast.llm.common import crc_of_id, load_table, text_or_empty
 
 QUERIES: dict = {}
@@ -137,3 +137,28 @@ def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = outliers.judged(load_table(spark, sf_dir, "documents"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return found.select(F.col("id").alias("doc_id"), *base, "distance")
+
+
+_PIECES = r"""(SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS ws FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))"""
+ORACLE["op12_quotient_collocations"] = f"""WITH pieces AS MATERIALIZED {_PIECES},
+    grams AS MATERIALIZED (SELECT lang, ws[i:i + size - 1] AS g, count(*) AS f FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+        FROM pieces, range(1, {collocations.LONGEST + 1}) AS s(size) WHERE len(ws) >= size) GROUP BY ALL),
+    often AS MATERIALIZED (SELECT * FROM grams WHERE f >= {collocations.LEAST_COUNT}),
+    cuts AS (SELECT p.lang, p.g, p.f AS a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(p.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, len(g))) AS k FROM often WHERE len(g) > 1) p
+        JOIN often x ON x.lang = p.lang AND x.g = p.g[1:k] JOIN often y ON y.lang = p.lang AND y.g = p.g[k + 1:len(p.g)]),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    covers AS (SELECT lang, g[i:i + size - 1] AS g, max(f) AS longer FROM (SELECT lang, g, f, size, unnest(range(1, len(g) - size + 2)) AS i
+        FROM often, range(2, {collocations.LONGEST}) AS s(size) WHERE len(g) > size) GROUP BY ALL),
+    kept AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN covers c ON c.lang = b.lang AND c.g = b.g
+        WHERE NOT coalesce(100 * CAST(c.longer AS HUGEINT) >= {collocations.COVERED} * CAST(b.a AS HUGEINT), false)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, (SELECT CAST(sum(f) AS BIGINT) FROM grams n WHERE n.lang = ranked.lang AND len(n.g) = 1) AS n, score, CAST(k AS INTEGER) AS cut
+    FROM ranked WHERE rank <= {collocations.TOP}"""
+
+
+@query
+def op12_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of every language by the worst of their cuts."""
+    return collocations.collocations(load_table(spark, sf_dir, "documents"))

@@ -100,7 +100,7 @@ def planted(rng, n):
         size = rng.randint(25, 300)
         mean = {"en": 5, "de": 7, None: 4}[lang]
         text = " ".join("x" * max(1, round(rng.gauss(mean, 1.5))) + str(rng.randrange(10 ** 4)) for _ in range(size))
-        if k % 10 == 0:
+        if k % 7 == 0:
             text = " | ".join(text.split())
         rows.append((k, text, lang, "big" if k % 5 else f"s{k % 40}"))
     return rows
@@ -117,8 +117,8 @@ def test_groups_and_odd_rows(spark):
     kept = outliers.without_outliers(docs)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.id for r in got if r.kept)
-    assert sum(not r.kept for r in got if r.id is not None and r.id < 3000 and r.id % 10 == 0) == 300
-    assert sum(not r.kept and not r.base_failed for r in got if r.id is not None and r.id < 3000 and r.id % 10) == 0
+    assert sum(not r.kept for r in got if r.id is not None and r.id < 3000 and r.id % 7 == 0) == 429
+    assert sum(not r.kept and not r.base_failed for r in got if r.id is not None and r.id < 3000 and r.id % 7) == 0
 
 
 def test_few_rows_and_equal_rows(spark):
