@@ -139,7 +139,7 @@ def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *base, "distance")
 
 
-_PIECES = r"""(SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS ws FROM (SELECT coalesce(lang, 'und') AS lang,
+_PIECES = r"""(SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM (SELECT coalesce(lang, 'und') AS lang,
     unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))"""
 ORACLE["op12_quotient_collocations"] = f"""WITH pieces AS MATERIALIZED {_PIECES},
     grams AS MATERIALIZED (SELECT lang, ws[i:i + size - 1] AS g, count(*) AS f FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
