@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import audio, chat, chunks, collocations, language, outliers, pfair, pseudonyms, quality, simhash, templates, tokens
+from slopecast.llm import audio, chat, chunks, collocations, language, negatives, outliers, pfair, pseudonyms, quality, simhash, templates, tokens
 from slopecast.llm.common import crc_of_id, load_table, text_or_empty
 
 QUERIES: dict = {}
@@ -162,3 +162,25 @@ ORACLE["op12_quotient_collocations"] = f"""WITH pieces AS MATERIALIZED {_PIECES}
 def op12_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first phrases of every language by the worst of their cuts."""
     return collocations.collocations(load_table(spark, sf_dir, "documents"))
+
+
+_SCORE = "CAST(list_inner_product(a.q, b.q) AS BIGINT)"
+ORACLE["op13_multi_index_negatives"] = f"""WITH used AS MATERIALIZED (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+    anchors AS (SELECT * FROM used WHERE vec_id % 50 = 0),
+    scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_SCORE} AS score FROM anchors a JOIN used b ON a.vec_id <> b.vec_id),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}),
+    ranked AS (SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+        WHERE {negatives.LOW} * CAST(positive_score AS HUGEINT) <= 100 * CAST(n.score AS HUGEINT) AND 100 * CAST(n.score AS HUGEINT) <= {negatives.HIGH} * CAST(positive_score AS HUGEINT))
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= {negatives.NEGATIVES}"""
+
+
+@query
+def op13_multi_index_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh row's label counts as the next one."""
+    rows = load_table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, F.col("id") % 50 == 0)
