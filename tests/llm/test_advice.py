@@ -148,3 +148,17 @@ def test_pipeline_stages_after_near_dedup(spark, duck):
     blocks = sum(mixed.values()) / pfair.BLOCK
     assert all(abs(mixed[s] / pfair.BLOCK - w * blocks) < 1 for s, w in target.items())
     assert corpus_pipeline.run(spark, DATA).count() == sum(mixed.values())
+
+
+def test_short_items_are_no_poison(spark):
+    items = {1: "42", 2: "yes", 3: "Paris"}
+    texts = {1: "he is 42 years old", 2: "oh yes it rains", 3: "we went to Paris in May", 4: "the answer\n42\nfollows", 5: "Yes!", 6: "42 42"}
+    assert found_items(spark, items, texts) == {(4, 1): "exact", (5, 2): "exact"}
+
+
+def test_one_changed_name_in_a_long_copy(spark):
+    rng = random.Random(12)
+    plain = lambda n: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}x" for _ in range(n))
+    item = f"{plain(20)} Anna {plain(22)} Anna {plain(21)} Anna went"
+    copy = item[:item.rindex("Anna")] + "Dora went"
+    assert found_items(spark, {1: item}, {1: copy, 2: item.replace("Anna", "Dora")}) == {(1, 1): "exact", (2, 1): "reparameterised"}

@@ -290,13 +290,14 @@ def test_decontamination(spark):
         (3, near.replace("does Anna", "does Dora"), "en", "a"), (4, "so THE QUICK BROWN fox, jumps over a very lazy dog while the sun is slowly setting", "en", "a"),
         (5, "the quick brown fox jumps over a cat", "en", "a"), (6, "this is too short item here", "en", "a"), (7, "7 6 5 4 3 2 1 9 8 7 6 5 4 3 2 1 3", "en", "a"),
         (8, None, "en", "a"), (9, "", "en", "a"), (None, items[1][1], "en", "a"), (1, words(rng, 30), "en", "a"), (10, items[1][1], "en", "a"), (10, items[1][1], "en", "a"),
+        (11, "one line\n Too short, item!\nand more", "en", "a"), (12, "TOO SHORT ITEM", "en", "a"),
     ] + [(50 + k, words(rng, 50), "en", "a") for k in range(20)]
     bench = spark.createDataFrame([(*i, 0, 1) for i in items], "item_id long, text string, id int, hash int")
     got = {(r.id, r.item_id): r.kind for r in templates.contaminated(frame(spark, rows), bench).collect()}
-    assert got == {(1, 1): "exact", (2, 1): "reparameterised", (4, 2): "exact", (6, 3): "exact", (None, 2): "exact", (10, 2): "exact"}
+    assert got == {(1, 1): "exact", (2, 1): "reparameterised", (3, 1): "exact", (4, 2): "exact", (11, 3): "exact", (12, 3): "exact", (None, 2): "exact", (10, 2): "exact"}
     kept = templates.without_contaminated(frame(spark, rows), bench)
     assert kept.columns == frame(spark, rows).columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 5, 7, 8, 9, *range(50, 70)])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 5, 6, 7, 8, 9, *range(50, 70)])
     assert templates.contaminated(frame(spark, []), bench).count() == 0
     assert templates.without_contaminated(frame(spark, rows), bench.limit(0)).count() == len(rows)
 
@@ -373,13 +374,9 @@ def test_pipeline_stages(spark, duck):
         if name == "language_id":
             assert {r.doc_id for r in state.collect()} == {r.doc_id for r in before.collect() if re.search(r"[^\W\d_]", r.text or "")}
         if name == "near_dedup":
-            texts = {r.doc_id: r.text for r in before.collect()}
-            prints = {d: brute_fingerprint(t) for d, t in texts.items()}
-            root = brute_components(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 2)
-            heads = {}
-            for d in sorted(texts):
-                heads.setdefault(root[prints[d]], d)
-            assert sorted(r.doc_id for r in state.collect()) == sorted(heads.values())
+            from tests.llm.test_advice import brute_heads
+
+            assert sorted(r.doc_id for r in state.collect()) == brute_heads({r.doc_id: r.text for r in before.collect()})
         if name == "decontaminate":
             leaks = brute_leaks([(r.doc_id, r.text) for r in before.collect()], duck.execute("select item_id, text from benchmark").fetchall(), 15)
             gone = {r.doc_id for r in before.collect()} - {r.doc_id for r in state.collect()}
