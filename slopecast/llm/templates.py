@@ -29,10 +29,10 @@ def template_tokens(text: Column) -> Column:
     sentence is a name; one after a full stop or at a line's start is not. A unit counts after a
     number only. Punctuation separates. Null gives no tokens.
     """
-    plain = F.translate(text, "#@$_", "    ")
-    joined = F.regexp_replace(plain, r"(?<=\d)[.,](?=\d)", "_")
+    plain = F.regexp_replace(text, r"[#@$_]", " ")
+    joined = F.regexp_replace(plain, r"[.,](?<=\d[.,])(?=\d)", "_")
     names = F.regexp_replace(joined, r"\p{Lu}(?<=[\p{L}\p{N}_,;:]\x20\p{Lu})(?=\p{Ll})", "@$0")
-    numbers = F.regexp_replace(names, r"(?<![\p{L}\p{N}_])\d[\d_]*+", "#$0 ")
+    numbers = F.regexp_replace(names, r"\d(?<![\p{L}\p{N}_]\d)[\d_]*+", "#$0 ")
     units = F.regexp_replace(numbers, r"(#[\d_]++\s++)((?i:" + "|".join(UNITS) + r"))(?![\p{L}\p{N}])", r"$1\$$2")
     return F.array_remove(F.split(F.lower(units), r"[^\p{L}\p{N}_#@$]+"), "")
 
@@ -43,12 +43,12 @@ _SLOTS = f"({ord(NUMBER)}, {ord(NAME)}, {ord(UNIT)})"
 
 
 def _last(width: int) -> str:
-    """Place of the last window; at least 1, because a plan may look at rows that a filter drops later."""
+    """Place of the last window; at least 1, so that short rows, whose windows are dropped, raise no error."""
     return f"greatest(1, size(tokens) - {width - 1})"
 
 
 def with_hashes(rows: DataFrame, width: int) -> DataFrame:
-    """rows (tokens) with the token hashes and places of the windows, for rows of `width` tokens or more.
+    """rows (tokens) with the token hashes and places of the windows; they mean nothing for fewer tokens than width.
 
     h has a sign for every slot; g has names as words; e also has numbers and units as themselves. `named` are
     the places of windows with a name, `dense` those of windows in which more than half the tokens are
@@ -68,7 +68,6 @@ def with_hashes(rows: DataFrame, width: int) -> DataFrame:
         ("dense", f"if(size(at_values) <= {over}, cast(array() as array<int>), array_distinct(flatten(transform({runs}, r -> sequence(greatest(1, r.low - {width - 1}), least(r.high, {last}))))))"),
         ("e", f"if(size(dense) = 0, g, transform(tokens, (t, i) -> if(ascii(t) in {_VALUES}, xxhash64(t), g[i])))"),
     ]
-    rows = rows.where(F.size("tokens") >= width)
     for name, sql in steps:
         rows = rows.withColumn(name, F.expr(sql))
     return rows
@@ -89,7 +88,7 @@ def document_windows(width: int) -> Column:
     words, because what is a name hangs on case, white space and position; dense ones with their values."""
     every = f"sequence(1, {_last(width)})"
     parts = [f"transform({places}, i -> {_window(of, width)})" for places, of in ((every, "h"), ("named", "g"), ("dense", "e"))]
-    return F.expr(f"concat({', '.join(parts)})")
+    return F.expr(f"if(size(tokens) < {width}, null, concat({', '.join(parts)}))")
 
 
 def item_windows(width: int) -> Column:
@@ -140,7 +139,7 @@ def contaminated(
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), template_tokens(F.col(item_text_col)).alias("tokens"))
     items = settle(items.where("item_id is not null and size(tokens) > 0").distinct(), "items")
-    index = with_hashes(items, width).select("item_id", "tokens", item_windows(width).alias("ws"))
+    index = with_hashes(items.where(F.size("tokens") >= width), width).select("item_id", "tokens", item_windows(width).alias("ws"))
     places = "size(array_distinct(transform({}, w -> w.place)))"
     index = index.select("item_id", F.xxhash64("tokens").alias("version"), F.expr(places.format("ws")).alias("n_windows"), F.expr(places.format("filter(ws, w -> w.plain)")).alias("n_plain"), F.explode("ws").alias("w"))
     index = settle(index.select("item_id", "version", "n_windows", "n_plain", F.col("w.place").alias("item_place"), F.col("w.words").alias("item_words"), F.col("w.plain").alias("plain"), F.col("w.hash").alias("hash")), "item-windows")
