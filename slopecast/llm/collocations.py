@@ -20,6 +20,8 @@ LEAST_COUNT = 30
 #: A phrase goes if a longer one that holds it is found in this share (per cent) of its places.
 COVERED = 80
 TOP = 2000
+#: Parts that a language's phrases are ranked in first, so that the last ranking reads PARTS times `top` and their ties.
+PARTS = 32
 #: Bytes of text that are split at once, words of a buffer, and n-grams that one task's filter takes.
 SLICE, BUFFER, FILTER = 1 << 22, 1 << 20, 1 << 20
 #: Words of the corpus a shard, about; it bounds what one merge holds.
@@ -269,8 +271,10 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST_COUNT, text
     kept = kept.join(frequent.select(F.col("id").alias("first"), "lang"), "first").select("lang", "words", "a", "cut")
 
     order = [F.col("cut.score").desc(), F.col("a").desc()]
-    near = kept.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= top)
-    near = settle(near.drop("place"), "phrases")  # the first ones, with all that tie with the last
+    near = kept.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        near = near.withColumn("place", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= top)
+    near = settle(near.drop("place", "part"), "phrases")  # the first ones, with all that tie with the last
     spelled = near.select("words", F.posexplode("words").alias("at", "id")).join(frequent.select("id", "word"), "id")
     spelled = spelled.groupBy("words").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     sums = words.groupBy("lang").agg(F.sum("f").alias("n"))
