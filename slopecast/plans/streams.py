@@ -76,13 +76,9 @@ SLIDING = ((24, 6), (72, 20), (168, 46))
     ),
 )
 def stream_sliding_rain(t: Tables):
-    """Hour-aligned sliding totals of 24, 72 and 168 hours, closed windows only."""
-    parts = []
-    for hours, expected in SLIDING:
-        out = jobs.sliding_rain(jobs.ingest(t.tele_stream()), hours, expected)
-        parts.append(finished(t, out, f"sliding{hours}").withColumn("hours", F.lit(hours)))
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.select(
+    """Hour-aligned sliding totals of 24, 72 and 168 hours, closed windows only, from one stream."""
+    out = finished(t, jobs.sliding_rain(jobs.ingest(t.tele_stream()), dict(SLIDING)), "sliding", python_state=True)
+    return out.select(
         "station_key", "hours", F.unix_micros("window_end").alias("end_us"), rounded(F.col("rainfall_sum")).alias("rainfall_sum"),
         "rainfall_obs", rounded(F.col("coverage")).alias("coverage"),
     )
@@ -126,7 +122,7 @@ _SCORED = sql_fuse(sql_trigger(f"""SELECT r.*, s.place_id, s.static_score, CASE
 def stream_static_join(t: Tables):
     """Every closed hour with a reading, triggered on four windows, for every place of its station."""
     out = jobs.score_stream(jobs.ingest(t.tele_stream()), places(t), EXPECTED)
-    scored = finished(t, out.select("station_key", "at", "place_id", "rainfall_24h", "rainfall_7d", "trigger_level", "trigger_score", "risk_level", "fusion_score"), "scored")
+    scored = finished(t, out.select("station_key", "at", "place_id", "rainfall_24h", "rainfall_7d", "trigger_level", "trigger_score", "risk_level", "fusion_score"), "scored", python_state=True)
     return scored.withColumn("at_us", F.unix_micros("at")).drop("at")
 
 

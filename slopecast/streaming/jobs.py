@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from slopecast.functions import hazard
 from slopecast.functions.columns import HOUR_US, rounded
 from slopecast.functions.rainfall import usable
 
+HOUR_MS = 3_600_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -47,22 +49,109 @@ def station_day(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def sliding_rain(stream: DataFrame, hours: int, expected: float, delay: str = "1 hour") -> DataFrame:
-    """Sliding totals by whole hours. Hourly partial sums come first, so a reading is not copied
-    into every window it touches; only one row per station and hour is."""
+class HourWindows(StatefulProcessor):
+    """Trailing sums of a station over several window lengths, from its hourly sums.
+
+    The state is a map with one entry an hour, never more than the longest window holds; a row in updates one
+    entry and is in no window table. With every_hour, each hour end up to the watermark has a row while
+    a window holds an hour with readings, and an event-time timer wakes the station for the next one;
+    without, only the hours that have readings do, and a timer drops the state of a station that is silent for the
+    longest window. Hours are counted by their ends since 1970.
+    """
+
+    def __init__(self, spans: list[int], every_hour: bool):
+        self.spans, self.longest, self.every_hour = spans, max(spans), every_hour
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hours = handle.getMapState("hours", "hour bigint", "mm double, obs bigint")
+        self.done = handle.getValueState("done", "hour bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = {int(h): (float(mm), int(obs)) for pdf in rows for h, mm, obs in zip(pdf["hour"], pdf["mm"], pdf["obs"])}
+        held = self._held()
+        known = held | fresh
+        if self.every_hour:
+            done = self.done.get()[0] if self.done.exists() else min(known) - 1
+            ends = np.arange(done + 1, max(max(fresh), self._closed(timerValues)) + 1)
+        else:
+            ends = np.array(sorted(fresh))
+        yield from self._advance(key, held, known, ends)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        ends = np.arange(self.done.get()[0] + 1, self._closed(timerValues) + 1)
+        yield from self._advance(key, held, held, ends, quiet=not self.every_hour)
+
+    def _held(self) -> dict[int, tuple[float, int]]:
+        return {int(h[0]): (v[0], int(v[1])) for h, v in self.hours.iterator()} if self.hours.exists() else {}
+
+    def _closed(self, timerValues) -> int:
+        return timerValues.getCurrentWatermarkInMs() // HOUR_MS
+
+    def _advance(self, key, held, known, ends: np.ndarray, quiet: bool = False) -> Iterator[pd.DataFrame]:
+        """Rows of the given window ends; the state is cut to the hours that later ends can see."""
+        out = self._sums(known, ends)
+        last = int(ends[-1]) if len(ends) else self.done.get()[0]
+        kept = {h for h in known if h > last + 1 - self.longest}
+        for h in held.keys() - kept:
+            self.hours.removeKey((h,))
+        for h in kept - held.keys():
+            self.hours.updateValue((h,), known[h])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if kept:
+            self.done.update((last,))
+            self.handle.registerTimer((last + 1 if self.every_hour else max(kept) + self.longest) * HOUR_MS)
+        else:
+            self.hours.clear()
+            self.done.clear()
+        if len(out) and not quiet:
+            yield out.assign(station_key=key[0])[["station_key", *out.columns]]
+
+    def _sums(self, known: dict[int, tuple[float, int]], ends: np.ndarray) -> pd.DataFrame:
+        t = np.array(sorted(known), np.int64)
+        mm = np.concatenate([[0.0], np.cumsum([known[h][0] for h in t.tolist()])])
+        obs = np.concatenate([[0], np.cumsum([known[h][1] for h in t.tolist()], dtype=np.int64)])
+        high = np.searchsorted(t, ends, "right")
+        ends, high = (x[high > np.searchsorted(t, ends - self.longest, "right")] for x in (ends, high))
+        columns: dict[str, np.ndarray] = {"hour": ends}
+        for n in self.spans:
+            low = np.searchsorted(t, ends - n, "right")
+            columns |= {f"mm_{n}": mm[high] - mm[low], f"obs_{n}": obs[high] - obs[low], f"hours_{n}": high - low}
+        return pd.DataFrame(columns)
+
+    def close(self) -> None:
+        pass
+
+
+def hour_windows(stream: DataFrame, spans: list[int], every_hour: bool, delay: str = "1 hour") -> DataFrame:
+    """(station_key, at, and per length n: mm_n, obs_n, hours_n) at closed hour ends, of the trailing n hours:
+    amount, readings with an amount, and hours with any reading. Partial sums by the hour come first, so
+    Python sees one row a station and hour."""
     hourly = (
         stream.withWatermark("ts", delay)
         .groupBy("station_key", F.window("ts", "1 hour").alias("h"))
-        .agg(F.sum("rainfall_1h").alias("mm"), F.count("rainfall_1h").alias("obs"))
+        .agg(F.coalesce(F.sum("rainfall_1h"), F.lit(0.0)).alias("mm"), F.count("rainfall_1h").alias("obs"))
+        .select("station_key", F.window_time("h").alias("at"), (F.unix_seconds("h.end") / 3600).cast("bigint").alias("hour"), "mm", "obs")
     )
-    return (
-        hourly.groupBy("station_key", F.window(F.window_time("h"), f"{hours} hours", "1 hour").alias("w"))
-        .agg(F.sum("mm").alias("rainfall_sum"), F.sum("obs").alias("rainfall_obs"))
-        .select(
-            "station_key", F.col("w.end").alias("window_end"), "rainfall_sum", "rainfall_obs",
-            F.least(F.col("rainfall_obs") / F.lit(float(expected)), F.lit(1.0)).alias("coverage"),
-        )
+    fields = ", ".join(f"mm_{n} double, obs_{n} bigint, hours_{n} bigint" for n in spans)
+    out = hourly.groupBy("station_key").transformWithStateInPandas(
+        statefulProcessor=HourWindows(spans, every_hour), outputStructType=f"station_key string, hour bigint, {fields}", outputMode="append", timeMode="EventTime",
     )
+    return out.withColumn("at", F.timestamp_seconds(F.col("hour") * 3600)).drop("hour")
+
+
+def sliding_rain(stream: DataFrame, expected: dict[int, float], delay: str = "1 hour") -> DataFrame:
+    """(station_key, hours, window_end, rainfall_sum, rainfall_obs, coverage): sliding totals by whole hours of
+    all the lengths in expected, from one stream; closed windows with any reading."""
+    sums = hour_windows(stream, list(expected), True, delay)
+    windows = [
+        F.struct(F.lit(n).alias("hours"), F.when(F.col(f"obs_{n}") > 0, F.col(f"mm_{n}")).alias("mm"), F.col(f"obs_{n}").alias("obs"), F.col(f"hours_{n}").alias("any"), F.lit(float(x)).alias("of"))
+        for n, x in expected.items()
+    ]
+    each = sums.select("station_key", F.col("at").alias("window_end"), F.inline(F.array(*windows))).where("any > 0")
+    return each.select("station_key", "hours", "window_end", F.col("mm").alias("rainfall_sum"), F.col("obs").alias("rainfall_obs"), F.least(F.col("obs") / F.col("of"), F.lit(1.0)).alias("coverage"))
 
 
 class FreshnessProcessor(StatefulProcessor):
@@ -122,33 +211,19 @@ def window_rain(stream: DataFrame, expected: dict[str, float], delay: str = "1 h
     """Rain of the last hour, 24 h, 3 d and 7 d at the end of every closed hour with a reading.
 
     Returns (station_key, at, rainfall_1h, rainfall_24h, rainfall_3d, rainfall_7d, quality, status).
-    Hourly partial sums are spread over the longest window, and the shorter ones are sums of its
-    last hours, so one sliding state serves all. A window with less than the required share of its
-    expected readings has no amount, and makes the quality PARTIAL.
+    All windows come from one state of hourly sums (HourWindows). A window with less than the required
+    share of its expected readings has no amount, and makes the quality PARTIAL.
     """
-    hourly = (
-        stream.withWatermark("ts", delay)
-        .groupBy("station_key", F.window("ts", "1 hour").alias("h"))
-        .agg(F.sum("rainfall_1h").alias("mm"), F.count("rainfall_1h").alias("obs"), F.count(F.lit(1)).alias("readings"))
-    )
     hours = {w: fixed.WINDOW_HOURS[w] for w in expected}
-    at = F.window_time("h")
-    spread = hourly.select("station_key", "mm", "obs", "readings", at.alias("at"), F.window(at, f"{max(hours.values())} hours", "1 hour").alias("w"))
-
-    def last(n: int) -> Column:
-        return F.col("at") >= F.col("w.end") - F.make_interval(hours=F.lit(n))
-
-    aggs = [F.sum(F.when(last(1), F.col("mm"))).alias("mm_1h"), F.sum(F.when(last(1), F.col("readings"))).alias("news")]
-    for w, n in hours.items():
-        aggs += [F.sum(F.when(last(n), F.col("mm"))).alias(f"mm_{w}"), F.sum(F.when(last(n), F.col("obs"))).alias(f"obs_{w}")]
-    closed = spread.groupBy("station_key", "w").agg(*aggs).filter("news > 0")
-    full = {w: F.col(f"obs_{w}") >= x * fixed.MIN_COVERAGE for w, x in expected.items()}
+    closed = hour_windows(stream, [1, *hours.values()], False, delay)
+    full = {w: F.col(f"obs_{hours[w]}") >= x * fixed.MIN_COVERAGE for w, x in expected.items()}
     lacking = ~functools.reduce(Column.__and__, full.values())
+    missing = F.col("obs_1") == 0
     return closed.select(
-        "station_key", F.col("w.end").alias("at"), rounded(F.col("mm_1h")).alias("rainfall_1h"),
-        *[F.when(full[w], rounded(F.col(f"mm_{w}"))).alias(f"rainfall_{w}") for w in expected],
-        F.when(F.col("mm_1h").isNull(), "MISSING").when(lacking, "PARTIAL").otherwise("GOOD").alias("quality"),
-        F.when(F.col("mm_1h").isNull(), "MISSING").otherwise("OK").alias("status"),
+        "station_key", "at", F.when(~missing, rounded(F.col("mm_1"))).alias("rainfall_1h"),
+        *[F.when(full[w], rounded(F.col(f"mm_{hours[w]}"))).alias(f"rainfall_{w}") for w in expected],
+        F.when(missing, "MISSING").when(lacking, "PARTIAL").otherwise("GOOD").alias("quality"),
+        F.when(missing, "MISSING").otherwise("OK").alias("status"),
     )
 
 

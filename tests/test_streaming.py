@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta, timezone
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +53,7 @@ def test_alert_only_on_transition(spark, rocks, tmp_path):
     assert got == [(1, us(1), "HIGH"), (1, us(4), "CRITICAL"), (1, us(6), "HIGH"), (2, us(0), "HIGH"), (2, us(3), "HIGH")]
 
 
-def test_four_windows_at_closed_hours(spark, tmp_path):
+def test_four_windows_at_closed_hours(spark, rocks, tmp_path):
     schema = "station_key string, ts timestamp, rainfall_1h double"
     rows = [("a", BASE + timedelta(hours=h, minutes=10), 1.0) for h in range(0, 200)]
     jobs.run_to_end(jobs.window_rain(feed(spark, str(tmp_path), "1", rows, schema), {"24h": 24.0, "3d": 72.0, "7d": 168.0}), f"{tmp_path}/rows", f"{tmp_path}/cp")
@@ -60,6 +63,93 @@ def test_four_windows_at_closed_hours(spark, tmp_path):
     assert max(got) <= 199
 
 
+def brute_windows(readings, spans, mark, every_hour):
+    """Trailing sums at hour ends up to the mark, over (hour, amount) readings; hours are ends."""
+    out = {}
+    ends = range(min(h for h, _ in readings), mark + 1) if every_hour else sorted({h for h, _ in readings if h <= mark})
+    for end in ends:
+        for n in spans:
+            inside = [(h, v) for h, v in readings if end - n < h <= end]
+            if inside:
+                out[end, n] = (round(sum(v for _, v in inside if v is not None), 6), sum(v is not None for _, v in inside), len({h for h, _ in inside}))
+    return out
+
+
+@pytest.mark.parametrize("every_hour", [True, False])
+def test_windows_from_hourly_state(spark, rocks, tmp_path, every_hour):
+    rng = random.Random(3)
+    spans = [1, 24, 168]
+    schema = "station_key string, ts timestamp, rainfall_1h double"
+    batches = [[*range(0, 30)], [*range(33, 60, 4), 61], [*range(70, 75), 400], [402, 403, 640]]  # gaps within and beyond the longest window
+    readings = []
+    for k, hours in enumerate(batches):
+        rows = []
+        for h in hours:
+            for minute in (5, 25)[: rng.randint(1, 2)]:
+                amount = None if rng.random() < 0.2 else round(rng.random() * 9, 2)
+                rows.append(("a", BASE + timedelta(hours=h, minutes=minute), amount))
+                readings.append((h + 1, amount))
+        rows += [("b", BASE + timedelta(hours=hours[-1], minutes=1), 1.0)]
+        out = jobs.hour_windows(feed(spark, str(tmp_path), str(k), rows, schema), spans, every_hour)
+        jobs.run_to_end(out, f"{tmp_path}/rows", f"{tmp_path}/cp")
+    first = int(BASE.replace(tzinfo=timezone.utc).timestamp()) // 3600
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/rows").where("station_key = 'a'").collect():
+        end = int(r["at"].replace(tzinfo=timezone.utc).timestamp()) // 3600 - first
+        for n in spans:
+            if r[f"hours_{n}"]:
+                assert (end, n) not in got
+                got[end, n] = (round(r[f"mm_{n}"], 6), r[f"obs_{n}"], r[f"hours_{n}"])
+    assert got == brute_windows(readings, spans, 639, every_hour)
+
+
+def test_state_of_windows_is_bounded():
+    class Kept(dict):
+        exists = lambda self: bool(self)
+        iterator = lambda self: iter(list(self.items()))
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    class One:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        timers: set = set()
+        listTimers = lambda self: list(self.timers)
+        registerTimer = lambda self, t: self.timers.add(t)
+        deleteTimer = lambda self, t: self.timers.discard(t)
+
+    class Now:
+        def __init__(self, hour):
+            self.hour = hour
+
+        def getCurrentWatermarkInMs(self):
+            return self.hour * jobs.HOUR_MS
+
+    for every_hour in (True, False):
+        windows = jobs.HourWindows([1, 24, 168], every_hour)
+        windows.handle, windows.hours, windows.done = Handle(), Kept(), One()
+        rows = 0
+        for h in range(1000, 3000):
+            pdf = pd.DataFrame({"hour": [h], "mm": [1.0], "obs": [1]})
+            rows += sum(len(x) for x in windows.handleInputRows(("a",), iter([pdf]), Now(h)))
+            assert len(windows.hours) <= 168 and len(windows.handle.timers) == 1
+        assert rows == 2000
+        for h in range(3000, 3400):
+            if windows.handle.timers and min(windows.handle.timers) <= h * jobs.HOUR_MS:
+                windows.handle.timers.clear()
+                rows += sum(len(x) for x in windows.handleExpiredTimer(("a",), Now(h), None))
+        assert rows == (2167 if every_hour else 2000) and not windows.hours and not windows.handle.timers
+
+
 def test_late_rows_are_kept_aside(spark, tmp_path):
     schema = "id int, ts timestamp"
     for name, hs in (("1", [0, 10]), ("2", [3, 9, 12]), ("3", [10, 13])):
