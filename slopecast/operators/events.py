@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from slopecast import fixed
 from slopecast.functions.columns import haversine_km, literal_map, rounded
+from slopecast.operators.cells import count_within
 from slopecast.operators.quality import unpivot
 from slopecast.operators.ranks import exact_quantiles, numbered
-from slopecast.operators.spatial import nearest_site, radius_cell, radius_reach
+from slopecast.operators.spatial import PAIRS_A_PLACE, nearest_site, pairs_met, radius_cell, radius_reach
 from slopecast.session import settle
 
+PLACE = ["_lat", "_lon", "_dist"]
 WINDOW_COLUMNS = ["rain_1h", "rain_3h", "rain_6h", "rain_12h", "rain_24h", "rain_48h", "rain_72h", "rain_7d"]
 
 
@@ -153,12 +156,85 @@ def link_rainfall(
     }).drop("nearest", "_km", "total")
 
 
+def _spread(df: DataFrame, km: float) -> DataFrame:
+    """Totals under their names with a b, once for each radius cell that they can be a partner of."""
+    other = df.select(*[F.col(c).alias(f"b{c}") for c in df.columns], F.explode(radius_reach(F.col("_lat"), F.col("_lon"), km)).alias("_a"))
+    return other.select("*", F.col("_a.i").alias("_ci"), F.col("_a.j").alias("_cj")).drop("_a")
+
+
+def _in_cells(df: DataFrame, km: float) -> DataFrame:
+    own = radius_cell(F.col("_lat"), F.col("_lon"), km)
+    return df.drop("_n").withColumns({"_ci": own["i"], "_cj": own["j"]})
+
+
+def _total(cond: Column, value: str) -> Column:
+    return F.coalesce(F.sum(F.when(cond, F.expr(value))), F.lit(0))
+
+
+def _partners_by_pairs(place: DataFrame, place_day: DataFrame, km: float, days: int) -> tuple[DataFrame, DataFrame] | None:
+    """Partner counts per place, and per place and day, from the pairs of places in radius cells; None where there
+    are more than PAIRS_A_PLACE of them for each place."""
+    steps = F.explode(F.array(*[F.lit(s) for s in range(-days, days + 1)]))
+    here, there = _in_cells(place, km), _spread(place, km)
+    here_day = _in_cells(place_day, km).select("*", steps.alias("_step")).withColumn("b_day", F.col("_day") + F.col("_step"))
+    there_day = _spread(place_day, km)
+    if pairs_met(here, there, ["_ci", "_cj"]) > PAIRS_A_PLACE or pairs_met(here_day, there_day, ["b_day", "_ci", "_cj"]) > PAIRS_A_PLACE:
+        return None
+    d, now = F.col("_d"), F.col("_step") == 0
+    apart = haversine_km(F.col("_lat"), F.col("_lon"), F.col("b_lat"), F.col("b_lon"))
+    same = F.coalesce(F.col("_dist") == F.col("b_dist"), F.lit(False))
+    total = lambda cond: _total(cond, "b_n")
+    by_place = here.join(there, ["_ci", "_cj"]).withColumn("_d", apart).filter(d <= km).groupBy(*PLACE).agg(
+        total(d < 0.05).alias("_p50m"), total(d < 1.0).alias("_p1k"), total(d >= 0.05).alias("_pfar"), total(same & (d >= 1.0)).alias("_psame"),
+    )
+    by_day = here_day.join(there_day, ["b_day", "_ci", "_cj"]).withColumn("_d", apart).filter(d <= km).groupBy(*PLACE, "_day").agg(
+        total(now & (d < 0.05)).alias("_d50m"), total(now & (d < 1.0)).alias("_d1k"), total(now & (d >= 1.0)).alias("_dfar"),
+        total(now & (d >= 0.05)).alias("_dge50m"), total(F.lit(True)).alias("_dnear"), total(same).alias("_dsame"),
+    )
+    return by_place, by_day
+
+
+def _partners_by_sums(place: DataFrame, place_day: DataFrame, km: float, days: int) -> tuple[DataFrame, DataFrame]:
+    """The same counts from the sums of cells (cells.count_within): of all places, and by day, district, and both."""
+    steps = F.explode(F.array(*[F.lit(s) for s in range(-days, days + 1)]))
+
+    def named(kind: str, *parts: Column) -> Column:
+        return F.concat_ws("|", F.lit(kind), *[p.cast("string") for p in parts])
+
+    def groups(day: Column | None) -> Column:
+        own = [] if day is None else [day]
+        every, alike = ("all", "district") if day is None else ("day", "both")
+        options = [F.struct(F.lit(every).alias("kind"), named(every, *own).alias("_key"))]
+        options.append(F.when(F.col("_dist").isNotNull(), F.struct(F.lit(alike).alias("kind"), named(alike, *own, F.col("_dist")).alias("_key"))))
+        return F.explode(F.array_compact(F.array(*options))).alias("g")
+
+    of_place = place.select(*PLACE, "_n", groups(None)).select(*PLACE, "_n", "g.*")
+    of_day = place_day.select(*PLACE, "_day", "_n", groups(F.col("_day"))).select(*PLACE, "_day", "_n", "g.*")
+    around = place_day.select(*PLACE, "_day", steps.alias("_step")).select("*", groups(F.col("_day") + F.col("_step"))).select(*PLACE, "_day", "_step", "g.*")
+    totals = of_place.select("_key", "_lat", "_lon", "_n").union(of_day.select("_key", "_lat", "_lon", "_n"))
+    totals = totals.groupBy("_key", F.col("_lat").alias("_ilat"), F.col("_lon").alias("_ilon")).agg(F.sum("_n").alias("_n"))
+    asked = of_place.select("_key", "_lat", "_lon").union(around.select("_key", "_lat", "_lon")).distinct()
+    under = [math.nextafter(0.05, 0.0), math.nextafter(1.0, 0.0), km]  # below 50 m and 1 km, up to km
+    counts = settle(count_within(settle(asked, "asked"), settle(totals, "totals"), under, "_key"), "counted")
+    kind, now = F.col("kind"), F.col("_step") == 0
+    by_place = of_place.join(counts, ["_key", "_lat", "_lon"]).groupBy(*PLACE).agg(
+        _total(kind == "all", "w0").alias("_p50m"), _total(kind == "all", "w1").alias("_p1k"),
+        _total(kind == "all", "w2 - w0").alias("_pfar"), _total(kind == "district", "w2 - w1").alias("_psame"),
+    )
+    by_day = around.join(counts, ["_key", "_lat", "_lon"]).groupBy(*PLACE, "_day").agg(
+        _total((kind == "day") & now, "w0").alias("_d50m"), _total((kind == "day") & now, "w1").alias("_d1k"),
+        _total((kind == "day") & now, "w2 - w1").alias("_dfar"), _total((kind == "day") & now, "w2 - w0").alias("_dge50m"),
+        _total(kind == "day", "w2").alias("_dnear"), _total(kind == "both", "w2").alias("_dsame"),
+    )
+    return by_place, by_day
+
+
 def pair_review(events: DataFrame, key: str, day: str, district: str, km: float = 50.0, days: int = 2) -> DataFrame:
     """Review of each event's partners: those within km, or within days of it.
 
     Partners are counted per class and never listed: in a dense place or on a busy date the list
-    of pairs is quadratic. The counting runs on (place, district, day) totals, so events that share
-    them cost one row.
+    of pairs is quadratic. Counting runs on the totals of places, and of places by day, so that events that
+    share them cost one row; in dense places it runs on the sums of cells.
 
     - reactivation: under 50 m, another day
     - ward_cluster: under 1 km, same day
@@ -170,50 +246,11 @@ def pair_review(events: DataFrame, key: str, day: str, district: str, km: float
     at = events.select(
         key, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col(district).alias("_dist"), F.col(day).alias("_day")
     ).filter("_lat is not null and _lon is not null and _day is not null")
-    own = radius_cell(F.col("_lat"), F.col("_lon"), km)
-    ci, cj = own["i"], own["j"]
-    where = ["_lat", "_lon", "_dist"]
+    where = PLACE
     place_day = at.groupBy(*where, "_day").agg(F.count(F.lit(1)).alias("_n"))
-
-    def spread(df: DataFrame) -> DataFrame:
-        other = df.select(
-            *[F.col(c).alias(f"b{c}") for c in df.columns],
-            F.explode(radius_reach(F.col("_lat"), F.col("_lon"), km)).alias("_a"),
-        )
-        return other.select("*", F.col("_a.i").alias("_ci"), F.col("_a.j").alias("_cj")).drop("_a")
-
-    apart = haversine_km(F.col("_lat"), F.col("_lon"), F.col("b_lat"), F.col("b_lon"))
-    same = F.coalesce(F.col("_dist") == F.col("b_dist"), F.lit(False))
-
-    def total(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, F.col("b_n"))), F.lit(0))
-
-    # all days together, per place
     place = place_day.groupBy(*where).agg(F.sum("_n").alias("_n"))
-    d = F.col("_d")
-    by_place = (
-        place.drop("_n").withColumns({"_ci": ci, "_cj": cj}).join(spread(place), ["_ci", "_cj"])
-        .withColumn("_d", apart).filter(d <= km).groupBy(*where)
-        .agg(
-            total(d < 0.05).alias("_p50m"), total(d < 1.0).alias("_p1k"), total(d >= 0.05).alias("_pfar"),
-            total(same & (d >= 1.0)).alias("_psame"),
-        )
-    )
-    # close in space and time, per place and day
     steps = F.explode(F.array(*[F.lit(s) for s in range(-days, days + 1)]))
-    by_day = (
-        place_day.drop("_n").withColumns({"_ci": ci, "_cj": cj}).select("*", steps.alias("_step"))
-        .withColumn("b_day", F.col("_day") + F.col("_step"))
-        .join(spread(place_day), ["b_day", "_ci", "_cj"])
-        .withColumn("_d", apart).filter(d <= km).groupBy(*where, "_day")
-        .agg(
-            total((F.col("_step") == 0) & (d < 0.05)).alias("_d50m"),
-            total((F.col("_step") == 0) & (d < 1.0)).alias("_d1k"),
-            total((F.col("_step") == 0) & (d >= 1.0)).alias("_dfar"),
-            total((F.col("_step") == 0) & (d >= 0.05)).alias("_dge50m"),
-            total(F.lit(True)).alias("_dnear"), total(same).alias("_dsame"),
-        )
-    )
+    by_place, by_day = _partners_by_pairs(place, place_day, km, days) or _partners_by_sums(place, settle(place_day, "place-days"), km, days)
 
     # close in time anywhere, per day, and per day and district
     def around_day(keys: list[str], name: str) -> DataFrame:

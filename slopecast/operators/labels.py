@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from slopecast.functions.columns import rounded
 from slopecast.operators.ranks import numbered
-from slopecast.operators.spatial import polygon_edges, state_of_point, within_radius
+from slopecast.operators.outlines import outline_cells, polygon_edges, state_of_point
+from slopecast.operators.spatial import nearest_site
 from slopecast.session import settle
 
 CHUNK = 10_000
@@ -35,8 +36,9 @@ def negative_candidates(
     in chunks that Spark spreads, so one state with most positives is not one task. What returns to
     the driver is one row per outline and round.
     """
+    outlines = outline_cells(vertices)
     quota = (
-        state_of_point(positives, vertices).filter("inside_state is not null")
+        state_of_point(positives, outlines).filter("inside_state is not null")
         .groupBy(F.col("inside_state").alias("state")).agg(F.count(F.lit(1)).alias("quota"))
     )
     e = polygon_edges(vertices)
@@ -59,9 +61,9 @@ def negative_candidates(
             (F.col("x0") + (F.col("xm") - F.col("x0")) * uniform(*base, F.lit("lon"))).alias("longitude"),
             (F.col("y0") + (F.col("ym") - F.col("y0")) * uniform(*base, F.lit("lat"))).alias("latitude"),
         )
-        inside = state_of_point(cand, vertices).filter(F.col("inside_state") == F.col("state")).drop("inside_state")
-        near = within_radius(inside, positives, exclusion_km).select("latitude", "longitude")
-        return settle(inside.join(near, ["latitude", "longitude"], "left_anti"), "candidates")
+        inside = state_of_point(cand, outlines).filter(F.col("inside_state") == F.col("state")).drop("inside_state")
+        near = nearest_site(inside, positives.select("latitude", "longitude", F.lit(0).alias("_any")), ["_any"], "_near")
+        return settle(near.filter(F.col("_near").isNull() | (F.col("_near.distance") > exclusion_km)).drop("_near"), "candidates")
 
     wanted = {r["state"]: r["quota"] for r in plan.select("state", "quota").collect()}
     drawn, passed, parts = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0), []

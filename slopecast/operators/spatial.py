@@ -1,30 +1,25 @@
 """Spatial joins as equi-joins on grid cells.
 
 Everything works on distinct coordinates first, so copies of one place cost one row. No join
-lists all pairs: cells that cannot hold the answer are pruned on cell lists, whose size is
-bounded by the area divided by the cell size, whatever the number of rows.
+lists all pairs: cells that cannot hold the answer are pruned on cell lists (see cells).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopecast import fixed
 from slopecast.functions.columns import degrees_for_km, haversine_km, literal_map
+from slopecast.operators.cells import (
+    CELL_SEGMENTS, COARSE_DEG, FINEST, count_within, item_cells, nearest_pairs, on_globe, place_levels, placed, placed_segments, point_cells,
+)
 from slopecast.session import settle
 
-COARSE_DEG = 64.0
-#: Cells of COARSE_DEG that cover all latitudes and longitudes from -180 to 180 (and 180 itself).
-ROOT_ROWS, ROOT_COLS = range(-2, 2), range(-3, 3)
-#: A cell that holds more distinct item places than this is halved, if the places allow it.
-CELL_ITEMS = 512
-KM_PER_DEG = fixed.METRES_PER_DEGREE / 1000.0
-
-
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / size)
 
@@ -35,120 +30,27 @@ def _around(i: Column, j: Column) -> Column:
     return F.array(*[F.struct((i + a).alias("i"), (j + b).alias("j")) for a, b in steps])
 
 
-def _prune(pairs: DataFrame, size: float, planar: bool) -> DataFrame:
-    """Keep the item cells that can hold the nearest item of some point of the point cell.
-
-    A lower and an upper distance bound follow from the cell indexes; the upper bound counts
-    only for cells that surely hold an item. Longitudes are a circle, unless the distance is
-    planar. Rows per point cell are bounded by the area.
-    """
-    di, dj = F.abs(F.col("pi") - F.col("ii")), F.abs(F.col("pj") - F.col("ij"))
-    far_lat = F.least(F.greatest(F.abs("pi"), F.abs(F.col("pi") + 1)) * size, F.lit(90.0))
-    near_lat = F.least(F.least(F.abs("pi"), F.abs(F.col("pi") + 1)) * size, F.lit(90.0))
-    zero = F.lit(0.0)
-    gap_i, gap_j = F.greatest((di - 1) * size, zero), F.greatest((dj - 1) * size, zero)
-    span_i, span_j = (di + 1) * size, (dj + 1) * size
-    if planar:
-        low = KM_PER_DEG * F.sqrt(gap_i * gap_i + F.pow(gap_j * F.cos(F.radians(far_lat)), F.lit(2.0)))
-        high = KM_PER_DEG * F.sqrt(span_i * span_i + F.pow(span_j * F.cos(F.radians(near_lat)), F.lit(2.0)))
-    else:
-        gap_j = F.least(gap_j, F.greatest(360.0 - span_j, zero))
-        span_j = F.least(span_j, F.lit(180.0))
-        span_j = F.least(span_j, F.greatest(360.0 - (dj - 1) * size, zero))
-        low = fixed.EARTH_RADIUS_KM * F.greatest(
-            F.radians(F.least(gap_i, F.lit(180.0))), F.asin(F.sin(F.radians(F.least(gap_j, F.lit(90.0)))) * F.cos(F.radians(far_lat)))
-        )
-        high = KM_PER_DEG * (span_i + span_j * F.cos(F.radians(near_lat)))
-    bounded = pairs.withColumn("_low", low).withColumn("_high", F.when(F.col("sure"), high))
-    per_cell = Window.partitionBy("pi", "pj")
+def _distinct_sites(points: DataFrame) -> DataFrame:
+    """Distinct coordinates on the globe with their number of rows."""
     return (
-        bounded.withColumn("_best", F.min("_high").over(per_cell))
-        .filter(F.col("_best").isNull() | (F.col("_low") <= F.col("_best") * 1.0001))
-        .select("pi", "pj", "ii", "ij")
-    )
-
-
-def candidate_cells(point_cells: DataFrame, item_cells: DataFrame, size: float, exclude_self: bool, planar: bool = False) -> DataFrame:
-    """(pi, pj) -> (ii, ij): item cells to search for each point cell.
-
-    point_cells has (pi, pj); item_cells has (ii, ij, n_sure), n_sure counting items that
-    surely lie inside. Pruned from a grid of a few cells that covers the globe down to the fine
-    one, four times finer each step, so nothing is too far away to be found.
-    """
-    need = F.when((F.col("pi") == F.col("ii")) & (F.col("pj") == F.col("ij")), 2).otherwise(1) if exclude_self else F.lit(1)
-
-    def up(c: str, by: int) -> Column:
-        return F.floor(F.col(c) / by)
-
-    steps = [1]
-    while steps[-1] * size < COARSE_DEG:
-        steps.append(steps[-1] * 4)
-    pairs = None
-    for step in reversed(steps):
-        pc, ic = point_cells, item_cells
-        if step > 1:
-            pc = pc.select(up("pi", step).alias("pi"), up("pj", step).alias("pj")).distinct()
-            ic = ic.groupBy(up("ii", step).alias("ii"), up("ij", step).alias("ij")).agg(F.sum("n_sure").alias("n_sure"))
-        if pairs is None:
-            every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in ROOT_ROWS for j in ROOT_COLS])
-            met = pc.select("*", F.explode(every).alias("_r")).join(ic, (F.col("_r.i") == F.col("ii")) & (F.col("_r.j") == F.col("ij")))
-        else:
-            kept = pairs.select(*[F.col(c).alias(f"c_{c}") for c in ("pi", "pj", "ii", "ij")])
-            met = pc.join(kept, (up("pi", 4) == F.col("c_pi")) & (up("pj", 4) == F.col("c_pj"))).join(
-                ic, (up("ii", 4) == F.col("c_ii")) & (up("ij", 4) == F.col("c_ij"))
-            )
-        pairs = _prune(met.withColumn("sure", F.col("n_sure") >= need), step * size, planar)
-    return pairs
-
-
-def _on_globe(lat: str, lon: str) -> Column:
-    return F.col(lat).between(-90.0, 90.0) & F.col(lon).between(-180.0, 180.0)
-
-
-def cell_size(items: DataFrame, lat: str, lon: str, size: float = 0.25, steps: int = 3) -> float:
-    """Cell size for places: size, or a quarter of it and so on while a cell holds more than CELL_ITEMS.
-
-    items has distinct places. One pass counts the cells of all sizes.
-    """
-    sizes = [size / 4**k for k in range(steps + 1)]
-    per_size = items.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), _cell(F.col(lat), x).alias("i"), _cell(F.col(lon), x).alias("j")) for k, x in enumerate(sizes)
-    ])).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).groupBy("c.k").agg(F.max("n").alias("n"))
-    crowd = {r["k"]: r["n"] for r in per_size.collect()}  # one row a size
-    return next((x for k, x in enumerate(sizes) if crowd.get(k, 0) <= CELL_ITEMS), sizes[-1])
-
-
-def _distinct_sites(points: DataFrame, size: float) -> DataFrame:
-    """Distinct coordinates with their cell and number of rows."""
-    return (
-        points.filter(_on_globe("latitude", "longitude"))
+        points.filter(on_globe("latitude", "longitude"))
         .groupBy(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("pi", _cell(F.col("_lat"), size))
-        .withColumn("pj", _cell(F.col("_lon"), size))
     )
 
 
 def _nearest(
-    points: DataFrame,
-    placed_items: DataFrame,
-    item_cells: DataFrame,
-    distance: Column,
-    pick: Sequence[str],
-    size: float,
-    name: str,
-    exclude_self: bool = False,
-    condition: Column | None = None,
-    planar: bool = False,
+    points: DataFrame, items: DataFrame, sure: Column, distance: Column, pick: Sequence[str], name: str,
+    exclude_self: bool = False, condition: Column | None = None, planar: bool = False, crowd: int | None = None,
 ) -> DataFrame:
-    # both uses of the distinct sites keep _rows, so that Spark shuffles the points for them once
-    sites = _distinct_sites(points, size).filter("_rows > 0")
-    used = sites.groupBy("pi", "pj").agg(F.sum("_rows").alias("_rows")).filter("_rows > 0").select("pi", "pj")
-    cand = candidate_cells(used, item_cells, size, exclude_self, planar)
-    cand = cand.select("pi", "pj", F.col("ii").alias("_ci"), F.col("ij").alias("_cj"))
-    near = sites.join(cand, ["pi", "pj"]).join(
-        placed_items, (F.col("_ci") == F.col("ii")) & (F.col("_cj") == F.col("ij"))
-    )
+    """points with the struct (distance, *pick) of the nearest placed item; sure counts the items of a cell that
+    surely have a place inside it."""
+    counts, depth = item_cells(items, sure, crowd=crowd)
+    sites = settle(_distinct_sites(points), "sites")
+    found = nearest_pairs(point_cells(sites, depth), counts, depth, exclude_self, planar, crowd)
+    here = placed(sites.select("_lat", "_lon"), place_levels(F.col("_lat"), F.col("_lon"), depth)).withColumnsRenamed({"ii": "pi", "ij": "pj"})
+    there = items.where(F.col("level") <= depth).withColumnRenamed("level", "il")
+    near = here.join(found, ["level", "pi", "pj"]).join(there, ["il", "ii", "ij"])
     if condition is not None:
         near = near.filter(condition)
     # one row per distinct place; written once, since callers use the joined points more than once
@@ -158,46 +60,37 @@ def _nearest(
     ).drop("_lat", "_lon")
 
 
-def nearest_site(
-    points: DataFrame, sites: DataFrame, pick: Sequence[str], name: str = "nearest", size: float | None = None
-) -> DataFrame:
+def nearest_site(points: DataFrame, sites: DataFrame, pick: Sequence[str], name: str = "nearest") -> DataFrame:
     """Add the exact great-circle nearest site as a struct (distance, *pick), however far it is.
 
     Both sides have latitude and longitude; rows off the globe take no part. Equal distances are
-    settled by the order of pick. Without a size, the cells follow the density of the sites.
+    settled by the order of pick. Cells are small only where the sites are dense.
     """
     items = sites.select(
         *pick, F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon")
-    ).filter(_on_globe("_ilat", "_ilon"))
-    size = size or cell_size(items.select("_ilat", "_ilon").distinct(), "_ilat", "_ilon")
-    items = items.withColumn("ii", _cell(F.col("_ilat"), size)).withColumn("ij", _cell(F.col("_ilon"), size))
+    ).filter(on_globe("_ilat", "_ilon"))
     # sites at one place: only the first can win
-    items = items.groupBy("ii", "ij", "_ilat", "_ilon").agg(F.min(F.struct(*pick)).alias("_p")).select(
-        "ii", "ij", "_ilat", "_ilon", "_p.*"
-    )
-    cells = items.groupBy("ii", "ij").agg(F.count(F.lit(1)).alias("n_sure"))
+    items = items.groupBy("_ilat", "_ilon").agg(F.min(F.struct(*pick)).alias("_p")).select("_ilat", "_ilon", "_p.*")
     d = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_ilat"), F.col("_ilon"))
-    return _nearest(points, items, cells, d, pick, size, name)
+    return _nearest(points, placed(items, place_levels(F.col("_ilat"), F.col("_ilon"), FINEST)), F.count(F.lit(1)), d, pick, name)
 
 
-def nearest_other(points: DataFrame, positive: Column, size: float | None = None) -> DataFrame:
+def nearest_other(points: DataFrame, positive: Column) -> DataFrame:
     """Distance in km to the nearest other positive point.
 
     A positive ignores itself but not a second positive at its place (distance 0); a negative
     takes the plain nearest positive.
     """
     pos = (
-        points.filter(positive & _on_globe("latitude", "longitude"))
+        points.filter(positive & on_globe("latitude", "longitude"))
         .groupBy(F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon"))
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    size = size or cell_size(pos, "_ilat", "_ilon")
-    pos = pos.withColumn("ii", _cell(F.col("_ilat"), size)).withColumn("ij", _cell(F.col("_ilon"), size))
-    cells = pos.groupBy("ii", "ij").agg(F.count(F.lit(1)).alias("n_sure"))
     d = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_ilat"), F.col("_ilon"))
     other = (F.col("_lat") != F.col("_ilat")) | (F.col("_lon") != F.col("_ilon"))
     marked = points.withColumn("_positive", positive)
-    out = _nearest(marked, pos, cells, d, ["_ilat"], size, "_other", exclude_self=True, condition=other)
+    items = placed(pos, place_levels(F.col("_ilat"), F.col("_ilon"), FINEST))
+    out = _nearest(marked, items, F.count(F.lit(1)), d, ["_ilat"], "_other", exclude_self=True, condition=other)
     here = pos.select(F.col("_ilat").alias("_hlat"), F.col("_ilon").alias("_hlon"), "_copies")
     out = out.join(here, (F.col("latitude") == F.col("_hlat")) & (F.col("longitude") == F.col("_hlon")), "left")
     own = F.when(F.col("_positive"), 1).otherwise(0)
@@ -207,26 +100,28 @@ def nearest_other(points: DataFrame, positive: Column, size: float | None = None
     ).drop("_positive", "_other", "_hlat", "_hlon", "_copies")
 
 
-def _box_cells(y1: Column, x1: Column, y2: Column, x2: Column, size: float, margin: float = 0.0) -> Column:
-    """Cells under the bounding box of a segment, widened by margin degrees."""
-    rows = F.sequence(_cell(F.least(y1, y2) - margin, size), _cell(F.greatest(y1, y2) + margin, size))
-    cols = F.sequence(_cell(F.least(x1, x2) - margin, size), _cell(F.greatest(x1, x2) + margin, size))
-    return F.flatten(F.transform(rows, lambda i: F.transform(cols, lambda j: F.struct(i.alias("i"), j.alias("j")))))
-
-
 def nearest_segment(
-    points: DataFrame, segments: DataFrame, pick: Sequence[str], measure: Callable[..., Column],
-    name: str = "nearest", size: float = 0.25,
+    points: DataFrame, segments: DataFrame, pick: Sequence[str], measure: Callable[..., Column], name: str = "nearest",
 ) -> DataFrame:
-    """Add the nearest polyline segment as a struct (distance, *pick); measure gives metres."""
+    """Add the nearest polyline segment as a struct (distance, *pick); measure gives metres.
+
+    A segment takes the shorter way between its ends, across 180 degrees if need be, and is placed in the cells
+    that it passes, not in those of its bounding box; cells are small only where segments are dense.
+    """
     y1, x1, y2, x2 = (F.col(c) for c in ("y1", "x1", "y2", "x2"))
-    placed = segments.select(
-        *pick, "y1", "x1", "y2", "x2", F.explode(_box_cells(y1, x1, y2, x2, size)).alias("_b")
-    ).select("*", F.col("_b.i").alias("ii"), F.col("_b.j").alias("ij")).drop("_b")
-    holds_end = (F.col("ii") == _cell(y1, size)) & (F.col("ij") == _cell(x1, size))
-    cells = placed.groupBy("ii", "ij").agg(F.count_if(holds_end).alias("n_sure"))
-    d = measure(F.col("_lat"), F.col("_lon"), y1, x1, y2, x2)
-    return _nearest(points, placed, cells, d, pick, size, name, planar=True)
+    turned = F.when(x2 - x1 > 180, x2 - 360).when(x1 - x2 > 180, x2 + 360).otherwise(x2)
+    ends = [F.col(c).isNotNull() for c in ("y1", "x1", "y2", "x2")]
+    items = segments.select(*pick, "y1", "x1", "y2", turned.alias("x2")).filter(reduce(Column.__and__, ends))
+    size = F.lit(COARSE_DEG) / F.pow(F.lit(4.0), F.col("level"))
+    end = lambda y, x: (F.col("ii") == F.floor(y / size)) & (F.col("ij") == F.floor(x / size))
+    # the point's turn of the globe that is nearest to the segment's middle
+    turns = F.rint((F.col("_lon") - (x1 + x2) / 2) / 360.0) * 360.0
+    d = measure(F.col("_lat"), F.col("_lon"), y1, x1 + turns, y2, x2 + turns)
+    return _nearest(points, placed_segments(items), F.count_if(end(y1, x1) | end(y2, x2)), d, pick, name, planar=True, crowd=CELL_SEGMENTS)
+
+
+#: Pairs of places that are compared one by one, for each place, before cells are counted from their sums.
+PAIRS_A_PLACE = 4096
 
 
 def radius_cell(lat: Column, lon: Column, km: float) -> Column:
@@ -255,115 +150,44 @@ def radius_reach(lat: Column, lon: Column, km: float) -> Column:
     )))
 
 
+def pairs_met(here: DataFrame, there: DataFrame, keys: Sequence[str]) -> float:
+    """Pairs that a join on keys would make, for each row of here; from the sums of the keys."""
+    a, b = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for t, n in ((here, "a"), (there, "b")))
+    met = a.join(b, list(keys), "left").agg(F.sum(F.col("a") * F.col("b")).alias("pairs"), F.sum("a").alias("rows")).first()
+    return (met["pairs"] or 0) / max(1, met["rows"] or 0)
+
+
 def within_radius(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
     """Per distinct point place: how many sites lie within km, and the nearest of them.
 
-    Pairs are counted, not listed. Returns (latitude, longitude, n_within, nearest_km). Holds at
-    every latitude and across 180 degrees.
+    Pairs are counted, not listed. Where cells of the radius hold few places, those are compared; where the join
+    would make more than PAIRS_A_PLACE pairs a place, cells wholly within km are counted from their
+    sums (cells.count_within), and both ways give the same rows. Returns (latitude, longitude, n_within,
+    nearest_km). Holds at every latitude and across 180 degrees.
     """
     there = (
-        sites.filter(_on_globe("latitude", "longitude")).groupBy(F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon"))
+        sites.filter(on_globe("latitude", "longitude")).groupBy(F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_a", F.explode(radius_reach(F.col("_ilat"), F.col("_ilon"), km)))
-        .select("_ilat", "_ilon", "_n", F.col("_a.i").alias("pi"), F.col("_a.j").alias("pj"))
     )
     own = radius_cell(F.col("_lat"), F.col("_lon"), km)
-    here = _distinct_sites(points, 1.0).withColumns({"pi": own["i"], "pj": own["j"]})
+    here = _distinct_sites(points).drop("_rows").withColumns({"pi": own["i"], "pj": own["j"]})
+    spread = there.withColumn("_a", F.explode(radius_reach(F.col("_ilat"), F.col("_ilon"), km))).select("_ilat", "_ilon", "_n", F.col("_a.i").alias("pi"), F.col("_a.j").alias("pj"))
+    if pairs_met(here, spread, ["pi", "pj"]) > PAIRS_A_PLACE:
+        return _within_by_sums(here, there, sites, km)
     d = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_ilat"), F.col("_ilon"))
     return (
-        here.join(there, ["pi", "pj"])
-        .withColumn("_d", d)
-        .filter(F.col("_d") <= km)
+        here.join(spread, ["pi", "pj"]).withColumn("_d", d).filter(F.col("_d") <= km)
         .groupBy(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"))
         .agg(F.sum("_n").alias("n_within"), F.min("_d").alias("nearest_km"))
     )
 
 
-def polygon_edges(vertices: DataFrame) -> DataFrame:
-    """Vertex rows (state, seq, lon, lat) to closed edges."""
-    ring = Window.partitionBy("state").orderBy("seq")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return vertices.select(
-        "state", F.col("lon").alias("x1"), F.col("lat").alias("y1"),
-        F.coalesce(F.lead("lon").over(ring), F.first("lon").over(whole)).alias("x2"),
-        F.coalesce(F.lead("lat").over(ring), F.first("lat").over(whole)).alias("y2"),
-    )
-
-
-def state_of_point(points: DataFrame, vertices: DataFrame, band: float = 0.01) -> DataFrame:
-    """Add the state whose outline contains the point (NULL outside), by counting crossings.
-
-    Edges are spread over latitude bands, so a point meets only the edges at its height. Thin bands
-    give many join keys, and hold hardly more edges than cross the point's own latitude, however
-    finely an outline is drawn.
-    """
-    e = polygon_edges(vertices)
-    lows, highs = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = e.select("*", F.explode(F.sequence(_cell(lows, band), _cell(highs, band))).alias("_band"))
-    sites = _distinct_sites(points, band).withColumnRenamed("pi", "_band").drop("pj")
-    straddles = (F.col("y1") > F.col("_lat")) != (F.col("y2") > F.col("_lat"))
-    cross_x = F.col("x1") + (F.col("_lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    inside = (
-        sites.join(e, "_band")
-        .filter(straddles & (F.col("_lon") < cross_x))
-        .groupBy("_lat", "_lon", "state")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter("_n % 2 = 1")
-        .groupBy("_lat", "_lon")
-        .agg(F.min("state").alias("inside_state"))
-    )
-    return points.join(
-        inside, (F.col("latitude") == F.col("_lat")) & (F.col("longitude") == F.col("_lon")), "left"
-    ).drop("_lat", "_lon")
-
-
-def degrees_to_segment(lat: Column, lon: Column, y1: Column, x1: Column, y2: Column, x2: Column) -> Column:
-    """Plain distance in degrees from a point to a segment."""
-    dx, dy = x2 - x1, y2 - y1
-    length2 = dx * dx + dy * dy
-    t = F.when(
-        length2 > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((lon - x1) * dx + (lat - y1) * dy) / length2))
-    ).otherwise(F.lit(0.0))
-    ex, ey = x1 + t * dx - lon, y1 + t * dy - lat
-    return F.sqrt(ex * ex + ey * ey)
-
-
-def border_state(points: DataFrame, vertices: DataFrame, tolerance: float = 0.01, size: float = 0.05) -> DataFrame:
-    """For points outside every outline: the state whose border is closer than tolerance degrees.
-
-    points needs inside_state; adds border_state and border_deg.
-    """
-    out = points.filter("inside_state is null")
-    y1, x1, y2, x2 = (F.col(c) for c in ("y1", "x1", "y2", "x2"))
-    e = polygon_edges(vertices).select(
-        "*", F.explode(_box_cells(y1, x1, y2, x2, size, tolerance)).alias("_b")
-    ).select("state", "y1", "x1", "y2", "x2", F.col("_b.i").alias("pi"), F.col("_b.j").alias("pj"))
-    near = (
-        _distinct_sites(out, size)
-        .join(e, ["pi", "pj"])
-        .withColumn("_d", degrees_to_segment(F.col("_lat"), F.col("_lon"), y1, x1, y2, x2))
-        .filter(F.col("_d") < tolerance)
-        .groupBy("_lat", "_lon")
-        .agg(F.min(F.struct("state", "_d")).alias("_s"))
-    )
-    return points.join(
-        near, (F.col("latitude") == F.col("_lat")) & (F.col("longitude") == F.col("_lon")), "left"
-    ).withColumns({"border_state": F.col("_s.state"), "border_deg": F.col("_s._d")}).drop("_lat", "_lon", "_s")
-
-
-def domain_status(points: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Status, state and message per location: bad range, inside, border or outside."""
-    placed = border_state(state_of_point(points, vertices), vertices)
-    lat, lon = F.col("latitude"), F.col("longitude")
-    bad_lat, bad_lon = ~lat.between(-90, 90), ~lon.between(-180, 180)
-    bad = F.coalesce(bad_lat | bad_lon, F.lit(True))
-    state = F.when(~bad, F.coalesce("inside_state", F.concat("border_state", F.lit(" (Border)"))))
-    return placed.withColumn("state", state).withColumns({
-        "status": F.when(bad, "INVALID_COORDINATES").when(F.col("inside_state").isNotNull(), "INSIDE")
-        .when(F.col("border_state").isNotNull(), "BORDER").otherwise("OUTSIDE_SUPPORTED_DOMAIN"),
-        "message": F.when(bad_lat, "Invalid latitude").when(bad_lon, "Invalid longitude").when(bad, "Missing coordinates")
-        .when(F.col("state").isNull(), "Outside the supported domain"),
-    })
+def _within_by_sums(here: DataFrame, there: DataFrame, sites: DataFrame, km: float) -> DataFrame:
+    key = F.lit("").alias("_key")
+    counts = count_within(here.select(key, "_lat", "_lon"), settle(there.select(key, "_ilat", "_ilon", "_n"), "sites"), [km], "_key")
+    counts = settle(counts.where("w0 > 0").select(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), F.col("w0").alias("n_within")), "counted")
+    near = nearest_site(counts, sites.select("latitude", "longitude", F.lit(0).alias("_any")), ["_any"], "_near")
+    return near.select("latitude", "longitude", "n_within", F.col("_near.distance").alias("nearest_km"))
 
 
 def nearest_radar(points: DataFrame) -> DataFrame:

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from slopecast import fixed
 from slopecast.functions.columns import DAY_US, HOUR_US, rounded
-from slopecast.functions.rainfall import quality_flag, rainfall_class, usable
+from slopecast.functions.rainfall import finite, ingested, quality_flag, rainfall_class
 
 STATION_TIME = ["station_key", "ts"]
 SOURCE_ORDER = ["reading_id", "copy_no"]
+#: Type that amounts are summed in.
+AMOUNT = "decimal(38, 18)"
 
 
 def usable_rows(tele: DataFrame) -> DataFrame:
-    """Rows fit for feature building (a plain filter, pushed to the scan where possible)."""
-    return tele.filter(usable(F.col("ts"), F.col("latitude"), F.col("longitude"), F.col("rainfall_1h")))
+    """Rows fit for feature building (see rainfall.ingested)."""
+    return ingested(tele)
 
 
 def collision_audit(tele: DataFrame) -> DataFrame:
@@ -64,7 +66,8 @@ def trailing_rain(
     totals are running sums over one sort: the work stays linear however densely a station
     reports. A station is cut into time slices, so that one busy station is not one task; amounts
     still standing at the end of a slice are carried into the next one. Amounts are summed as
-    whole millionths of a millimetre, which makes totals independent of the summing order.
+    decimals of 18 places, so totals are exact and do not depend on the summing order; NaN, infinities
+    and amounts of more than 10 ** 20 mm count as missing.
     """
     expected = expected or fixed.EXPECTED_HOURS
     spans = {label: hours * HOUR_US for label, hours in fixed.WINDOW_HOURS.items()}
@@ -72,12 +75,12 @@ def trailing_rain(
     if slice_us < max(spans.values()):
         raise ValueError("a slice must be at least as long as the longest window")
     df = tele.select(
-        "station_key", F.unix_micros("ts").alias("_t"), F.round(F.col("rainfall_1h") * 1e6).cast("bigint").alias("_v"),
+        "station_key", F.unix_micros("ts").alias("_t"), finite(F.col("rainfall_1h")).try_cast(AMOUNT).alias("_v"),
         F.struct(*tele.columns).alias("_row"),
     )
     t, v = F.col("_t"), F.col("_v")
     own = F.floor(t / slice_us)
-    zero = F.lit(0).cast("bigint")
+    nothing, zero = F.lit(0).cast(AMOUNT), F.lit(0).cast("bigint")
 
     def change(at, slice_, amounts, counts, is_row=False):
         return F.struct(
@@ -86,16 +89,16 @@ def trailing_rain(
         )
 
     one = F.lit(1).cast("bigint")
-    changes = [change(t, own, [F.coalesce(v, zero)] * 3, [F.when(v.isNotNull(), one).otherwise(zero)] * 3, True)]
+    changes = [change(t, own, [F.coalesce(v, nothing)] * 3, [F.when(v.isNotNull(), one).otherwise(zero)] * 3, True)]
     for w, span in spans.items():
         changes.append(change(
             t + span, F.floor((t + span) / slice_us),
-            [-v if x == w else zero for x in spans], [-one if x == w else zero for x in spans],
+            [-v if x == w else nothing for x in spans], [-one if x == w else zero for x in spans],
         ))
     standing = [F.floor((t + span) / slice_us) > own for span in spans.values()]
     carried = F.when(standing[-1], change(
         (own + 1) * slice_us - 1, own + 1,
-        [F.when(k, v).otherwise(zero) for k in standing], [F.when(k, one).otherwise(zero) for k in standing],
+        [F.when(k, v).otherwise(nothing) for k in standing], [F.when(k, one).otherwise(zero) for k in standing],
     ))
     # a missing amount changes no total, so it only stands for its own row
     events = F.when(v.isNull(), F.array(changes[0])).otherwise(F.array_compact(F.array(*changes, carried)))
@@ -107,7 +110,7 @@ def trailing_rain(
     cols = {"timestamp_collision": F.count("_row").over(line.rangeBetween(Window.currentRow, Window.currentRow)) > 1}
     for w in spans:
         obs = F.sum(f"n_{w}").over(so_far)
-        cols[f"rainfall_{w}_sum"] = F.when(obs > 0, rounded(F.sum(f"mm_{w}").over(so_far) / 1e6))
+        cols[f"rainfall_{w}_sum"] = F.when(obs > 0, rounded(F.sum(f"mm_{w}").over(so_far).cast("double")))
         cols[f"rainfall_obs_{w}"] = obs
         cols[f"coverage_{w}"] = F.least(obs / F.lit(float(expected[w])), F.lit(1.0))
     wide = flow.withColumns(cols).filter("is_row").select("_row.*", *cols)

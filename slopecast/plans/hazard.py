@@ -10,7 +10,8 @@ from slopecast.functions.columns import rounded
 from slopecast.operators import assessment as op
 from slopecast.operators import telemetry
 from slopecast.operators.asof import asof
-from slopecast.operators.spatial import code_labels, state_of_point
+from slopecast.operators.outlines import state_of_point
+from slopecast.operators.spatial import code_labels
 from slopecast.plans.bindings import SQL_TABLES, Tables, dbl, rnd, sql_haversine
 from slopecast.plans.registry import query
 from slopecast.plans.spatial import COVER_VALUES, INSIDE_SQL, NEAREST_SQL, SOIL_VALUES

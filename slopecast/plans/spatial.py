@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slopecast import fixed
 from slopecast.functions.columns import haversine_km, metres_between, rounded, segment_metres, tile_name
+from slopecast.operators import outlines
 from slopecast.operators import spatial as op
 from slopecast.operators.ranks import exact_quantiles
 from slopecast.plans.bindings import Tables, rnd, sql_haversine
@@ -49,7 +50,7 @@ INSIDE_SQL = """SELECT point_id, min(state) AS inside_state FROM (SELECT p.point
 
 @query("point_in_polygon", f"SELECT p.point_id, inside_state FROM points p LEFT JOIN ({INSIDE_SQL}) i USING (point_id)")
 def point_in_polygon(t: Tables):
-    return op.state_of_point(t.points, t.vertices).select("point_id", "inside_state")
+    return outlines.state_of_point(t.points, t.vertices).select("point_id", "inside_state")
 
 
 _T = "greatest(0.0, least(1.0, ((p.longitude - e.x1) * (e.x2 - e.x1) + (p.latitude - e.y1) * (e.y2 - e.y1)) / (pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2))))"
@@ -61,7 +62,7 @@ BORDER_SQL = f"""SELECT p.point_id, min(e.state) AS border_state FROM points p J
 @query("border_tolerance", f"SELECT point_id, border_state || ' (Border)' AS state FROM ({BORDER_SQL})")
 def border_tolerance(t: Tables):
     """Points outside every outline but within 0.01 degrees of one."""
-    placed = op.border_state(op.state_of_point(t.points, t.vertices), t.vertices)
+    placed = outlines.border_state(outlines.state_of_point(t.points, t.vertices), t.vertices)
     return placed.filter("border_state is not null").select(
         "point_id", F.concat("border_state", F.lit(" (Border)")).alias("state")
     )
@@ -80,7 +81,7 @@ def domain_status(t: Tables):
     """Status of every point, and of the same points moved to an impossible latitude."""
     p = t.points.select("point_id", "latitude", "longitude")
     moved = p.select((F.lit(-1) - F.col("point_id")).alias("point_id"), (F.col("latitude") + 90).alias("latitude"), "longitude")
-    return op.domain_status(p.unionByName(moved), t.vertices).select("point_id", "status", "state", "message")
+    return outlines.domain_status(p.unionByName(moved), t.vertices).select("point_id", "status", "state", "message")
 
 
 POSITIVES = "SELECT event_no, site_no, latitude, longitude, event_no % 2 = 0 AS positive FROM inventory"
@@ -283,7 +284,7 @@ def distance_distribution(t: Tables):
 )
 def boundary_validity(t: Tables):
     """Per claimed state: how many points really lie inside its outline."""
-    claimed = op.state_of_point(t.points, t.vertices).join(t.raw("nation"), F.col("nation_no") == F.col("n_nationkey"))
+    claimed = outlines.state_of_point(t.points, t.vertices).join(t.raw("nation"), F.col("nation_no") == F.col("n_nationkey"))
     ok = F.coalesce(F.col("inside_state") == F.col("n_name"), F.lit(False))
     return claimed.groupBy(F.col("n_name").alias("state")).agg(
         F.count(F.lit(1)).alias("negatives"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"),

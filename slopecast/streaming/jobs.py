@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from slopecast import fixed
 from slopecast.functions import hazard
 from slopecast.functions.columns import HOUR_US, rounded
-from slopecast.functions.rainfall import usable
+from slopecast.functions.rainfall import ingested
 
 HOUR_MS = 3_600_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,7 +31,7 @@ def run_to_end(out: DataFrame, path: str, checkpoint: str) -> None:
 
 def ingest(stream: DataFrame) -> DataFrame:
     """The batch rule for usable rows, applied to a stream."""
-    return stream.filter(usable(F.col("ts"), F.col("latitude"), F.col("longitude"), F.col("rainfall_1h")))
+    return ingested(stream)
 
 
 def dedup(stream: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopecast.functions.columns import segment_metres
-from slopecast.operators import events, labels, metrics, ranks, spatial
+from slopecast.operators import cells, events, labels, metrics, outlines, ranks, spatial
 from slopecast.operators.asof import asof
 
 
@@ -40,10 +40,11 @@ def frame(spark, pts, key):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pts)], f"{key} int, latitude double, longitude double")
 
 
-@pytest.mark.parametrize("size", [0.1, 0.25, 1.0, 4.0])
-def test_nearest_site_is_exact(spark, size):
+@pytest.mark.parametrize("crowd", [1, 4, 32])
+def test_nearest_site_is_exact(spark, monkeypatch, crowd):
+    monkeypatch.setattr(cells, "CELL_ITEMS", crowd)
     pts, sites = places(150, 1), places(40, 2) + [(25.0, 92.0), (25.0, 92.0)]
-    out = spatial.nearest_site(frame(spark, pts, "point_id"), frame(spark, sites, "site_no"), ["site_no"], size=size)
+    out = spatial.nearest_site(frame(spark, pts, "point_id"), frame(spark, sites, "site_no"), ["site_no"])
     for r in out.collect():
         d, i = min((km(pts[r.point_id], s), j) for j, s in enumerate(sites))
         assert abs(r.nearest.distance - d) < 1e-9 and r.nearest.site_no == i
@@ -70,7 +71,9 @@ def test_nearest_other_counts_copies(spark):
         assert abs(r.nearest_other_km - d) < 1e-9
 
 
-def test_within_radius(spark):
+@pytest.mark.parametrize("most", [spatial.PAIRS_A_PLACE, 0])
+def test_within_radius(spark, monkeypatch, most):
+    monkeypatch.setattr(spatial, "PAIRS_A_PLACE", most)
     pts, sites = places(100, 4), places(60, 5)
     got = {(r.latitude, r.longitude): r for r in spatial.within_radius(frame(spark, pts, "id"), frame(spark, sites, "s"), 50.0).collect()}
     for p in pts:
@@ -103,7 +106,7 @@ def test_outline_and_border(spark):
     v = [("A", 0, 90.0, 25.0), ("A", 1, 92.0, 25.0), ("A", 2, 91.0, 26.0), ("A", 3, 92.0, 27.0), ("A", 4, 90.0, 27.0)]
     vdf = spark.createDataFrame(v, "state string, seq int, lon double, lat double")
     pts = [(26.0, 90.5), (26.0, 91.5), (25.5, 89.995), (25.5, 89.98), (95.0, 91.0)]
-    got = {r.id: (r.status, r.state) for r in spatial.domain_status(frame(spark, pts, "id"), vdf).collect()}
+    got = {r.id: (r.status, r.state) for r in outlines.domain_status(frame(spark, pts, "id"), vdf).collect()}
     assert got == {0: ("INSIDE", "A"), 1: ("OUTSIDE_SUPPORTED_DOMAIN", None), 2: ("BORDER", "A (Border)"),
                    3: ("OUTSIDE_SUPPORTED_DOMAIN", None), 4: ("INVALID_COORDINATES", None)}
 
@@ -171,7 +174,9 @@ def test_auc_and_precision_with_ties(spark):
     assert metrics.average_precision(df, "y", "s").first()[0] == pytest.approx(ap / len(pos))
 
 
-def test_pair_review_against_all_pairs(spark):
+@pytest.mark.parametrize("most", [events.PAIRS_A_PLACE, 0])
+def test_pair_review_against_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(events, "PAIRS_A_PLACE", most)  # 0: from the sums of cells
     rng = random.Random(13)
     spots = places(40, 14)
     rows = []
@@ -230,19 +235,104 @@ def test_radius_at_high_latitudes(spark):
         assert got.n_within == sum(km((lat, lon), s) <= 50.0 for s in spots)
 
 
-def test_crowded_cells_are_halved(spark):
+def city(rng, n, spread=0.05):
+    """A dense city, and a few places far around it."""
+    return [(25.0 + rng.gauss(0, spread), 91.0 + rng.gauss(0, spread)) for _ in range(n)] + [(22.0 + 0.5 * i, 89.0 + 0.7 * (i % 9)) for i in range(16)]
+
+
+def test_cells_are_split_where_crowded(spark):
     rng = random.Random(13)
-    spots = [(25.0 + rng.uniform(0, 0.2), 91.0 + rng.uniform(0, 0.2)) for _ in range(3000)]
+    spots = city(rng, 3000, 0.02)
     sites = table_of(spark, spots, "site int, latitude double, longitude double")
-    size = spatial.cell_size(sites, "latitude", "longitude")
-    assert size < 0.25
-    per_cell = sites.groupBy(F.floor(F.col("latitude") / size), F.floor(F.col("longitude") / size)).count().agg(F.max("count")).first()[0]
-    assert per_cell <= spatial.CELL_ITEMS
-    points = [(25.0 + rng.uniform(-0.3, 0.5), 91.0 + rng.uniform(-0.3, 0.5)) for _ in range(60)]
-    for r in spatial.nearest_site(table_of(spark, points), sites, ["site"]).collect():
-        a = points[r.point_id]
-        want = min(math.hypot(b[0] - a[0], (b[1] - a[1]) * math.cos(math.radians(a[0]))) for b in spots)
-        assert r.nearest.distance == pytest.approx(want * 111.195, rel=0.01, abs=0.01)
+    at = cells.placed(sites, cells.place_levels(F.col("latitude"), F.col("longitude"), cells.FINEST))
+    counts, depth = cells.item_cells(at, F.count(F.lit(1)))
+    assert 6 <= depth < cells.FINEST and counts.where(F.col("level") == depth).agg(F.max("items")).first()[0] <= cells.CELL_ITEMS
+    points = [(25.0 + rng.uniform(-0.3, 0.5), 91.0 + rng.uniform(-0.3, 0.5)) for _ in range(60)] + [(22.1, 89.1), (10.0, 70.0)]
+    here = table_of(spark, points)
+    lone = here.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    pairs = cells.nearest_pairs(cells.point_cells(lone, depth), counts, depth, False)
+    # far places stop at a wide cell, those in the city go down; every key of the last join holds few items
+    met = pairs.join(counts.withColumnRenamed("level", "il"), ["il", "ii", "ij"])
+    assert met.agg(F.max("items")).first()[0] <= cells.CELL_ITEMS
+    assert {r.level for r in pairs.select("level").distinct().collect()} > {depth}
+    for r in spatial.nearest_site(here, sites, ["site"]).collect():
+        assert r.nearest.distance == pytest.approx(min(km(points[r.point_id], b) for b in spots), abs=1e-9)
+
+
+def test_radius_counts_of_a_dense_city(spark):
+    rng = random.Random(14)
+    spots = city(rng, 100_000)  # nearly all pairs lie within the radius
+    df = spark.createDataFrame(pd.DataFrame(spots, columns=["latitude", "longitude"]))
+    got = {(r.latitude, r.longitude): r for r in spatial.within_radius(df, df, 50.0).collect()}
+    lat, lon = np.radians([s[0] for s in spots]), np.radians([s[1] for s in spots])
+    for i in [*range(0, 100_000, 2503), *range(100_000, 100_016)]:
+        h = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * math.cos(lat[i]) * np.sin((lon - lon[i]) / 2) ** 2
+        far = 12742.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+        assert got[spots[i]].n_within == int((far <= 50.0).sum())
+        assert got[spots[i]].nearest_km == 0.0
+
+
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_counts_within_radii_and_keys(spark, monkeypatch, crowd):
+    monkeypatch.setattr(cells, "RIM_ITEMS", crowd)
+    monkeypatch.setattr(cells, "FEW", crowd)
+    rng = random.Random(15)
+    spots = [(rng.choice("ab"), *s) for s in {*places(150, 16), *city(rng, 80, 0.3)}]
+    items = spark.createDataFrame([(*s, 1 + i % 3) for i, s in enumerate(spots)], "k string, _ilat double, _ilon double, _n bigint")
+    radii = [0.5, 20.0, 50.0]
+    got = {(r.k, r._lat, r._lon): r for r in cells.count_within(spark.createDataFrame(spots, "k string, _lat double, _lon double"), items, radii, "k").collect()}
+    for k, a, b in spots:
+        for w, r in enumerate(radii):
+            want = sum(1 + i % 3 for i, (kk, c, d) in enumerate(spots) if kk == k and km((a, b), (c, d)) <= r)
+            assert got[k, a, b][f"w{w}"] == want
+
+
+def ring_of(rng, n, lat, lon, size):
+    """A star-shaped outline with n corners."""
+    return [(lat + size * rng.uniform(0.3, 1.0) * math.sin(2 * math.pi * i / n), lon + size * rng.uniform(0.3, 1.0) * math.cos(2 * math.pi * i / n)) for i in range(n)]
+
+
+def inside_of(ring, lat, lon):
+    odd = False
+    for (y1, x1), (y2, x2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > lat) != (y2 > lat) and lon < x1 + (lat - y1) / (y2 - y1) * (x2 - x1):
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("crowd", [4, 64])
+def test_outlines_against_crossing_counts(spark, monkeypatch, crowd):
+    monkeypatch.setattr(outlines, "CELL_EDGES", crowd)
+    rng = random.Random(17)
+    rings = {f"S{k:02}": ring_of(rng, n, 24 + 0.7 * (k % 4), 90 + 0.6 * (k // 4), size) for k, (n, size) in enumerate([(5, 0.8), (40, 1.2), (400, 0.6), (2000, 1.0), (3, 0.01), (12, 3.0), (30, 0.2), (7, 0.5)])}
+    rings["T0"] = [(25.0, 91.0), (25.0, 92.0), (26.0, 92.0), (26.0, 91.0)]  # along whole degrees
+    rings["T1"] = [(89.0, -179.0), (89.0, 179.0), (-89.0, 179.0), (-89.0, -179.0)]  # over nearly the whole globe
+    corners = [(s, i, lon, lat) for s, ring in rings.items() for i, (lat, lon) in enumerate(ring)]
+    vertices = spark.createDataFrame(corners, "state string, seq int, lon double, lat double").repartition(3)
+    points = [(rng.uniform(22, 30), rng.uniform(88, 95)) for _ in range(1500)]
+    points += [(lat + rng.uniform(-1e-4, 1e-4), lon + rng.uniform(-1e-4, 1e-4)) for lat, lon in rng.sample(rings["S03"], 200) + rings["T0"]]
+    points += [(rng.choice([25.0, 25.25, 25.5]), rng.choice([91.0, 91.5, 92.25])) for _ in range(20)] + [(0.0, 0.0), (89.5, 0.0), (95.0, 0.0)]
+    cut = outlines.outline_cells(vertices)
+    most = cut[0].select(F.expr("aggregate(outlines, 0, (n, o) -> n + size(o.edges))").alias("n"), "level").where(F.col("level") < cells.FINEST).agg(F.max("n")).first()[0]
+    assert most <= crowd and cut[1] > outlines.WIDEST
+    for r in outlines.state_of_point(table_of(spark, points), cut).collect():
+        lat, lon = points[r.point_id]
+        assert r.inside_state == min((s for s, ring in rings.items() if abs(lat) <= 90 and inside_of(ring, lat, lon)), default=None)
+
+
+def test_segments_across_180_and_long_ones(spark):
+    rng = random.Random(18)
+    segs = [(10.0, 179.0, 12.0, -179.0), (-20.0, -179.9, -20.0, -179.9), (0.0, -100.0, 5.0, 40.0)] + [(25 + 0.001 * i, 91 + 0.001 * (i % 20), 25.001 + 0.001 * i, 91.002) for i in range(300)]
+    sdf = spark.createDataFrame([(i, *s) for i, s in enumerate(segs)], "fid int, y1 double, x1 double, y2 double, x2 double")
+    points = [(11.0, 179.9), (11.0, -179.9), (-20.0, 179.9), (2.0, 0.0), (25.05, 91.01), (60.0, -179.0)] + [(25 + rng.random() * 0.3, 91 + rng.random() * 0.03) for _ in range(60)]
+    at = cells.placed_segments(sdf.select("fid", "y1", "x1", "y2", F.when(F.col("fid") == 0, 181.0).otherwise(F.col("x2")).alias("x2")))
+    long_ = at.where("fid = 2 and level = 4").count()
+    assert 560 <= long_ <= 620  # the cells of 0.25 degrees that it crosses, not the 11 760 of its box
+    turned = [(y1, x1, y2, x2 + (360 if x1 - x2 > 180 else 0)) for y1, x1, y2, x2 in segs]
+    for r in spatial.nearest_segment(table_of(spark, points), sdf, ["fid"], segment_metres).collect():
+        lat, lon = points[r.point_id]
+        want = min(metres((lat, lon), (y1, x1 + t, y2, x2 + t)) for y1, x1, y2, x2 in turned for t in (-360, 0, 360))
+        assert r.nearest.distance == pytest.approx(want, abs=1e-6)
 
 
 def narrow_outline(spark):

@@ -173,3 +173,12 @@ def test_dedup_within_watermark(spark, tmp_path):
         jobs.run_to_end(jobs.dedup(feed(spark, str(tmp_path), name, rows, schema)), f"{tmp_path}/rows", f"{tmp_path}/cp")
     assert spark.read.parquet(f"{tmp_path}/rows").select("ts", "rainfall_1h").distinct().count() == 3
     assert spark.read.parquet(f"{tmp_path}/rows").agg(F.count("ts")).first()[0] == 3
+
+
+def test_ingest_of_odd_amounts(spark, tmp_path):
+    from tests.test_telemetry import SCHEMA, odd_telemetry
+
+    stream = feed(spark, str(tmp_path), "1", odd_telemetry(), SCHEMA)
+    jobs.run_to_end(jobs.ingest(stream), f"{tmp_path}/rows", f"{tmp_path}/cp")
+    got = {r.reading_id: r.rainfall_1h for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    assert set(got) == {*range(30), *range(100, 105)} and all(got[i] is None for i in range(100, 104)) and got[3] is not None

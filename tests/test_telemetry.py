@@ -80,6 +80,36 @@ def test_conflicting_repeats_are_flagged_and_kept(spark):
     assert all(r.timestamp_collision and r.rainfall_24h_sum == 6.0 for r in out)
 
 
+ODD = [float("nan"), float("inf"), float("-inf"), None, 1e300]
+
+
+def odd_telemetry():
+    """A reading an hour of 0.1 + 1e-9 mm, and odd amounts between them."""
+    data = [(i, 0, "a", "a", "S", "D", 25.0, 92.0, BASE + timedelta(hours=i), 0.1 + 1e-9 * i, "f", "p") for i in range(30)]
+    data += [(100 + i, 0, "a", "a", "S", "D", 25.0, 92.0, BASE + timedelta(hours=i, minutes=30), v, "f", "p") for i, v in enumerate(ODD)]
+    data += [(200, 0, "a", "a", "S", "D", float("nan"), 92.0, BASE, 5.0, "f", "p"), (201, 0, "a", "a", "S", "D", 25.0, float("inf"), BASE, 5.0, "f", "p")]
+    return data + [(202, 0, "a", "a", "S", "D", 25.0, 92.0, BASE, -1.0, "f", "p")]
+
+
+def test_nan_and_infinite_amounts_are_missing(spark):
+    out = {r.reading_id: r for r in telemetry.build_features(spark.createDataFrame(odd_telemetry(), SCHEMA)).collect()}
+    assert set(out) == {*range(30), *range(100, 105)}
+    for i in range(100, 104):
+        assert out[i].rainfall_1h is None and out[i].rainfall_quality == "MISSING"
+    assert out[104].rainfall_quality == "EXTREME_REVIEW"  # marked, but in no sum
+    for i in range(24):
+        assert out[i].rainfall_obs_24h == i + 1
+        assert abs(out[i].rainfall_24h_sum - round(sum(0.1 + 1e-9 * k for k in range(i + 1)), 4)) < 1e-12
+    day = telemetry.station_day(telemetry.build_features(spark.createDataFrame(odd_telemetry(), SCHEMA)).where("reading_id < 104")).orderBy("date").first()
+    assert day.valid_readings == 24 and abs(day.rainfall_mm - 2.4) < 1e-3
+
+
+def test_sums_are_exact_beyond_millionths(spark):
+    data = [(i, 0, "a", "a", "S", "D", 25.0, 92.0, BASE + timedelta(minutes=i), 4e-7, "f", "p") for i in range(1000)]
+    last = telemetry.trailing_rain(spark.createDataFrame(data, SCHEMA)).orderBy(F.desc("ts")).first()
+    assert last.rainfall_24h_sum == 0.0004  # a thousand readings that millionths would have rounded to nothing
+
+
 def test_unique_files(spark, tmp_path):
     for name, text in (("b/x.csv", "1,2\n"), ("a/y.csv", "1,2\n"), ("c.csv", "3\n")):
         p = tmp_path / name
