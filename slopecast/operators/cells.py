@@ -90,12 +90,13 @@ def placed(items: DataFrame, cells: Column) -> DataFrame:
     return at.select(*items.columns, F.col("c.level").alias("level"), F.col("c.i").alias("ii"), F.col("c.j").alias("ij"))
 
 
-def item_cells(at: DataFrame, second: Column, keys: Sequence[str] = (), crowd: int | None = None) -> tuple[DataFrame, int]:
-    """(*keys, level, ii, ij, items, second) of all cells of placed items, settled, and the level at which no cell
-    is crowded (or the finest there is); second is a sum over the items of a cell."""
+def item_cells(at: DataFrame, second: Column, keys: Sequence[str] = (), crowd: int | None = None) -> tuple[DataFrame, int, dict[int, int]]:
+    """(*keys, level, ii, ij, items, second) of all cells of placed items, settled; the level at which no cell is
+    crowded (or the finest there is); and the cells of each level. second is a sum over the items of a cell."""
     counts = settle(at.groupBy(*keys, "level", "ii", "ij").agg(F.count(F.lit(1)).alias("items"), second.alias("second")), "cells")
-    most = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.max("items").alias("n")).collect()}  # one row a level
-    return counts, next((k for k in sorted(most) if most[k] <= (crowd or CELL_ITEMS)), max(most, default=0))
+    levels = {r["level"]: r for r in counts.groupBy("level").agg(F.max("items").alias("most"), F.count(F.lit(1)).alias("cells")).collect()}  # one row a level
+    depth = next((k for k in sorted(levels) if levels[k]["most"] <= (crowd or CELL_ITEMS)), max(levels, default=0))
+    return counts, depth, {k: r["cells"] for k, r in levels.items()}
 
 
 def placed_segments(segments: DataFrame, plain: int = 4) -> DataFrame:
@@ -174,12 +175,11 @@ def point_cells(sites: DataFrame, depth: int, keys: Sequence[str] = ()) -> DataF
     return settle(cells.select(*keys, "level", F.col("ii").alias("pi"), F.col("ij").alias("pj")).distinct(), "point-cells")
 
 
-def first_pairs(points: DataFrame, items: DataFrame, depth: int, keys: Sequence[str] = ()) -> tuple[DataFrame, int]:
+def first_pairs(points: DataFrame, items: DataFrame, depth: int, item_levels: dict[int, int], keys: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """All pairs of point cells and item cells (of the same keys) of one level, and that level: the finest for
     which their number is surely FIRST_PAIRS or less (the cells of level 0 are 24 at most, for each key)."""
-    count = lambda t: {r["level"]: r["n"] for r in t.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # noqa: E731  one row a level
-    p, i = count(points), count(items)
-    start = max((k for k in range(depth + 1) if p.get(k, 0) * i.get(k, 0) <= FIRST_PAIRS), default=0)
+    levels = {r["level"]: r["n"] for r in points.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a level
+    start = max((k for k in range(depth + 1) if levels.get(k, 0) * item_levels.get(k, 0) <= FIRST_PAIRS), default=0)
     pc = points.where(F.col("level") == start).select(*keys, "level", "pi", "pj", F.lit(start).alias("il"))
     ic = items.where(F.col("level") == start).select(*keys, F.col("level").alias("il"), "ii", "ij", "items", "second")
     return pc.join(ic, [*keys, "il"]), start
@@ -197,7 +197,7 @@ def finer(pairs: DataFrame, level: int, points: DataFrame, items: DataFrame, key
     return down.select(*keys, F.lit(level + 1).alias("level"), F.col("fi").alias("pi"), F.col("fj").alias("pj"), "part.*", *rest)
 
 
-def nearest_pairs(points: DataFrame, items: DataFrame, depth: int, exclude_self: bool, planar: bool = False, crowd: int | None = None) -> DataFrame:
+def nearest_pairs(points: DataFrame, items: DataFrame, depth: int, item_levels: dict[int, int], exclude_self: bool, planar: bool = False, crowd: int | None = None) -> DataFrame:
     """(level, pi, pj, il, ii, ij): for each point its cell at one level, and the item cells that can hold its nearest.
 
     At each level the greatest distance to a cell that surely holds an item bounds the nearest one of all
@@ -206,7 +206,7 @@ def nearest_pairs(points: DataFrame, items: DataFrame, depth: int, exclude_self:
     box = lambda c: F.floor(F.col(c) / F.pow(F.lit(4.0), F.col("level") - F.col("il")))
     own = (box("pi") == F.col("ii")) & (box("pj") == F.col("ij"))
     need = F.when(own, 2).otherwise(1) if exclude_self else F.lit(1)
-    pairs, start = first_pairs(points, items, depth)
+    pairs, start = first_pairs(points, items, depth, item_levels)
     pairs = pairs.withColumn("best", F.lit(None).cast("double"))
     per_cell = Window.partitionBy("pi", "pj")  # rows bounded by the candidates of one cell
     low, high = box_bounds(planar)
@@ -240,10 +240,10 @@ def count_within(points: DataFrame, items: DataFrame, radii: Sequence[float], ke
     few = items.groupBy(key).agg(F.count(F.lit(1)).alias("places")).where(F.col("places") <= FEW).select(key)
     few = settle(few, "few")
     crowd = items.join(few, key, "left_anti")
-    sums, depth = item_cells(placed(crowd, place_levels(F.col("_ilat"), F.col("_ilon"), FINEST)), F.sum("_n"), [key], RIM_ITEMS)
+    sums, depth, item_levels = item_cells(placed(crowd, place_levels(F.col("_ilat"), F.col("_ilon"), FINEST)), F.sum("_n"), [key], RIM_ITEMS)
     cells = point_cells(narrow.join(crowd.select(key).distinct(), key, "left_semi"), depth, [key])
     low, high = box_bounds()
-    pairs, start = first_pairs(cells, sums, depth, [key])
+    pairs, start = first_pairs(cells, sums, depth, item_levels, [key])
     pairs = pairs.withColumns({f"in{k}": F.lit(False) for k in range(len(radii))})
     whole = rim = None
     for level in range(start, depth + 1):

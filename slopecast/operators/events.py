@@ -13,7 +13,7 @@ from slopecast.functions.columns import haversine_km, literal_map, rounded
 from slopecast.operators.cells import count_within
 from slopecast.operators.quality import unpivot
 from slopecast.operators.ranks import exact_quantiles, numbered
-from slopecast.operators.spatial import PAIRS_A_PLACE, nearest_site, pairs_met, radius_cell, radius_reach
+from slopecast.operators.spatial import PAIRS_A_PLACE, nearest_site, pairs_near, radius_cell, radius_reach
 from slopecast.session import settle
 
 PLACE = ["_lat", "_lon", "_dist"]
@@ -178,7 +178,7 @@ def _partners_by_pairs(place: DataFrame, place_day: DataFrame, km: float, days:
     here, there = _in_cells(place, km), _spread(place, km)
     here_day = _in_cells(place_day, km).select("*", steps.alias("_step")).withColumn("b_day", F.col("_day") + F.col("_step"))
     there_day = _spread(place_day, km)
-    if pairs_met(here, there, ["_ci", "_cj"]) > PAIRS_A_PLACE or pairs_met(here_day, there_day, ["b_day", "_ci", "_cj"]) > PAIRS_A_PLACE:
+    if pairs_near(here, ["_ci", "_cj"]) > PAIRS_A_PLACE or pairs_near(_in_cells(place_day, km), ["_day", "_ci", "_cj"], 9 * (2 * days + 1)) > PAIRS_A_PLACE:
         return None
     d, now = F.col("_d"), F.col("_step") == 0
     apart = haversine_km(F.col("_lat"), F.col("_lon"), F.col("b_lat"), F.col("b_lon"))

@@ -36,7 +36,8 @@ def negative_candidates(
     in chunks that Spark spreads, so one state with most positives is not one task. What returns to
     the driver is one row per outline and round.
     """
-    outlines = outline_cells(vertices)
+    index, deepest = outline_cells(vertices)
+    outlines = settle(index, "outlines"), deepest
     quota = (
         state_of_point(positives, outlines).filter("inside_state is not null")
         .groupBy(F.col("inside_state").alias("state")).agg(F.count(F.lit(1)).alias("quota"))

@@ -71,7 +71,7 @@ def outline_cells(vertices: DataFrame) -> tuple[DataFrame, int]:
     a bounded number of edges however many or finely drawn the outlines are; a cell without edges needs none.
     """
     edge = F.struct("y1", "x1", "y2", "x2")
-    edges = settle(polygon_edges(vertices).where("y1 is not null and x1 is not null and y2 is not null and x2 is not null"), "edges")
+    edges = polygon_edges(vertices).where("y1 is not null and x1 is not null and y2 is not null and x2 is not null")
     none = F.array().cast("array<struct<y1:double,x1:double,y2:double,x2:double>>")
 
     def pieces(rows: DataFrame, level: int, within=None) -> DataFrame:
@@ -85,13 +85,13 @@ def outline_cells(vertices: DataFrame) -> tuple[DataFrame, int]:
     while True:
         cells = settle(cells, "outline-cells")
         crowded = cells.groupBy("i", "j").agg(F.sum(F.size("edges")).alias("n")).where(F.col("n") > CELL_EDGES).select("i", "j")
+        if level == FINEST or crowded.isEmpty():
+            stay = cells.withColumn("level", F.lit(level))
+            done = stay if done is None else done.unionByName(stay)
+            break
         crowded = settle(crowded, "crowded")
         stay = cells.join(crowded, ["i", "j"], "left_anti").withColumn("level", F.lit(level))
         done = stay if done is None else done.unionByName(stay)
-        if level == FINEST or crowded.isEmpty():
-            if level == FINEST:
-                done = done.unionByName(cells.join(crowded, ["i", "j"], "left_semi").withColumn("level", F.lit(level)))
-            break
         parents = cells.join(crowded, ["i", "j"], "left_semi")
         wide, narrow = level_size(level), level_size(level + 1)
         parts = F.array(*[F.struct((F.col("i") * 4 + a).alias("i"), (F.col("j") * 4 + b).alias("j")) for a in range(4) for b in range(4)])
@@ -107,7 +107,7 @@ def outline_cells(vertices: DataFrame) -> tuple[DataFrame, int]:
         cells = inside.join(fine, ["state", "i", "j"], "left").where("inside = 1 or edges is not null").select("state", "i", "j", "inside", F.coalesce("edges", none).alias("edges"))
         level += 1
     one = done.groupBy("level", "i", "j").agg(F.collect_list(F.struct("state", "inside", "edges")).alias("outlines"))
-    return settle(one, "outlines"), level
+    return one, level
 
 
 def state_of_point(points: DataFrame, outlines: DataFrame | tuple[DataFrame, int]) -> DataFrame:

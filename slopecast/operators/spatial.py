@@ -45,9 +45,9 @@ def _nearest(
 ) -> DataFrame:
     """points with the struct (distance, *pick) of the nearest placed item; sure counts the items of a cell that
     surely have a place inside it."""
-    counts, depth = item_cells(items, sure, crowd=crowd)
+    counts, depth, levels = item_cells(items, sure, crowd=crowd)
     sites = settle(_distinct_sites(points), "sites")
-    found = nearest_pairs(point_cells(sites, depth), counts, depth, exclude_self, planar, crowd)
+    found = nearest_pairs(point_cells(sites, depth), counts, depth, levels, exclude_self, planar, crowd)
     here = placed(sites.select("_lat", "_lon"), place_levels(F.col("_lat"), F.col("_lon"), depth)).withColumnsRenamed({"ii": "pi", "ij": "pj"})
     there = items.where(F.col("level") <= depth).withColumnRenamed("level", "il")
     near = here.join(found, ["level", "pi", "pj"]).join(there, ["il", "ii", "ij"])
@@ -150,19 +150,19 @@ def radius_reach(lat: Column, lon: Column, km: float) -> Column:
     )))
 
 
-def pairs_met(here: DataFrame, there: DataFrame, keys: Sequence[str]) -> float:
-    """Pairs that a join on keys would make, for each row of here; from the sums of the keys."""
-    a, b = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for t, n in ((here, "a"), (there, "b")))
-    met = a.join(b, list(keys), "left").agg(F.sum(F.col("a") * F.col("b")).alias("pairs"), F.sum("a").alias("rows")).first()
-    return (met["pairs"] or 0) / max(1, met["rows"] or 0)
+def pairs_near(rows: DataFrame, keys: Sequence[str], reach: int = 9) -> float:
+    """Bound of the pairs a row that a join of each key with `reach` neighbouring ones makes: a product of two
+    keys' rows is at most the mean of their squares. One pass, without the neighbours."""
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("n").alias("rows")).first()
+    return reach * (n["squares"] or 0) / max(1, n["rows"] or 0)
 
 
 def within_radius(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
     """Per distinct point place: how many sites lie within km, and the nearest of them.
 
     Pairs are counted, not listed. Where cells of the radius hold few places, those are compared; where the join
-    would make more than PAIRS_A_PLACE pairs a place, cells wholly within km are counted from their
-    sums (cells.count_within), and both ways give the same rows. Returns (latitude, longitude, n_within,
+    could make more than PAIRS_A_PLACE pairs a place, cells wholly within km are counted from their
+    sums (cells.count_within); both ways give the same rows. Returns (latitude, longitude, n_within,
     nearest_km). Holds at every latitude and across 180 degrees.
     """
     there = (
@@ -172,7 +172,9 @@ def within_radius(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
     own = radius_cell(F.col("_lat"), F.col("_lon"), km)
     here = _distinct_sites(points).drop("_rows").withColumns({"pi": own["i"], "pj": own["j"]})
     spread = there.withColumn("_a", F.explode(radius_reach(F.col("_ilat"), F.col("_ilon"), km))).select("_ilat", "_ilon", "_n", F.col("_a.i").alias("pi"), F.col("_a.j").alias("pj"))
-    if pairs_met(here, spread, ["pi", "pj"]) > PAIRS_A_PLACE:
+    at = radius_cell(F.col("_ilat"), F.col("_ilon"), km)
+    both = here.select("pi", "pj").unionAll(there.select(at["i"].alias("pi"), at["j"].alias("pj")))
+    if pairs_near(both, ["pi", "pj"]) > PAIRS_A_PLACE:
         return _within_by_sums(here, there, sites, km)
     d = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_ilat"), F.col("_ilon"))
     return (

@@ -245,12 +245,12 @@ def test_cells_are_split_where_crowded(spark):
     spots = city(rng, 3000, 0.02)
     sites = table_of(spark, spots, "site int, latitude double, longitude double")
     at = cells.placed(sites, cells.place_levels(F.col("latitude"), F.col("longitude"), cells.FINEST))
-    counts, depth = cells.item_cells(at, F.count(F.lit(1)))
+    counts, depth, levels = cells.item_cells(at, F.count(F.lit(1)))
     assert 6 <= depth < cells.FINEST and counts.where(F.col("level") == depth).agg(F.max("items")).first()[0] <= cells.CELL_ITEMS
     points = [(25.0 + rng.uniform(-0.3, 0.5), 91.0 + rng.uniform(-0.3, 0.5)) for _ in range(60)] + [(22.1, 89.1), (10.0, 70.0)]
     here = table_of(spark, points)
     lone = here.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-    pairs = cells.nearest_pairs(cells.point_cells(lone, depth), counts, depth, False)
+    pairs = cells.nearest_pairs(cells.point_cells(lone, depth), counts, depth, levels, False)
     # far places stop at a wide cell, those in the city go down; every key of the last join holds few items
     met = pairs.join(counts.withColumnRenamed("level", "il"), ["il", "ii", "ij"])
     assert met.agg(F.max("items")).first()[0] <= cells.CELL_ITEMS
@@ -261,7 +261,7 @@ def test_cells_are_split_where_crowded(spark):
 
 def test_radius_counts_of_a_dense_city(spark):
     rng = random.Random(14)
-    spots = city(rng, 100_000)  # nearly all pairs lie within the radius
+    spots = city(rng, 100_000)  # 10 ** 10 pairs, nearly all pairs lie within the radius
     df = spark.createDataFrame(pd.DataFrame(spots, columns=["latitude", "longitude"]))
     got = {(r.latitude, r.longitude): r for r in spatial.within_radius(df, df, 50.0).collect()}
     lat, lon = np.radians([s[0] for s in spots]), np.radians([s[1] for s in spots])
