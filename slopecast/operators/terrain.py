@@ -16,29 +16,31 @@ REACH = 2
 def neighbourhood(grid: DataFrame, keys: Sequence[str] = (), block: int = 256) -> DataFrame:
     """Add n_<dr>_<dc> for dr, dc in -2..2: NULL outside the grid, else a struct with z (NULL = no data).
 
-    Two window passes, along rows and down columns, instead of 25 copies of every cell. Columns are
-    cut into blocks of rows with a two-row margin, so no window group grows with the grid.
+    The grid is dealt once, in square blocks with a margin of two cells, and both window passes, along the rows of a
+    block and down its columns, run inside that exchange. A window group is one line of a block,
+    however wide or high the grid is; only the margin is copied.
     """
     cell = F.when(F.col("grid_row").isNotNull(), F.struct(F.col("elev").alias("z")))
-    along = Window.partitionBy(*keys, "grid_row").orderBy("grid_col")
+    r, c = F.col("grid_row"), F.col("grid_col")
+
+    def homes(at: Column) -> Column:
+        return F.array_distinct(F.array(F.floor((at - REACH) / block), F.floor(at / block), F.floor((at + REACH) / block)))
+
+    both = F.flatten(F.transform(homes(r), lambda i: F.transform(homes(c), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    dealt = grid.select(*keys, "grid_row", "grid_col", "elev", F.explode(both).alias("_b"))
+    dealt = dealt.select(*keys, "grid_row", "grid_col", "elev", F.col("_b.i").alias("_bi"), F.col("_b.j").alias("_bj")).repartition(*keys, "_bi", "_bj")
+    along = Window.partitionBy(*keys, "_bi", "_bj", "grid_row").orderBy("grid_col")
+    down = Window.partitionBy(*keys, "_bi", "_bj", "grid_col").orderBy("grid_row")
 
     def beside(k: int) -> Column:
         shift = F.lag if k < 0 else F.lead
-        there = shift(F.struct(F.col("grid_col").alias("at"), cell.alias("c")), abs(k)).over(along)
         # with gaps the wanted column may be one of the nearer entries
-        options = [there]
-        for j in range(1, abs(k)):
-            options.append(shift(F.struct(F.col("grid_col").alias("at"), cell.alias("c")), j).over(along))
-        return F.coalesce(*[F.when(o["at"] == F.col("grid_col") + k, o["c"]) for o in options])
+        options = [shift(F.struct(c.alias("at"), cell.alias("c")), j).over(along) for j in range(abs(k), 0, -1)]
+        return F.coalesce(*[F.when(o["at"] == c + k, o["c"]) for o in options])
 
-    wide = grid.select(
-        *keys, "grid_row", "grid_col", "elev",
-        F.struct(cell.alias("p0"), *[beside(k).alias(f"{'m' if k < 0 else 'p'}{abs(k)}") for k in (-2, -1, 1, 2)]).alias("_line"),
+    wide = dealt.withColumn(
+        "_line", F.struct(cell.alias("p0"), *[beside(k).alias(f"{'m' if k < 0 else 'p'}{abs(k)}") for k in (-2, -1, 1, 2)])
     )
-    r = F.col("grid_row")
-    homes = F.array_distinct(F.array(F.floor((r - REACH) / block), F.floor(r / block), F.floor((r + REACH) / block)))
-    wide = wide.withColumn("_home", F.floor(r / block)).withColumn("_block", F.explode(homes))
-    down = Window.partitionBy(*keys, "grid_col", "_block").orderBy("grid_row")
 
     def above(k: int) -> Column:
         if k == 0:
@@ -47,7 +49,8 @@ def neighbourhood(grid: DataFrame, keys: Sequence[str] = (), block: int = 256) -
         options = [shift(F.struct(r.alias("at"), F.col("_line").alias("l")), j).over(down) for j in range(abs(k), 0, -1)]
         return F.coalesce(*[F.when(o["at"] == r + k, o["l"]) for o in options])
 
-    wide = wide.withColumns({f"_l{k}": above(k) for k in range(-REACH, REACH + 1)}).filter("_block = _home")
+    wide = wide.withColumns({f"_l{k}": above(k) for k in range(-REACH, REACH + 1)})
+    wide = wide.filter((F.col("_bi") == F.floor(r / block)) & (F.col("_bj") == F.floor(c / block)))
     names = {-2: "m2", -1: "m1", 0: "p0", 1: "p1", 2: "p2"}
     return wide.select(
         *keys, "grid_row", "grid_col", "elev",
