@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
@@ -13,20 +15,25 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopecast.functions.columns import rounded
 from slopecast.operators.labels import block_table, fold_of, spatial_block, stratified_split
 from slopecast.operators.metrics import average_precision, class_metrics, roc_auc
 from slopecast.operators.ranks import exact_quantiles, numbered
-from slopecast.session import settle
+from slopecast.session import scratch_path, settle
 
 SEED = 42
 FOLDS = 5
 TREES, DEPTH = 150, 16
-#: Rows of a partition that a fit reads, at least.
-FIT_ROWS = 20_000
+#: Deep trees: rows keep their node instead of walking the trees anew for every level, and a pass takes more nodes.
+DEEP = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
+#: Partitions that a forest is fitted on, unless told: a forest's bags follow the partitions, so a fixed number, dealt
+#: by key, gives the same forest on any cluster and at any time.
+FIT_PARTITIONS = 4
+#: Steps of a walk to a number in use; the share of walks that need more is below 0.75 ** 48, and those keep their number.
+WALK = 48
 #: Fits that run at once, so that the short tail of one does not leave the cluster idle.
 FITS = 4
 
@@ -89,6 +96,11 @@ class Prepared:
         return df.withColumn("features", array_to_vector(F.array(*filled, *flags)))
 
 
+def dealt(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """df in a fixed number of partitions by the key's hash, in the key's order: what a repeatable fit reads."""
+    return df.repartition(partitions or FIT_PARTITIONS, key).sortWithinPartitions(key)
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Add weight: rows over (classes x rows of the class), so that classes weigh the same."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
@@ -102,19 +114,21 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 def forest(trees: int = TREES, depth: int = DEPTH, label: str = "label") -> RandomForestClassifier:
     return RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=SEED,
+        minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=SEED, **DEEP,
     )
 
 
 class Susceptibility:
-    """Balanced forest on prepared features; score() adds the static score in [0, 1]."""
+    """Balanced forest on prepared features; score() adds the static score in [0, 1].
+
+    key deals the rows to the partitions of the fit (see dealt).
+    """
 
     def __init__(self, train: DataFrame, numeric: Sequence[str], categories: Sequence[str] = CATEGORIES,
-                 trees: int = TREES, depth: int = DEPTH):
+                 trees: int = TREES, depth: int = DEPTH, key: str = "point_id", partitions: int | None = None):
         self.prepared = Prepared(train, numeric, categories)
         rows = class_weights(self.prepared.transform(train))
-        # a fit runs a job for each tree level, so small tables are read in few partitions
-        self.model: Model = forest(trees, depth).fit(rows.coalesce(max(1, train.count() // FIT_ROWS)))
+        self.model: Model = forest(trees, depth).fit(dealt(rows, key, partitions))
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         keep = df.columns
@@ -232,32 +246,47 @@ def fold_importance(df: DataFrame, numeric: Sequence[str], columns: Sequence[str
     return each.groupBy("feature").agg(F.count(F.lit(1)).alias("folds"), F.avg("mean_drop").alias("mean_drop"), F.stddev_pop("mean_drop").alias("std_drop"))
 
 
+def donor_number(number: Column, rows: int, *seed: Column) -> Column:
+    """A keyed bijection of the numbers 0 to rows - 1: three rounds that add a hash of one half to the other, on the
+    least even number of bits that holds them, walked until the result is a number again."""
+    half = max(1, ((max(1, rows - 1)).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+
+    def once(x: Column) -> Column:
+        for k in range(3):
+            left, right = F.shiftright(x, half), x.bitwiseAND(F.lit(mask))
+            mixed = left.bitwiseXOR(F.xxhash64(right, F.lit(k), *seed).bitwiseAND(F.lit(mask)))
+            x = F.shiftleft(right, half).bitwiseOR(mixed)
+        return x
+
+    # a quarter of the numbers of that many bits at least are in use
+    start = F.struct(once(number).alias("x"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda s, _: F.struct(F.when(s["x"] < rows, s["x"]).otherwise(once(s["x"])).alias("x")))
+    return walked["x"]
+
+
 def permutation_importance(model: Susceptibility, test: DataFrame, columns: Sequence[str], key: str, repeats: int = 5, seed: int = SEED) -> DataFrame:
     """Mean drop of AUC when one column is shuffled, over repeats.
 
-    All shuffles run as one job: rows are copied per (column, repeat), and the shuffled value is
-    that of the row with the same number in a second, hashed order.
+    Rows are numbered once; the donor of a row in a repeat is the row whose number a keyed bijection gives, so
+    no order is made a second time, and a row is carried once a repeat: it meets its donor's values of all
+    columns in one narrow join, and is scored with one of them replaced in turn.
     """
-    plans = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in columns for r in range(repeats)])
-    long = test.withColumn("_p", F.explode(plans)).withColumns({"feature": F.col("_p.feature"), "repeat": F.col("_p.repeat")}).drop("_p")
-    groups = ["feature", "repeat"]
-    value = reduce(lambda w, c: w.when(F.col("feature") == c, F.col(c).cast("string")), columns, F.when(F.lit(False), ""))
-    h = F.md5(F.concat_ws("-", F.lit(str(seed)), "feature", F.col("repeat").cast("string"), F.col(key).cast("string")))
     own = F.md5(F.col(key).cast("string"))
-
-    def slice_of(c: Column) -> Column:
-        return F.conv(F.substring(c, 1, 2), 16, 10).cast("bigint")
-
-    rows = numbered(long.withColumn("_o", own), groups, slice_of(F.col("_o")), [F.col("_o"), F.col(key)], "_rn")
-    donors = numbered(
-        long.select(*groups, key, value.alias("_value")).withColumn("_h", h), groups, slice_of(F.col("_h")), [F.col("_h"), F.col(key)], "_rn"
-    ).select(*groups, "_rn", "_value")
-    mixed = rows.join(donors, [*groups, "_rn"])
-    types = dict(test.dtypes)
-    mixed = mixed.withColumns({
-        c: F.when(F.col("feature") == c, F.col("_value").cast(types[c])).otherwise(F.col(c)) for c in columns
-    })
-    shuffled = roc_auc(model.score(mixed).select(*groups, "label", "score"), "label", "score", groups)
+    slices = F.conv(F.substring("_o", 1, 3), 16, 10).cast("bigint")
+    rows = numbered(test.select(key, "label", *columns).withColumn("_o", own), [], slices, [F.col("_o"), F.col(key)], "_rn")
+    rows = settle(rows.drop("_o").withColumn("_rn", F.col("_rn") - 1), "numbered")
+    n = rows.count()
+    donors = rows.select(F.col("_rn").alias("_donor"), F.struct(*columns).alias("_given"))
+    each = rows.select("*", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("repeat"))
+    each = each.withColumn("_donor", donor_number(F.col("_rn"), n, F.col("repeat"), F.lit(seed))).join(donors, "_donor")
+    scored = each
+    for c in columns:
+        scored = model.score(scored.withColumns({"_kept": F.col(c), c: F.col(f"_given.{c}")}), f"_s_{c}")
+        scored = scored.withColumn(c, F.col("_kept")).drop("_kept")
+    long = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_s_{c}").alias("score")) for c in columns]))
+    long = settle(scored.select("repeat", "label", long.alias("s")).select("repeat", "label", "s.*"), "shuffled")
+    shuffled = roc_auc(long, "label", "score", ["feature", "repeat"])
     base = roc_auc(model.score(test), "label", "score").first()["roc_auc"]  # one number
     drop = F.lit(base) - F.col("roc_auc")
     return shuffled.groupBy("feature").agg(F.avg(drop).alias("mean_drop"), F.stddev_pop(drop).alias("std_drop"))
@@ -265,7 +294,7 @@ def permutation_importance(model: Susceptibility, test: DataFrame, columns: Sequ
 
 def class_forest(trees: int = 500) -> RandomForestClassifier:
     """Forest of full trees (Spark's largest depth) for risk classes."""
-    return RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=30, seed=SEED)
+    return RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=30, seed=SEED, **DEEP)
 
 
 def candidates(trees: int, rounds: int) -> dict[str, Pipeline]:
@@ -299,19 +328,17 @@ def compare_models(df: DataFrame, key: str, classes: Sequence[str], folds: int =
     stratified folds of the rest; best first by the fold means of macro F1, critical recall, high
     recall, accuracy.
 
-    df has features (vector), y (class number) and class_name. A fit runs a job for each tree level,
-    so small tables are read in few partitions, of FIT_ROWS rows or more.
+    df has features (vector), y (class number) and class_name; key deals the rows to the partitions of a fit.
     """
     parted = stratified_split(class_weights(df, "y"), "class_name", key)
     split = settle(stratified_folds(parted.filter("part = 'train'"), "class_name", key, folds).unionByName(
         parted.filter("part = 'test'").withColumn("fold", F.lit(-1))
     ))
-    split = split.coalesce(max(1, split.count() // FIT_ROWS))
     names = F.array(*[F.lit(c) for c in classes])
 
     def held_out(job: tuple[str, Pipeline, int]) -> DataFrame:
         name, pipe, f = job
-        fitted = pipe.fit(split.filter((F.col("fold") >= 0) & (F.col("fold") != f)))
+        fitted = pipe.fit(dealt(split.filter((F.col("fold") >= 0) & (F.col("fold") != f)), key))
         return fitted.transform(split.filter(F.col("fold") == f)).select(
             F.lit(name).alias("model"), F.lit(f).alias("fold"), "class_name", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted")
         )
@@ -337,6 +364,64 @@ def compare_models(df: DataFrame, key: str, classes: Sequence[str], folds: int =
     return wide.orderBy(F.desc("macro_f1"), F.desc("critical_recall"), F.desc("high_recall"), F.desc("accuracy"), "model")
 
 
+NODES = "tree int, node int, is_leaf boolean, feature int, threshold double, low int, high int, shares array<double>"
+
+
+def node_table(spark: SparkSession, model) -> DataFrame:
+    """A fitted forest as rows (NODES): inner nodes with feature, threshold and children (low: value <= threshold),
+    leaves with the shares of the classes. Read from the model's own saved form, which Spark writes as a table."""
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    node = F.col("nodeData")
+    total = F.aggregate(node["impurityStats"], F.lit(0.0), lambda a, b: a + b)
+    leaf = node["leftChild"] < 0
+    return data.select(
+        F.col("treeID").cast("int").alias("tree"), node["id"].cast("int").alias("node"), leaf.alias("is_leaf"),
+        F.when(~leaf, node["split"]["featureIndex"]).cast("int").alias("feature"),
+        F.when(~leaf, node["split"]["leftCategoriesOrThreshold"][0]).alias("threshold"),
+        F.when(~leaf, node["leftChild"]).cast("int").alias("low"), F.when(~leaf, node["rightChild"]).cast("int").alias("high"),
+        F.transform(node["impurityStats"], lambda x: x / total).alias("shares"),
+    )
+
+
+def node_scores(nodes: DataFrame, rows: DataFrame, key: str, features: str = "features") -> DataFrame:
+    """(key, shares): mean class shares over the trees of a node table, for rows (key, features: array<double>).
+
+    The table is at most trees x 2 ** (depth + 1) rows, which every task holds as arrays; a batch of rows walks
+    all trees together, one level a step. Works on any table of nodes, wherever it was fitted.
+    """
+    table = nodes.orderBy("tree", "node").toPandas()
+    first = {}
+    for at, tree in enumerate(table["tree"]):
+        first.setdefault(tree, at)
+    base = table["tree"].map(first).to_numpy()
+    leaf = table["is_leaf"].to_numpy(bool)
+    own = np.arange(len(table))
+    feature = table["feature"].fillna(0).to_numpy(np.int64)
+    threshold = table["threshold"].fillna(0).to_numpy(float)
+    low, high = (np.where(leaf, own, base + table[c].fillna(0).to_numpy(np.int64)) for c in ("low", "high"))
+    shares = np.stack(table["shares"].to_numpy()) if len(table) else np.zeros((0, 0))
+    roots = np.array(sorted(first.values()), np.int64)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            x = np.stack(frame["x"].to_numpy())
+            at = np.tile(roots, (len(x), 1))
+            while not leaf[at].all():
+                values = np.take_along_axis(x, feature[at], axis=1)
+                at = np.where(values <= threshold[at], low[at], high[at])
+            mean = np.zeros((len(x), shares.shape[1]))
+            for k in range(at.shape[1]):
+                mean += shares[at[:, k]]
+            yield pd.DataFrame({key: frame[key], "shares": list(mean / at.shape[1])})
+
+    types = dict(rows.dtypes)
+    return rows.select(key, F.col(features).alias("x")).mapInPandas(run, f"{key} {types[key]}, shares array<double>")
+
+
 def importance_table(spark, names: Sequence[str], forest_model, logistic_model) -> DataFrame:
     """Impurity importance and normalised mean absolute coefficient, one row per feature."""
     impurity = forest_model.featureImportances.toArray()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -51,7 +52,7 @@ def test_parameters_are_those_of_the_model(folded):
 
 
 def test_score_table_probabilities(spark):
-    out = entry.queries()["score_table"](spark, DATA)
+    out = entry.queries()["score_table_rows"](spark, DATA)
     total = F.col("p_low") + F.col("p_watch") + F.col("p_high") + F.col("p_critical")
     assert out.filter(F.abs(total - 1.0) > 1e-9).count() == 0
     assert out.filter(F.abs(F.greatest("p_low", "p_watch", "p_high", "p_critical") - F.col("confidence")) > 1e-9).count() == 0
@@ -66,3 +67,26 @@ def test_split_shares(spark):
     out = entry.queries()["stratified_split"](spark, FOLDER)
     for r in out.groupBy("label").agg(F.avg((F.col("part") == "train").cast("int")).alias("s")).collect():
         assert abs(r.s - 0.75) < 0.001
+
+
+def test_fits_are_repeatable_whatever_the_order_and_partitions(spark):
+    df = settle(samples(Tables(spark, DATA)))
+    one = models.Susceptibility(df, models.NUMERIC, trees=4, depth=5)
+    two = models.Susceptibility(df.orderBy(F.desc("point_id")).repartition(5), models.NUMERIC, trees=4, depth=5)
+    assert sorted(map(str, models.node_table(spark, one.model).collect())) == sorted(map(str, models.node_table(spark, two.model).collect()))
+
+
+def test_node_table_scores_like_the_model(spark):
+    df = settle(samples(Tables(spark, DATA)))
+    model = models.Susceptibility(df, models.NUMERIC, trees=7, depth=6)
+    want = {r.point_id: r.score for r in model.score(df).collect()}
+    features = model.prepared.transform(df).select("point_id", vector_to_array("features").alias("features"))
+    got = {r.point_id: r.shares[1] for r in models.node_scores(models.node_table(spark, model.model), features, "point_id").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_donors_are_a_bijection(spark):
+    for n in (1, 2, 7, 100, 1025, 5000):
+        rows = spark.range(n).select("id", models.donor_number(F.col("id"), n, F.lit(3), F.lit(42)).alias("d")).collect()
+        assert sorted(r.d for r in rows) == list(range(n))
+        assert n < 100 or sum(r.d == r.id for r in rows) < n / 10
