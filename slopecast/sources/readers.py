@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slopecast.functions.columns import blank_to_null, number_or_null
+from slopecast.session import settle
 
 # Source header -> column name (fixed values of the telemetry export).
 TELEMETRY_COLUMNS = {
@@ -32,37 +35,107 @@ def offset_timestamp(c: Column) -> Column:
     return F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), c.try_cast("timestamp"))
 
 
-def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """All telemetry files below path, with file name and period folder as columns."""
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in TELEMETRY_COLUMNS])
-    raw = (
-        spark.read.schema(schema)
-        .options(header=True, recursiveFileLookup=True, pathGlobFilter="*.csv", enforceSchema=False)
+#: Column that takes the text of a line that does not have the file's columns.
+BROKEN = "_broken"
+
+
+def _with_broken(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in (*names, BROKEN)])
+
+
+def _period() -> Column:
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return F.when(folder.isin(*PERIOD_FOLDERS), F.concat(folder, F.lit("_source"))).otherwise(folder)
+
+
+def _telemetry_lines(spark: SparkSession, path: str) -> DataFrame:
+    return (
+        spark.read.schema(_with_broken(list(TELEMETRY_COLUMNS)))
+        .options(header=True, recursiveFileLookup=True, pathGlobFilter="*.csv", enforceSchema=False, columnNameOfCorruptRecord=BROKEN, columnPruning=False)
         .csv(path)
     )
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+
+
+def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
+    """All telemetry files below path, with file name and period folder as columns.
+
+    Lines with too few or too many fields are no rows; broken_lines has them.
+    """
+    raw = _telemetry_lines(spark, path).filter(~_is_broken("SlNo"))
     cols = [
         (number_or_null(F.col(f"`{h}`")) if n in NUMERIC
          else day_first_timestamp(F.col(f"`{h}`")) if n == "timestamp"
          else blank_to_null(F.col(f"`{h}`"))).alias(n)
         for h, n in TELEMETRY_COLUMNS.items()
     ]
-    return raw.select(
-        *cols,
-        F.col("_metadata.file_name").alias("source_file"),
-        F.when(folder.isin(*PERIOD_FOLDERS), F.concat(folder, F.lit("_source"))).otherwise(folder).alias("source_period"),
-    )
+    return raw.select(*cols, F.col("_metadata.file_name").alias("source_file"), _period().alias("source_period"))
+
+
+def _broken_text(first: str) -> Column:
+    """The text of a broken line, NULL for others. A scan that reads nothing but this text is refused by Spark, so an
+    empty piece of another column goes with it."""
+    return F.concat(F.col(BROKEN), F.substring(F.coalesce(F.col(f"`{first}`"), F.lit("")), 1, 0))
+
+
+def _is_broken(first: str) -> Column:
+    return F.coalesce(F.length(_broken_text(first)) >= 0, F.lit(False))
+
+
+def broken_lines(lines: DataFrame, first: str) -> DataFrame:
+    """(source_file, source_period, line) of the lines that a scan sets aside: the quarantine table. first is any
+    column of the file."""
+    kept = lines.select(F.col("_metadata.file_name").alias("source_file"), _period().alias("source_period"), _broken_text(first).alias("line"))
+    return kept.filter(F.length("line") >= 0)
+
+
+def telemetry_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """The broken lines of all telemetry files below path."""
+    return broken_lines(_telemetry_lines(spark, path), next(iter(TELEMETRY_COLUMNS)))
+
+
+def scan_report(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, source_period, rows, broken) of every telemetry file, in one scan."""
+    lines = _telemetry_lines(spark, path).select(F.col("_metadata.file_name").alias("source_file"), _period().alias("source_period"), _is_broken("SlNo").alias("bad"))
+    bad = F.col("bad")
+    return lines.groupBy("source_file", "source_period").agg(F.count_if(~bad).alias("rows"), F.count_if(bad).alias("broken"))
 
 
 def unique_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Every file below path with its content hash; the first path of equal files is kept."""
+    """(path, length, digest, original, is_copy) of every text file below path; the first path of equal files is kept.
+
+    Only files of equal length are read, and only as lines, so no file is held as one row however long it is.
+    A file of a length of its own is no copy and has no digest; empty files are not listed.
+    """
     files = (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter=pattern)
-        .load(path)
-        .select("path", F.sha2("content", 256).alias("sha256"))
+        spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(path).select("path", "length", F.col("_metadata.file_path").alias("_name"))  # names as the line scan gives them
     )
-    return mark_copies(files, "path", "sha256")
+    files = settle(files, "files")  # the listing; contents are not read
+    alike = files.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(files, "length").select("_name")
+    names = settle(alike, "alike")
+    if names.isEmpty():
+        return files.select("path", "length", F.lit(None).cast("string").alias("digest"), F.col("path").alias("original"), F.lit(False).alias("is_copy"))
+    digests = _digests(spark.read.options(recursiveFileLookup=True, pathGlobFilter=pattern, lineSep="\n").text(path), names)
+    known = files.join(digests, "_name", "left").withColumn("_same", F.coalesce("digest", "path"))
+    return mark_copies(known, "path", "_same").select("path", "length", "digest", "original", "is_copy")
+
+
+def _digests(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """(_name, digest) of the named files from their lines.
+
+    A block of a file has the sums of two 48-bit hashes of its lines, plain and weighted by the line's place in
+    the block, in exact arithmetic; the digest is the SHA-256 of the sums of all blocks in order. Files of
+    one length are cut into the same blocks.
+    """
+    at = lines.select(F.col("_metadata.file_path").alias("_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    at = at.join(names, "_name", "left_semi")
+    sums = [F.count(F.lit(1)).alias("n"), F.min("id").alias("first")]
+    for k in (1, 2):
+        h = F.xxhash64(F.lit(k), "value").bitwiseAND(F.lit((1 << 48) - 1)).cast("decimal(20,0)")
+        sums += [F.sum(h).cast("decimal(38,0)").alias(f"h{k}"), F.sum(h * (F.col("id") % (1 << 33)).cast("decimal(11,0)")).cast("decimal(38,0)").alias(f"w{k}")]
+    blocks = at.groupBy("_name", "block").agg(*sums)
+    first = F.col("first") % (1 << 33)
+    parts = F.concat_ws(",", "block", "n", *[x for k in (1, 2) for x in (f"h{k}", (F.col(f"w{k}") - F.col(f"h{k}") * first.cast("decimal(11,0)")).cast("string"))])
+    return blocks.groupBy("_name").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", parts.alias("sums")))), lambda b: b["sums"]), ";"), 256).alias("digest"))
 
 
 def mark_copies(df: DataFrame, key: str, digest: str) -> DataFrame:
@@ -71,15 +144,26 @@ def mark_copies(df: DataFrame, key: str, digest: str) -> DataFrame:
     return df.join(first, digest).withColumn("is_copy", F.col(key) != F.col("original"))
 
 
+def _district_lines(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.options(header=True, multiLine=True, recursiveFileLookup=True, enforceSchema=False, columnNameOfCorruptRecord=BROKEN, columnPruning=False)
+    names = reader.csv(path).columns
+    return reader.schema(_with_broken(names)).csv(path)
+
+
+def district_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """The broken lines of all district reports below path."""
+    lines = _district_lines(spark, path)
+    return broken_lines(lines, lines.columns[0])
+
+
 def read_district_days(spark: SparkSession, path: str) -> DataFrame:
     """District daily reports; header names may contain line breaks and repeated blanks.
 
     The first file's header gives the schema, and every file's header is checked against it: a file
     with other columns, or another order, is an error and not misread.
     """
-    reader = spark.read.options(header=True, multiLine=True, recursiveFileLookup=True, enforceSchema=False)
-    names = reader.csv(path).columns
-    raw = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path)
+    raw = _district_lines(spark, path)
+    raw = raw.filter(~_is_broken(raw.columns[0])).drop(BROKEN)
     raw = raw.withColumnsRenamed({c: "_".join(c.lower().split()) for c in raw.columns})
     return raw.select(
         blank_to_null(F.col("state")).alias("state"),

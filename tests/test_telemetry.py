@@ -119,6 +119,51 @@ def test_unique_files(spark, tmp_path):
     assert out == {"y.csv": False, "x.csv": True, "c.csv": False}
 
 
+def test_copies_of_files_by_their_lines(spark, tmp_path):
+    rng = random.Random(7)
+    big = "".join(f"{rng.random()},{i}\n" for i in range(60_000))  # some blocks long
+    swapped = big.split("\n")
+    swapped[100], swapped[40_000] = swapped[40_000], swapped[100]
+    files = {
+        "a/big.csv": big, "b/big copy.csv": big, "c/swapped.csv": "\n".join(swapped), "d/alone.csv": big + "x", "e.csv": "1,2\n3,4\n", "f.csv": "3,4\n1,2\n", "g.csv": "1,2\n3,4\n",
+        "h.csv": "1,2\r\n3,4", "i.csv": "1,2\n3,4\r", "j.csv": "", "k.csv": "", "l.csv": "1,2\n3,4\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        out = {r.path.rsplit("/", 1)[1]: r for r in readers.unique_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(out) == len(files) - 2  # empty files are not listed
+    copies = {n.replace("%20", " "): r.original.rsplit("/", 1)[1] for n, r in out.items() if r.is_copy}
+    assert copies == {"big copy.csv": "big.csv", "g.csv": "e.csv", "l.csv": "e.csv"}
+    assert out["alone.csv"].digest is None and out["alone.csv"].length == len(files["d/alone.csv"])
+
+
+def test_broken_lines_are_counted_and_kept(spark, tmp_path):
+    header = ",".join(readers.TELEMETRY_COLUMNS)
+    good = ["1"] + ["x"] * 15 + ["25.0", "92.0", "05-03-2024 10:00:00", "3.5"]
+    lines = [header, ",".join(good), "only,three,fields", ",".join(good + ["too", "many"]), ",".join(good)]
+    folder = tmp_path / "2021_2025"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\n".join(lines) + "\n")
+    (folder / "b.csv").write_text("\n".join([header, ",".join(good)]) + "\n")
+    rows = readers.read_telemetry(spark, str(tmp_path))
+    assert rows.count() == 3 and rows.where("rainfall_1h = 3.5 and station = 'x'").count() == 3
+    assert {(r.source_file, r.line) for r in readers.telemetry_quarantine(spark, str(tmp_path)).collect()} == {("a.csv", lines[2]), ("a.csv", lines[3])}
+    assert {tuple(r) for r in readers.scan_report(spark, str(tmp_path)).collect()} == {("a.csv", "2021_2025_source", 2, 2), ("b.csv", "2021_2025_source", 1, 0)}
+
+
+def test_broken_district_lines(spark, tmp_path):
+    (tmp_path / "d.csv").write_text('State, District,Date,"Daily\nActual","Daily\n Normal","Daily Departure\nPer"\nA,B,05-03-2024,1,2,-50%\nA,B\nA,C,06-03-2024,1,2,"-50%"\n')
+    got = readers.read_district_days(spark, str(tmp_path)).collect()
+    assert sorted((r.district, r.daily_actual, r.daily_departure_pct) for r in got) == [("B", 1.0, -50.0), ("C", 1.0, -50.0)]
+    assert [r.line.strip() for r in readers.district_quarantine(spark, str(tmp_path)).collect()] == ["A,B"]
+
+
 def test_inventory_from_multi_line_collections(spark, tmp_path):
     (tmp_path / "a.json").write_text(
         """{"type": "FeatureCollection", "features": [
