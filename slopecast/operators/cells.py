@@ -29,6 +29,8 @@ RIM_ITEMS = 64
 #: The finest level; its cells are 0.00024 degrees wide, about 27 m.
 FINEST = 9
 KM_PER_DEG = fixed.METRES_PER_DEGREE / 1000.0
+#: The last level at which segments are placed in all cells that they pass.
+PLAIN = 4
 #: Bounds are widened by this share, far more than rounding takes.
 SLACK = 1e-6
 
@@ -99,7 +101,7 @@ def item_cells(at: DataFrame, second: Column, keys: Sequence[str] = (), crowd: i
     return counts, depth, {k: r["cells"] for k, r in levels.items()}
 
 
-def placed_segments(segments: DataFrame, plain: int = 4) -> DataFrame:
+def placed_segments(segments: DataFrame, plain: int = PLAIN) -> DataFrame:
     """Segments (y1, x1, y2, x2) once for each cell that they pass, with level, ii, ij; settled.
 
     One that reaches beyond 180 degrees is also placed a turn of the globe back. All cells down to the level
@@ -177,24 +179,29 @@ def point_cells(sites: DataFrame, depth: int, keys: Sequence[str] = ()) -> DataF
 
 def first_pairs(points: DataFrame, items: DataFrame, depth: int, item_levels: dict[int, int], keys: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """All pairs of point cells and item cells (of the same keys) of one level, and that level: the finest for
-    which their number is surely FIRST_PAIRS or less (the cells of level 0 are 24 at most, for each key)."""
+    which their number is surely FIRST_PAIRS or less (the cells of level 0 are 24 at most, for each key). item_levels
+    has the number of item cells of the levels at which all items are placed."""
     levels = {r["level"]: r["n"] for r in points.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a level
-    start = max((k for k in range(depth + 1) if levels.get(k, 0) * item_levels.get(k, 0) <= FIRST_PAIRS), default=0)
+    start = max((k for k in range(depth + 1) if k in item_levels and levels.get(k, 0) * item_levels[k] <= FIRST_PAIRS), default=0)
     pc = points.where(F.col("level") == start).select(*keys, "level", "pi", "pj", F.lit(start).alias("il"))
     ic = items.where(F.col("level") == start).select(*keys, F.col("level").alias("il"), "ii", "ij", "items", "second")
     return pc.join(ic, [*keys, "il"]), start
 
 
 def finer(pairs: DataFrame, level: int, points: DataFrame, items: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The pairs one level down: the parts of the point cell with the parts of the item cell. Other columns of
-    pairs are kept."""
+    """The pairs one level down: the parts of the point cell with the parts of the item cell, or with the item cell
+    itself where it was not split. Other columns of pairs are kept."""
     cell = points.where(F.col("level") == level + 1).select(*keys, F.col("pi").alias("fi"), F.col("pj").alias("fj"), _up("pi").alias("pi"), _up("pj").alias("pj"))
+    own = ("il", "ii", "ij", "items", "second")
     part = items.where(F.col("level") == level + 1).select(
-        *keys, _up("ii").alias("ii"), _up("ij").alias("ij"), F.struct(F.lit(level + 1).alias("il"), "ii", "ij", "items", "second").alias("part"),
+        *keys, F.lit(level).alias("il"), _up("ii").alias("ii"), _up("ij").alias("ij"), F.struct(F.lit(level + 1).alias("il"), "ii", "ij", "items", "second").alias("part"),
+    )
+    rest = [c for c in pairs.columns if c not in (*keys, "level", "pi", "pj", *own)]
+    down = pairs.drop("level").join(cell, [*keys, "pi", "pj"]).join(part, [*keys, "il", "ii", "ij"], "left")
+    return down.select(
+        *keys, F.lit(level + 1).alias("level"), F.col("fi").alias("pi"), F.col("fj").alias("pj"),
+        *[F.coalesce(F.col(f"part.{c}"), F.col(c)).alias(c) for c in own], *rest,
     )
-    rest = [c for c in pairs.columns if c not in (*keys, "level", "pi", "pj", "il", "ii", "ij", "items", "second")]
-    down = pairs.select(*keys, "pi", "pj", "ii", "ij", *rest).join(cell, [*keys, "pi", "pj"]).join(part, [*keys, "ii", "ij"])
-    return down.select(*keys, F.lit(level + 1).alias("level"), F.col("fi").alias("pi"), F.col("fj").alias("pj"), "part.*", *rest)
 
 
 def nearest_pairs(points: DataFrame, items: DataFrame, depth: int, item_levels: dict[int, int], exclude_self: bool, planar: bool = False, crowd: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from slopecast import fixed
 from slopecast.functions.columns import degrees_for_km, haversine_km, literal_map
 from slopecast.operators.cells import (
-    CELL_SEGMENTS, COARSE_DEG, FINEST, count_within, item_cells, nearest_pairs, on_globe, place_levels, placed, placed_segments, point_cells,
+    CELL_SEGMENTS, COARSE_DEG, FINEST, PLAIN, count_within, item_cells, nearest_pairs, on_globe, place_levels, placed, placed_segments, point_cells,
 )
 from slopecast.session import settle
 
@@ -41,11 +41,12 @@ def _distinct_sites(points: DataFrame) -> DataFrame:
 
 def _nearest(
     points: DataFrame, items: DataFrame, sure: Column, distance: Column, pick: Sequence[str], name: str,
-    exclude_self: bool = False, condition: Column | None = None, planar: bool = False, crowd: int | None = None,
+    exclude_self: bool = False, condition: Column | None = None, planar: bool = False, crowd: int | None = None, whole: int = FINEST,
 ) -> DataFrame:
     """points with the struct (distance, *pick) of the nearest placed item; sure counts the items of a cell that
-    surely have a place inside it."""
+    surely have a place inside it, whole is the last level at which all items are placed."""
     counts, depth, levels = item_cells(items, sure, crowd=crowd)
+    levels = {k: n for k, n in levels.items() if k <= whole}
     sites = settle(_distinct_sites(points), "sites")
     found = nearest_pairs(point_cells(sites, depth), counts, depth, levels, exclude_self, planar, crowd)
     here = placed(sites.select("_lat", "_lon"), place_levels(F.col("_lat"), F.col("_lon"), depth)).withColumnsRenamed({"ii": "pi", "ij": "pj"})
@@ -117,7 +118,7 @@ def nearest_segment(
     # the point's turn of the globe that is nearest to the segment's middle
     turns = F.rint((F.col("_lon") - (x1 + x2) / 2) / 360.0) * 360.0
     d = measure(F.col("_lat"), F.col("_lon"), y1, x1 + turns, y2, x2 + turns)
-    return _nearest(points, placed_segments(items), F.count_if(end(y1, x1) | end(y2, x2)), d, pick, name, planar=True, crowd=CELL_SEGMENTS)
+    return _nearest(points, placed_segments(items), F.count_if(end(y1, x1) | end(y2, x2)), d, pick, name, planar=True, crowd=CELL_SEGMENTS, whole=PLAIN)
 
 
 #: Pairs of places that are compared one by one, for each place, before cells are counted from their sums.
