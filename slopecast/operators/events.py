@@ -12,7 +12,7 @@ from slopecast import fixed
 from slopecast.functions.columns import haversine_km, literal_map, rounded
 from slopecast.operators.cells import count_within
 from slopecast.operators.quality import unpivot
-from slopecast.operators.ranks import exact_quantiles, numbered
+from slopecast.operators.ranks import exact_quantiles, in_ranges, numbered
 from slopecast.operators.spatial import PAIRS_A_PLACE, nearest_site, pairs_near, radius_cell, radius_reach
 from slopecast.session import settle
 
@@ -55,18 +55,18 @@ def _padded(n: Column, width: int) -> Column:
     return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
-def sequence_ids(df: DataFrame, group: str, order: str, prefix: str, width: int = 3, slice_rows: int = 10_000) -> DataFrame:
-    """Running id per group in source order, e.g. EV-2021-AR-001."""
-    out = numbered(df, [group], F.floor(F.col(order) / slice_rows), [F.col(order)], "_n")
+def sequence_ids(df: DataFrame, group: str, order: str, prefix: str, width: int = 3) -> DataFrame:
+    """Running id per group in source order, e.g. EV-2021-AR-001; numbered in ranges that follow the data."""
+    out = numbered(in_ranges(df, [order]), [group], F.col("_bucket"), [F.col(order)], "_n").drop("_bucket")
     return out.withColumn("sequence_id", F.concat(F.lit(f"{prefix}-"), group, F.lit("-"), _padded(F.col("_n"), width))).drop("_n")
 
 
-def control_periods(df: DataFrame, order: str, slice_rows: int = 10_000) -> DataFrame:
+def control_periods(df: DataFrame, order: str) -> DataFrame:
     """One candidate dry-season window per event, dealt out in turn.
 
     Candidates only: they are not confirmed quiet periods and never negative labels.
     """
-    out = numbered(df, [], F.floor(F.col(order) / slice_rows), [F.col(order)], "_n")
+    out = numbered(in_ranges(df, [order]), [], F.col("_bucket"), [F.col(order)], "_n").drop("_bucket")
     turn = ((F.col("_n") - 1) % len(fixed.CONTROL_WINDOWS)).cast("int")
     windows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in fixed.CONTROL_WINDOWS])
     w = F.element_at(windows, turn + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopecast.functions.columns import rounded
-from slopecast.operators.ranks import numbered
+from slopecast.operators.ranks import in_ranges, numbered
 from slopecast.operators.outlines import outline_cells, polygon_edges, state_of_point
 from slopecast.operators.spatial import nearest_site
 from slopecast.session import settle
@@ -105,13 +105,13 @@ def quota_allocation(df: DataFrame, group: str, total: int) -> DataFrame:
     return per.select(group, "members", (F.col("_raw") + F.when(F.col("_rank") == 1, F.col("_rest")).otherwise(0)).alias("quota"))
 
 
-def stratified_bootstrap(df: DataFrame, label: str, key: str, seed: int = 42, slice_rows: int = 10_000) -> DataFrame:
+def stratified_bootstrap(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Half of the table size drawn with replacement from each of the two labels.
 
     Returns (label, draw, key). Draw j of a label takes the row whose number is a hash of j. Draws
     are made in chunks by their number, so a label with one row is not one task.
     """
-    rows = numbered(df.select(label, key), [label], F.floor(F.col(key) / slice_rows), [F.col(key)])
+    rows = numbered(in_ranges(df.select(label, key), [label, key]), [label], F.col("_bucket"), [F.col(key)])
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_half", F.floor(F.sum("_n").over(Window.partitionBy(F.lit(0))) / 2))  # one row per label
     chunks = sizes.filter("_half > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_half") - 1) / CHUNK)))).repartition("_l", "_c")
