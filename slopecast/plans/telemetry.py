@@ -193,14 +193,17 @@ def run_report(t: Tables):
 
 @query(
     "provenance_register",
-    """SELECT source_id, count(*) AS n_events, source_id IN ('SRC_O', 'SRC_F') AS registered FROM inventory GROUP BY 1""",
+    f"""SELECT source_id, count(*) AS n_events, source_id IN ('SRC_O', 'SRC_F') AS registered, min(event_day) AS first_day, max(event_day) AS last_day,
+    {rnd('count(DISTINCT event_day) / (max(event_day) - min(event_day) + 1)')} AS day_coverage,
+    CAST(sum(CAST('0x' || substr(md5(event_id), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM inventory GROUP BY 1""",
 )
 def provenance_register(t: Tables):
-    """Every event source with its event count and whether the register knows it."""
+    """Every event source: its event count, whether the register knows it, its days and the share of them with an event, and a
+    checksum of its event ids that does not depend on their order."""
     register = registered_sources(t).withColumn("known", F.lit(True))
-    used = t.inventory.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_events"))
+    used = sinks.source_coverage(t.inventory, "source_id", "event_id", "event_day")
     return used.join(register, "source_id", "left").select(
-        "source_id", "n_events", F.coalesce("known", F.lit(False)).alias("registered")
+        "source_id", "n_events", F.coalesce("known", F.lit(False)).alias("registered"), "first_day", "last_day", "day_coverage", "checksum"
     )
 
 

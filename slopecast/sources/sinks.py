@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slopecast.functions.columns import rounded
+
 
 def write_features(df: DataFrame, path: str, columns: Sequence[str], date: str = "date") -> None:
     """Write the contract columns, one folder per date; only the dates present are replaced.
@@ -50,3 +52,13 @@ def run_report(tele: DataFrame, usable: DataFrame, kept: DataFrame) -> DataFrame
     return one.withColumn("removed", F.col("rows_in") - F.col("rows_usable")).withColumn(
         "collapsed", F.col("rows_usable") - F.col("rows_kept")
     )
+
+
+def source_coverage(rows: DataFrame, source: str, key: str, day: str) -> DataFrame:
+    """Per source: events, first and last day, the share of the days between with an event, and a checksum: the sum of
+    32 bits of the MD5 of every key, the same in any order."""
+    part = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("bigint")
+    return rows.groupBy(source).agg(
+        F.count(F.lit(1)).alias("n_events"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
+        rounded(F.count_distinct(day) / (F.max(day) - F.min(day) + 1)).alias("day_coverage"), F.sum(part).alias("checksum"),
+    )
