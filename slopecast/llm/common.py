@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import slopecast
-from slopecast.session import load_table, scratch_path, settle
+from slopecast.session import load_table, scratch_path, settle, ship
 
 __all__ = ["crc_of_id", "load_table", "map_batches", "rows_total", "scratch_path", "settle", "ship", "store", "text_or_empty"]
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(slopecast.__file__).resolve().parent
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="slopecast-")), "slopecast_package.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, str(file.relative_to(root.parent)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
 
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow with the package at hand on every executor; Spark bounds a batch by rows and bytes."""

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from slopecast.operators import labels, metrics, models
+from slopecast.operators import forests, labels, metrics, models
 from slopecast.plans.bindings import Tables
 from slopecast.plans.models import samples
 from slopecast.session import settle
@@ -90,3 +90,22 @@ def test_donors_are_a_bijection(spark):
         rows = spark.range(n).select("id", models.donor_number(F.col("id"), n, F.lit(3), F.lit(42)).alias("d")).collect()
         assert sorted(r.d for r in rows) == list(range(n))
         assert n < 100 or sum(r.d == r.id for r in rows) < n / 10
+
+
+def test_forest_is_the_same_from_counts_and_from_groups(spark, monkeypatch):
+    """Nodes split from counts of all rows are those that one group grows; neither needs the rows in one place."""
+    df = settle(samples(Tables(spark, FOLDER)))
+    table = lambda: sorted(map(str, models.node_table(spark, models.Susceptibility(df, models.NUMERIC, trees=3, depth=8).model).collect()))
+    whole = table()
+    monkeypatch.setattr(forests, "SMALL", 100)
+    assert table() == whole and len(whole) > 60
+
+
+def test_passes_over_the_trees_add_up(spark, monkeypatch):
+    """The driver never holds more trees than one pass."""
+    df = settle(samples(Tables(spark, DATA)))
+    model = models.Susceptibility(df, models.NUMERIC, trees=5, depth=6)
+    want = {r.point_id: r.score for r in model.score(df).collect()}
+    monkeypatch.setattr(forests, "NODES_A_PASS", 30)
+    got = {r.point_id: r.score for r in model.score(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
