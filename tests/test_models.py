@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -109,3 +110,24 @@ def test_passes_over_the_trees_add_up(spark, monkeypatch):
     monkeypatch.setattr(forests, "NODES_A_PASS", 30)
     got = {r.point_id: r.score for r in model.score(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_scoring_brings_no_nodes_to_the_driver(spark, monkeypatch):
+    """Trees and rows meet on the executors; the driver learns the size of each tree only."""
+    df = settle(samples(Tables(spark, DATA)))
+    model = models.Susceptibility(df, models.NUMERIC, trees=3, depth=5)
+    monkeypatch.setattr(type(df), "toArrow", lambda self: pytest.fail("a table came to the driver"))
+    assert model.score(df).where("score between 0 and 1").count() == df.count()
+
+
+def test_few_rows_are_split_as_by_all_bins(monkeypatch):
+    """A node of few rows takes the split that the counts of all bins give, ties included."""
+    rng = np.random.default_rng(7)
+    codes, y, times = rng.integers(0, 6, (400, 5)).astype(np.uint8), rng.integers(0, 3, 400), rng.integers(1, 4, 400)
+    for least in (1, 2):
+        plan = forests.Plan(1, 12, least, 42, np.array([1.0, 1.3, 0.7]), [np.arange(6.0)] * 5)
+        few = plan.grown(0, 1, codes, y, times)
+        with monkeypatch.context() as patch:
+            patch.setattr(forests, "WIDTHS", ())
+            every = plan.grown(0, 1, codes, y, times)
+        assert few.astype(str).equals(every.astype(str)) and len(few) > 100
