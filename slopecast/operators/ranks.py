@@ -83,19 +83,15 @@ def exact_quantiles(
     span = span.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_size")
     counts = counts.join(span, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups])
     cum = running_totals(counts, groups, F.col("_bucket"), [F.col("_x")], {"_end": F.col("_n")})
-    start = F.col("_end") - F.col("_n")
-    aggs = []
-    for name, q in quantiles.items():
-        pos = F.lit(float(q)) * (F.col("_size") - 1)
-        for part, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (start <= at) & (at < F.col("_end"))
-            aggs.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{name}_{part}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_{name}_w"))
-    out = cum.groupBy(*groups).agg(*aggs)
-    return out.select(
-        *keep,
-        *[
-            (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")).alias(n)
-            for n in quantiles
-        ],
+    # a row goes on once for each quantile that lies in it, so the plan does not grow with the list of quantiles
+    start, last = F.col("_end") - F.col("_n"), F.col("_size") - 1
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles.values())])
+    hits = F.filter(wanted, lambda w: (F.floor(w["q"] * last) < F.col("_end")) & (F.ceil(w["q"] * last) >= start))
+    hit = cum.withColumn("_w", F.explode(hits)).withColumn("_pos", F.col("_w.q") * last)
+    inside = lambda at: F.max(F.when((start <= at) & (at < F.col("_end")), F.col("_x")))
+    each = hit.groupBy(*groups, F.col("_w.i").alias("_i")).agg(
+        inside(F.floor("_pos")).alias("_lo"), inside(F.ceil("_pos")).alias("_hi"), F.max(F.col("_pos") - F.floor("_pos")).alias("_w"),
     )
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")
+    out = each.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_i", value.alias("v")))).alias("_of"))
+    return out.select(*keep, *[F.element_at("_of", F.lit(i)).alias(n) for i, n in enumerate(quantiles)])

@@ -12,7 +12,7 @@ from slopecast.functions import ground, hazard
 from slopecast.functions import text as tx
 from slopecast.functions.columns import normal_name, number_or_null, rounded
 from slopecast.functions.rainfall import rainfall_class
-from slopecast.operators import quality, terrain
+from slopecast.operators import quality, ranks, terrain
 from slopecast.operators.text import entity_features
 
 RAIN_SCHEMA = "rainfall_1h double, rainfall_24h double, rainfall_3d double, rainfall_7d double, quality string, status string"
@@ -218,3 +218,26 @@ def test_rounding_keeps_large_and_special_values(spark):
     values = [3e15, float("inf"), float("-inf"), 1.00005, -2.5, None, 123456789012.34567, 9.3e14]
     got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v")).alias("x")).collect()]
     assert got == [3e15, float("inf"), float("-inf"), 1.0001, -2.5, None, 123456789012.3457, 9.3e14]
+
+
+def test_quantile_plans_do_not_grow_with_the_list(spark):
+    """31 quantiles are found by the same aggregates as two, and are those of linear interpolation."""
+    values = [(k * 37 % 101) * 1.5 for k in range(57)] + [3.0] * 9
+    df = spark.createDataFrame([(g, v) for g in ("a", None) for v in values], "g string, v double")
+    wanted = {f"q{i}": i / 30 for i in range(31)}
+    found = ranks.exact_quantiles(df, ["g"], "v", wanted)
+    few = ranks.exact_quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.9})
+    maxima = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("max(")
+    assert maxima(found) == maxima(few)
+    rows = found.collect()
+    assert {r.g for r in rows} == {"a", None}
+    for r in rows:
+        for name, q in wanted.items():
+            assert r[name] == pytest.approx(statistics_of(values, q), abs=1e-9)
+
+
+def statistics_of(values, q):
+    ordered, pos = sorted(values), q * (len(values) - 1)
+    low = int(pos)
+    high = min(low + 1, len(ordered) - 1)
+    return ordered[low] + (ordered[high] - ordered[low]) * (pos - low)
