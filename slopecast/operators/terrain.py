@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,8 @@ from slopecast.functions.columns import clamp, rounded
 
 MIN_VALID_5X5 = 13
 REACH = 2
+#: Cells that a task of the stencil has, about.
+CELLS = 32_768
 
 
 def neighbourhood(grid: DataFrame, keys: Sequence[str] = (), block: int = 256) -> DataFrame:
@@ -18,8 +21,10 @@ def neighbourhood(grid: DataFrame, keys: Sequence[str] = (), block: int = 256) -
 
     The grid is dealt once, in square blocks with a margin of two cells, and both window passes, along the rows of a
     block and down its columns, run inside that exchange. A window group is one line of a block,
-    however wide or high the grid is; only the margin is copied.
+    however wide or high the grid is; only the margin is copied. The number of tasks follows the cells, as narrow
+    rows come in and wide ones go out: by the bytes that are dealt, too many rows would share a task.
     """
+    tasks = max(1, math.ceil(grid.count() / CELLS))
     cell = F.when(F.col("grid_row").isNotNull(), F.struct(F.col("elev").alias("z")))
     r, c = F.col("grid_row"), F.col("grid_col")
 
@@ -28,7 +33,7 @@ def neighbourhood(grid: DataFrame, keys: Sequence[str] = (), block: int = 256) -
 
     both = F.flatten(F.transform(homes(r), lambda i: F.transform(homes(c), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     dealt = grid.select(*keys, "grid_row", "grid_col", "elev", F.explode(both).alias("_b"))
-    dealt = dealt.select(*keys, "grid_row", "grid_col", "elev", F.col("_b.i").alias("_bi"), F.col("_b.j").alias("_bj")).repartition(*keys, "_bi", "_bj")
+    dealt = dealt.select(*keys, "grid_row", "grid_col", "elev", F.col("_b.i").alias("_bi"), F.col("_b.j").alias("_bj")).repartition(tasks, *keys, "_bi", "_bj")
     along = Window.partitionBy(*keys, "_bi", "_bj", "grid_row").orderBy("grid_col")
     down = Window.partitionBy(*keys, "_bi", "_bj", "grid_col").orderBy("grid_row")
 

@@ -32,3 +32,8 @@ def test_a_wide_row_is_cut_into_blocks_in_one_exchange(spark):
     assert plan.count("Exchange") == 1  # both window passes run inside it
     got = out.agg(F.count(F.lit(1)), F.sum("n_0_m2.z"), F.sum("n_0_2.z"), F.count("n_1_0")).first()
     assert tuple(got) == (1_000_000, float(sum(i % 7 for i in range(999_998))), float(sum(i % 7 for i in range(2, 1_000_000))), 0)
+
+
+def test_tasks_follow_the_cells(spark):
+    grid = spark.range(200_000).select(F.floor(F.col("id") / 100).alias("grid_row"), (F.col("id") % 100).alias("grid_col"), F.lit(1.0).alias("elev"))
+    assert terrain.neighbourhood(grid).rdd.getNumPartitions() == -(-200_000 // terrain.CELLS) > 4
