@@ -184,12 +184,15 @@ FEATURE = T.StructType([
 COLLECTION = T.StructType([T.StructField("features", T.ArrayType(FEATURE))])
 
 
+def _summed(pieces: Column, done) -> Column:
+    """done(sum), where sum has the totals w, x and y of pieces (w, x, y), added up in one walk."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "wxy"])
+    return F.aggregate(pieces, zero, lambda s, p: F.struct(*[(s[c] + p[c]).alias(c) for c in "wxy"]), done)
+
+
 def _moments(pieces: Column) -> Column:
     """Centroid struct(x, y) of pieces (w, x, y) with x and y weighted by w; NULL without weight."""
-    total = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + p["w"])
-    x = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + p["x"])
-    y = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + p["y"])
-    return F.when(total > 0, F.struct((x / total).alias("x"), (y / total).alias("y")))
+    return _summed(pieces, lambda s: F.when(s["w"] > 0, F.struct((s["x"] / s["w"]).alias("x"), (s["y"] / s["w"]).alias("y"))))
 
 
 def _steps(line: Column, piece) -> Column:
@@ -200,14 +203,16 @@ def _steps(line: Column, piece) -> Column:
 
 def _ring(ring: Column, sign: Column) -> Column:
     """(w, x, y) of a closed ring, its area counted with the given sign whatever its direction."""
-    pairs = _steps(ring, lambda a, b: F.struct(
-        (a[0] * b[1] - b[0] * a[1]).alias("w"), (a[0] + b[0]).alias("x"), (a[1] + b[1]).alias("y")
-    ))
-    area = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"])
-    x = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["x"] * p["w"])
-    y = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["y"] * p["w"])
-    turn = sign * F.signum(area)
-    return F.struct((area * turn).alias("w"), (x * turn / 3.0).alias("x"), (y * turn / 3.0).alias("y"))
+
+    def piece(a: Column, b: Column) -> Column:
+        w = a[0] * b[1] - b[0] * a[1]
+        return F.struct(w.alias("w"), ((a[0] + b[0]) * w).alias("x"), ((a[1] + b[1]) * w).alias("y"))
+
+    def turned(s: Column) -> Column:
+        turn = sign * F.signum(s["w"])
+        return F.struct((s["w"] * turn).alias("w"), (s["x"] * turn / 3.0).alias("x"), (s["y"] * turn / 3.0).alias("y"))
+
+    return _summed(_steps(ring, piece), turned)
 
 
 def polygons_centroid(polygons: Column) -> Column:
@@ -254,7 +259,8 @@ def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> D
     collections are, and without a position in the properties are skipped."""
     raw = spark.read.schema(COLLECTION).json(path, multiLine=multi_line)
     f = raw.select(F.explode("features").alias("f")).select("f.*").filter("geometry is not null")
-    f = f.withColumn("_c", geometry_centroid(F.col("geometry.type"), F.col("geometry.coordinates")))
+    # made by a generator, which is not copied to each place that reads it, the filter included
+    f = f.withColumn("_c", F.explode(F.array(geometry_centroid(F.col("geometry.type"), F.col("geometry.coordinates")))))
     p = F.col("properties")
     return f.select(
         F.col("id").alias("feature_id"),

@@ -175,6 +175,12 @@ def test_inventory_from_multi_line_collections(spark, tmp_path):
     assert got == {"1": (25.5, 91.5, 2014), "2": (25.0, 91.0, None)}
 
 
+def test_centroids_are_made_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"features": [{"id": "1", "geometry": {"type": "Point", "coordinates": [91.5, 25.5]}, "properties": {}}]}')
+    plan = readers.read_inventory(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("signum") <= 3  # one area's turn, carried to its three sums
+
+
 def test_timestamps(spark):
     df = spark.createDataFrame([("05-03-2024 10:00:00",), ("5 March",), ("2024-03-05T10:00:00+05:30",), ("2024-03-05T10:00:00",)], "x string")
     got = [tuple(r) for r in df.select(
