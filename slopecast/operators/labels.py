@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from slopecast.operators.spatial import nearest_site
 from slopecast.session import settle
 
 CHUNK = 10_000
+#: Rows of a table that a task of its bootstrap has, about.
+TASK_ROWS = 131_072
 
 
 def uniform(*parts: Column) -> Column:
@@ -109,16 +113,19 @@ def stratified_bootstrap(df: DataFrame, label: str, key: str, seed: int = 42) ->
     """Half of the table size drawn with replacement from each of the two labels.
 
     Returns (label, draw, key). Draw j of a label takes the row whose number is a hash of j. Draws
-    are made in chunks by their number, so a label with one row is not one task.
+    are made in chunks by their number, so a label with one row is not one task. Rows and draws meet in tasks
+    whose number follows the table: by the bytes of such narrow rows, too many would share a task.
     """
+    tasks = max(1, math.ceil(df.count() / TASK_ROWS))
     rows = numbered(in_ranges(df.select(label, key), [label, key]), [label], F.col("_bucket"), [F.col(key)])
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_half", F.floor(F.sum("_n").over(Window.partitionBy(F.lit(0))) / 2))  # one row per label
-    chunks = sizes.filter("_half > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_half") - 1) / CHUNK)))).repartition("_l", "_c")
+    chunks = sizes.filter("_half > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_half") - 1) / CHUNK)))).repartition(tasks, "_l", "_c")
     draws = chunks.withColumn("draw", F.explode(F.sequence(F.col("_c") * CHUNK, F.least(F.col("_half"), (F.col("_c") + 1) * CHUNK) - 1)))
     chosen = draws.select(
         "_l", "draw", (pick_index(F.col("_n"), F.lit(str(seed)), F.col("_l").cast("string"), F.col("draw").cast("string")) + 1).alias("_pick")
     )
+    chosen, rows = chosen.repartition(tasks, "_l", "_pick"), rows.repartition(tasks, label, "rn")
     return chosen.join(rows, (F.col("_l") == F.col(label)) & (F.col("_pick") == F.col("rn"))).select(label, "draw", key)
 
 

@@ -349,3 +349,8 @@ def test_negatives_are_drawn_until_the_quota_is_full(spark):
     assert sorted(got) == sorted(again)
     with pytest.raises(ValueError, match="of 200 candidates"):
         labels.negative_candidates(positives, narrow_outline(spark), exclusion_km=0.05, max_draws=5)
+
+
+def test_bootstrap_tasks_follow_the_table(spark):
+    rows = spark.range(5 * labels.TASK_ROWS).selectExpr("id AS event_no", "cast(id % 2 as int) AS label")
+    assert labels.stratified_bootstrap(rows, "label", "event_no").rdd.getNumPartitions() == 5
