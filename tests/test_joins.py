@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from slopecast.functions.columns import segment_metres
@@ -354,3 +355,39 @@ def test_negatives_are_drawn_until_the_quota_is_full(spark):
 def test_bootstrap_tasks_follow_the_table(spark):
     rows = spark.range(5 * labels.TASK_ROWS).selectExpr("id AS event_no", "cast(id % 2 as int) AS label")
     assert labels.stratified_bootstrap(rows, "label", "event_no").rdd.getNumPartitions() == 5
+
+
+def test_first_corridor_against_all_pairs(spark):
+    rng = random.Random(21)
+    spot = lambda: (22 + rng.randrange(600) / 1000, 90 + rng.randrange(600) / 1000)
+    lines = [(i, f"c{i}", f"s{i}", *spot()) for i in rng.sample(range(200), 200)] + [(500, "none", None, None, None), (501, "late", "s3", 22.0, 90.0)]
+    points = [(i, *spot(), rng.choice([None, None, "s3", "s150", "other"])) for i in range(400)] + [(900, None, None, "s7"), (901, None, 90.0, None), (902, float("nan"), 90.0, None)]
+    got = spatial.corridor_match(
+        spark.createDataFrame(points, "point_id int, latitude double, longitude double, sector string"),
+        spark.createDataFrame(lines, "corridor_order int, corridor string, corridor_sector string, latitude double, longitude double"),
+    )
+    found = {r.point_id: r.corridor for r in got.collect()}
+    near = lambda a, b: None not in (a, b) and abs(a - b) < 0.10
+    for i, lat, lon, sector in points:
+        hits = [(k, name) for k, name, s, a, b in lines if (sector is not None and s == sector) or (near(a, lat) and near(b, lon))]
+        assert found.pop(i) == (min(hits)[1] if hits else None)
+    assert not found
+
+
+def test_corridors_of_a_crowded_cell_are_not_paired_with_its_points(spark):
+    crowd = spark.range(2000).selectExpr("cast(id as int) AS point_id", "22 + id % 40 / 1000d AS latitude", "90 + id % 50 / 1000d AS longitude", "cast(null as string) AS sector")
+    lines = crowd.selectExpr("point_id AS corridor_order", "cast(point_id as string) AS corridor", "'s' AS corridor_sector", "latitude", "longitude")
+    seen = Observation("pairs")
+    kind = type(crowd)
+    joined = kind.join
+
+    def counted(self, other, *rest):
+        out = joined(self, other, *rest)
+        return out.observe(seen, F.count(F.lit(1)).alias("n")) if "_clat" in out.columns and "_lat" in out.columns else out
+
+    kind.join = counted
+    try:
+        assert spatial.corridor_match(crowd, lines).filter("corridor = '0'").count() == 2000
+    finally:
+        kind.join = joined
+    assert seen.get["n"] <= 2000
