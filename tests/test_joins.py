@@ -391,3 +391,13 @@ def test_corridors_of_a_crowded_cell_are_not_paired_with_its_points(spark):
     finally:
         kind.join = joined
     assert seen.get["n"] <= 2000
+
+
+def test_equal_segments_are_placed_once(spark, monkeypatch):
+    rows = [(k, 22.0, 90.0, 22.05, 90.05) for k in (7, 3, 9)] + [(1, 23.0, 91.0, 23.01, 91.0)]
+    segments = spark.createDataFrame(rows, "feature_id int, y1 double, x1 double, y2 double, x2 double")
+    placed, own = [], spatial.placed_segments
+    monkeypatch.setattr(spatial, "placed_segments", lambda items: placed.append(items.count()) or own(items))
+    points = spark.createDataFrame([(1, 22.02, 90.03)], "point_id int, latitude double, longitude double")
+    assert spatial.nearest_segment(points, segments, ["feature_id"], segment_metres).first().nearest.feature_id == 3
+    assert placed == [2]
