@@ -133,7 +133,7 @@ def stream_static_join(t: Tables):
 )
 def stream_alerts(t: Tables):
     """One row whenever a place enters HIGH or CRITICAL."""
-    return finished(t, jobs.alerts(jobs.score_stream(jobs.ingest(t.tele_stream()), places(t), EXPECTED)), "alerts", python_state=True)
+    return finished(t, jobs.place_alerts(jobs.ingest(t.tele_stream()), places(t), EXPECTED), "alerts", python_state=True)
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,10 @@ from slopecast.functions.columns import HOUR_US, rounded
 from slopecast.functions.rainfall import ingested
 
 HOUR_MS = 3_600_000
+#: Parts that the places of a station are dealt in where hours are given to them.
+SHARES = 16
+#: What the score of a place follows from, besides the hour.
+KIND = ("station_key", "static_score", "tier")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -271,8 +275,40 @@ def alerts(scored: DataFrame) -> DataFrame:
 
 def score_stream(stream: DataFrame, places: DataFrame, expected: dict[str, float], delay: str = "1 hour") -> DataFrame:
     """Closed hours joined to their static places (station_key, place_id, static_score, tier), then
-    triggered on all four windows and fused."""
-    return hazard.fuse(hazard.rain_trigger(window_rain(stream, expected, delay).join(places, "station_key")))
+    triggered on all four windows and fused.
+
+    A place counts by its static score and tier only, so an hour is scored once for each of those that the places of
+    its station have, and then given to the places.
+    """
+    kinds = places.select(*KIND).distinct()
+    scored = hazard.fuse(hazard.rain_trigger(window_rain(stream, expected, delay)).join(kinds, "station_key"))
+    return given(scored, places, KIND)
+
+
+def given(rows: DataFrame, places: DataFrame, same: Sequence[str]) -> DataFrame:
+    """rows joined to the places with equal columns same (station_key, which is not null, and others). Places are dealt
+    in SHARES, so that those of a station are not one task."""
+    rows = rows.withColumn("_share", F.explode(F.array(*[F.lit(k) for k in range(SHARES)])))
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = {c: f"_own_{c}" for c in same}
+    held = places.withColumnsRenamed(own).withColumn("_part", F.pmod(F.xxhash64("place_id"), F.lit(SHARES)).cast("int"))
+    held = held.repartition(tasks, *own.values(), "_part")
+    equal = [F.col(c) == F.col(o) if c == "station_key" else F.col(c).eqNullSafe(F.col(o)) for c, o in own.items()]
+    return rows.join(held, [*equal, F.col("_share") == F.col("_part")]).drop("_share", "_part", *own.values())
+
+
+def place_alerts(stream: DataFrame, places: DataFrame, expected: dict[str, float], delay: str = "1 hour") -> DataFrame:
+    """The alerts of every place, from score_stream.
+
+    Places of a station with equal static score and tier are at the same level at any time, so the state is kept for
+    the one with the least id, and its alerts are given to all of them. The table of places stays as it is
+    for as long as the checkpoint is used: one that is added later has no alert for a level that its kind is in already.
+    """
+    firsts = places.groupBy(*KIND).agg(F.min("place_id").alias("_first"))
+    found = alerts(score_stream(stream, firsts.withColumnRenamed("_first", "place_id"), expected, delay))
+    theirs = firsts.withColumnsRenamed({c: f"_of_{c}" for c in KIND})
+    members = places.join(theirs, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in KIND]).select("station_key", "_first", "place_id")
+    return given(found.withColumnRenamed("place_id", "_first"), members, ["station_key", "_first"]).select("station_key", "place_id", "t_us", "risk_level")
 
 
 class LateSplitter:

@@ -182,3 +182,40 @@ def test_ingest_of_odd_amounts(spark, tmp_path):
     jobs.run_to_end(jobs.ingest(stream), f"{tmp_path}/rows", f"{tmp_path}/cp")
     got = {r.reading_id: r.rainfall_1h for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
     assert set(got) == {*range(30), *range(100, 105)} and all(got[i] is None for i in range(100, 104)) and got[3] is not None
+
+
+def test_hours_are_scored_once_for_places_alike(spark, monkeypatch):
+    hours = [("a", 1.0, 120.0, 10.0, 10.0, "GOOD", "OK"), ("a", None, None, None, None, "MISSING", "MISSING"), ("b", 2.0, 3.0, 4.0, 5.0, "GOOD", "OK")]
+    closed = spark.createDataFrame(hours, "station_key string, rainfall_1h double, rainfall_24h double, rainfall_3d double, rainfall_7d double, quality string, status string")
+    spots = [("a", k, 0.8, "VERY_HIGH") for k in range(500)] + [("a", 500, None, None), ("b", 501, 0.1, "LOW"), ("c", 502, 0.1, "LOW"), (None, 503, 0.1, "LOW")]
+    places = spark.createDataFrame(spots, "station_key string, place_id bigint, static_score double, tier string")
+    monkeypatch.setattr(jobs, "window_rain", lambda *_: closed)
+    own, scored = jobs.hazard.fuse, []
+    monkeypatch.setattr(jobs.hazard, "fuse", lambda df: scored.append(df.count()) or own(df))
+    names = ["station_key", "place_id", "rainfall_24h", "static_score", "tier", "trigger_level", "trigger_score", "risk_level", "fusion_score"]
+    got = jobs.score_stream(None, places, {}).select(names)
+    want = own(jobs.hazard.rain_trigger(closed.join(places, "station_key"))).select(names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 1003
+    assert scored == [5]  # two kinds of places at a, one at b
+
+
+def test_alerts_keep_one_state_for_places_alike(spark, monkeypatch):
+    levels = [("a", BASE + timedelta(hours=h), mm) for h, mm in ((1, 10.0), (2, 400.0), (3, 400.0), (4, 10.0), (5, 400.0))]
+    closed = spark.createDataFrame(levels, "station_key string, at timestamp, rainfall_24h double").selectExpr(
+        "*", "rainfall_24h AS rainfall_1h", "rainfall_24h AS rainfall_3d", "rainfall_24h AS rainfall_7d", "'GOOD' AS quality", "'OK' AS status")
+    spots = [("a", k, 0.8, "VERY_HIGH") for k in range(300)] + [("a", 300, None, None), ("a", 301, 0.1, "LOW"), ("b", 302, 0.8, "VERY_HIGH")]
+    places = spark.createDataFrame(spots, "station_key string, place_id bigint, static_score double, tier string")
+    states = []
+
+    def entered(scored):
+        rows = sorted((r.station_key, r.place_id, r.at, r.risk_level) for r in scored.collect())
+        states.append(len({r[:2] for r in rows}))
+        found = [b for a, b in zip([(None,) * 4, *rows], rows) if b[3] in ("HIGH", "CRITICAL") and (b[:2], b[3]) != (a[:2], a[3])]
+        return spark.createDataFrame([(s, p, int(t.timestamp()), r) for s, p, t, r in found], "station_key string, place_id bigint, t_us bigint, risk_level string")
+
+    monkeypatch.setattr(jobs, "window_rain", lambda *_: closed)
+    monkeypatch.setattr(jobs, "alerts", entered)
+    want = sorted(map(str, entered(jobs.score_stream(None, places, {})).collect()))
+    got = sorted(map(str, jobs.place_alerts(None, places, {}).collect()))
+    assert got == want and len(got) >= 600
+    assert states == [302, 3]
