@@ -19,7 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 or more of their five-word shingles), the document with the least id stays."""
+    """Of each group of near-duplicates (0.8 or more of their five-word shingles; candidates by Golay keys of SimHashes,
+    those beyond two bits by min-hash bands), the document with the least id stays."""
     return similar.one_of_each(docs)
 
 

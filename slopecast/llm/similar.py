@@ -1,4 +1,4 @@
-"""Near-duplicates by their five-word shingles: banded min-hashes, exact Jaccard, connected components."""
+"""Near-duplicates by their five-word shingles: Golay keys of SimHashes, banded min-hashes, exact Jaccard, connected components."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from slopecast.llm.common import map_batches, settle, text_or_empty
 from slopecast.llm.components import connected_components
-from slopecast.llm.simhash import one_a_cluster
+from slopecast.llm.simhash import fingerprint, links, one_a_cluster
 
 WIDTH = 5
 #: Documents are near-duplicates from this Jaccard similarity of their shingle sets on (a fraction).
@@ -51,24 +51,27 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, node, n, keys) a row: node stands for the document's shingle set of n shingles, keys are
-    its bands. Null texts read as empty; texts without a word have an empty set and no keys; repeated rows stay;
+    """(id, text_hash, node, n, keys, fp) a row: node stands for the document's shingle set of n shingles, keys are
+    its bands, fp its SimHash over the same shingles. Null texts read as empty; texts without a word have an empty set and no keys; repeated rows stay;
     an empty table gives an empty table; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (shingles(t) for t in batch.column(2).to_pylist())
+            texts = batch.column(2).to_pylist()
+            sets = (shingles(t) for t in texts)
             made = [(xxhash.xxh3_64_intdigest(s.tobytes()), len(s), band_keys(s)) for s in sets]
+            fps = np.array([fingerprint(t, WIDTH) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)),
                     pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.list_(pa.int64())),
+                    pa.array(fps, pa.int64()),
                 ],
-                names=["id", "text_hash", "node", "n", "keys"],
+                names=["id", "text_hash", "node", "n", "keys", "fp"],
             )
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("text"))
-    return map_batches(source, run, "id long, text_hash long, node long, n int, keys array<long>")
+    return map_batches(source, run, "id long, text_hash long, node long, n int, keys array<long>, fp long")
 
 
 def block_bits(hashes: np.ndarray) -> np.ndarray:
@@ -121,9 +124,25 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(similar).select("a", "b")
 
 
+def golay_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): candidates by SimHash. Nodes with one fingerprint meet the least of them, and these meet where their
+    fingerprints are tied within two bits (see simhash.links, by Golay keys); settled."""
+    nodes = prints.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"))
+    nodes = settle(nodes, "fingerprints")
+    heads = settle(nodes.groupBy("fp").agg(F.min("node").alias("head")), "distinct")
+    own = nodes.join(heads, "fp").select(F.col("head").alias("x"), F.col("node").alias("m"))
+    left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("m"))
+    near = links(heads).distinct().join(left, "a").join(right, "b").select("x", "m")
+    both = own.union(near).where("x <> m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b"))
+    return settle(both.distinct(), "candidates")
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, text_col: str = "text") -> DataFrame:
-    """(a, b): links between nodes that have the same components as all similar pairs with a common band.
+    """(a, b): links between nodes that have the same components as all similar pairs with a common band, or with
+    SimHashes that are tied within two bits.
 
+    Pairs by SimHash are verified first. At a similarity of 0.8 two SimHashes differ in about 10 bits, so those that
+    are further apart than two bits meet by bands.
     The members of a band's bucket that can be similar at all (see fits) meet in three rounds, each verified:
     every node with the most central head of its buckets, the head being the set with the largest share of
     shingles that others have; then with the heads of all its buckets; then every pair. From the second
@@ -136,7 +155,10 @@ def similar_links(docs: DataFrame, prints: DataFrame, text_col: str = "text") ->
     at = settle(nodes.select("node", F.explode("keys").alias("key")), "keys")
     crowded = at.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("key")
     members = settle(at.join(crowded, "key"), "members")
-    sets = settle(shingle_sets(docs, prints, members.select("node").distinct(), text_col), "sets")
+    by_bits = golay_pairs(prints)
+    wanted = members.select("node").union(by_bits.select("a")).union(by_bits.select("b")).distinct()
+    sets = settle(shingle_sets(docs, prints, wanted, text_col), "sets")
+    found = settle(verified(by_bits, sets), "similar")
     sizes = settle(shared_counts(sets), "sizes")
     share = F.struct((-F.col("shared") / F.col("n")).alias("rank"), "node", "n", "shared", "bits")
     members = settle(members.join(sizes, "node").withColumn("m", share).select("key", "node", "m"), "members")
@@ -147,8 +169,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, text_col: str = "text") ->
 
     with_head = settle(members.join(heads, "key").where("x.node <> m.node").where(fits("x", "m")).select("x", "m").distinct(), "heads")
     nearest = with_head.groupBy("m").agg(F.min("x").alias("x"))
-    tested = settle(ordered(nearest), "candidates")
-    found = settle(verified(tested, sets), "similar")
+    pairs = settle(ordered(nearest).join(by_bits, ["a", "b"], "left_anti"), "candidates")
+    found = settle(found.union(verified(pairs, sets)), "similar")
+    tested = by_bits.union(pairs)
     for every in (False, True):
         parts = settle(connected_components(found), "parts")
 

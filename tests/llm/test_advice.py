@@ -7,9 +7,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slopecast.llm import pfair, pseudonyms, similar, templates
+from slopecast.llm import pfair, pseudonyms, simhash, similar, templates
 from slopecast.llm.common import settle
 from tests.conftest import DATA
 from tests.llm.test_tables import brute_components, brute_leaks, frame, odd_rows
@@ -162,3 +163,12 @@ def test_one_changed_name_in_a_long_copy(spark):
     item = f"{plain(20)} Anna {plain(22)} Anna {plain(21)} Anna went"
     copy = item[:item.rindex("Anna")] + "Dora went"
     assert found_items(spark, {1: item}, {1: copy, 2: item.replace("Anna", "Dora")}) == {(1, 1): "exact", (2, 1): "reparameterised"}
+
+
+def test_near_dedup_links_by_golay_keys(spark):
+    words = [f"w{i * i % 997}x{i}" for i in range(3000)]
+    near = next(t for k in range(3000) if 0 < bin(simhash.fingerprint(t := " ".join([*words[:k], "other", *words[k + 1:]]), 5) ^ simhash.fingerprint(" ".join(words), 5)).count("1") <= 2)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, near), (3, "not like the others at all"), (4, "")], "doc_id bigint, text string")
+    prints = similar.shingled(docs).withColumn("keys", F.array().cast("array<long>"))  # no band at all
+    got = similar.similar_links(docs, prints).collect()
+    assert {frozenset(r) for r in got} == {frozenset(r.node for r in prints.where("id <= 2").collect())}
