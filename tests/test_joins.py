@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from slopecast.functions.columns import segment_metres
 from slopecast.operators import cells, events, labels, metrics, outlines, ranks, spatial
 from slopecast.operators.asof import asof
+from slopecast.session import settle
 
 
 def km(a, b):
@@ -209,9 +210,9 @@ def test_pair_review_against_all_pairs(spark, monkeypatch, most):
 def test_rows_that_an_explode_multiplies_are_not_broadcast(spark):
     """Each place stands in nine cells or more, which the planner's sizes leave out."""
     rows = [(a, b, "x", day, 1) for day, (a, b) in enumerate(places(40, 14))]
-    place_day = spark.createDataFrame(rows, "_lat double, _lon double, _dist string, _day int, _n long")
+    place_day = settle(spark.createDataFrame(rows, "_lat double, _lon double, _dist string, _day int, _n long"))
     place = place_day.groupBy("_lat", "_lon", "_dist").agg(F.sum("_n").alias("_n"))
-    near = spatial.within_radius(*[table_of(spark, places(40, seed)) for seed in (14, 15)], 50.0)
+    near = spatial.within_radius(*[settle(table_of(spark, places(40, seed))) for seed in (14, 15)], 50.0)
     for df in (*events._partners_by_pairs(place, place_day, 50.0, 2), near):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
 
