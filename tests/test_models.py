@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from slopecast import session
 from slopecast.operators import forests, labels, metrics, models
 from slopecast.plans.bindings import Tables
 from slopecast.plans.models import samples
@@ -131,3 +135,43 @@ def test_few_rows_are_split_as_by_all_bins(monkeypatch):
             patch.setattr(forests, "WIDTHS", ())
             every = plan.grown(0, 1, codes, y, times)
         assert few.astype(str).equals(every.astype(str)) and len(few) > 100
+
+
+def test_fits_made_together_score_like_fits_made_alone(spark, folded, monkeypatch):
+    """Several models on one table are fitted in the same passes, whatever each of them reads, learns and scores."""
+    fold = F.col("fold")
+    sets = [models.NUMERIC, models.NUMERIC[:3]]
+    fits = [models.Fit(columns, fold != f, fold == f) for columns in sets for f in range(2)]
+    scores = lambda: {(r.model, r.point_id): r.score for r in models.scored_apart(folded, fits, trees=5, depth=7).collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "Susceptibility", lambda *a, **b: pytest.fail("a model was fitted by itself"))
+        together = scores()
+    monkeypatch.setattr(forests, "WHOLE", 0)
+    alone = scores()
+    assert together.keys() == alone.keys() and len(together) > 600
+    assert all(abs(together[k] - alone[k]) < 1e-12 for k in alone)
+
+
+def test_calibration_and_validation_fit_no_model_by_itself(folded, monkeypatch):
+    """Their forests share their passes; by themselves, each took some 50 jobs."""
+    monkeypatch.setattr(models, "Susceptibility", lambda *a, **b: pytest.fail("a model was fitted by itself"))
+    assert models.calibrated_folds(folded, models.NUMERIC, trees=2, depth=3).count() == 5
+    assert models.cross_validated(folded, {"environment": models.NUMERIC}, trees=2, depth=3).count() == folded.count()
+
+
+def test_the_package_is_shipped_once(monkeypatch):
+    """Fits that begin side by side register one file; Spark refuses a second one of the same name."""
+    files = []
+
+    class Context:
+        applicationId = "one"
+
+        def addPyFile(self, path):
+            time.sleep(0.05)
+            files.append(path)
+
+    session_like = type("Session", (), {"sparkContext": Context()})()
+    monkeypatch.setattr(session, "_shipped", set())
+    with ThreadPool(4) as pool:
+        pool.map(session.ship, [session_like] * 4)
+    assert len(files) == 1
