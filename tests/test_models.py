@@ -7,14 +7,15 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from slopecast import session
-from slopecast.operators import forests, labels, metrics, models
+from slopecast.operators import boosting, forests, labels, metrics, models
 from slopecast.plans.bindings import Tables
-from slopecast.plans.models import samples
+from slopecast.plans.models import CLASSES, samples, vectors
 from slopecast.session import settle
 from tests.conftest import DATA
 
@@ -175,3 +176,31 @@ def test_the_package_is_shipped_once(monkeypatch):
     with ThreadPool(4) as pool:
         pool.map(session.ship, [session_like] * 4)
     assert len(files) == 1
+
+
+def test_risk_models_fitted_together_are_those_fitted_alone(spark, monkeypatch):
+    """Spark's own boosting took jobs by the thousand; fitted together, no model but the logistic one is fitted by itself."""
+    df = settle(models.class_weights(vectors(Tables(spark, FOLDER)), "y").withColumn("fold", (F.col("vec_id") % 3).cast("int")))
+    fits = [(F.col("fold") != f, F.col("fold") == f) for f in (0, 1)]
+    together = models.classed_apart(df, "vec_id", fits, 6, 3)
+    got = {(r.fit, r.vec_id): r.prediction for r in together.where("model = 'random_forest'").collect()}
+    want = {}
+    for m, (train, asked) in enumerate(fits):
+        out = models.with_classes(models.class_forest(df.where(train), "vec_id", 6), df.where(asked))
+        want |= {(m, r.vec_id): r.prediction for r in out.collect()}
+    assert got == want and together.where("model = 'boosting'").count() == len(want)
+    monkeypatch.setattr(models, "class_forest", lambda *a, **b: pytest.fail("a forest was fitted by itself"))
+    assert models.compare_models(df.drop("weight", "fold"), "vec_id", CLASSES, trees=3, rounds=2).count() == 3
+
+
+def test_boosting_is_that_of_spark(spark):
+    """The same trees as Spark's boosting where all values of the features are bins of their own."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (600, 4)).astype(float)
+    y = (x[:, 0] + 2 * (x[:, 1] > 5) * x[:, 2] + rng.normal(0, 3, 600) > 10).astype(int)
+    df = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "x array<double>, y int").select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("y")).coalesce(1)
+    model = GBTClassifier(labelCol="y", featuresCol="features", maxIter=8, stepSize=0.1, maxDepth=3, seed=models.SEED).fit(df)
+    want = np.array([r.r for r in model.transform(df).select(vector_to_array("rawPrediction")[1].alias("r")).collect()])
+    got = boosting.margins(x.astype(np.uint8), y == 1, x.astype(np.uint8), 8, 0.1, 3)
+    scale = want @ got / (got @ got)  # the same up to a constant, which changes no class
+    assert scale > 0 and np.allclose(want, scale * got, atol=1e-6)
