@@ -217,6 +217,25 @@ def test_rows_that_an_explode_multiplies_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_a_place_meets_only_cells_near_itself(spark):
+    """Cells that are near to some place of its cell, but far from the place itself, are left out before items are met."""
+    here, there = places(300, 31), places(900, 32)
+    at = spark.createDataFrame(there, "_ilat double, _ilon double").distinct()
+    items = settle(cells.placed(at, cells.place_levels(F.col("_ilat"), F.col("_ilon"), cells.FINEST)))
+    counts, depth, levels = cells.item_cells(items, F.count(F.lit(1)))
+    sites = settle(spark.createDataFrame(here, "_lat double, _lon double").distinct())
+    found = cells.nearest_pairs(cells.point_cells(sites, depth), counts, depth, levels, False)
+    at_cells = cells.placed(sites, cells.place_levels(F.col("_lat"), F.col("_lon"), depth)).withColumnsRenamed({"ii": "pi", "ij": "pj"})
+    met = settle(at_cells.join(found, ["level", "pi", "pj"]))
+    close = met.where(F.col("best").isNull() | (cells.place_bounds(F.col("_lat"), F.col("_lon"))[0] <= F.col("best")))
+    assert close.count() < 0.8 * met.count()
+    own = close.drop("level").join(items.withColumnRenamed("level", "il"), ["il", "ii", "ij"]).collect()
+    best = {}
+    for r in own:
+        best[r._lat, r._lon] = min(best.get((r._lat, r._lon), 1e9), km((r._lat, r._lon), (r._ilat, r._ilon)))
+    assert len(best) == sites.count() and all(d == pytest.approx(min(km(p, q) for q in there)) for p, d in best.items())
+
+
 def table_of(spark, rows, names="point_id int, latitude double, longitude double"):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], names)
 
