@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ CRC_POLYNOMIAL = 0x8005
 #: The carrier: MPEG-1 layer III, 48 kHz (frames have no padding), stereo, with checksums.
 CARRIER_RATE, CARRIER_SIDE, UNIT = 48000, 32, 64
 _OVERHEAD = 4 + 2 + CARRIER_SIDE
+#: Text bytes that are turned into streams at a time.
+PART_BYTES = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -238,6 +241,13 @@ def _confirmed(data: bytes, at: int, head: Header, end: int) -> bool:
     return other is not None and (other.version, other.layer, other.rate) == (head.version, head.layer, head.rate)
 
 
+def _leads_to(data: bytes, at: int, end: int) -> bool:
+    """Frames follow each other from a header to the very end."""
+    while at + 4 <= end and (head := header_of(data[at:at + 4])) is not None:
+        at += head.size
+    return at == end
+
+
 def read(data: bytes) -> Stream:
     """Parse a stream: tags, frames, variable-rate table, checksums.
 
@@ -245,20 +255,21 @@ def read(data: bytes) -> Stream:
     none, bytes are skipped up to a header that another one confirms; a frame that is cut short is
     skipped. The checksum of a protected layer III frame covers the header's last two bytes and the
     side information; those of layers I and II cover coded allocations and are not verified. The
-    table frame is no audio and does not count in the duration. Empty or foreign bytes give no frames.
+    table frame is no audio and does not count in the duration. Empty or foreign bytes give no frames. The letters
+    of a closing tag are frame data where frames that follow each other cover them and end with the stream.
     """
     out = Stream()
     at, end = 0, len(data)
     while data[at:at + 3] == b"ID3" and at + 10 <= end:
         at = _id3v2(data, at, out)
-    if end - at >= 128 and data[end - 128:end - 125] == b"TAG":
-        end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
-            if text := data[end + a:end + b].rstrip(b"\x00 ").decode("latin-1"):
-                out.tags.setdefault(name, text)
+    whole = end
+    tagged = end - at >= 128 and data[end - 128:end - 125] == b"TAG"
+    end -= 128 * tagged
     synced, first = False, True
     while at + 4 <= end:
         head = header_of(data[at:at + 4])
+        if tagged and synced and head is not None and at + head.size > end and _leads_to(data, at, whole):
+            tagged, end = False, whole
         if head is None or at + head.size > end or not (synced or _confirmed(data, at, head, end)):
             synced = False
             nxt = data.find(b"\xff", at + 1, end)
@@ -285,6 +296,10 @@ def read(data: bytes) -> Stream:
             out.kbps.add(head.kbps)
         at += head.size
     out.skipped += max(0, end - at)
+    if tagged:
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
+            if text := data[end + a:end + b].rstrip(b"\x00 ").decode("latin-1"):
+                out.tags.setdefault(name, text)
     return out
 
 
@@ -320,9 +335,13 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+            sizes = pc.binary_length(batch.column(1)).to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                rows = max(1, int(np.searchsorted(np.cumsum(sizes[at:at + 256], dtype=np.int64), PART_BYTES)))
+                part = batch.slice(at, rows)
+                at += rows
+                raw = part.column(1).to_pylist()
                 media = [write(pad(r), len(r)) for r in raw]
                 seen = [read(m) for m in media]
                 yield pa.RecordBatch.from_arrays(
@@ -333,7 +352,7 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     names=["doc_id", "media", "samples", "sample_rate", "frame_offsets"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     return map_batches(source, run, "doc_id long, media binary, samples long, sample_rate int, frame_offsets array<long>")
 
 

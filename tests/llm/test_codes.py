@@ -159,6 +159,21 @@ def test_audio_resynchronises_and_finds_damage():
     assert audio.read(data[:-5]).skipped > 0
 
 
+def test_audio_payload_with_the_letters_of_a_closing_tag():
+    for size in (100, 900, 1000, 2600):
+        for back in range(128, 200):
+            raw = audio.pad(b"x" * size)
+            at = max(0, len(raw) - back)
+            for payload in (raw[:at] + b"TAG" + raw[at + 3:], raw[:at] + b"TAG" * ((len(raw) - at) // 3) + raw[:(len(raw) - at) % 3]):
+                data = audio.write(payload, len(payload))
+                assert audio.payload_of(data, audio.read(data)) == (payload, len(payload))
+    data = audio.write(raw, len(raw))
+    tail = b"TAG" + b"a title".ljust(30, b"\x00") + bytes(95)
+    tagged, plain = audio.read(data + tail), audio.read(data)
+    assert tagged.tags["title"] == "a title" and (tagged.offsets, tagged.skipped) == (plain.offsets, 0)
+    assert audio.read(data[:-5] + tail).skipped > 0 and audio.read(data[:-5] + tail).tags["title"] == "a title"
+
+
 def test_audio_header_rules():
     assert audio.header_of(b"\xff\xfb\x90\x00").size == 417 and audio.header_of(b"\xff\xfb\x92\x00").size == 418
     assert audio.header_of(b"\xff\xf3\x90\x00").samples == 576 and audio.header_of(b"\xff\xff\x90\x00").samples == 384
