@@ -23,19 +23,33 @@ TRAIN = 8192
 CELL, MOST_CODES = 1024, 256
 #: Vectors of a block (a crowded cell has several), queries of a batch, vectors that the first round looks at.
 BLOCK, BATCH, FIRST = 512, 128, 4096
+#: Blocks of a lot at most, which meets its queries in one group; queries times cells that are marked at a time.
+LOT, QUERY_CELLS = 16, 1 << 22
 ROUNDS = 12
-_QUERY = "k1 long, k2 long, label long, q array<double>, lows array<double>, highs array<double>"
+_ASKED = "lot int, kind string, k1 binary, k2 binary, label binary, q binary, windows binary, lows binary, highs binary, wanted binary"
+_HELD = "lot int, kind string, cell binary, label binary, q binary, counts binary, ids binary"
 _HIT = "k1 long, k2 long, w int, score double, id long"
 
 
 @dataclass
 class Book:
-    """What every task knows of the index: codes and radii of both halves, rows of each cell, row counts."""
+    """What every task knows of the index: codes and radii of both halves, rows of each cell, blocks of a lot."""
 
     codes: list[np.ndarray]
     radii: list[np.ndarray]
     sizes: np.ndarray
-    batches: int
+    lot: int
+
+    def firsts(self) -> np.ndarray:
+        """Number of each cell's first block; blocks are numbered cell by cell."""
+        n = -(-self.sizes // BLOCK)
+        return n.cumsum() - n
+
+    def spans(self) -> list[tuple[int, int]]:
+        """The first cell of each lot, and the one after its last."""
+        n = -(-self.sizes // BLOCK)
+        of_block = np.repeat(np.arange(len(n)), n)
+        return [(int(part[0]), int(part[-1]) + 1) for part in (of_block[k:k + self.lot] for k in range(0, len(of_block), self.lot))]
 
 
 def keyed(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -93,7 +107,7 @@ def halves(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def indexed(nodes: DataFrame, dims: int) -> tuple[DataFrame, Book, int]:
-    """(cell, sub, label, q, ids) of every vector, and the book. Codebooks are fitted on TRAIN vectors by the least
+    """(lot, cell, label, q, ids) of every vector, and the book. Codebooks are fitted on TRAIN vectors by the least
     digests; radii and cell sizes are taken over all vectors."""
     total = nodes.agg(F.count(F.lit(1))).first()[0]
     sample = nodes.orderBy("k1", "k2").limit(TRAIN).select("q").toArrow().column(0).combine_chunks()  # TRAIN vectors at most
@@ -117,10 +131,24 @@ def indexed(nodes: DataFrame, dims: int) -> tuple[DataFrame, Book, int]:
         sizes[r[0]] = r[1]
         for half, code, far in ((0, r[0] // width, r[2]), (1, r[0] % width, r[3])):
             radii[half][code] = max(radii[half][code], far)
-    counts = nodes.sparkSession.createDataFrame([(int(c), -(-int(n) // BLOCK)) for c, n in enumerate(sizes) if n], "cell int, subs int")
-    subs = F.pmod(F.col("k1"), F.col("subs")).cast("int").alias("sub")
-    blocks = placed.join(counts, "cell").select("cell", subs, "label", "q", "ids")
-    return blocks, Book(centres, radii, sizes, 1), total
+    n_blocks = int((-(-sizes // BLOCK)).sum())
+    book = Book(centres, radii, sizes, max(1, min(LOT, n_blocks // (4 * nodes.sparkSession.sparkContext.defaultParallelism))))
+    counts = nodes.sparkSession.createDataFrame([(int(c), -(-int(n) // BLOCK), int(f)) for c, (n, f) in enumerate(zip(sizes, book.firsts())) if n], "cell int, subs int, first int")
+    lot = F.floor((F.col("first") + F.pmod(F.col("k1"), F.col("subs"))) / book.lot).cast("int").alias("lot")
+    blocks = placed.join(counts, "cell").select(lot, "cell", "label", "q", "ids")
+    return blocks, book, total
+
+
+def bounds(book: Book, q: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The greatest and the least that the product of a half of q with a row of each code can be."""
+    tops, lows = [], []
+    for half, codes, radii in zip(halves(q[None, :]), book.codes, book.radii):
+        middle = codes @ half[0]
+        reach = math.sqrt(float(half[0] @ half[0])) * radii
+        slack = 1 + 1e-9 * (np.abs(middle) + reach)  # wider than any rounding
+        tops.append(middle + reach + slack)
+        lows.append(middle - reach - slack)
+    return tops, lows
 
 
 def visits(book: Book, q: np.ndarray, need: float, highest: float) -> Iterator[tuple[int, int]]:
@@ -130,15 +158,8 @@ def visits(book: Book, q: np.ndarray, need: float, highest: float) -> Iterator[t
     A half's product with a row lies within |half| times the radius of the product with the row's code. Both
     halves are sorted by that bound, and a heap takes the best sums, as in a multi-sequence search.
     """
-    a = halves(q[None, :])
-    tops, lows, order = [], [], []
-    for half, codes, radii in zip(a, book.codes, book.radii):
-        middle = codes @ half[0]
-        reach = math.sqrt(float(half[0] @ half[0])) * radii
-        slack = 1 + 1e-9 * (np.abs(middle) + reach)  # wider than any rounding
-        tops.append(middle + reach + slack)
-        lows.append(middle - reach - slack)
-        order.append(np.argsort(-tops[-1], kind="stable"))
+    tops, lows = bounds(book, q)
+    order = [np.argsort(-t, kind="stable") for t in tops]
     first, second = (t[o].tolist() for t, o in zip(tops, order))
     width = len(second)
     heap = [(-(first[0] + second[0]), 0, 0)]
@@ -156,41 +177,85 @@ def visits(book: Book, q: np.ndarray, need: float, highest: float) -> Iterator[t
             yield one * width + two, rows
 
 
+def wanted_cells(book: Book, q: np.ndarray, need: float, highest: float) -> np.ndarray:
+    """For each cell, whether visits() gives it; the order makes no difference where all of them are looked at."""
+    tops, lows = bounds(book, q)
+    return ((tops[0][:, None] + tops[1][None, :] >= need) & (lows[0][:, None] + lows[1][None, :] <= highest)).ravel() & (book.sizes > 0)
+
+
+def narrow(q: np.ndarray) -> np.ndarray:
+    """Whole numbers in the least type that holds them."""
+    largest = np.abs(q).max(initial=0)
+    return q.astype(np.int16 if largest < 2**15 else np.int32 if largest < 2**31 else np.float64)
+
+
 def requests(queries: DataFrame, book: Book, dims: int, first_round: bool) -> DataFrame:
-    """(cell, sub, batch, _QUERY): the blocks that each query looks at in a round; `needs` (of the queries) are
-    the least scores that can still stand in a result. The second round passes over what the first has seen."""
+    """_ASKED: for each lot of blocks the queries that look at some of its cells in a round, packed; `needs` (of the
+    queries) are the least scores that can still stand in a result. The second round passes over what the first has seen."""
+    spans = book.spans()
+    step = max(16, QUERY_CELLS // max(1, len(book.sizes)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                yield packed(whole.slice(at, step))
+
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        q = matrix(batch.column(3), dims)
+        lows, highs, needs = (batch.column(k).to_pylist() for k in (4, 5, 6))
+        wanted = np.zeros((len(q), len(book.sizes)), bool)
+        for k in range(len(q)):
+            seen, before = 0, []
+            for cell, size in visits(book, q[k], min(lows[k]), max(highs[k])):
+                if seen >= FIRST:
+                    break
+                seen += size
+                before.append(cell)
+            if first_round:
+                wanted[k, before] = True
+            else:
+                wanted[k] = wanted_cells(book, q[k], min(needs[k]), max(highs[k]))
+                wanted[k, before] = False
+        least = lows if first_round else needs
+        k1, k2, label = (batch.column(k).to_numpy() for k in (0, 1, 2))
+        small, windows = narrow(q), np.array([len(x) for x in lows], np.int32)
+        rows = []
+        for lot, (a, b) in enumerate(spans):
+            part = wanted[:, a:b]
+            some = np.flatnonzero(part.any(axis=1))
+            if len(some):
+                edges = [np.array([x for k in some for x in list_[k]], float) for list_ in (least, highs)]
+                own = (k1[some], k2[some], label[some], small[some], windows[some], *edges, np.packbits(part[some], axis=1))
+                rows.append((lot, small.dtype.str, *[x.tobytes() for x in own]))
+        columns = list(zip(*rows)) if rows else [()] * 10
+        types = (pa.int32(), pa.string(), *[pa.binary()] * 8)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _ASKED.split(", ")])
+
+    dealt = queries.select("k1", "k2", "label", "q", "lows", "highs", "needs").repartition(2 * queries.sparkSession.sparkContext.defaultParallelism)
+    return map_batches(dealt, run, _ASKED)
+
+
+def lots(blocks: DataFrame, dims: int) -> DataFrame:
+    """_HELD: the vectors of the blocks, packed by lot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lot, cell, label = (batch.column(k).to_numpy() for k in (0, 1, 2))
             q = matrix(batch.column(3), dims)
-            lows, highs, needs = (batch.column(k).to_pylist() for k in (4, 5, 6))
-            keys = batch.column(0).to_numpy()
-            rows, cells, subs = [], [], []
-            for k in range(len(q)):
-                seen = 0
-                before = []
-                for cell, size in visits(book, q[k], min(lows[k]), max(highs[k])):
-                    if seen >= FIRST:
-                        break
-                    seen += size
-                    before.append(cell)
-                if first_round:
-                    wanted = [(c, int(book.sizes[c])) for c in before]
-                else:
-                    skip = set(before)
-                    wanted = [v for v in visits(book, q[k], min(needs[k]), max(highs[k])) if v[0] not in skip]
-                for cell, size in wanted:
-                    n = -(-size // BLOCK)
-                    rows += [k] * n
-                    cells += [cell] * n
-                    subs += range(n)
-            for at in range(0, len(rows), 20_000):
-                some = rows[at:at + 20_000]
-                columns = batch.select([0, 1, 2, 3, 4, 5]).take(pa.array(some, pa.int64())).columns
-                lot = pa.array((keys[some] % book.batches).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(cells[at:at + 20_000], pa.int32()), pa.array(subs[at:at + 20_000], pa.int32()), lot, *columns], names=["cell", "sub", "batch", "k1", "k2", "label", "q", "lows", "highs"])
-
-    return map_batches(queries.select("k1", "k2", "label", "q", "lows", "highs", "needs"), run, f"cell int, sub int, batch int, {_QUERY}")
+            ids = batch.column(4)
+            counts, first = np.diff(ids.offsets.to_numpy()).astype(np.int32), ids.offsets.to_numpy()
+            values = ids.values.to_numpy(zero_copy_only=False)
+            rows = []
+            for k in np.unique(lot):
+                some = np.flatnonzero(lot == k)
+                small = narrow(q[some])
+                own = (cell[some], label[some], small, counts[some], np.concatenate([values[first[r]:first[r + 1]] for r in some]))
+                rows.append((k, small.dtype.str, *[x.tobytes() for x in own]))
+            columns = list(zip(*rows)) if rows else [()] * 7
+            types = (pa.int32(), pa.string(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _HELD.split(", ")])
+
+    return map_batches(blocks.select("lot", "cell", "label", "q", "ids"), run, _HELD)
 
 
 def products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -215,51 +280,67 @@ def _ranked(score: np.ndarray, row: np.ndarray, ids: list[list[int]], low: float
     return out
 
 
-def block_hits(label, q, ids, of_label, of_q, lows, highs, same: bool, most: int) -> Iterator[tuple[int, int, float, int]]:
-    """(query, window, score, id): what one block has for a batch of queries, the first `most` of each window."""
-    scores = products(q, of_q)
-    alike = label[:, None] == of_label[None, :]
-    least = np.array([min(x) for x in lows])
-    fits = (alike if same else ~alike) & (scores >= least[None, :]) & (scores <= np.array([max(x) for x in highs])[None, :])
-    if same and len(q) > most:  # one open window: only what reaches the block's own first places
-        masked = np.where(fits, scores, -np.inf)
-        fits &= scores >= np.partition(masked, len(q) - most, axis=0)[len(q) - most][None, :]
-    of, row = np.nonzero(fits.T)
-    value = scores[row, of]
+def block_hits(label, q, ids, seen, of_label, of_q, lows, highs, same: bool, most: int) -> Iterator[tuple[int, int, float, int]]:
+    """(query, window, score, id): what the rows of a lot have for a batch of queries, the first `most` of each window;
+    seen says which rows (second) each query (first) looks at."""
+    scores = products(of_q, q)
+    alike = of_label[:, None] == label[None, :]
+    fits = seen & (alike if same else ~alike)
+    fits &= scores >= np.array([min(x) for x in lows])[:, None]
+    fits &= scores <= np.array([max(x) for x in highs])[:, None]
+    if same:  # one open window: only what reaches the lot's own first places
+        for k in np.flatnonzero(fits.sum(axis=1) > 4 * most):
+            own = scores[k, fits[k]]
+            fits[k] &= scores[k] >= np.partition(own, len(own) - most)[len(own) - most]
+    of, row = np.nonzero(fits)
+    value = scores[of, row]
     order = np.lexsort((-value, of))
     of, row, value = of[order], row[order], value[order]
     cuts = np.searchsorted(of, np.arange(len(of_q) + 1))
-    for k in range(len(of_q)):
+    for k in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[k], cuts[k + 1]
-        if a == b:
-            continue
         for w, (low, high) in enumerate(zip(lows[k], highs[k])):
             for score, i in _ranked(value[a:b], row[a:b], ids, low, high, most):
                 yield k, w, score, i
 
 
-def looked_up(wanted: DataFrame, blocks: DataFrame, dims: int, same: bool, most: int) -> DataFrame:
-    """_HIT rows of the requests: each block meets the batches of queries that ask for it."""
-    row = F.struct("label", "q", "ids")
-    held = blocks.groupBy("cell", "sub").agg(F.collect_list(row).alias("rows"))  # about BLOCK rows
-    query = F.struct("k1", "k2", "label", "q", "lows", "highs")
-    asked = wanted.groupBy("cell", "sub", "batch").agg(F.collect_list(query).alias("queries"))  # about BATCH queries
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for k in range(batch.num_rows):
-                rows, queries = (batch.column(c)[k].values for c in (0, 1))
-                label, q, ids = rows.field("label").to_numpy(), matrix(rows.field("q"), dims), rows.field("ids").to_pylist()
-                k1, k2 = queries.field("k1").to_numpy(), queries.field("k2").to_numpy()
-                lows, highs = queries.field("lows").to_pylist(), queries.field("highs").to_pylist()
-                found = block_hits(label, q, ids, queries.field("label").to_numpy(), matrix(queries.field("q"), dims), lows, highs, same, most)
-                out += [(k1[x], k2[x], w, s, i) for x, w, s, i in found]
-            columns = list(zip(*out)) if out else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["k1", "k2", "w", "score", "id"])
-
-    return map_batches(held.join(asked, ["cell", "sub"]).select("rows", "queries"), run, _HIT)
+def looked_up(wanted: DataFrame, held: DataFrame, book: Book, dims: int, same: bool, most: int) -> DataFrame:
+    """_HIT rows of the requests: each lot of blocks meets all queries that ask for it, once."""
+    spans = book.spans()
+    names = ("k1", "k2", "w", "score", "id")
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+
+    def joined(table: pa.Table, name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+    def vectors_of(table: pa.Table) -> np.ndarray:
+        parts = [np.frombuffer(x, kind).astype(float) for x, kind in zip(table.column("q").to_pylist(), table.column("kind").to_pylist())]
+        return np.concatenate(parts).reshape(-1, dims)
+
+    def run(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and rows.num_rows:
+            a, b = spans[key[0].as_py()]
+            cell, label, counts, values = (joined(rows, c, t) for c, t in (("cell", np.int32), ("label", np.int64), ("counts", np.int32), ("ids", np.int64)))
+            q = vectors_of(rows) if dims else np.zeros((len(cell), 0))
+            ends = np.cumsum(counts)
+            ids = [values[e - n:e].tolist() for e, n in zip(ends, counts)]
+            k1, k2, of_label, windows = (joined(asked, c, t) for c, t in (("k1", np.int64), ("k2", np.int64), ("label", np.int64), ("windows", np.int32)))
+            of_q = vectors_of(asked) if dims else np.zeros((len(k1), 0))
+            bits = joined(asked, "wanted", np.uint8).reshape(len(k1), -1)
+            cuts = np.cumsum(windows)[:-1]
+            lows, highs = ([x.tolist() for x in np.split(joined(asked, c, float), cuts)] for c in ("lows", "highs"))
+            for at in range(0, len(k1), BATCH):
+                own = slice(at, at + BATCH)
+                seen = np.unpackbits(bits[own], axis=1, count=b - a).astype(bool)[:, cell - a]
+                found = block_hits(label, q, ids, seen, of_label[own], of_q[own], lows[own], highs[own], same, most)
+                out += [(k1[at + x], k2[at + x], w, s, i) for x, w, s, i in found]
+        columns = list(zip(*out)) if out else [()] * 5
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+
+    parts = max(1, len(spans))
+    asked, rows = (x.repartition(parts, "lot").groupBy("lot") for x in (wanted, held))
+    return asked.cogroup(rows).applyInArrow(run, _HIT)
 
 
 def first_of(hits: DataFrame, most: int) -> DataFrame:
@@ -270,16 +351,16 @@ def first_of(hits: DataFrame, most: int) -> DataFrame:
     return found.select("k1", "k2", "w", F.transform("e", lambda e: F.struct(e["score"].alias("score"), e["id"].alias("id"))).alias("found"))
 
 
-def search(queries: DataFrame, blocks: DataFrame, book: Book, dims: int, same: bool, most: int) -> DataFrame:
-    """(k1, k2, w, found) for queries (_QUERY): the first `most` of each score window, among rows of the same
+def search(queries: DataFrame, held: DataFrame, book: Book, dims: int, same: bool, most: int) -> DataFrame:
+    """(k1, k2, w, found) for queries (k1, k2, label, q, lows, highs): the first `most` of each score window, among rows of the same
     or of other labels. Both rounds together look at every cell that could hold a better row, so the result is exact."""
     queries = settle(queries, "queries")
-    near = settle(looked_up(requests(queries.withColumn("needs", F.col("lows")), book, dims, True), blocks, dims, same, most), "near")
+    near = settle(looked_up(requests(queries.withColumn("needs", F.col("lows")), book, dims, True), held, book, dims, same, most), "near")
     last = first_of(near, most).where(F.size("found") >= most).select("k1", "k2", "w", F.element_at("found", -1)["score"].alias("need"))
     lists = last.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("w", "need"))).alias("known"))
     needs = F.transform("lows", lambda low, w: F.greatest(low, F.coalesce(F.try_element_at("known", w), low)))
     open_ = queries.join(lists, ["k1", "k2"], "left").withColumn("known", F.coalesce("known", F.expr("cast(map() as map<int, double>)"))).withColumn("needs", needs)
-    far = looked_up(requests(open_, book, dims, False), blocks, dims, same, most)
+    far = looked_up(requests(open_, book, dims, False), held, book, dims, same, most)
     return settle(first_of(near.union(far), most), "found")
 
 
@@ -296,14 +377,13 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", v
     nodes = settle(vectors(used), "nodes")
     dims = used.agg(F.coalesce(F.max(F.size("q")), F.lit(0))).first()[0]
     blocks, book, _ = indexed(nodes, dims)
-    blocks = settle(blocks, "blocks")
+    held = settle(lots(blocks, dims), "lots")
     square = F.aggregate("q", F.lit(0.0), lambda a, v: a + v * v)
     anchors = settle(used.where(is_anchor).select("id", "k1", "k2", square.alias("own")), "anchors")
     asked = nodes.join(anchors.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", "label", "q")
     asked = settle(asked, "asked")
-    book.batches = max(1, -(-asked.agg(F.count(F.lit(1))).first()[0] // BATCH))
     everything = {"lows": F.array(F.lit(float("-inf"))), "highs": F.array(F.lit(float("inf")))}
-    alike = search(asked.withColumns(everything), blocks, book, dims, True, POSITIVES + 1)
+    alike = search(asked.withColumns(everything), held, book, dims, True, POSITIVES + 1)
 
     # in whole numbers, without passing 64 bits
     hundreds, rest = "(cast(p as bigint) div 100)", "(cast(p as bigint) % 100)"
@@ -314,7 +394,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", v
     windows = bounds.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("p", "low", "high"))).alias("ws"))
     windows = settle(windows, "windows")
     asked = asked.join(windows, ["k1", "k2"]).select("k1", "k2", "label", "q", F.col("ws.low").alias("lows"), F.col("ws.high").alias("highs"))
-    unlike = search(asked, blocks, book, dims, False, NEGATIVES)
+    unlike = search(asked, held, book, dims, False, NEGATIVES)
     negatives = unlike.join(windows, ["k1", "k2"]).select("k1", "k2", F.expr("ws[w].p").alias("p"), "found")
 
     # sums beyond 2 ** 53 may differ in their last bits

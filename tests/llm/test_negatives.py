@@ -101,3 +101,16 @@ def test_visits_in_order_until_certain():
         inside = [c for c, _ in negatives.visits(book, rows[k], low, high)]
         assert set(cell[(scores >= low) & (scores <= high)]) <= set(inside)
     assert looked < 0.2 * 20 * 4000  # the bounds end the search early
+
+
+def test_requests_are_packed_by_lot(spark, monkeypatch):
+    for name, value in (("CELL", 20), ("FIRST", 100), ("BLOCK", 16)):
+        monkeypatch.setattr(negatives, name, value)
+    rows = clustered(random.Random(5), 800)
+    nodes = negatives.vectors(negatives.keyed(table(spark, rows), "vec_id", "embedding", "label")).cache()
+    blocks, book, total = negatives.indexed(nodes, 8)
+    everything = {"lows": F.array(F.lit(float("-inf"))), "highs": F.array(F.lit(float("inf"))), "needs": F.array(F.lit(float("-inf")))}
+    asked = nodes.select("k1", "k2", "label", "q").withColumns(everything)
+    packs = negatives.requests(asked, book, 8, False).count()  # not a row for each query and block
+    assert total == 800 and packs <= 2 * spark.sparkContext.defaultParallelism * len(set(r["lot"] for r in blocks.select("lot").distinct().collect()))
+    assert packs < 800 * (book.sizes > 0).sum() / 2
