@@ -153,6 +153,40 @@ def test_fits_made_together_score_like_fits_made_alone(spark, folded, monkeypatc
     assert all(abs(together[k] - alone[k]) < 1e-12 for k in alone)
 
 
+def test_importance_of_all_folds_is_that_of_each_model(spark, folded, monkeypatch):
+    """Rows walk the trees while they grow, and replaced ones only from where they part; the drops are those of each model by itself."""
+    columns = [*models.NUMERIC, *models.CATEGORIES]
+    drops = lambda: {r.feature: (r.folds, r.mean_drop, r.std_drop) for r in models.fold_importance(folded, models.NUMERIC, columns, "point_id", 5, 7).collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "Susceptibility", lambda *a, **b: pytest.fail("a model was fitted by itself"))
+        together = drops()
+    monkeypatch.setattr(forests, "WHOLE", 0)
+    alone = drops()
+    assert together.keys() == alone.keys() == set(columns)
+    assert all(np.allclose(together[c], alone[c], atol=1e-9) for c in columns) and max(d for _, d, _ in together.values()) > 0.01
+
+
+def test_a_replaced_row_walks_as_if_from_the_root():
+    rng = np.random.default_rng(2)
+    codes, y = rng.integers(0, 9, (500, 6)).astype(np.uint8), rng.integers(0, 2, 500)
+    plan = forests.Plan(1, 9, 2, 42, np.array([1.0, 1.3]), [np.arange(9.0)] * 6)
+    tree = plan.arrays(0, codes, y, np.ones(500, np.int64))
+    column, donors = np.array([0, 1, 1, 2, 3, 3, 3]), rng.integers(0, 500, (500, 2))  # the last column is nobody's
+    vectors = np.concatenate([codes[:, None], codes[donors]], axis=1)
+
+    def walk(rows):
+        at = np.zeros(len(rows), np.int64)
+        for _ in range(12):
+            at = tree.child[at] + (rows[np.arange(len(rows)), tree.feature[at]] > tree.cut[at])
+        return tree.shares[at, 1]
+
+    base, given = tree.permuted(vectors, column, 3, np.ascontiguousarray(tree.shares[:, 1]))
+    assert (base == walk(codes)).all() and (base == plan.answers(0, codes, y, np.ones(500, np.int64), codes)[:, 1]).all()
+    for r in range(2):
+        for c in range(3):
+            assert (given[:, r, c] == walk(np.where(column[:6] == c, vectors[:, r + 1], codes))).all()
+
+
 def test_calibration_and_validation_fit_no_model_by_itself(folded, monkeypatch):
     """Their forests share their passes; by themselves, each took some 50 jobs."""
     monkeypatch.setattr(models, "Susceptibility", lambda *a, **b: pytest.fail("a model was fitted by itself"))
