@@ -227,6 +227,19 @@ def test_risk_models_fitted_together_are_those_fitted_alone(spark, monkeypatch):
     assert models.compare_models(df.drop("weight", "fold"), "vec_id", CLASSES, trees=3, rounds=2).count() == 3
 
 
+def test_a_table_scored_while_its_forest_grows_is_that_of_the_node_table(spark, monkeypatch):
+    """No node is written; rows that the forest learned are scored, too."""
+    df = settle(models.class_weights(vectors(Tables(spark, FOLDER)), "y"))
+    learned, keep = F.col("vec_id") % 4 != 0, ["vec_id", "class_name"]
+    want = models.score_table(models.class_forest(df.filter(learned), "vec_id", 7), df, CLASSES, keep)
+    want = {r.vec_id: r for r in want.collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "class_forest", lambda *a, **b: pytest.fail("a node table was made"))
+        got = {r.vec_id: r for r in models.fitted_score_table(df, learned, "vec_id", CLASSES, keep, 7).collect()}
+    assert got.keys() == want.keys() and len(got) == df.count()
+    assert all(got[k].risk == want[k].risk and np.allclose(got[k][3:], want[k][3:], atol=1e-12) for k in got)
+
+
 def test_boosting_is_that_of_spark(spark):
     """The same trees as Spark's boosting where all values of the features are bins of their own."""
     rng = np.random.default_rng(3)
